@@ -8,25 +8,77 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts
+from . import minhash, packing, token_counts, url_filter
 from .shared import table
 
 #: Where the tokenizer's file is; a parameter, never copied into the repository.
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
 
+#: Rules of the URL filter.
+RULES: list[url_filter.Rule] = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), payload="ids_crc32")
     return packing.pack(pieces)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_best_fit_packing, op10_token_counts)
+    f.__name__: f for f in (op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op10_token_counts)
 }
-ORACLES: dict[str, str] = {}
+
+_RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+_AT = "strpos({0}, '://')"
+_REST = "substr({0}, strpos({0}, '://') + 3)"
+_HOST = "CASE WHEN strpos({0}, '://') > 0 THEN translate(regexp_extract(" + _REST + ", '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
+_PATH = "CASE WHEN strpos({0}, '://') > 0 THEN regexp_extract(" + _REST + ", '^[^/?#]*([^?#]*)', 1, 's') ELSE '' END"
+_NODE = "CASE WHEN strpos({0}, '://') > 0 THEN (" + _HOST + ") || CASE WHEN regexp_extract(" + _REST + ", '^[^/?#]*([^#]*)', 1, 's') = '' THEN '/' ELSE regexp_extract(" + _REST + ", '^[^/?#]*([^#]*)', 1, 's') END END"
+
+#: Absolute links only: the tables hold no others.
+OP2_SQL = f"""
+WITH RECURSIVE rules(h, p, v) AS (VALUES {_RULE_ROWS}),
+found AS (
+  SELECT url AS source, unnest([
+    regexp_extract(html, '<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'is'),
+    regexp_extract(html, '<link\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)["'']?[^>]*\\brel\\s*=\\s*["'']?canonical\\b', 1, 'is'),
+    regexp_extract(html, '<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*\\bcontent\\s*=\\s*["'']?[^"''>]*url\\s*=\\s*([^"''\\s>]+)', 1, 'is')]) AS target
+  FROM pages WHERE url IS NOT NULL),
+links AS (SELECT source, target FROM found WHERE strpos(target, '://') > 0),
+urls AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION SELECT target FROM links) WHERE url IS NOT NULL),
+parts AS (SELECT url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path, {_NODE.format("url")} AS node FROM urls),
+fitting AS (
+  SELECT url, h || p AS rule, v, row_number() OVER (PARTITION BY url ORDER BY length(h) + length(p) DESC) AS k
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+ruled AS (SELECT p.*, f.rule, f.v FROM parts p LEFT JOIN fitting f ON f.url = p.url AND f.k = 1),
+steps AS (
+  SELECT a.node AS x, b.node AS y FROM links JOIN parts a ON a.url = source JOIN parts b ON b.url = target
+  UNION SELECT b.node, a.node FROM links JOIN parts a ON a.url = source JOIN parts b ON b.url = target),
+reach(x, y) AS (SELECT x, x FROM steps UNION SELECT r.x, s.y FROM reach r JOIN steps s ON s.x = r.y),
+tainted AS (SELECT DISTINCT x AS node FROM reach JOIN ruled ON ruled.node = y WHERE v = 'block')
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+  coalesce(v, CASE WHEN t.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  CASE WHEN v IS NOT NULL THEN 'rule' WHEN t.node IS NOT NULL THEN 'alias' ELSE 'default' END AS by
+FROM pages LEFT JOIN ruled ON ruled.url = pages.url LEFT JOIN tainted t ON t.node = ruled.node
+"""
+
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL}
