@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, token_counts, url_filter
+from . import decontaminate, minhash, ngram_lm, packing, token_counts, url_filter
 from .shared import table
 
 #: Where the tokenizer's file is; a parameter, never copied into the repository.
@@ -25,6 +25,11 @@ RULES: list[url_filter.Rule] = [
 ]
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngram_lm.score(table(spark, sf_dir, "documents"))
+    return scored.withColumn("log_score", F.round("log_score", 5))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
@@ -48,7 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op5_decontamination, op10_token_counts)
+    f.__name__: f for f in (op1_lm_scoring, op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op5_decontamination, op10_token_counts)
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
@@ -85,6 +90,30 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
 FROM pages LEFT JOIN ruled ON ruled.url = pages.url LEFT JOIN tainted t ON t.node = ruled.node
 """
 
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+pos AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS w, len(w) AS n FROM d),
+pair AS (SELECT doc_id, p, n, w, lag(w) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM pos),
+one AS (SELECT w, count(*) AS c FROM pos GROUP BY w),
+own1 AS (SELECT doc_id, w, count(*) AS c FROM pos GROUP BY ALL),
+two AS (SELECT before, w, count(*) AS c FROM pair WHERE before IS NOT NULL GROUP BY ALL),
+own2 AS (SELECT doc_id, before, w, count(*) AS c FROM pair WHERE before IS NOT NULL GROUP BY ALL),
+total AS (SELECT count(*) AS c FROM pos),
+term AS (
+  SELECT pair.doc_id, p, two.c - own2.c AS seen, bef.c - obef.c AS base, one.c - own1.c AS single, greatest(total.c - n, 1) AS rest
+  FROM pair JOIN one ON one.w = pair.w JOIN own1 ON own1.doc_id = pair.doc_id AND own1.w = pair.w CROSS JOIN total
+  LEFT JOIN two ON two.before = pair.before AND two.w = pair.w
+  LEFT JOIN own2 ON own2.doc_id = pair.doc_id AND own2.before = pair.before AND own2.w = pair.w
+  LEFT JOIN one bef ON bef.w = pair.before LEFT JOIN own1 obef ON obef.doc_id = pair.doc_id AND obef.w = pair.before),
+summed AS (
+  SELECT doc_id, count(*) FILTER (p > 1 AND seen = 0) AS n_backoff,
+    sum(CASE WHEN p > 1 AND seen > 0 THEN ln(seen) - ln(base)
+      ELSE ln(greatest(single, {ngram_lm.UNSEEN}) / rest) + CASE WHEN p > 1 THEN ln({ngram_lm.ALPHA}) ELSE 0 END END) AS s
+  FROM term GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_backoff, 0)::BIGINT AS n_backoff, round(coalesce(s, 0), 5)::DOUBLE AS log_score
+FROM d LEFT JOIN summed USING (doc_id)
+"""
+
 #: Windows as lists of words, joined to the lists at every position of the documents.
 OP5_SQL = """
 WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -103,4 +132,4 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op5_decontamination": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_decontamination": OP5_SQL}
