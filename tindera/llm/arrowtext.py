@@ -152,3 +152,9 @@ def unpack_planes(data: bytes, dtype) -> np.ndarray:
 
 def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(k).type) for k, c in columns.items()], schema=schema)
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of single words, as ``Words`` names them."""
+    data, offsets = utf8(pa.array(words, pa.string()))
+    return Words(data, offsets, ALNUM).hashes
