@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, ngram_lm, packing, pii, token_counts, url_filter
+from . import decontaminate, minhash, ngram_lm, packing, pii, token_counts, toxicity, url_filter
 from .shared import table
 
 #: Where the tokenizer's file is; a parameter, never copied into the repository.
@@ -51,13 +51,18 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op5_decontamination, op7_pii, op10_token_counts)
+    f.__name__: f for f in (op1_lm_scoring, op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op5_decontamination, op7_pii, op9_toxicity, op10_token_counts)
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
