@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, ngram_lm, packing, pii, token_counts, toxicity, url_filter
-from .shared import table
+from . import decontaminate, minhash, ngram_lm, packing, pii, token_counts, toxicity, url_filter, warc
+from .shared import scratch_path, table
 
 #: Where the tokenizer's file is; a parameter, never copied into the repository.
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,6 +51,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    return warc.read_warc(spark, folder, payload=False).drop("url")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -62,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op5_decontamination, op7_pii, op9_toxicity, op10_token_counts)
+    f.__name__: f for f in (op1_lm_scoring, op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op5_decontamination, op7_pii, op8_warc, op9_toxicity, op10_token_counts)
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
@@ -141,4 +147,17 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_decontamination": OP5_SQL}
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+lead AS (SELECT h, max(page_id) AS leader FROM p GROUP BY h),
+five AS (SELECT page_id, k, ('0x' || substr(s, 5 * k + 1, 5))::BIGINT AS v FROM p, range(8) r(k)),
+code AS (SELECT page_id, string_agg(
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 15) & 31)::INT + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31)::INT + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31)::INT + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31)::INT + 1, 1), '' ORDER BY k) AS d
+  FROM five GROUP BY page_id)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id = leader THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> leader THEN leader END AS refers_to
+FROM p JOIN lead USING (h) JOIN code USING (page_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL}
