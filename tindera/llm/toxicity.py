@@ -21,7 +21,9 @@ SAMPLE_ROWS = 20_000
 FEATURES = 4096
 #: Lengths of word beginnings, in bytes.
 BEGINNINGS = (4, 5, 6)
-L1, L2, COUNTERFACTUAL, STEPS = 1e-4, 1e-6, 1.0, 400
+#: The L1 penalty is this over the square root of the number of rows: a small sample needs a stronger one.
+L1 = 0.01
+L2, COUNTERFACTUAL, STEPS = 1e-6, 1.0, 400
 THRESHOLD = 0.7
 
 # Identity terms and what each is swapped for.
@@ -183,7 +185,7 @@ def fit_weights(label, has, swapped, k: int, counterfactual: float = COUNTERFACT
         r = weight * (_sigmoid(x.times(vw) + vb) - y)
         g = x.back(r, k) + strength * d.back(d.times(vw), k) + L2 * vw
         nw = vw - step * g
-        nw = np.sign(nw) * np.maximum(np.abs(nw) - step * l1, 0)
+        nw = np.sign(nw) * np.maximum(np.abs(nw) - step * l1 / np.sqrt(n), 0)
         nb = vb - step * r.sum()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
