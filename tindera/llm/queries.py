@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, ngram_lm, packing, pii, token_counts, toxicity, url_filter, warc
+from . import ann, decontaminate, minhash, ngram_lm, packing, pii, token_counts, toxicity, url_filter, warc
 from .shared import scratch_path, table
 
 #: Where the tokenizer's file is; a parameter, never copied into the repository.
@@ -47,6 +47,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % ann.QUERY_EVERY == 0))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -68,7 +73,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op5_decontamination, op7_pii, op8_warc, op9_toxicity, op10_token_counts)
+    f.__name__: f for f in (op1_lm_scoring, op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op5_decontamination, op6_nearest_neighbours, op7_pii, op8_warc, op9_toxicity, op10_token_counts)
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
