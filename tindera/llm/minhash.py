@@ -27,16 +27,28 @@ SLACK = 0.2
 #: Documents named in a broadcast at most (16 MB); beyond, the texts are dealt by id.
 BROADCAST_IDS = 2_000_000
 
-_rng = np.random.default_rng(4040)
-_XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-_MUL = _rng.integers(0, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: One-bit signatures for buckets that stay open: their hash functions, and 4.5 standard errors.
+FINE_HASHES = 2048
+FINE_SLACK = 0.066
+#: Rows of a bucket that are compared in memory at once, and rows of small buckets dealt together.
+BLOCK_ROWS, GROUP_ROWS = 2048, 20_000
 
 
-def minima(values: np.ndarray) -> np.ndarray:
+def _functions(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.integers(0, 1 << 62, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+_COARSE, _FINE = _functions(4040, HASHES), _functions(4041, FINE_HASHES)
+
+
+def minima(values: np.ndarray, functions: tuple[np.ndarray, np.ndarray] = _COARSE) -> np.ndarray:
     """The least value of every hash function over a set."""
-    out = np.full(HASHES, (1 << 64) - 1, np.uint64)
-    for k in range(0, len(values), 4096):
-        out = np.minimum(out, ((values[k : k + 4096, None] ^ _XOR) * _MUL).min(axis=0))
+    flip, times = functions
+    out = np.full(len(flip), (1 << 64) - 1, np.uint64)
+    step = (1 << 19) // len(flip)
+    for k in range(0, len(values), step):
+        out = np.minimum(out, ((values[k : k + step, None] ^ flip) * times).min(axis=0))
     return mix(out)
 
 
@@ -56,9 +68,18 @@ def _fingerprint(values: np.ndarray) -> tuple[int, int]:
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
 
 
+_SALT = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(1))
+
+
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """A key for each band, from all of its minima."""
+    key = _SALT
+    for part in low.reshape(BANDS, -1).T:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ part)
+    return key
+
+
 def _signatures(batches):
-    rows = HASHES // BANDS
-    salt = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(1))
     for b in batches:
         data, offsets = utf8(b.column(1))
         ids = b.column(0)
@@ -73,14 +94,62 @@ def _signatures(batches):
                     continue
                 one, two = _fingerprint(values)
                 low = minima(values)
-                key = salt
-                for part in low.reshape(BANDS, rows).T:
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ part)
-                for k, v in zip(("f1", "f2", "keys", "sig"), (one, two, key.view(np.int64), pack_bits(low).view(np.int64))):
+                for k, v in zip(("f1", "f2", "keys", "sig"), (one, two, band_keys(low).view(np.int64), pack_bits(low).view(np.int64))):
                     out[k].append(v)
             yield batch({"doc_id": ids[lo:hi]} | out, _SIGNED)
 
 
+def _fine(batches):
+    """Per text: set size, one-bit signature, and the low half of each band key."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("tags", pa.binary())])
+    for b in batches:
+        data, offsets = utf8(b.column(1))
+        for lo, hi in slices(offsets):
+            sets = list(shingle_sets(Words(data, offsets[lo : hi + 1], NOT_SPACE), SHINGLE))
+            bits = [np.packbits((minima(s, _FINE) & np.uint64(1)).astype(np.uint8)).tobytes() for s in sets]
+            tags = [band_keys(minima(s)).astype(np.uint32).tobytes() for s in sets]
+            yield batch({"id": b.column(0)[lo:hi], "n": [len(s) for s in sets], "bits": bits, "tags": tags}, schema)
+
+
+def _close(threshold: int):
+    """Pairs of a group of buckets that fine signatures call similar, of different components, each in its first common bucket."""
+    most = int(FINE_HASHES * (1 - (threshold / 100 - FINE_SLACK)) / 2)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        key, ids, component, n, lo, hi, block = (table.column(c).to_numpy() for c in ("key", "id", "component", "n", "lo", "hi", "block"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
+        tags = np.frombuffer(b"".join(table.column("tags").to_pylist()), np.uint32).reshape(len(ids), -1)
+        order = np.argsort(key, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0, [True]]))
+        found = []
+        for s, e in zip(edges[:-1], edges[1:]):
+            rows = order[s:e]
+            across = lo[rows[0]] != hi[rows[0]]
+            left = rows[block[rows] == lo[rows[0]]] if across else rows
+            right = rows[block[rows] == hi[rows[0]]] if across else rows
+            mine = np.uint32(key[rows[0]] & 0xFFFFFFFF)
+            for k in range(0, len(left), 64):
+                x = left[k : k + 64]
+                off = np.zeros((len(x), len(right)), np.uint16)
+                for w in range(bits.shape[1]):
+                    off += np.bitwise_count(bits[x, w][:, None] ^ bits[right, w][None])
+                good = (off <= most) & (component[x][:, None] != component[right][None])
+                if not across:
+                    good &= ids[x][:, None] < ids[right][None]
+                i, j = np.nonzero(good)
+                i, j = x[i], right[j]
+                same = tags[i] == tags[j]
+                first = tags[i, same.argmax(axis=1)] == mine
+                sizes = 100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
+                i, j = i[first & sizes], j[first & sizes]
+                found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, schema)
+
+    return run
+
+
 def _confirm(threshold: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -117,11 +186,37 @@ def estimate(one: str, two: str):
     return (1 - off / F.lit(float(HASHES)) - chance) / (1 - chance)
 
 
+def _named(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some documents; by a broadcast if these are few enough."""
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return texts.join(ids, "doc_id", "left_semi")
+
+
+def open_pairs(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Promising pairs (a, b) of different components within buckets (key, id, component).
+
+    Buckets are compared in blocks of bounded size on finer signatures; only pairs that these
+    call similar come out, and each once.
+    """
+    rows = settle(members, "minhash-open")
+    fine = _named(texts, rows.select(F.col("id").alias("doc_id")).distinct()).mapInArrow(_fine, "id long, n long, bits binary, tags binary").dropDuplicates(["id"])
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    groups = max(1, -(-rows.count() // GROUP_ROWS))
+    dealt = rows.join(sizes, "key").join(settle(fine, "minhash-fine"), "id")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    small = F.col("blocks") == 1
+    dealt = dealt.select(
+        "key", "id", "component", "n", "bits", "tags", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+        F.when(small, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.col("key")).alias("group"), small.alias("small"),
+    )
+    return dealt.groupBy("small", "group", "lo", "hi").applyInArrow(_close(threshold), "a long, b long")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """Of (a, b), those whose full shingle sets are as similar as asked for."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    texts = _named(texts, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
     found = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     found = found.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return found.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(threshold), "a long, b long")
@@ -143,8 +238,9 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     Rows with equal sets are one class, represented by its smallest doc_id.  Only
     representatives are compared.  In every band bucket, first all members are checked
     against the smallest one; most buckets are then one component and are done.  In the
-    others, members of different components are checked against each other, if their
-    signatures agree enough.  At 32 bands of 4 hashes a pair at the threshold shares no
+    others, members of different components are compared on finer signatures, in blocks, and
+    those that agree enough are checked.  (Only this comparison of 256 bytes grows with the
+    square of such a bucket; its rows do not.)  At 32 bands of 4 hashes a pair at the threshold shares no
     bucket with a probability of 5e-6.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -177,10 +273,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     placed = members.join(named.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    open_rows = settle(placed.join(mixed, "key", "left_semi").join(signed, "id"), "minhash-open")
-    one, two = (open_rows.select(*[F.col(c).alias(c if c == "key" else f"{c}_{s}") for c in open_rows.columns]) for s in ("a", "b"))
-    rest = one.join(two, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _fits(threshold))
-    rest = rest.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    rest = open_pairs(placed.join(mixed, "key", "left_semi"), docs, threshold).distinct().join(first, ["a", "b"], "left_anti")
     rest = settle(rest, "minhash-rest")
     more = settle(confirmed(rest, docs, threshold), "minhash-links")
     if not more.isEmpty():
