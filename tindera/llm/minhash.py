@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import NOT_SPACE, Words, batch, mix, shingle_sets, slices, utf8
 from .components import connected_components
-from .shared import settle
+from .shared import settle, without
 
 SHINGLE = 5
 HASHES = 128
@@ -283,6 +283,21 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return done.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def drop_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The documents without near-duplicates, all columns.
+
+    Of each class the row with the smallest doc_id stays.  Of rows that are equal in doc_id and
+    text one stays.  Rows without words or without a doc_id all stay.
+    """
+    found = settle(near_duplicates(docs, threshold), "minhash-result")
+    left = without(docs, found.where("not kept").select("doc_id").distinct(), "doc_id")
+    twice = found.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice = settle(twice, "minhash-repeated")
+    if twice.isEmpty():
+        return left
+    return without(left, twice, "doc_id").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def _fits(threshold: int):
     """Set sizes that allow the similarity, and signatures that make it likely."""
     sizes = 100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")

@@ -9,9 +9,11 @@ punished.  The model can't then take the mere mention of a group for toxicity.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .arrowtext import ALNUM, Words, batch, mix, slices, utf8, word_hashes
 
@@ -291,9 +293,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def flags(model: Model):
     """Column function: is a text toxic?"""
-    import pandas as pd
-    from pyspark.sql.types import BooleanType
-
     def run(texts: pd.Series) -> pd.Series:
         data, offsets = utf8(pa.array(texts, pa.string()))
         found = [model.scores(data, offsets[lo : hi + 1]) for lo, hi in slices(offsets)]
