@@ -61,6 +61,8 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     if column.null_count:
         column = column.fill_null("")
     column = column.cast(pa.large_string())

@@ -114,7 +114,7 @@ def _scores(order: int, alpha: float, leave_one_out: bool):
             left.append(corpus[index] - (_own(index, counts) if leave_one_out else 0))
         words = grams[0][1]
         n = int(words.sum())
-        rest = np.maximum(totals - (words if leave_one_out else 0), 1)
+        rest = np.maximum(totals - words * leave_one_out, 1)
         # From the shortest n-gram up: a longer one that other documents have replaces the backed-off score.
         single = np.maximum(left[0].astype(np.float64), UNSEEN) / np.repeat(rest, words)
         score, backoff = np.log(single), np.zeros(n, np.int64)
