@@ -232,8 +232,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, features: i
     """Fit the model on the bounded sample.
 
     All features are counted where the texts are; only the counts of those that set the labels apart most, and
-    each text's share of these, come to the driver.  Features of identity terms always
-    take part, so that the penalty can hold them.
+    each text's share of these, come to the driver.  Features of identity terms that the
+    sample has always take part, so that the penalty holds them; those that it doesn't have weigh nothing,
+    so that a term can't pass its weight on to a counterpart that no text speaks for.
     """
     spark = docs.sparkSession
     labelled = sample(docs, labels, rows)
@@ -245,9 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, features: i
     counts = labelled.mapInArrow(_label_counts, "feature long, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     share = (F.col("ones") + F.col("zeros")) / F.lit(float(ones + zeros))
     apart = F.abs(F.col("ones") / F.lit(float(ones)) - F.col("zeros") / F.lit(float(zeros))) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)))
-    best = counts.where("ones + zeros > 1").orderBy(apart.desc(), "feature").limit(features).select("feature").toArrow()["feature"].to_numpy().view(np.uint64)
-    named = [h for part in _word_features([w for pair in terms for w in pair]) for h in part]
-    names = np.unique(np.concatenate([best, np.array(named, np.uint64)]))
+    named = np.unique(np.array([h for part in _word_features([w for pair in terms for w in pair]) for h in part], np.uint64)).view(np.int64).tolist()
+    counts = counts.where("ones + zeros > 1").orderBy(F.col("feature").isin(named).desc(), apart.desc(), "feature")
+    names = np.sort(counts.limit(features + len(named)).select("feature").toArrow()["feature"].to_numpy().view(np.uint64))
     chosen = spark.sparkContext.broadcast(names)
     rows_ = labelled.mapInArrow(_examples(chosen, terms), "label int, has array<int>, swapped array<int>").toArrow()
     has = _lists(rows_["has"])
