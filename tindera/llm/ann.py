@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrowtext import batch
+from .arrowtext import batch, tidied
 from .shared import settle
 
 NEIGHBOURS = 5
@@ -207,15 +207,15 @@ def search(vectors: DataFrame, queries: DataFrame, neighbours: int = NEIGHBOURS,
     asked = settle(asked, "queries")
     q_blocks, c_blocks = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-count // CODE_BLOCK))
 
-    codes = classes.select("cid", "v").mapInArrow(_encode(sent), "cid long, code binary")
+    codes = classes.select("cid", "v").mapInArrow(tidied(_encode(sent)), "cid long, code binary")
     codes = codes.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(c_blocks)).cast("int")).groupBy("block").applyInArrow(_pack_codes, "block int, ids binary, codes binary")
     blocks = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).groupBy("qb").applyInArrow(_pack_queries, "qb int, queries binary, vectors binary")
     codes = codes.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     grid = codes.join(blocks, "qb").repartition(q_blocks * c_blocks, "qb", "block").select("ids", "codes", "queries", "vectors")
-    found = grid.mapInArrow(_scan(sent, depth), "query_id long, cid long, approximate float")
+    found = grid.mapInArrow(tidied(_scan(sent, depth)), "query_id long, cid long, approximate float")
     best = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("approximate")))
     found = found.withColumn("k", best).where(F.col("k") <= depth).select("query_id", "cid")
-    ranked = found.join(classes, "cid").join(asked, "query_id").select("query_id", "vector", "v", "ids").mapInArrow(_exact, "query_id long, score double, ids array<long>")
+    ranked = found.join(classes, "cid").join(asked, "query_id").select("query_id", "vector", "v", "ids").mapInArrow(tidied(_exact), "query_id long, score double, ids array<long>")
     nearest = ranked.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return nearest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")

@@ -6,13 +6,16 @@ classes split UTF-8 exactly.  Words and n-grams are named by 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
-CHUNK = 1 << 21  # bytes handled at once, unless one text is longer
+CHUNK = 1 << 20  # bytes handled at once, unless one text is longer
 
 
 def _byte_names() -> np.ndarray:
@@ -160,3 +163,24 @@ def word_hashes(words: list[str]) -> np.ndarray:
     """Hashes of single words, as ``Words`` names them."""
     data, offsets = utf8(pa.array(words, pa.string()))
     return Words(data, offsets, ALNUM).hashes
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker is kept for later tasks, and its memory with it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(kernel):
+    """A kernel over Arrow batches that ends with ``release``."""
+
+    @functools.wraps(kernel)
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            release()
+
+    return run

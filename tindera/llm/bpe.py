@@ -19,8 +19,8 @@ from .arrowtext import mix
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: The code points with the Unicode property White_Space.
 WHITE_SPACE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-CHUNK = 1 << 21
-MOST_KNOWN = 1 << 20  # pre-tokens that a worker remembers; beyond, it starts anew
+CHUNK = 1 << 20
+MOST_KNOWN = 1 << 19  # pre-tokens that a worker remembers; beyond, it starts anew
 
 
 @lru_cache(1)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import ALNUM, Words, batch, slices, utf8
+from .arrowtext import ALNUM, Words, batch, slices, tidied, utf8
 from .shared import settle
 
 WINDOW = 13
@@ -186,12 +186,12 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
         counts = np.zeros(len(names), np.int64)
         if len(names):
             wanted = spark.sparkContext.broadcast(names)
-            found = docs.select("text").mapInArrow(_word_counts(wanted), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+            found = docs.select("text").mapInArrow(tidied(_word_counts(wanted)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
             counts[np.searchsorted(names, found["word"].to_numpy().view(np.uint64))] = found["n"].to_numpy()
         sent = spark.sparkContext.broadcast(_index(windows, names, counts))
         last = k == blocks - 1
         kind = "doc_id long, " + ("" if last else "text string, ") + "n_words long, spans array<long>, items array<long>"
-        rows = rows.mapInArrow(_hits(sent, not last), kind)
+        rows = rows.mapInArrow(tidied(_hits(sent, not last)), kind)
         if not last:
             rows = settle(rows, "windows").select("doc_id", "text", "n_words", "spans", "items")
     return rows
@@ -210,4 +210,4 @@ def _digest(batches):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document row: counts of words, hit words and items, a digest of the items, and the verdict (5 per cent of the words)."""
-    return find_windows(docs, benchmark, window).mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return find_windows(docs, benchmark, window).mapInArrow(tidied(_digest), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import NOT_SPACE, Words, batch, mix, shingle_sets, slices, utf8
+from .arrowtext import NOT_SPACE, Words, batch, mix, shingle_sets, slices, tidied, utf8
 from .components import connected_components
 from .shared import settle, without
 
@@ -200,7 +200,7 @@ def open_pairs(members: DataFrame, texts: DataFrame, threshold: int) -> DataFram
     call similar come out, and each once.
     """
     rows = settle(members, "minhash-open")
-    fine = _named(texts, rows.select(F.col("id").alias("doc_id")).distinct()).mapInArrow(_fine, "id long, n long, bits binary, tags binary").dropDuplicates(["id"])
+    fine = _named(texts, rows.select(F.col("id").alias("doc_id")).distinct()).mapInArrow(tidied(_fine), "id long, n long, bits binary, tags binary").dropDuplicates(["id"])
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     groups = max(1, -(-rows.count() // GROUP_ROWS))
     dealt = rows.join(sizes, "key").join(settle(fine, "minhash-fine"), "id")
@@ -219,7 +219,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     texts = _named(texts, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
     found = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     found = found.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return found.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(threshold), "a long, b long")
+    return found.select("a", "b", "text_a", "text_b").mapInArrow(tidied(_confirm(threshold)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     bucket with a probability of 5e-6.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    raw = settle(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sig array<long>"), "minhash")
+    raw = settle(docs.mapInArrow(tidied(_signatures), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sig array<long>"), "minhash")
     real = F.col("doc_id").isNotNull() & F.col("f1").isNotNull()
     classes = raw.where(real).groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     keys = ["f1", "f2", "n_shingles"]

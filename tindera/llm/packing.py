@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .arrowtext import batch
+from .arrowtext import batch, tidied
 from .shared import settle
 
 CAPACITY = 1024
@@ -64,7 +64,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
         raise ValueError(f"unknown payload {payload!r}")
     kind = "array<int>" if payload == "ids" else "long"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_pieces(tokenizer_path, capacity, end_id, payload), f"doc_id long, piece int, start long, length long, {payload} {kind}")
+    return docs.mapInArrow(tidied(_pieces(tokenizer_path, capacity, end_id, payload)), f"doc_id long, piece int, start long, length long, {payload} {kind}")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -167,7 +167,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     pieces = pieces.select(*[F.col(c).cast("long").alias(c) if c == "length" else F.col(c) for c in names])
     kept = StructType(list(pieces.schema))
     numbered = StructType(list(kept)).add("__part", IntegerType()).add("__rank", LongType())
-    ranked = settle(pieces.mapInArrow(_numbered(names, to_arrow_schema(numbered)), numbered), "pieces")
+    ranked = settle(pieces.mapInArrow(tidied(_numbered(names, to_arrow_schema(numbered))), numbered), "pieces")
     counts = ranked.groupBy("length", "__part").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
@@ -177,4 +177,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     segments = spark.sparkContext.broadcast(plan(histogram, capacity))
     placed = ranked.join(bases, ["length", "__part"]).withColumn("__rank", F.col("__rank") + F.col("__base")).select(*names, "__rank")
     done = StructType(list(kept)).add("sequence_id", LongType()).add("offset", LongType())
-    return placed.mapInArrow(_slots(segments, names, to_arrow_schema(done)), done)
+    return placed.mapInArrow(tidied(_slots(segments, names, to_arrow_schema(done))), done)

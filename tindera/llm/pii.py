@@ -14,13 +14,11 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from .arrowtext import ALNUM, Words, batch, slices, utf8, word_hashes
+from .arrowtext import ALNUM, Words, batch, slices, tidied, utf8, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -311,7 +309,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     doc_id stays null; repeated rows get equal results.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.mapInArrow(tidied(_find), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redacted(text: str, number: bool | None = None, dots: bool | None = None) -> str:
@@ -330,8 +328,14 @@ def redacted(text: str, number: bool | None = None, dots: bool | None = None) ->
     return "".join(out) + text[at:] if out else text
 
 
-@F.pandas_udf(StringType())
-def redact(texts: pd.Series) -> pd.Series:
-    """Column function: ``redacted`` of every text; null stays null."""
-    flags = hints(pa.array(texts, pa.string()))
-    return pd.Series([None if t is None else redacted(t, n, d) for t, n, d in zip(texts, *flags)], dtype=object)
+def redact(docs: DataFrame) -> DataFrame:
+    """The documents with their texts redacted, all columns; a null text stays null."""
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(place)
+            new = [None if t is None else redacted(t, n, d) for t, n, d in zip((x.as_py() for x in texts), *hints(texts))]
+            yield b.set_column(place, b.schema.field(place), pa.array(new, texts.type))
+
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontaminate, minhash, ngram_lm, packing, pii, token_counts, toxicity, url_filter, warc
-from .shared import scratch_path, table
+from .shared import bound_batches, scratch_path, table
 
 #: Where the tokenizer's file is; a parameter, never copied into the repository.
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,8 +73,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def _bounded(f):
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op5_decontamination, op6_nearest_neighbours, op7_pii, op8_warc, op9_toxicity, op10_token_counts)
+    f.__name__: _bounded(f) for f in (op1_lm_scoring, op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op5_decontamination, op6_nearest_neighbours, op7_pii, op8_warc, op9_toxicity, op10_token_counts)
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)

@@ -54,6 +54,17 @@ def clear_scratch(spark: SparkSession) -> None:
     delete_path(spark, f"{scratch_root(spark)}/tindera")
 
 
+#: Bytes and rows in an Arrow batch at most: what a worker holds at once.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that long texts don't fill a worker; only where the session hasn't set its own."""
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .arrowtext import batch
+from .arrowtext import batch, tidied
 from .shared import settle
 
 #: Pre-tokens whose counts are broadcast at most: 12 bytes each, so 48 MB.
@@ -55,9 +55,9 @@ def _piece_counts(path: str):
 
 def pretoken_table(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(hash, n): every distinct pre-token of the texts and its number of pieces."""
-    words = docs.select("text").mapInArrow(_distinct_pretokens(tokenizer_path), "hash long, pretoken string")
+    words = docs.select("text").mapInArrow(tidied(_distinct_pretokens(tokenizer_path)), "hash long, pretoken string")
     words = words.groupBy("hash").agg(F.min("pretoken").alias("pretoken"))
-    return words.mapInArrow(_piece_counts(tokenizer_path), "hash long, n int")
+    return words.mapInArrow(tidied(_piece_counts(tokenizer_path)), "hash long, n int")
 
 
 def _counts_by_broadcast(path: str, known):
@@ -130,8 +130,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, broadcast_pretokens: int
         hashes = rows["hash"].to_numpy().view(np.uint64)
         order = np.argsort(hashes)
         sent = spark.sparkContext.broadcast((hashes[order], rows["n"].to_numpy().astype(np.int32)[order]))
-        return docs.mapInArrow(_counts_by_broadcast(tokenizer_path, sent), "doc_id long, n_bytes long, n_tokens long")
-    parts = docs.mapInArrow(_frequencies(tokenizer_path), "row long, doc_id long, n_bytes long, whole long, hash long, freq int")
+        return docs.mapInArrow(tidied(_counts_by_broadcast(tokenizer_path, sent)), "doc_id long, n_bytes long, n_tokens long")
+    parts = docs.mapInArrow(tidied(_frequencies(tokenizer_path)), "row long, doc_id long, n_bytes long, whole long, hash long, freq int")
     joined = parts.join(known, "hash", "left")
     return (
         joined.groupBy("row", "doc_id", "n_bytes", "whole")

@@ -9,13 +9,11 @@ punished.  The model can't then take the mere mention of a group for toxicity.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from .arrowtext import ALNUM, Words, batch, mix, slices, utf8, word_hashes
+from .arrowtext import ALNUM, Words, batch, mix, slices, tidied, utf8, word_hashes
 
 #: Labelled rows that the model is fitted on at most: those with the least hash of their doc_id.
 SAMPLE_ROWS = 20_000
@@ -243,14 +241,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, features: i
     if not ones or not zeros:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((ones + 1) / (zeros + 1))))
     labelled = labelled.select("text", F.when(F.col("label") > 0, 1).otherwise(0).alias("label"))
-    counts = labelled.mapInArrow(_label_counts, "feature long, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    counts = labelled.mapInArrow(tidied(_label_counts), "feature long, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     share = (F.col("ones") + F.col("zeros")) / F.lit(float(ones + zeros))
     apart = F.abs(F.col("ones") / F.lit(float(ones)) - F.col("zeros") / F.lit(float(zeros))) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)))
     named = np.unique(np.array([h for part in _word_features([w for pair in terms for w in pair]) for h in part], np.uint64)).view(np.int64).tolist()
     counts = counts.where("ones + zeros > 1").orderBy(F.col("feature").isin(named).desc(), apart.desc(), "feature")
     names = np.sort(counts.limit(features + len(named)).select("feature").toArrow()["feature"].to_numpy().view(np.uint64))
     chosen = spark.sparkContext.broadcast(names)
-    rows_ = labelled.mapInArrow(_examples(chosen, terms), "label int, has array<int>, swapped array<int>").toArrow()
+    rows_ = labelled.mapInArrow(tidied(_examples(chosen, terms)), "label int, has array<int>, swapped array<int>").toArrow()
     has = _lists(rows_["has"])
     swapped = [np.array(x) if x is not None else None for x in rows_["swapped"].to_pylist()]
     weights, bias = fit_weights(rows_["label"].to_numpy(), has, swapped, len(names), counterfactual, l1)
@@ -288,15 +286,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = docs.mapInArrow(_score(sent), "doc_id long, score double")
+    scored = docs.mapInArrow(tidied(_score(sent)), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
-def flags(model: Model):
-    """Column function: is a text toxic?"""
-    def run(texts: pd.Series) -> pd.Series:
-        data, offsets = utf8(pa.array(texts, pa.string()))
-        found = [model.scores(data, offsets[lo : hi + 1]) for lo, hi in slices(offsets)]
-        return pd.Series(np.concatenate([np.zeros(0), *found]) >= THRESHOLD)
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that the model doesn't call toxic, all columns; a null text is scored as an empty one."""
+    sent, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
-    return F.pandas_udf(run, BooleanType())
+    def run(batches):
+        for b in batches:
+            data, offsets = utf8(b.column(place))
+            found = [sent.value.scores(data, offsets[lo : hi + 1]) for lo, hi in slices(offsets)]
+            yield b.filter(pa.array(np.concatenate([np.zeros(0), *found]) < THRESHOLD))
+
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowtext import batch
+from .arrowtext import batch, tidied
 
 #: Payload bytes in a shard, about, and compressed bytes after which a file rolls.
 SHARD_BYTES = 32_000_000
@@ -193,7 +193,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
     rows = full.unionByName(revisits).withColumn("cell", cell).join(F.broadcast(shards), "cell")
     dealt = rows.repartition(shard + 1, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
     dealt = dealt.select("shard", "page_id", "kind", "sha", "leader", "url", "html")
-    written = dealt.mapInArrow(_write(folder, roll_bytes, date), "temporary string, name string, records long, bytes long, sha256 string").collect()
+    written = dealt.mapInArrow(tidied(_write(folder, roll_bytes, date)), "temporary string, name string, records long, bytes long, sha256 string").collect()
     manifest = [{k: r[k] for k in ("name", "records", "bytes", "sha256")} for r in sorted(written, key=lambda r: r["name"])]
     for r in written:
         if not fs.rename(at(r["temporary"]), at(r["name"])):
@@ -271,4 +271,4 @@ def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFra
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return files.mapInArrow(_read(payload), kinds + (", payload binary" if payload else ""))
+    return files.mapInArrow(tidied(_read(payload)), kinds + (", payload binary" if payload else ""))
