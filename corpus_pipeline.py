@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tindera.llm import decontaminate, minhash, packing, pii, toxicity
-from tindera.llm.shared import settle, table, without
+from tindera.llm.shared import bound_batches, settle, table, without
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go; clean and unlabelled ones are scored alike."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.where(~toxicity.flags(model)(F.col("text")))
+    bound_batches(spark)
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data, plain or disguised, is replaced by its kind; n_chars follows the text."""
-    redacted = docs.withColumn("text", pii.redact(F.col("text")))
-    return redacted.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    return pii.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
