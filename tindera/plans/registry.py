@@ -396,13 +396,13 @@ _REVIEW_COLUMNS = ("review_key", "rating", "sentiment", "risk_detected", "raw_js
 
 
 @query(
-    """WITH o AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_extendedprice::BIGINT AS review_key, l_quantity::INT AS rating, l_returnflag AS sentiment, 0 AS risk_detected, 'a' AS raw_json FROM lineitem WHERE l_linenumber <= 3),
-    n AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_extendedprice::BIGINT AS review_key, -1 AS rating, CASE WHEN l_suppkey % 2 = 0 THEN l_linestatus END AS sentiment, 1 AS risk_detected, 'b' AS raw_json FROM lineitem WHERE l_linenumber >= 3)
+    """WITH o AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || floor(l_extendedprice)::BIGINT AS review_key, l_quantity::INT AS rating, l_returnflag AS sentiment, 0 AS risk_detected, 'a' AS raw_json FROM lineitem WHERE l_linenumber <= 3),
+    n AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || floor(l_extendedprice)::BIGINT AS review_key, -1 AS rating, CASE WHEN l_suppkey % 2 = 0 THEN l_linestatus END AS sentiment, 1 AS risk_detected, 'b' AS raw_json FROM lineitem WHERE l_linenumber >= 3)
     SELECT coalesce(o.review_key, n.review_key) AS review_key, CASE WHEN o.review_key IS NOT NULL THEN o.rating ELSE n.rating END AS rating,
       CASE WHEN n.review_key IS NOT NULL THEN n.sentiment ELSE o.sentiment END AS sentiment, coalesce(n.risk_detected, o.risk_detected) AS risk_detected, coalesce(n.raw_json, o.raw_json) AS raw_json FROM o FULL JOIN n ON o.review_key = n.review_key"""
 )
 def review_upsert(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").withColumn("review_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("l_extendedprice").cast("long")))
+    lines = table(spark, sf_dir, "lineitem").withColumn("review_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor("l_extendedprice")))
     old = lines.where("l_linenumber <= 3").select("review_key", F.col("l_quantity").cast("int").alias("rating"), F.col("l_returnflag").alias("sentiment"), F.lit(0).alias("risk_detected"), F.lit("a").alias("raw_json"))
     new = lines.where("l_linenumber >= 3").select("review_key", F.lit(-1).alias("rating"), F.when(F.col("l_suppkey") % 2 == 0, F.col("l_linestatus")).alias("sentiment"), F.lit(1).alias("risk_detected"), F.lit("b").alias("raw_json"), F.col("l_suppkey").alias("ordinal"))
     return store.upsert_reviews(old, new)
