@@ -191,7 +191,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
     revisits = slim.join(leaders, "sha").where("page_id != leader").select("page_id", F.lit(0).alias("kind"), "sha", "leader", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     full = pages.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("leader"), "url", "html")
     rows = full.unionByName(revisits).withColumn("cell", cell).join(F.broadcast(shards), "cell")
-    dealt = rows.repartition(shard + 1, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
+    dealt = rows.repartitionById(shard + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "url", "html")
     dealt = dealt.select("shard", "page_id", "kind", "sha", "leader", "url", "html")
     written = dealt.mapInArrow(tidied(_write(folder, roll_bytes, date)), "temporary string, name string, records long, bytes long, sha256 string").collect()
     manifest = [{k: r[k] for k in ("name", "records", "bytes", "sha256")} for r in sorted(written, key=lambda r: r["name"])]
