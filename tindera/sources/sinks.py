@@ -49,7 +49,7 @@ def write_analysed(rows: DataFrame, source: str, target: str | None = None, kind
     if target.rstrip("/") == source.rstrip("/"):
         raise ValueError("the output would replace the input")
     writer = rows.write.mode("errorifexists")
-    writer.json(target) if kind == "json" else writer.option("header", True).csv(target)
+    writer.json(target) if kind == "json" else writer.option("header", True).option("escape", '"').csv(target)
     return target
 
 
