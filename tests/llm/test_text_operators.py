@@ -177,7 +177,7 @@ def test_decontamination(spark, docs, texts):
         want[(i, len(w), len(hit), len(named), len(hit) > 0 and 20 * len(hit) >= len(w))] += 1
     columns = ("n_words", "n_hit", "n_items", "contaminated")
     assert by_row(decontaminate.contamination(docs, benchmark), *columns) == want
-    blocks = decontaminate.find_windows(docs, benchmark, block_chars=150).mapInArrow(decontaminate._digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    blocks = decontaminate.digest(decontaminate.find_windows(docs, benchmark, block_chars=150))
     assert by_row(blocks, *columns) == want
     assert decontaminate.contamination(docs, benchmark.limit(0)).where("n_hit > 0").count() == 0
 

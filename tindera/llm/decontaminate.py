@@ -8,8 +8,6 @@ rest are verified word by word.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -197,17 +195,15 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     return rows
 
 
-def _digest(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
-    for b in batches:
-        n_words = b.column(1).to_pylist()
-        hits = [sum(s[1::2]) - sum(s[::2]) if s else 0 for s in b.column(2).to_pylist()]
-        items = [x or [] for x in b.column(3).to_pylist()]
-        sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-        bad = [h > 0 and 20 * h >= n for h, n in zip(hits, n_words)]
-        yield batch({"doc_id": b.column(0), "n_words": n_words, "n_hit": hits, "n_items": [len(x) for x in items], "items_sha256": sha, "contaminated": bad}, schema)
+def digest(found: DataFrame) -> DataFrame:
+    """Counts of words, hit words and items, a digest of the items (as text, in order), and the verdict: five per cent of the words."""
+    spans, items = F.coalesce("spans", F.array().cast("array<long>")), F.coalesce("items", F.array().cast("array<long>"))
+    hits = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda s, x: s + x)
+    names = F.array_join(F.array_sort(F.transform(items, lambda x: x.cast("string"))), ",")
+    out = found.select("doc_id", "n_words", hits.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document row: counts of words, hit words and items, a digest of the items, and the verdict (5 per cent of the words)."""
-    return find_windows(docs, benchmark, window).mapInArrow(tidied(_digest), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    """One row per document row: ``find_windows`` summed up by ``digest``."""
+    return digest(find_windows(docs, benchmark, window))

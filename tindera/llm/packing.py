@@ -167,7 +167,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     pieces = pieces.select(*[F.col(c).cast("long").alias(c) if c == "length" else F.col(c) for c in names])
     kept = StructType(list(pieces.schema))
     numbered = StructType(list(kept)).add("__part", IntegerType()).add("__rank", LongType())
-    ranked = settle(pieces.mapInArrow(tidied(_numbered(names, to_arrow_schema(numbered))), numbered), "pieces")
+    # A written table is read in the same partitions and order every time, so ranks can be made again.
+    ranked = settle(pieces, "pieces").mapInArrow(tidied(_numbered(names, to_arrow_schema(numbered))), numbered)
     counts = ranked.groupBy("length", "__part").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
