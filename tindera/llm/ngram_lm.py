@@ -22,7 +22,7 @@ ALPHA = 0.4
 #: What counts for a word that no other document has.
 UNSEEN = 0.5
 #: Characters of text in a bucket, about, and behind a partition of the count tables.
-BUCKET_CHARS = 12_000_000
+BUCKET_CHARS = 8_000_000
 
 _REQUEST = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("size", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 _ANSWER = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("size", pa.int32()), ("totals", pa.binary()), ("sum", pa.int64())])
