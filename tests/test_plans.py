@@ -18,6 +18,9 @@ def test_product_file(spark, tmp_path):
     s = rows["a"].sentiment_summary
     assert (s.review_count, s.duplicate_review_count, s.risk_score, s.sentiment_counts.positive) == (2, 1, 50.0, 1)
     assert [c.duplicate_of for c in rows["a"].comments] == [None, 0, None]
+    cache = analyse.AnalysisCache(TextModel())
+    once = cache.get(spark, str(tmp_path / "in.json"), 1)
+    assert once.count() == 2 and cache.get(spark, str(tmp_path / "in.json"), 1) is once and cache.get(spark, str(tmp_path / "in.json"), 2) is not once
     assert rows["b"].sentiment_summary.review_count == 0 and rows["b"].comments == []
     with pytest.raises(Exception, match="(?i)exist"):
         analyse.analyse_file(spark, str(tmp_path / "in.json"), TextModel())

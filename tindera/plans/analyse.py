@@ -56,3 +56,20 @@ def analyse_file(spark: SparkSession, path: str, model: TextModel, target: str |
     products = sources.typed_products(sources.read_products(spark, path)).drop("raw")
     products = reviews.last_of(products.where(F.coalesce(F.col("link"), F.lit("")) != ""), "link")
     return sinks.write_analysed(analyse_products(products, model), path, target, "json")
+
+
+class AnalysisCache:
+    """Analyses by file and time of its last change: an unchanged file is not analysed again."""
+
+    def __init__(self, model: TextModel) -> None:
+        self.model, self._known = model, {}
+
+    def get(self, spark: SparkSession, path: str, modified) -> DataFrame:
+        key = (path, modified)
+        if key not in self._known:
+            for old in [k for k in self._known if k[0] == path]:
+                self._known.pop(old).unpersist()
+            products = sources.typed_products(sources.read_products(spark, path)).drop("raw")
+            products = reviews.last_of(products.where(F.coalesce(F.col("link"), F.lit("")) != ""), "link")
+            self._known[key] = analyse_products(products, self.model).cache()
+        return self._known[key]

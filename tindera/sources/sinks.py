@@ -72,3 +72,8 @@ def snapshot(spark: SparkSession, pieces: Iterator[bytes], path: str) -> None:
 def save_discovery_checkpoint(spark: SparkSession, path: str, source: dict, completed_pages: dict, products: int) -> None:
     state = {"version": 1, "source": source, "completed_pages": completed_pages, "product_count": products}
     snapshot(spark, iter([json.dumps(state, ensure_ascii=False, indent=2).encode()]), path)
+
+
+def output_path(folder: str, market: str, words_slug: str) -> str:
+    """Where the result of a search goes."""
+    return f"{folder.rstrip('/')}/{market}_{words_slug or 'search'}.json"
