@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .arrowtext import NOT_SPACE, Words, batch, ngrams, pack_planes, slices, unpack_planes, utf8
 
 ORDER = 2
+#: The order of the query that takes longer contexts as well.
+LONG_ORDER = 3
 ALPHA = 0.4
 #: What counts for a word that no other document has.
 UNSEEN = 0.5
