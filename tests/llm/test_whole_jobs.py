@@ -2,11 +2,15 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
+import numpy as np
+import public_tokenizers
 import pytest
 
 queries = pytest.importorskip("tindera.llm.queries")
+from tindera.llm import bpe, packing  # noqa: E402
 
 
 def test_trigrams_count(spark, tmp_path):
@@ -27,3 +31,23 @@ def test_trigrams_count(spark, tmp_path):
     found = queries.QUERIES["op1_lm_scoring_order3"](spark, str(tmp_path)).collect()
     assert {r.doc_id: (r.n_words, r.n_backoff) for r in found} == {i: v[:2] for i, v in want.items()}
     assert all(abs(r.log_score - want[r.doc_id][2]) < 1e-3 for r in found)
+
+
+def test_token_ids_pass_through_packing(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["Haus", "the", "données", "x1"]) for _ in range(n)) for n in (0, 1, 30, 400, 3000)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    library, want = bpe.pieces_of(public_tokenizers.path("byte_bpe_50k.json")).library, {}
+    for i, t in enumerate(texts):
+        ids = [*library(t or "").tolist(), 2]
+        want |= {(i, k): ids[s : s + n] for k, (s, n) in enumerate(packing.cut_points(len(ids), 1024))}
+    rows = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect()
+    assert len(rows) == len(want) and {(r.doc_id, r.piece): list(r.ids) for r in rows} == want
+    seen, pack = [], packing.pack
+    monkeypatch.setattr(packing, "pack", lambda p, *a: seen.append(p.columns) or pack(p, *a))
+    rows = queries.QUERIES["op3_best_fit_packing"](spark, str(tmp_path))
+    assert "ids" in seen[0] and rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert {(r.doc_id, r.piece): r.ids_crc32 for r in rows.collect()} == {k: zlib.crc32(np.array(v, "<u4").tobytes()) for k, v in want.items()}

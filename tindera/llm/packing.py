@@ -67,6 +67,26 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     return docs.mapInArrow(tidied(_pieces(tokenizer_path, capacity, end_id, payload)), f"doc_id long, piece int, start long, length long, {payload} {kind}")
 
 
+def _checksums(names: list[str], schema: pa.Schema):
+    def run(batches):
+        for b in batches:
+            ids = b.column(b.schema.get_field_index("ids"))
+            first, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
+            crc = [zlib.crc32(values[lo:hi].tobytes()) for lo, hi in zip(first[:-1], first[1:])]
+            yield batch({n: pa.array(crc, pa.int64()) if n == "ids_crc32" else b.column(b.schema.get_field_index(n)) for n in names}, schema)
+
+    return run
+
+
+def checksums(packed: DataFrame) -> DataFrame:
+    """Rows with ``ids`` (never null), these replaced by ``ids_crc32``, their checksum as little-endian unsigned 32-bit numbers."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    out = StructType([StructField("ids_crc32", LongType()) if f.name == "ids" else f for f in packed.schema])
+    return packed.mapInArrow(tidied(_checksums(out.names, to_arrow_schema(out))), out)
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     """Best fit over counts, longest first.
 

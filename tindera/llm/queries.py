@@ -42,8 +42,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.tokenize_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), payload="ids_crc32")
-    return packing.pack(pieces)
+    pieces = packing.tokenize_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return packing.checksums(packing.pack(pieces))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
