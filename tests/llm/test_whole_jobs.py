@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 
 queries = pytest.importorskip("tindera.llm.queries")
-from tindera.llm import bpe, packing  # noqa: E402
+from tindera.llm import bpe, minhash, packing  # noqa: E402
 
 
 def test_trigrams_count(spark, tmp_path):
@@ -51,3 +51,31 @@ def test_token_ids_pass_through_packing(spark, tmp_path, monkeypatch):
     rows = queries.QUERIES["op3_best_fit_packing"](spark, str(tmp_path))
     assert "ids" in seen[0] and rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert {(r.doc_id, r.piece): r.ids_crc32 for r in rows.collect()} == {k: zlib.crc32(np.array(v, "<u4").tobytes()) for k, v in want.items()}
+
+
+def test_clashing_ids_lose_no_text(spark):
+    rnd = random.Random(6)
+    a, b, c, d, e = (" ".join(f"{x}{rnd.randint(0, 999)}" for _ in range(60)) for x in "abcde")
+    rows = [(3, a), (5, a), (5, b), (7, b + " end"), (8, c), (8, d), (2, d + " end"), (9, e), (9, e + " end"), (9, e)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = Counter((r.doc_id, r.component_id) for r in minhash.near_duplicates(frame).collect())
+    assert found == Counter([(3, 3), (5, 3), (5, 5), (7, 5), (8, 8), (8, 2), (2, 2), (9, 9), (9, 9), (9, 9)])
+    left = [(r.doc_id, r.text) for r in minhash.drop_duplicates(frame).collect()]
+    assert {x for x in left if x[0] != 9} == {(3, a), (5, b), (8, c), (2, d + " end")} and len(left) == 5
+
+
+def test_open_buckets_sign_every_text_of_an_id(spark):
+    """A text in an open bucket has its own signature, though others share its id."""
+    rnd = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for k in rnd.sample(range(120), rnd.randint(0, 14)):
+            own[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(own)))
+    alone = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    other = [(i, " ".join(f"y{i}_{k}" for k in range(40))) for i, _ in rows]
+    found = minhash.near_duplicates(spark.createDataFrame(rows + other, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in found if r.n_shingles > 40} == set(alone.items())
+    assert all(r.component_id == r.doc_id and r.kept for r in found if r.n_shingles < 40)

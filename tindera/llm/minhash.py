@@ -65,7 +65,7 @@ def _fingerprint(values: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
 
 
 _SALT = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(1))
@@ -81,11 +81,11 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 def _signatures(batches):
     for b in batches:
-        data, offsets = utf8(b.column(1))
-        ids = b.column(0)
+        data, offsets = utf8(b.column(2))
+        rows, ids = b.column(0), b.column(1)
         for lo, hi in slices(offsets):
             words = Words(data, offsets[lo : hi + 1], NOT_SPACE)
-            out = {k: [] for k in _SIGNED.names[1:]}
+            out = {k: [] for k in _SIGNED.names[2:]}
             for values in shingle_sets(words, SHINGLE):
                 out["n_shingles"].append(len(values))
                 if not len(values):
@@ -96,7 +96,7 @@ def _signatures(batches):
                 low = minima(values)
                 for k, v in zip(("f1", "f2", "keys", "sig"), (one, two, band_keys(low).view(np.int64), pack_bits(low).view(np.int64))):
                     out[k].append(v)
-            yield batch({"doc_id": ids[lo:hi]} | out, _SIGNED)
+            yield batch({"key": rows[lo:hi], "doc_id": ids[lo:hi]} | out, _SIGNED)
 
 
 def _fine(batches):
@@ -233,9 +233,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     ``doc_id``, ``n_shingles``, ``component_id`` (the smallest doc_id reachable), ``kept``.
     A text that is null or has no words is linked with nothing.  A row with a null doc_id is
     linked with nothing, has a null component and is kept.  Equal rows get equal results.
-    Rows that share a doc_id but not a text each have the class of their own text.
+    Rows that share a doc_id but not a text each have the class of their own text; of those that
+    share both, one text is kept.
 
-    Rows with equal sets are one class, represented by its smallest doc_id.  Only
+    Rows with equal sets are one class, represented by its smallest doc_id (and the key of that row,
+    a hash of doc_id and text, by which representatives are told apart).  Only
     representatives are compared.  In every band bucket, first all members are checked
     against the smallest one; most buckets are then one component and are done.  In the
     others, members of different components are compared on finer signatures, in blocks, and
@@ -243,23 +245,36 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     square of such a bucket; its rows do not.)  At 32 bands of 4 hashes a pair at the threshold shares no
     bucket with a probability of 5e-6.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    raw = settle(docs.mapInArrow(tidied(_signatures), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sig array<long>"), "minhash")
+    return _classes(_keyed(docs), threshold).drop("key")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(F.xxhash64(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
+
+
+def _classes(docs: DataFrame, threshold: int) -> DataFrame:
+    """As ``near_duplicates``, with the key of each row."""
+    raw = settle(docs.mapInArrow(tidied(_signatures), "key long, doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sig array<long>"), "minhash")
+    texts = docs.where("doc_id is not null").select(F.col("key").alias("doc_id"), "text")
     real = F.col("doc_id").isNotNull() & F.col("f1").isNotNull()
-    classes = raw.where(real).groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     keys = ["f1", "f2", "n_shingles"]
-    is_rep = F.col("doc_id") == F.col("rep")
+    classes = raw.where(real).groupBy(*keys).agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    classes = classes.select(*keys, F.col("first.doc_id").alias("least"), F.col("first.key").alias("rep"))
+    is_rep = F.col("doc_id").isNotNull() & (F.col("key") == F.col("rep"))
     rows = raw.join(classes, keys, "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"),
+        "key", "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "key")).alias("rep"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("least"),
         F.when(is_rep, F.col("keys")).alias("keys"), F.when(is_rep, F.col("sig")).alias("sig"),
     )
     rows = settle(rows, "minhash-classes")
-    reps = rows.where("keys is not null").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "keys", "sig")
+    reps = rows.where("keys is not null").select(F.col("key").alias("id"), F.col("n_shingles").alias("n"), "least", "keys", "sig")
 
-    bands = reps.select("id", F.explode("keys").alias("key"))
-    shared = settle(bands.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("m")).where("m > 1").select("key", "centre"), "minhash-buckets")
-    members = settle(bands.join(shared, "key"), "minhash-members")
-    stars = members.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    bands = reps.select("id", "least", F.explode("keys").alias("key"))
+    shared = settle(bands.groupBy("key").agg(F.min_by("id", "least").alias("centre"), F.count("*").alias("m")).where("m > 1").select("key", "centre"), "minhash-buckets")
+    members = settle(bands.drop("least").join(shared, "key"), "minhash-members")
+    # The smallest doc_id is often the text that the others were copied from, so buckets share it as their centre.
+    stars = members.where("id != centre").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
     signed = reps.select("id", "n", "sig")
 
     def promising(pairs: DataFrame) -> DataFrame:
@@ -268,34 +283,40 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         return pairs.where(_fits(threshold)).select("a", "b").distinct()
 
     first = settle(promising(stars), "minhash-stars")
-    links = settle(confirmed(first, docs, threshold), "minhash-links")
+    links = settle(confirmed(first, texts, threshold), "minhash-links")
     named = connected_components(links)
 
     placed = members.join(named.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    rest = open_pairs(placed.join(mixed, "key", "left_semi"), docs, threshold).distinct().join(first, ["a", "b"], "left_anti")
+    rest = open_pairs(placed.join(mixed, "key", "left_semi"), texts, threshold).distinct().join(first, ["a", "b"], "left_anti")
     rest = settle(rest, "minhash-rest")
-    more = settle(confirmed(rest, docs, threshold), "minhash-links")
+    more = settle(confirmed(rest, texts, threshold), "minhash-links")
     if not more.isEmpty():
         named = connected_components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    done = rows.select("doc_id", "n_shingles", "rep").join(named.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep")
-    return done.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # A component is named by its smallest doc_id, and of the rows with that one it keeps the least key.
+    linked = rows.where("keys is not null").select(F.col("key").alias("node"), "least").join(named, "node")
+    heads = linked.groupBy("component").agg(F.min(F.struct("least", "node")).alias("head"))
+    heads = named.join(heads, "component").select(F.col("node").alias("rep"), F.col("head.least").alias("head_id"), F.col("head.node").alias("head"))
+    done = rows.select("key", "doc_id", "n_shingles", "rep", "least").join(heads, "rep", "left")
+    kept = F.col("doc_id").isNull() | (F.col("key") == F.coalesce("head", "rep"))
+    return done.select("key", "doc_id", "n_shingles", F.coalesce("head_id", "least").alias("component_id"), kept.alias("kept"))
 
 
 def drop_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The documents without near-duplicates, all columns.
 
-    Of each class the row with the smallest doc_id stays.  Of rows that are equal in doc_id and
+    Of each class the row with the smallest doc_id stays; rows are named by doc_id and text, so another
+    text under the same doc_id is not touched.  Of rows that are equal in doc_id and
     text one stays.  Rows without words or without a doc_id all stay.
     """
-    found = settle(near_duplicates(docs, threshold), "minhash-result")
-    left = without(docs, found.where("not kept").select("doc_id").distinct(), "doc_id")
-    twice = found.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    found = settle(_classes(_keyed(docs), threshold), "minhash-result")
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    left = without(keyed, found.where("not kept").select(F.col("key").alias("__key")).distinct(), "__key")
+    twice = found.where("kept and doc_id is not null and n_shingles > 0").groupBy(F.col("key").alias("__key")).count().where("count > 1").select("__key")
     twice = settle(twice, "minhash-repeated")
-    if twice.isEmpty():
-        return left
-    return without(left, twice, "doc_id").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    if not twice.isEmpty():
+        left = without(left, twice, "__key").unionByName(left.join(twice, "__key", "left_semi").dropDuplicates(["__key"]))
+    return left.select(*docs.columns)
 
 
 def _fits(threshold: int):
