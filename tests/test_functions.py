@@ -1,5 +1,7 @@
 """Scalar functions against known values."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def values(spark, column, inputs, kind="string"):
         (T.image_url, {"//a/b.png": "https://a/b.png", "http://x": "http://x", "data:x": ""}),
         (T.looks_like_date, {"2026-06-19 09:14": True, "13 Aug 2026": True, "Silver": False, None: False}),
         (T.repair, {"â‚±44.00": "₱44.00", "😊 ok": "😊 ok", None: "", "a\xa0 b": "a b"}),
-        (T.fingerprint, {"  MAGANDA at sulit!!!  ": "maganda at sulit", " 😊❤️ ": "😊❤️", "hnd ok": "hindi ok", None: "", "!!": ""}),
+        (T.fingerprint, {"  LAMP, at Kahon!!!  ": "lamp at kahon", " 💙⭐️ ": "💙⭐️", "hnd ok": "hindi ok", None: "", "!!": "", "Ｆｕｌｌ straße": "full strasse", "a`b c_d": "a b c_d"}),
         (U.marketplace_or, {"https://www.lazada.com.ph/x": "lazada", "https://shopee.ph": "shopee", "http://m.temu.com/a?b": "temu", "https://example.com": None, "laptop": "shopee", "https://notshopee.ph.example.com/": None}),
         (U.shopee_product_url, {"https://shopee.ph/A-i.1.2?x=1": "https://shopee.ph/A-i.1.2", "/product/3/4": "https://shopee.ph/product/3/4", "https://other.ph/A-i.1.2": "", "": "", None: ""}),
         (U.lazada_product_url, {"//www.lazada.com.ph//products/a.html?b": "https://www.lazada.com.ph/products/a.html", "https://lazada.com.ph/x.html": ""}),
@@ -60,10 +62,15 @@ def test_structs(spark):
 
 
 def test_reliability_and_rounding(spark):
-    frame = spark.createDataFrame([(61.0, None), (20.0, 0.75), (0.3, 1.0), (2.675, 2.0)], "a double, b double")
-    got = [r.r for r in frame.select(N.reliability(F.col("a"), F.col("b")).alias("r")).limit(2).collect()]
-    assert [round(x, 6) for x in got] == [39.0, 55.0]
-    assert frame.where("a = 2.675").select(N.round_half_even("a", F.lit(2))).first()[0] == 2.67
+    frame = spark.createDataFrame([(61.0, None), (20.0, 0.75), (33.3, 75.0), (0.3, 0.1)], "a double, b double")
+    assert [r.r for r in frame.select(N.reliability(F.col("a"), F.col("b")).alias("r")).collect()] == [39.0, 55.0, 41.7, 0.0]
+    rnd = random.Random(4)
+    values = [2.675, 0.05, 0.125, 0.375, -2.5, -0.125, 1e-9, 0.0, 28.05, 41.65, *(rnd.uniform(-200, 200) for _ in range(2000)), *(rnd.randint(-4000, 4000) / 32 for _ in range(500)), *(round(rnd.uniform(0, 9), 5) for _ in range(1000))]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", "v", *[N.round_half_even(F.col("v"), d).alias(f"d{d}") for d in (0, 1, 2, 4)]).collect()
+    for d in (0, 1, 2, 4):
+        assert [r[f"d{d}"] for r in table] == [round(r.v, d) for r in table]
+    odd = spark.sql("select double('NaN') a, double(null) b").select(N.round_half_even(F.col("a"), 1).alias("x"), N.round_half_even(F.col("b"), 1).alias("y")).first()
+    assert (odd.x, odd.y) == (None, None)
 
 
 def test_lists(spark):
@@ -79,21 +86,26 @@ def test_marketplace_raises(spark):
 
 
 def test_highlight_and_keys(spark):
-    assert T.highlighted("<b> Peke at super peke", ["peke", "super peke"]) == "&lt;b&gt; <mark>Peke</mark> at <mark>super peke</mark>"
+    assert T.highlighted("<b> Peke at super peke", ["peke", "super peke"]) == "&lt;b&gt; <mark>Peke</mark> at <mark>super <mark>peke</mark></mark>"
+    assert T.highlighted("peking", ["PEK"]) == "<mark>pek</mark>ing" and T.highlighted(None, ["x", ""]) == "No written review"
     keys = spark.sql("select 'a' a, null b, '' c").select(T.review_key(F.col("a"), F.col("b")).alias("x"), T.review_key(F.col("a"), F.col("c")).alias("y"), T.review_key(F.lit(""), F.col("a")).alias("z")).first()
     assert keys.x == keys.y != keys.z
 
 
-def test_native_fingerprint_agrees(spark):
-    some = ["Hello,  World!", "hndi ok", "émile 😊!", "a_b-c", "", "it’s"]
-    assert values(spark, T.native_fingerprint, some) == values(spark, T.fingerprint, some)
+def test_fingerprint_keys(spark):
+    some = ["Kahon, buo!", "ＫＡＨＯＮ　buo", "kahon hnd buo", "!!", "", None]
+    keys = values(spark, T.fingerprint_key, some)
+    assert keys[0] == keys[1] != keys[2] and keys[3:] == [None] * 3 and len(keys[0]) == T.KEY_BYTES
 
 
 def test_polarity_rules():
-    p = Polarity({"good": 1.9, "bad": -2.5})
+    p = Polarity({"good": 1.9, "bad": -2.5, "nice": 1.8})
     base = p.scores("it is good")[3]
     assert p.scores("it is not good")[3] < 0 < base
     assert p.scores("it is very good")[3] > base > p.scores("it is slightly good")[3]
     assert p.scores("it is good!!")[3] > base and p.scores("bad but good")[3] > 0 > p.scores("good but bad")[3]
     assert p.scores("nothing known") == (0.0, 1.0, 0.0, 0.0) and p.scores("") == (0.0, 0.0, 0.0, 0.0)
     assert abs(base - 0.4404) < 1e-9  # the published value of one word of valence 1.9
+    assert p.scores("(good)")[3] == p.scores("good!!!!!")[3] == 0 and p.scores('"good')[3] == base
+    assert p.scores("a kiss of death")[3] == 0 and p.scores("it is kind of good")[3] < base
+    assert p.tokens("x good, 'bad' !! it's") == ["good", "'bad'", "!!", "it's"]

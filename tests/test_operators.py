@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tindera.functions.text import fingerprint
+from tindera.functions.text import fingerprint_key
 from tindera.operators import evaluation, qualification, ranking, reviews, store, summary, views
 from tindera.operators.text_model import TextModel
 from tindera.plans import registry
@@ -21,18 +21,17 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize(
     "text,label,risks",
     [
-        ("Maganda, matibay, at sulit sa presyo!", "positive", []), ("Hindi maganda ang item.", "negative", None), ("Maganda pero mabilis masira.", "negative", ["durability"]),
-        ("Walang sira at gumagana nang maayos.", "positive", []), ("Mukhang peke at hindi original.", None, ["counterfeit"]), ("Nasira agad after two days.", "negative", ["durability"]),
-        ("bilis masira 1 week palang", "negative", ["durability"]), ("DONT BUY", "negative", None), ("Don't buy this item", "negative", None), ("sosovery dizapoytedd!!!!! 👎", "negative", None),
-        ("😊❤️", "positive", None), ("👎", "negative", None), ("Not fake. Authentic and works well.", "positive", []), ("", "neutral", []), (None, "neutral", []),
+        ("Swabe at ayos ang tunog", "positive", []), ("Hindi swabe ang takbo", "negative", []), ("Sakto sana pero madaling masira ang hawakan", "negative", ["durability"]),
+        ("Walang sira at swabe ang takip", "positive", []), ("Scam ito at replica lang", "negative", ["counterfeit"]), ("Nasira agad kahapon", "negative", ["durability"]),
+        ("DONT BUY", "negative", None), ("poor quality, no power", "negative", ["performance", "quality"]), ("😍⭐️", "positive", None), ("💔", "negative", None), ("hndi gumagana ang ilaw", "negative", ["performance"]),
+        ("Kulay asul ito", "neutral", []), ("", "neutral", []), (None, "neutral", []),
     ],
 )
 def test_text_model(text, label, risks):
     found = TextModel().analysis(text)
-    assert label is None or found["label"] == label
-    assert risks is None or found["risk"]["categories"] == risks
-    if text == "Walang sira at gumagana nang maayos.":
-        assert any(e["negated"] for e in found["risk"]["evidence"])
+    assert found["label"] == label and (risks is None or found["risk"]["categories"] == risks)
+    if text and text.startswith("Walang"):
+        assert [e["negated"] for e in found["risk"]["evidence"]] == [True]
     if not text:
         assert found["scores"]["neu"] == 1.0
     with pytest.raises(ValueError):
@@ -48,18 +47,19 @@ def test_longest_terms_win():
 
 
 def test_summary_and_duplicates(spark):
-    rows = [("p", 0, "Maganda at sulit"), ("p", 1, "  MAGANDA at sulit!!!  "), ("p", 2, "Sira agad"), ("p", 3, " !! "), ("q", 0, "Maganda at sulit"), ("q", 1, "Sira at hindi gumagana")]
+    rows = [("p", 0, "Ayos at sulit"), ("p", 1, "  AYOS at sulit!!!  "), ("p", 2, "Basag agad"), ("p", 3, " !! "), ("q", 0, "Ayos at sulit"), ("q", 1, "Basag at hindi gumagana")]
     frame = spark.createDataFrame(rows, "link string, pos int, content string")
-    marked = reviews.mark_duplicates(summary.analyse_reviews(frame, TextModel()), fingerprint(F.col("content")))
+    marked = reviews.mark_duplicates(summary.analyse_reviews(frame, TextModel()), fingerprint_key(F.col("content")))
     assert {(r.link, r.pos): r.duplicate_of for r in marked.collect() if r.is_duplicate} == {("p", 1): 0}
     out = {r.link: r for r in summary.summarise(marked, spark.createDataFrame([("p",), ("q",), ("none",)], "link string")).collect()}
-    assert (out["p"].review_count, out["p"].duplicate_review_count, out["p"].risk_review_count) == (2, 1, 1)
+    assert (out["p"].review_count, out["p"].duplicate_review_count, out["p"].risk_review_count, out["p"].all_reviews) == (2, 1, 1, 4)
     assert (out["q"].risk_review_count, out["q"].risk_score, out["q"].negative_ratio) == (1, 50.0, 0.5)
     assert (out["none"].review_count, out["none"].risk_score, out["none"].average_compound) == (0, 0.0, 0.0)
     words = {(r.link, r.term): r.n for r in summary.keyword_counts(marked).collect()}
-    assert words[("p", "sira")] == 1 and words[("q", "hindi gumagana")] == 1
+    assert words[("p", "basag")] == 1 and words[("q", "hindi gumagana")] == 1
     back = reviews.attach(spark.createDataFrame([("p", []), ("none", [])], "link string, comments array<string>"), marked.select("link", "pos", "content", "label"))
     assert {r.link: [c.content for c in r.comments] for r in back.collect()} == {"p": [x[2] for x in rows[:4]], "none": []}
+    assert reviews.mark_duplicates(frame.limit(0), fingerprint_key(F.col("content"))).count() == 0
 
 
 def test_orders_and_labels(spark):
@@ -73,13 +73,15 @@ def test_orders_and_labels(spark):
 
 
 def test_alternatives_equal_all_pairs(spark):
-    rows = [(i, f"l{i}", None if i % 9 == 0 else f"c{i % 6}", float(i * 7 % 13), i % 3, i % 5 > 0) for i in range(60)] + [(60, "x", "alone", 1.0, 1, True), (61, "y", "none", 0.0, 0, False)]
+    names = [None, "", "  ", "C1", " c1 ", "c2", "C3"]
+    rows = [(i, f"l{i}", names[i * 5 % 7], round(i * 7 % 13 + i % 4 * 0.04, 2), i % 3, i % 5 > 0) for i in range(60)] + [(60, "x", "alone", 1.0, 1, True), (61, "y", "none", 0.0, 0, False)]
     frame = spark.createDataFrame(rows, "ordinal int, link string, category string, reliability double, review_count int, analysed boolean")
-    for k in (1, 3, 12):
+    own = lambda c: (c or "").strip().lower()
+    for k in (1, 3, 12, 70):
         want = {}
-        for o, link, c, *_ in rows:
+        for _, link, c, *_ in rows:
             others = [r for r in rows if r[1] != link and r[5]]
-            want[link] = [r[1] for r in sorted(others, key=lambda r: (-((r[2] or "") == (c or "")), -r[3], -r[4], r[0]))[:k]]  # noqa: B023
+            want[link] = [r[1] for r in sorted(others, key=lambda r: (not (own(c) and own(r[2]) == own(c)), -round(r[3], 1), -r[4], r[0]))[:k]]  # noqa: B023
         got = {}
         for r in ranking.rank_alternatives(frame, k).orderBy("link", "rank").collect():
             got.setdefault(r.link, []).append(r.alternative)
@@ -91,7 +93,11 @@ def test_evaluation(spark):
     pairs = evaluation.pair_counts(frame, F.col("x"), F.col("y"))
     m = evaluation.macro_metrics(pairs).first()
     assert (m.sample_count, m.accuracy) == (5, 0.6)
-    assert round(m.precision, 6) == round((0.5 + 2 / 3 + 0) / 3, 6) and round(m.recall, 6) == round((0.5 + 1 + 0) / 3, 6)
+    assert m.precision == round((0.5 + 2 / 3 + 0) / 3, 4) and m.recall == round((0.5 + 1 + 0) / 3, 4)
+    with pytest.raises(Exception, match="no labels"):
+        evaluation.macro_metrics(pairs.limit(0)).collect()
+    with pytest.raises(Exception, match="as many as"):
+        spark.sql("select array('a') x, array() y").select(evaluation.paired_labels(F.col("x"), F.col("y"))).collect()
     cells = {(r.actual, r.predicted): r.n for r in evaluation.confusion_matrix(pairs).collect()}
     assert len(cells) == 9 and cells[("a", "b")] == 1 and cells[("c", "c")] == 0
     surveys = [([5, 1] * 5, 100.0), ([1, 5] * 5, 0.0), ([3] * 10, 50.0)]
@@ -118,8 +124,13 @@ def test_price_bands_and_pages(spark):
 def test_qualification(spark):
     frame = spark.createDataFrame([("a", "4.0", 100, ["x"]), ("b", "3.9", 99, ["x"]), ("c", None, None, ["x"])], "link string, rating string, reported_review_count int, comments array<string>")
     kept = {r.link: (r.qualification.status, r.qualification.reasons, r.comments) for r in qualification.apply_qualification(frame, 4.0, 100).collect()}
-    assert kept["a"] == ("accepted", [], ["x"]) and kept["b"] == ("rejected", ["rating_below_minimum", "reviews_below_minimum"], []) and kept["c"][0] == "rejected"
+    assert kept["a"] == ("qualified", [], ["x"]) and kept["b"] == ("rejected", ["rating_below_minimum", "review_count_below_minimum"], []) and kept["c"][0] == "rejected"
     assert [r.link for r in qualification.apply_qualification(frame, 4.0, 100, keep_rejected=False).collect()] == ["a"]
+    five = [1, 2, 3, 4, 5]
+    cases = [("page_transition_failed", "5", five), ("next_button_disabled", "all", None), ("empty_review_page", "5", five), ("empty_review_page", "5", [5]), ("next_button_disabled", "4", None), ("no_reviews", None, None)]
+    points = spark.createDataFrame([(i, (s, c), f) for i, (s, c, f) in enumerate(cases)], "i int, cp struct<stop_reason:string,context:string>, f array<int>")
+    ends = points.select("i", qualification.terminal(F.col("cp"), F.col("f")).alias("any"), qualification.terminal(F.col("cp"), F.col("f"), 4).alias("four")).orderBy("i").collect()
+    assert [(r["any"], r.four) for r in ends] == [(False, False), (True, True), (True, False), (False, False), (False, True), (True, True)]
 
 
 def test_store(spark, tmp_path):
@@ -141,18 +152,18 @@ def test_store(spark, tmp_path):
 
 
 def test_json_sources_and_sinks(spark, tmp_path):
-    (tmp_path / "a.json").write_bytes(b"\xef\xbb\xbf" + json.dumps([{"link": "x", "rating": "4.5"}, 7, {"link": "y", "rating": 3, "comments": [{"content": "ok"}]}, {"link": "x", "rating": 2}]).encode())
-    (tmp_path / "b.json").write_text(json.dumps({"products": [{"link": "z"}]}))
-    (tmp_path / "bad.json").write_text('{"no": 1}')
-    rows = products.typed_products(products.read_products(spark, str(tmp_path / "a.json"))).orderBy("ordinal").collect()
+    (tmp_path / "shopee_ph_a.json").write_bytes(b"\xef\xbb\xbf" + json.dumps([{"link": "x", "rating": "4.5"}, 7, {"link": "y", "rating": 3, "comments": [{"content": "ok"}]}, {"link": "x", "rating": 2}]).encode())
+    (tmp_path / "lazada_ph_b.json").write_text(json.dumps({"products": [{"link": "z"}]}))
+    (tmp_path / "temu_ph_bad.json").write_text('{"products": 1}')
+    rows = products.typed_products(products.read_products(spark, str(tmp_path / "shopee_ph_a.json"))).orderBy("ordinal").collect()
     assert [(r.ordinal, r.link, r.rating) for r in rows] == [(0, "x", "4.5"), (2, "y", "3"), (3, "x", "2")] and rows[1].comments[0].content == "ok"
-    assert products.read_products(spark, str(tmp_path / "b.json")).count() == 1
+    assert products.read_products(spark, str(tmp_path / "lazada_ph_b.json")).count() == 1
     with pytest.raises(Exception, match="no list of products"):
-        products.read_products(spark, str(tmp_path / "bad.json")).collect()
-    again = products.resume_products(spark, str(tmp_path / "a.json")).select("ordinal", "link", products.field("rating").alias("rating")).orderBy("ordinal").collect()
+        products.read_products(spark, str(tmp_path / "temu_ph_bad.json")).collect()
+    again = products.resume_products(spark, str(tmp_path / "shopee_ph_a.json")).select("ordinal", "link", products.field("rating").alias("rating")).orderBy("ordinal").collect()
     assert [tuple(r) for r in again] == [(0, "x", "2"), (2, "y", "3")]
-    assert products.resume_products(spark, str(tmp_path / "bad.json")).count() == 0
-    os.utime(tmp_path / "bad.json", (2e9, 2e9))
+    assert products.resume_products(spark, str(tmp_path / "temu_ph_bad.json")).count() == 0
+    os.utime(tmp_path / "temu_ph_bad.json", (2e9, 2e9))
     found, warning = products.first_usable(spark, str(tmp_path))
     assert found.count() in (1, 3) and "no list of products" in warning
     frame = spark.createDataFrame([(1, "₱ü", None)], "a int, b string, c string")
@@ -205,8 +216,9 @@ def test_collection(spark, tmp_path):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_queries(spark, name):
-    found = registry.QUERIES[name](spark, SF).toPandas()
+def test_queries(spark, tmp_path, name):
+    registry.QUERIES[name](spark, SF).write.parquet(f"{tmp_path}/rows")  # as the driver does: written, not only collected
+    found = spark.read.parquet(f"{tmp_path}/rows").toPandas()
     if name not in registry.ORACLES:
         return
     con = duckdb.connect()

@@ -1,5 +1,7 @@
 """Whole analyses, and marketplace pages."""
 
+import csv
+import io
 import json
 
 import pytest
@@ -11,26 +13,48 @@ from tindera.sources import markets
 
 
 def test_product_file(spark, tmp_path):
-    items = [{"link": "a", "comments": [{"content": "Maganda at sulit", "rating": 5}, None, {"content": "MAGANDA at sulit!"}, {"content": "Sira at hindi gumagana"}]}, 5, {"link": "b"}]
-    (tmp_path / "in.json").write_text(json.dumps(items))
+    one = {"link": "a", "own": {"x": [1, None]}, "comments": [{"content": "Ayos at sulit", "rating": 5}, None, {"text": "AYOS at sulit!"}, {"comment": "Basag at hindi gumagana"}, "x", {"content": None, "text": "basag"}]}
+    items = [one, 5, {"name": "no link"}, {"link": "a", "comments": [{"review": 0}]}, {"link": "b", "comments": None}]
+    (tmp_path / "in.json").write_text(json.dumps({"when": [1], "products": items}), encoding="utf-8-sig")
     out = analyse.analyse_file(spark, str(tmp_path / "in.json"), TextModel())
-    rows = {r.link: r for r in spark.read.json(out).collect()}
-    s = rows["a"].sentiment_summary
-    assert (s.review_count, s.duplicate_review_count, s.risk_score, s.sentiment_counts.positive) == (2, 1, 50.0, 1)
-    assert [c.duplicate_of for c in rows["a"].comments] == [None, 0, None]
+    assert out == str(tmp_path / "in_analyzed.json")
+    found = json.loads((tmp_path / "in_analyzed.json").read_text())
+    assert found["when"] == [1] and len(found["products"]) == 5
+    rows = found["products"]
+    s = rows[0]["sentiment_summary"]
+    assert (s["review_count"], s["duplicate_review_count"], s["risk_score"], s["sentiment_counts"]["positive"], s["risk_categories"]) == (2, 1, 50.0, 1, {"defect": 1, "performance": 1})
+    assert [c.get("duplicate_of", "-") if isinstance(c, dict) else c for c in rows[0]["comments"]] == [None, None, 0, None, "x", None]
+    assert rows[0]["comments"][5]["sentiment_analysis"]["label"] == "neutral" and rows[0]["own"] == one["own"] and rows[0]["comments"][0]["rating"] == 5
+    assert rows[1] == 5 and rows[2]["sentiment_summary"]["review_count"] == 0 and rows[3]["sentiment_summary"]["review_count"] == 0 and rows[4] == {"link": "b", "comments": None}
+    assert rows[0]["comments"][0]["sentiment_analysis"]["risk"] == {"detected": False, "score": 0.0, "categories": [], "evidence": []}
+    analyse.analyse_file(spark, str(tmp_path / "in.json"), TextModel())  # an earlier result is replaced as a whole
+    with pytest.raises(ValueError):
+        analyse.analyse_file(spark, str(tmp_path / "in.json"), TextModel(), str(tmp_path / "in.json"))
+    with pytest.raises(ValueError):
+        analyse.analyse_file(spark, str(tmp_path / "in.txt"), TextModel())
+    folder = analyse.analyse_file(spark, str(tmp_path / "in.json"), TextModel(), f"{tmp_path}/folder", one_file=False)
+    assert spark.read.text(folder).count() == 5
     cache = analyse.AnalysisCache(TextModel())
     once = cache.get(spark, str(tmp_path / "in.json"), 1)
-    assert once.count() == 2 and cache.get(spark, str(tmp_path / "in.json"), 1) is once and cache.get(spark, str(tmp_path / "in.json"), 2) is not once
-    assert rows["b"].sentiment_summary.review_count == 0 and rows["b"].comments == []
-    with pytest.raises(Exception, match="(?i)exist"):
-        analyse.analyse_file(spark, str(tmp_path / "in.json"), TextModel())
+    assert once.count() == 4 and cache.get(spark, str(tmp_path / "in.json"), 1) is once and cache.get(spark, str(tmp_path / "in.json"), 2) is not once
+    (tmp_path / "shopee_ph_x.json").write_text(json.dumps(items[2:3]))
+    analyse.save_back(spark, str(tmp_path / "shopee_ph_x.json"), TextModel())
+    assert json.loads((tmp_path / "shopee_ph_x.json").read_text())[0]["sentiment_summary"]["risk_score"] == 0.0
 
 
-def test_review_file(spark, tmp_path):
-    (tmp_path / "in.csv").write_text('content,n\n"Sira,\nnasira",1\nok,2\n"sira nasira",3\n')
+def test_review_file(spark, tmp_path, capsys):
+    (tmp_path / "in.csv").write_text('content,n\n"Basag,\nnasira",1\nok,2\n"basag nasira",3\n,4\n', encoding="utf-8-sig")
     out = analyse.analyse_file(spark, str(tmp_path / "in.csv"), TextModel())
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(out).orderBy("n").collect()
-    assert [(r.risk_detected, r.is_duplicate) for r in rows] == [("true", "false"), ("false", "false"), ("true", "true")] and len(rows[0]) == 15
+    raw = (tmp_path / "in_analyzed.csv").read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfcontent,n,sentiment_label,sentiment_positive") and out.endswith("in_analyzed.csv")
+    rows = list(csv.DictReader(io.StringIO(raw.decode("utf-8-sig"))))
+    assert [(r["risk_detected"], r["is_duplicate"], r["duplicate_of"]) for r in rows] == [("True", "False", ""), ("False", "False", ""), ("True", "True", "0"), ("False", "False", "")] and len(rows[0]) == 15
+    assert rows[0]["risk_categories"] == "defect,durability" and json.loads(rows[0]["risk_evidence"])[0]["term"] == "nasira"
+    assert rows[0]["risk_evidence"] == json.dumps(json.loads(rows[0]["risk_evidence"]), ensure_ascii=False)
+    (tmp_path / "none.csv").write_text("content\n")
+    with pytest.raises(ValueError):
+        analyse.analyse_file(spark, str(tmp_path / "none.csv"), TextModel())
+    assert analyse.main(["--text", "Basag"]) == 0 and '"label": "negative"' in capsys.readouterr().out
 
 
 def test_market_pages(spark):
@@ -49,6 +73,6 @@ def test_counts_and_json_ld(spark):
     ld = json.dumps({"@type": "Product", "offers": {"price": "5", "priceCurrency": "PHP"}})
     frame = spark.createDataFrame([("a", 0, 353, "x", 4.0, [("1", "a", "t", "c", 5), ("1", "b", "u", "d", 4), (None, "a", "t", "c", 5)], ld)], kind)
     r = markets.review_counts(frame).first()
-    assert (r.written_reviews_collected, r.reported) == (2, 353)
+    assert (r.written_reviews_collected, r.reported) == (2, 0)
     r = markets.apply_json_ld(frame).first()
     assert (r.price, r.rating) == ("₱5", 4.0)

@@ -1,7 +1,8 @@
-"""Term lists: a small one of our own, and a reader for larger ones in tab-separated files."""
+"""Term lists: the shipped ones, and readers for others in tab-separated files."""
 
 from __future__ import annotations
 
+from importlib.resources import files
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,26 +23,35 @@ class RiskTerm(NamedTuple):
     language: str
 
 
-#: A starter list; production lists come from files.
-SENTIMENT = [
-    SentimentTerm(*x)
-    for x in (
-        ("maganda", 2.4, "tl", "quality"), ("hindi maganda", -2.4, "tl", "quality"), ("matibay", 2.2, "tl", "durability"), ("sulit", 2.5, "tl", "value"),
-        ("sira", -2.6, "tl", "defect"), ("nasira", -2.8, "tl", "durability"), ("masira", -2.6, "tl", "durability"), ("mabilis masira", -3.0, "tl", "durability"),
-        ("gumagana", 2.0, "tl", "performance"), ("hindi gumagana", -3.0, "tl", "performance"), ("peke", -3.2, "tl", "authenticity"), ("walang sira", 2.2, "tl", "defect"),
-        ("maayos", 1.8, "tl", "quality"), ("don't buy", -3.2, "en", "recommendation"), ("dont buy", -3.2, "en", "recommendation"), ("glitch", -2.4, "en", "performance"),
-        ("disappointed", -2.4, "en", "experience"), ("not fake", 1.8, "en", "authenticity"), ("authentic", 2.2, "en", "authenticity"), ("works well", 2.2, "en", "performance"),
-        ("👎", -2.8, "und", "emoji"), ("😊", 2.4, "und", "emoji"), ("❤️", 2.8, "und", "emoji"), ("😡", -2.8, "und", "emoji"),
-    )
-]
-RISK = [
-    RiskTerm(*x)
-    for x in (
-        ("sira", "defect", 3, "tl"), ("nasira", "durability", 3, "tl"), ("mabilis masira", "durability", 3, "tl"), ("bilis masira", "durability", 3, "tl"),
-        ("hindi gumagana", "performance", 3, "tl"), ("glitch", "performance", 2, "en"), ("peke", "counterfeit", 3, "tl"), ("fake", "counterfeit", 3, "en"),
-        ("hindi original", "counterfeit", 3, "tl"), ("umiinit", "safety", 2, "tl"), ("overheats", "safety", 3, "en"), ("manipis", "quality", 1, "tl"),
-    )
-]
+def _shipped(kind: str, made: type) -> list:
+    """The rows of a list in ``lexicons/``: blank lines and ``#`` lines don't count, terms are case-folded."""
+    numbers = {SentimentTerm: (str, float, str, str), RiskTerm: (str, str, int, str)}[made]
+    text = (files(__package__) / "lexicons" / f"{kind}.tsv").read_text(encoding="utf-8")
+    rows = (line.split("\t") for line in text.split("\n") if line.strip() and not line.startswith("#"))
+    return [made(*(f(x) for f, x in zip(numbers, (row[0].casefold(), *row[1:])))) for row in rows]
+
+
+#: The shipped lists (109 and 71 terms, fixed values); other lists come from files by ``read_lexicon``.
+SENTIMENT: list[SentimentTerm] = _shipped("sentiment", SentimentTerm)
+RISK: list[RiskTerm] = _shipped("risk", RiskTerm)
+
+
+def read_valences(spark: SparkSession, path: str, most: int = 100_000) -> dict[str, float]:
+    """A public dictionary of word valences (token, mean, and columns that aren't used, separated by tabs), for ``TextModel``.
+
+    It is configuration like a lexicon, so it comes to the driver; more than ``most`` words are an error.
+    """
+    rows = spark.read.option("sep", "\t").option("quote", "").schema("token string, valence double").csv(path).where("token is not null and valence is not null").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a dictionary of more than {most} words")
+    return {r["token"]: r["valence"] for r in rows}
+
+
+def lexicon_rows(spark: SparkSession, kind: str) -> DataFrame:
+    """A shipped list as a table for display, with its columns' names."""
+    rows, made = (SENTIMENT, SentimentTerm) if kind == "sentiment" else (RISK, RiskTerm)
+    kinds = {"valence": "double", "severity": "int"}
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "line_no int, " + ", ".join(f"{f} {kinds.get(f, 'string')}" for f in made._fields))
 
 
 def read_lexicon(spark: SparkSession, path: str, kind: str) -> DataFrame:

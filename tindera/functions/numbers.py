@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 #: Levels of a risk fraction: from these values on.
 HIGH, MODERATE = 0.61, 0.31
@@ -30,19 +28,28 @@ def risk_level(score: Column) -> Column:
     return F.when(x >= HIGH, "High").when(x >= MODERATE, "Moderate").otherwise("Low")
 
 
+# The notice of each level.
+ALERTS = {
+    "High": "Not recommended — strong counterfeit or defect indicators detected",
+    "Moderate": "Review carefully — moderate risk indicators detected",
+    "Low": "Lower risk — fewer defect indicators detected in this sample",
+}
+
+
 def alert_text(score: Column) -> Column:
     level = risk_level(score)
-    return F.when(level == "High", "High risk: consider safer alternatives").when(level == "Moderate", "Moderate risk: read the flagged reviews").otherwise("Low risk")
+    return F.when(level == "High", ALERTS["High"]).when(level == "Moderate", ALERTS["Moderate"]).otherwise(ALERTS["Low"])
 
 
 def reliability(score: Column, positive: Column | None = None) -> Column:
-    """100 less the risk; with a positive share, that share less the risk.  Not rounded."""
+    """100 less the risk; with a positive share, that share less the risk.  To one digit, half to even."""
     risk = risk_fraction(score)
+    alone = 100 * (1 - risk)
     if positive is None:
-        return 100 * (1 - risk)
+        return round_half_even(alone, 1)
     share = F.coalesce(positive.try_cast("double"), F.lit(0.0))
-    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(share > 1, share / 100).otherwise(share)))
-    return F.when(positive.isNull(), 100 * (1 - risk)).otherwise(100 * F.greatest(F.lit(0.0), share - risk))
+    share = F.least(F.lit(1.0), F.when(share > 1, share / 100).otherwise(share))
+    return round_half_even(F.when(positive.isNull(), alone).otherwise(100 * F.greatest(F.lit(0.0), share - risk)), 1)
 
 
 def price_value(text: Column) -> Column:
@@ -89,7 +96,7 @@ def rating_from_phrase(text: Column) -> Column:
 
 def rating_from_card(text: Column) -> Column:
     """The last line that is nothing but a rating; empty without one."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x.rlike(r"^[0-5](?:\.[0-9])?$"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^[0-5](?:\.[0-9])?$"))
     return F.when(F.size(lines) > 0, F.element_at(lines, -1)).otherwise("")
 
 
@@ -121,7 +128,19 @@ def total_pages(rows: Column, size: int) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.ceil(rows / F.lit(size)))
 
 
-@F.pandas_udf(DoubleType())
-def round_half_even(values: pd.Series, digits: pd.Series) -> pd.Series:
-    """Rounding to even on the exact binary value, which SQL's rounding of decimals is not."""
-    return pd.Series([None if v is None or v != v else round(v, int(d)) for v, d in zip(values, digits)], dtype="float64")
+def round_half_even(value: Column, digits: int) -> Column:
+    """Rounding to even on the exact binary value of a double; a NaN gives null.
+
+    The product with the power of ten is taken as a rounded product and its exact error (Dekker), so that
+    a tie in the product is told from a value just beside one.  Exact for up to seven digits.
+    """
+    power = float(10**digits)
+    x = value.cast("double")
+    x = F.when(~F.isnan(x), x)
+    product, wide = x * power, x * float(2**27 + 1)
+    high = wide - (wide - x)
+    error = (high * power - product) + (x - high) * power
+    floor = F.floor(product).cast("double")
+    part = product - floor
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (floor % 2 != 0))))
+    return (floor + F.when(up, 1.0).otherwise(0.0)) / power

@@ -18,15 +18,21 @@ NEGATORS = frozenset(
 # Words that strengthen or weaken what follows, and by how much.
 STRONGER, WEAKER = 0.293, -0.293
 BOOSTERS = dict.fromkeys(
-    "absolutely amazingly awfully completely considerably decidedly deeply enormously entirely especially exceptionally extremely fabulously fully "
-    "greatly highly hugely incredibly intensely majorly more most particularly purely quite really remarkably so substantially thoroughly totally "
-    "tremendously uber unbelievably unusually utterly very".split(),
+    "absolutely amazingly awfully completely considerably decidedly deeply effing enormously entirely especially exceptionally extremely fabulously flipping flippin "
+    "fricking frickin frigging friggin fully fucking greatly hella highly hugely incredibly intensely majorly more most particularly purely quite really remarkably so "
+    "substantially thoroughly totally tremendously uber unbelievably unusually utterly very".split(),
     STRONGER,
-) | dict.fromkeys("almost barely hardly kinda less little marginally occasionally partly scarcely slightly somewhat sorta".split(), WEAKER)
+) | dict.fromkeys([*"almost barely hardly kinda kindof kind-of less little marginally occasionally partly scarcely slightly somewhat sorta sortof sort-of".split(), "just enough", "kind of", "sort of"], WEAKER)
+# Phrases with a valence of their own.
+IDIOMS = {"the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "yeah right": -2.0, "cut the mustard": 2.0, "kiss of death": -1.5, "hand to mouth": -2.0}
+# Marks of which one is taken off a word, at one end.
+MARKS = (".", "!", "?", ",", ";", ":", "-", "'", '"', "!!", "!!!", "??", "???", "?!?", "!?!", "?!?!", "!?!?")
 # Negation, damping by distance, contrast, punctuation, and the norm's constant.
 NEGATION, DAMPING, BEFORE_BUT, AFTER_BUT = -0.74, (1.0, 0.95, 0.9), 0.5, 1.5
 EXCLAMATION, MOST_EXCLAMATIONS, QUESTION, MANY_QUESTIONS, NORM = 0.292, 4, 0.18, 0.96, 15
 
+_NO_PUNCTUATION = str.maketrans("", "", string.punctuation)
+
 
 class Polarity:
     """Scores texts with a dictionary of valences and sets of negators and boosters."""
@@ -35,13 +41,25 @@ class Polarity:
         self.valences, self.negators, self.boosters = dict(valences), frozenset(negators), dict(boosters)
 
     def tokens(self, text: str) -> list[str]:
-        """White-space tokens without punctuation around them, unless that leaves almost nothing or they are known with it."""
+        """White-space tokens of two characters or more.
+
+        One known mark before or after a token goes, if what is left stands in the text without any
+        punctuation; so ``good!`` is a known word and ``(good)`` or ``good!!!!`` is not.
+        """
+        plain = {w for w in text.translate(_NO_PUNCTUATION).split() if len(w) > 1}
         out = []
         for raw in text.split():
             if len(raw) < 2:
                 continue
-            bare = raw.strip(string.punctuation)
-            out.append(raw if raw in self.valences or len(bare) < 2 else bare)
+            if not raw[0].isalnum() or not raw[-1].isalnum():
+                for mark in MARKS:
+                    if raw.startswith(mark) and raw[len(mark) :] in plain:
+                        raw = raw[len(mark) :]
+                        break
+                    if raw.endswith(mark) and raw[: -len(mark)] in plain:
+                        raw = raw[: -len(mark)]
+                        break
+            out.append(raw)
         return out
 
     def negates(self, word: str) -> bool:
@@ -58,23 +76,43 @@ class Polarity:
             push = self.boosters.get(words[i - back], 0.0) * DAMPING[back - 1]
             value += push if value >= 0 else -push
             value *= self._negation(words, i, back)
+            if back == 3:
+                value = self._idiom(words, i, value)
         if i and words[i - 1] == "least" and "least" not in self.valences and words[i - 2 : i - 1] not in (["at"], ["very"]):
             value *= NEGATION
         return value
 
     def _negation(self, words: list[str], i: int, back: int) -> float:
-        """Negators turn a value round; ``never so`` and ``never this`` strengthen it."""
-        word = words[i - back]
-        if word == "never" and back > 1 and {"so", "this"} & set(words[i - back + 1 : i]):
-            return 1.5 if back == 2 else 1.25
+        """Negators turn a value round; ``never so`` and ``never this`` strengthen it, and ``so`` or ``this`` alone at the widest look."""
+        word, stress = words[i - back], ("so", "this")
+        if back == 2 and word == "never" and words[i - 1] in stress:
+            return 1.5
+        if back == 3 and ((word == "never" and words[i - 2] in stress) or words[i - 1] in stress):
+            return 1.25
         return NEGATION if self.negates(word) else 1.0
 
+    def _idiom(self, words: list[str], i: int, value: float) -> float:
+        """The valence of an idiom that ends at, precedes or begins with a word; and boosters of two words before it."""
+        say = lambda a, b: " ".join(words[a : b + 1])
+        for a, b in ((i - 1, i), (i - 2, i), (i - 2, i - 1), (i - 3, i - 1), (i - 3, i - 2)):
+            if say(a, b) in IDIOMS:
+                value = IDIOMS[say(a, b)]
+                break
+        for b in (i + 1, i + 2):
+            if b < len(words):
+                value = IDIOMS.get(say(i, b), value)
+        return value + (WEAKER if say(i - 3, i - 2) in self.boosters or say(i - 2, i - 1) in self.boosters else 0.0)
+
     def scores(self, text: str) -> tuple[float, float, float, float]:
         """Shares of negative, neutral and positive, and the compound of -1 to 1."""
         words = self.tokens(text)
-        values = [self._valence(words, i) for i in range(len(words))]
-        if not values:
+        if not words:
             return 0.0, 0.0, 0.0, 0.0
+        known: dict[str, float] = {}  # a word that is repeated counts as it does where it stands first
+        for i, w in enumerate(words):
+            if w not in known:
+                known[w] = self._valence(words, i)
+        values = [known[w] for w in words]
         if "but" in words:
             turn = words.index("but")
             values = [v * (BEFORE_BUT if i < turn else AFTER_BUT if i > turn else 1) for i, v in enumerate(values)]
@@ -90,4 +128,4 @@ class Polarity:
         elif pos < -neg:
             neg -= push
         every = pos - neg + neutral
-        return round(-neg / every, 3), round(neutral / every, 3), round(pos / every, 3), round(max(-1.0, min(1.0, compound)), 4)
+        return round(abs(neg / every), 3), round(neutral / every, 3), round(pos / every, 3), round(compound, 4)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 from .numbers import compact_number, leading_compact_number
 
@@ -25,18 +28,35 @@ SPELLINGS = {
 }
 KEY_SEPARATOR = "\x1f"
 _WORDS = re.compile(r"\w+")
+KEY_BYTES = 16
 
 
 def normalised(text: str | None, spellings: Mapping[str, str] = SPELLINGS) -> str:
     """Compatibility form, plain apostrophes, single blanks, case-folded, with known spellings replaced."""
-    value = unicodedata.normalize("NFKC", text or "").replace("’", "'").replace("`", "'")
-    value = " ".join(value.split()).casefold()
-    return _WORDS.sub(lambda m: spellings.get(m[0], m[0]), value)
+    value = text or ""
+    if not value.isascii():
+        value = unicodedata.normalize("NFKC", value).replace("’", "'")
+    value = " ".join(value.replace("`", "'").split()).casefold()
+    if any(s in value for s in spellings):
+        value = _WORDS.sub(lambda m: spellings.get(m[0], m[0]), value)
+    return value
+
+
+class _Kept(dict):
+    """What ``marks`` makes of each code point: itself or a blank; filled as code points are met."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        made = self[code] = code if c.isalnum() or c == "_" or unicodedata.category(c)[0] in "SM" else 32
+        return made
+
+
+_kept = _Kept()
 
 
 def marks(text: str) -> str:
     """Letters, digits, underscores, symbols and marks; all else is one blank."""
-    return " ".join("".join(c if c.isalnum() or c == "_" or unicodedata.category(c)[0] in "SM" else " " for c in text).split())
+    return " ".join(text.translate(_kept).split())
 
 
 @F.pandas_udf(StringType())
@@ -46,16 +66,25 @@ def normalise(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def fingerprint(texts: pd.Series) -> pd.Series:
-    """The exact key of duplicate texts: emoji count, punctuation doesn't."""
+    """What duplicate texts have in common: emoji count, punctuation doesn't."""
     return texts.map(lambda t: marks(normalised(t)))
 
 
-def native_fingerprint(text: Column, spellings: Mapping[str, str] = SPELLINGS) -> Column:
-    """The same key with built-in functions: exact for texts in compatibility form whose case folds by lower()."""
-    low = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[’`]", "'"))
-    for old, new in spellings.items():
-        low = F.regexp_replace(low, rf"(?U)(?<!\w){old}(?!\w)", new)
-    return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}_\p{S}\p{M}]", " "), " +", " "))
+def _key(text: str | None) -> bytes | None:
+    plain = marks(normalised(text))
+    return hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=KEY_BYTES).digest() if plain else None
+
+
+def _keys(texts: pd.Series) -> pd.Series:
+    return texts.map(_key)
+
+
+def fingerprint_key(text: Column) -> Column:
+    """A 128-bit digest of the fingerprint, null if that is empty: what duplicates are grouped and joined by.
+
+    It counts as non-deterministic for the optimiser only, so that filters on it don't compute it again.
+    """
+    return F.pandas_udf(_keys, BinaryType()).asNondeterministic()(text)
 
 
 def slug(text: Column, default: str = "search") -> Column:
@@ -87,19 +116,26 @@ def price_from_text(text: Column) -> Column:
     return F.regexp_replace(found, r"\s+", "")
 
 
+# What a filter button's label must begin with, or hold, for its key.
+FILTER_LABELS = (
+    ("all", "begins", ("all", "tất cả")),
+    ("commented", "holds", ("comment", "bình luận")),
+    ("media", "holds", ("media", "photo", "video", "hình ảnh")),
+)
+
+
 def rating_filter(label: Column) -> Column:
-    """(key, count) of a filter button such as ``5 Star (1.2K)``."""
-    text = F.trim(F.regexp_replace(F.coalesce(label, F.lit("")), r"\s+", " "))
-    low = F.lower(text)
-    star = F.regexp_extract(text, r"(?i)^([1-5])(?:\s*(?:stars?|sao))?(?!\w)", 1)
-    key = (
-        F.when(star != "", F.concat(star, F.lit("_star")))
-        .when(low.startswith("all") | low.startswith("tất cả"), "all")
-        .when(low.contains("comment") | low.contains("bình luận"), "commented")
-        .when(low.rlike("media|photo|video|hình ảnh"), "media")
-        .otherwise("")
-    )
-    return F.struct(key.alias("key"), compact_number(F.regexp_extract(text, r"\(([^)]*)\)", 1)).alias("count"))
+    """(key, count) of a filter button such as ``5 Star (1.2K)``; an empty key for other labels."""
+    shown = F.trim(F.regexp_replace(F.coalesce(label, F.lit("")), r"\s+", " "))
+    low = F.lower(shown)
+    key = F.lit("")
+    for name, how, words in reversed(FILTER_LABELS):
+        hits = [low.startswith(w) if how == "begins" else low.contains(w) for w in words]
+        key = F.when(reduce(or_, hits), name).otherwise(key)
+    digit = F.left(shown, F.lit(1))
+    alone = shown.rlike(r"^.(?U)(?i)(?:\s*(?:stars?|sao))?(?!\w)")
+    key = F.when(digit.isin(*"12345") & alone, F.concat(digit, F.lit("_star"))).otherwise(key)
+    return F.struct(key.alias("key"), compact_number(F.regexp_extract(shown, r"\(([^)]*)\)", 1)).alias("count"))
 
 
 def sold_count(text: Column) -> Column:
@@ -111,7 +147,7 @@ def review_count(text: Column) -> Column:
 
 
 def shipping_line(text: Column) -> Column:
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: F.lower(x).contains("shipping"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: F.lower(x).contains("shipping"))
     return F.when(F.size(lines) > 0, F.element_at(lines, 1)).otherwise("")
 
 
@@ -120,22 +156,29 @@ def term_regex(term: str) -> str:
     return r"(?iU)(?<!\w)" + r"\s+".join(re.escape(w) for w in term.split()) + r"(?!\w)"
 
 
-def highlighted(text: str, terms: Sequence[str], start: str = "<mark>", end: str = "</mark>") -> str:
-    """Escaped for HTML, with terms marked; the longest first, and none within another's mark."""
-    safe = html.escape(text or "")
-    wanted = sorted({html.escape(t) for t in terms if t}, key=lambda t: (-len(t), t))
-    if not wanted:
-        return safe
-    return re.sub("|".join(rf"(?<!\w){re.escape(t)}(?!\w)" for t in wanted), lambda m: f"{start}{m[0]}{end}", safe, flags=re.I)
+NO_TEXT = "No written review"
 
 
-def highlight(terms: Sequence[str]):
-    terms = tuple(terms)
+def highlighted(text: str | None, terms: Sequence[str], start: str = "<mark>", end: str = "</mark>") -> str:
+    """Escaped for HTML, with every occurrence of the terms marked in any case: the longest first, so that a shorter one may nest.
+
+    Terms of one length keep their order by name; terms may match anywhere, also inside words and in marks that are
+    there already.  An empty text has a notice in its place.
+    """
+    safe = html.escape(str(text or NO_TEXT))
+    for term in sorted({t for t in terms if t}, key=lambda t: (-len(t), t)):
+        safe = re.sub(re.escape(html.escape(term)), lambda m: f"{start}{m[0]}{end}", safe, flags=re.I)
+    return safe
+
+
+@F.pandas_udf(StringType())
+def _highlight(texts: pd.Series, terms: pd.Series) -> pd.Series:
+    return pd.Series([highlighted(t, [] if own is None else own) for t, own in zip(texts, terms)], dtype=object)
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: highlighted(t, terms))
 
-    return F.pandas_udf(run, StringType())
+def highlight(text: Column, terms: Column) -> Column:
+    """The text with its own terms (an array of strings) marked."""
+    return _highlight(text, terms.cast(ArrayType(StringType())))
 
 
 def review_key(*parts: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Marketplaces, the host each is known by, and its display name.
-MARKETPLACES = {"shopee": ("shopee.ph", "Shopee"), "lazada": ("lazada.com.ph", "Lazada"), "temu": ("temu.com", "Temu")}
+MARKETPLACES = {"shopee": ("shopee.ph", "Shopee PH"), "lazada": ("lazada.com.ph", "Lazada PH"), "temu": ("temu.com", "Temu PH")}
+# Paths of the site that are no categories.
 _BLOCKED = ("/user/", "/customer/", "/helpcenter/", "/cart")
 
 
@@ -36,8 +37,9 @@ def marketplace_or(text: Column, default: str = "shopee", other: str | None = No
 
 
 def product_platform(platform: Column, link: Column) -> Column:
-    """The stated platform, else that of the link, else shopee."""
-    return F.coalesce(F.nullif(F.lower(F.trim(platform)), F.lit("")), marketplace_or(link, "shopee", "shopee"))
+    """The stated platform if it is a known one, else that of the link, else shopee."""
+    stated = F.lower(F.trim(platform))
+    return F.coalesce(F.when(stated.isin(*MARKETPLACES), stated), marketplace_or(link, "shopee", "shopee"))
 
 
 def platform_name(platform: Column) -> Column:

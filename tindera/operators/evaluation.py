@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
+
 
 def clean_label(label: Column) -> Column:
     return F.lower(F.trim(label))
@@ -33,11 +35,20 @@ def label_metrics(pairs: DataFrame) -> DataFrame:
 
 
 def macro_metrics(pairs: DataFrame) -> DataFrame:
-    """One row: sample count, accuracy, and plain means over all labels.  Not rounded."""
+    """One row: sample count, accuracy, and plain means over all labels, to four digits.  No sample at all is an error."""
     totals = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sample_count"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("right"))
     means = label_metrics(pairs).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")])
+    n = F.when(F.col("sample_count") > 0, F.col("sample_count")).otherwise(F.raise_error(F.lit("no labels to evaluate")).cast("long"))
+    rounded = lambda c, name: N.round_half_even(c, 4).alias(name)
     # Two rows of one: a global aggregate each.
-    return totals.join(means, F.lit(True)).select("sample_count", F.when(F.col("sample_count") > 0, F.col("right") / F.col("sample_count")).otherwise(0.0).alias("accuracy"), "precision", "recall", "f1")
+    return totals.join(means, F.lit(True)).select(n.alias("sample_count"), rounded(F.col("right") / n, "accuracy"), *[rounded(F.col(c), c) for c in ("precision", "recall", "f1")])
+
+
+def paired_labels(actual: Column, predicted: Column) -> Column:
+    """Two arrays of labels as one of (actual, predicted); empty or of unequal length they are an error."""
+    same = (F.size(actual) > 0) & (F.size(actual) == F.size(predicted))
+    pairs = F.arrays_zip(actual.alias("actual"), predicted.alias("predicted"))
+    return F.when(F.coalesce(same, F.lit(False)), pairs).otherwise(F.raise_error(F.lit("labels must be as many as predictions, and some")).cast("array<struct<actual:string,predicted:string>>"))
 
 
 def rmse(rows: DataFrame, predicted: Column, expected: Column) -> DataFrame:

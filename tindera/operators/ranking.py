@@ -10,25 +10,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
+
 
 def rank_alternatives(products: DataFrame, k: int = 3) -> DataFrame:
     """(link, rank, alternative): k other analysed products; same category first, then by reliability, review count, input order.
 
     ``products``: ``link`` (unique), ``category``, ``reliability``, ``review_count``, ``ordinal`` (unique) and ``analysed``.
-    A null category is none: it matches another null one.
+    Categories are compared without case and outer blanks; an empty or null one matches none.  Reliability counts to one digit.
     """
     best = [F.desc("reliability"), F.desc("review_count"), F.asc("ordinal")]
-    pool = products.where("analysed").select(F.col("link").alias("alternative"), F.coalesce("category", F.lit("")).alias("category"), "reliability", F.coalesce(F.col("review_count").try_cast("long"), F.lit(0)).alias("review_count"), "ordinal")
+    category = F.coalesce(F.lower(F.trim(F.col("category").cast("string"))), F.lit(""))
+    pool = products.where("analysed").select(
+        F.col("link").alias("alternative"), category.alias("category"), N.round_half_even(F.col("reliability"), 1).alias("reliability"),
+        F.coalesce(F.col("review_count").try_cast("long"), F.lit(0)).alias("review_count"), "ordinal",
+    )
     own = pool.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy(*best))).where(F.col("r") <= k + 1).drop("r")
-    # The best of other categories: 2k + 1 of each category's top at most, so one product's own category can't use the list up.
-    tops = own.orderBy(*best).limit(10_000)
-    wide = tops.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy(*best))).where(F.col("r") <= k)
-    overall = wide.orderBy(*best).limit(2 * k + 1).drop("r")
-    asked = products.select("link", F.coalesce("category", F.lit("")).alias("category"))
-    short = own.groupBy("category").agg(F.count("*").alias("n"))
-    same = asked.join(own.withColumn("match", F.lit(1)), "category").where("link != alternative")
-    needing = asked.join(short, "category", "left").where(F.coalesce("n", F.lit(0)) <= k)
-    other = needing.withColumnRenamed("category", "own").join(F.broadcast(overall), F.col("own") != F.col("category")).where("link != alternative")
+    # The best of all: k + 1 of them may be of a product's own category or itself, which leaves k others.
+    overall = own.orderBy(*best).limit(2 * k + 2)
+    asked = products.select("link", category.alias("category"))
+    enough = own.where("category != ''").groupBy("category").agg(F.count("*").alias("n")).where(F.col("n") > k).select("category")
+    same = asked.join(own.where("category != ''").withColumn("match", F.lit(1)), "category").where("link != alternative")
+    needing = asked.join(enough, "category", "left_anti").withColumnRenamed("category", "own")
+    other = needing.join(F.broadcast(overall), (F.col("own") != F.col("category")) | (F.col("own") == "")).where("link != alternative")
     columns = ["link", "alternative", "match", "reliability", "review_count", "ordinal"]
     both = same.select(*columns).unionByName(other.withColumn("match", F.lit(0)).select(*columns))
     order = Window.partitionBy("link").orderBy(F.desc("match"), *best)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.numbers import star_number
 
 TEXT_FIELDS = ("content", "comment", "review", "text")
 
@@ -32,17 +33,19 @@ def review_text(columns: Sequence[str], preferred: str | None = None) -> Column:
     return F.lit("")
 
 
-def mark_duplicates(reviews: DataFrame, fingerprint: Column, group: Sequence[str] = ("link",), place: str = "pos") -> DataFrame:
-    """Adds ``is_duplicate`` and ``duplicate_of`` (the first place of an equal fingerprint in the group).
+def mark_duplicates(reviews: DataFrame, key: Column, group: Sequence[str] = ("link",), place: str = "pos") -> DataFrame:
+    """Adds ``fingerprint`` (the key), ``is_duplicate`` and ``duplicate_of`` (the first place of an equal key in the group).
 
-    An empty fingerprint never is a duplicate.  Without ``group`` the whole table is one.
+    ``key`` is null where there is no text (``text.fingerprint_key``): that never is a duplicate.  Without ``group`` the
+    whole table is one.  Only keys that occur at two places are joined back, so the other
+    side of the join is the duplicates' first places alone.
     """
-    keys = [*group, "__fp"]
-    rows = reviews.withColumn("__fp", F.nullif(fingerprint, F.lit("")))
-    firsts = rows.where("__fp is not null").groupBy(*keys).agg(F.min(place).alias("__first"))
-    joined = rows.join(firsts, keys, "left")
+    keys = [*group, "fingerprint"]
+    rows = reviews.withColumn("fingerprint", key)
+    places = rows.select(*keys, place).where("fingerprint is not null").groupBy(*keys).agg(F.min(place).alias("__first"), F.max(place).alias("__last"))
+    joined = rows.join(places.where("__last > __first").drop("__last"), keys, "left")
     late = F.col(place) > F.col("__first")
-    return joined.withColumn("is_duplicate", F.coalesce(late, F.lit(False))).withColumn("duplicate_of", F.when(late, F.col("__first"))).drop("__first").withColumnRenamed("__fp", "fingerprint")
+    return joined.withColumn("is_duplicate", F.coalesce(late, F.lit(False))).withColumn("duplicate_of", F.when(late, F.col("__first"))).drop("__first")
 
 
 def identity(comment_id: Column, author: Column, time: Column, content: Column, rating: Column) -> Column:
@@ -63,9 +66,14 @@ def last_of(rows: DataFrame, key: str, place: str = "ordinal") -> DataFrame:
     return rows.join(ends, [key, place]).withColumn(place, F.col("__first")).drop("__first")
 
 
-def order_low_to_high(comments: Column) -> Column:
-    """An array of reviews by star, those without one last; stable."""
-    keyed = F.transform(comments, lambda r, i: F.struct(F.when(r["rating"].between(1, 5), r["rating"]).otherwise(6).alias("star"), i.alias("i"), r.alias("r")))
+def order_low_to_high(comments: Column, recorded: str | None = None) -> Column:
+    """An array of reviews by star, those without one last; stable.  ``recorded`` names a field that says under which star one was collected, which counts first."""
+
+    def star(r):
+        own = F.when(F.coalesce(r["rating"], F.lit(0)) != 0, F.concat(r["rating"].cast("int").cast("string"), F.lit("_star")))
+        return star_number(own if recorded is None else F.coalesce(F.nullif(r[recorded].cast("string"), F.lit("")), own))
+
+    keyed = F.transform(comments, lambda r, i: F.struct(star(r).alias("star"), i.alias("i"), r.alias("r")))
     return F.transform(F.array_sort(keyed), lambda x: x["r"])
 
 
@@ -81,9 +89,10 @@ def star_total(detailed: Column) -> Column:
 
 
 def belongs_to_filter(source_filter: Column, rating: Column, wanted: Column) -> Column:
-    """Was a review collected under a star filter: by what was recorded, else by its rating."""
-    recorded = F.regexp_extract(F.coalesce(source_filter.cast("string"), F.lit("")), r"([1-5])", 1).try_cast("int")
-    return F.coalesce(F.coalesce(recorded, rating.cast("int")) == wanted, F.lit(False))
+    """Was a review collected under a star filter: by the very filter that was recorded (``3_star`` or 3), else by its rating."""
+    shown, star = F.nullif(source_filter.cast("string"), F.lit("")), wanted.cast("int").cast("string")
+    own = F.coalesce(rating.try_cast("double").cast("int"), F.lit(0)) == wanted
+    return F.when(shown.isNotNull(), (shown == star) | (shown == F.concat(star, F.lit("_star")))).otherwise(own)
 
 
 def all_of_star(ratings: Column, star: Column) -> Column:
@@ -127,6 +136,11 @@ def running_index(rows: DataFrame, outer: str, inner: str, name: str = "global_i
     return rows.withColumn("__r", rank).join(bases, outer).withColumn(name, F.col("__base") + F.col("__r")).drop("__base", "__r")
 
 
+def missing_places(wanted: Column, given: Column) -> Column:
+    """The indices of a batch that got no label, in order."""
+    return F.array_sort(F.array_except(wanted, given))
+
+
 def restore_labels(products: DataFrame, labelled: DataFrame, label: str = "label") -> DataFrame:
     """Labels (outer_idx, comment_idx, label) put back into the products' reviews."""
     maps = labelled.groupBy("outer_idx").agg(F.map_from_entries(F.collect_list(F.struct("comment_idx", label))).alias("__labels"))

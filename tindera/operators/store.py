@@ -10,10 +10,12 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import review_key
+from ..functions import urls as U
+from ..functions.numbers import reliability
+from ..functions.text import iso_now, review_key
 
 SCHEMAS = {
     "products": "link string, name string, platform string, category string, price string, rating double, review_count long, risk_score double, reliability_score double, source string, raw_json string, updated_at string",
@@ -25,13 +27,43 @@ UPDATED = ("sentiment", "risk_detected", "raw_json")
 
 
 def upsert_products(existing: DataFrame, incoming: DataFrame, place: str = "ordinal") -> DataFrame:
-    """All columns of the last incoming row of a link replace the stored ones; blank links are skipped."""
-    rows = incoming.where(F.coalesce(F.trim("link"), F.lit("")) != "")
+    """All columns of the last incoming row of a link replace the stored ones; links are trimmed and blank ones skipped."""
+    rows = incoming.withColumn("link", F.trim(F.coalesce("link", F.lit("")))).where("link != ''")
     columns = existing.columns
     newest = rows.groupBy("link").agg(F.max_by(F.struct(*columns), place).alias("r")).select("r.*")
     return existing.join(newest.select("link"), "link", "left_anti").select(*columns).unionByName(newest)
 
 
+def product_store_rows(products: DataFrame, source: str = "", now: Column | None = None) -> DataFrame:
+    """Rows of the ``products`` table out of analysed products (``ordinal`` and ``raw``, a variant), with ``ordinal``."""
+    get = lambda path, kind="string": F.try_variant_get(F.col("raw"), f"$.{path}", kind)
+    text = lambda path, default="": F.coalesce(F.nullif(get(path), F.lit("")), F.lit(default))
+    link = F.trim(text("link"))
+    is_list = F.coalesce(F.schema_of_variant(get("comments", "variant")).startswith("ARRAY"), F.lit(False))
+    comments = F.when(is_list, get("comments", "array<variant>"))
+    score, positive = get("sentiment_summary.risk_score", "double"), get("sentiment_summary.sentiment_ratios.positive", "double")
+    rows = products.select(
+        "ordinal", link.alias("link"), text("name", "Unnamed product").alias("name"), U.platform_name(U.product_platform(get("platform"), link)).alias("platform"), text("category").alias("category"),
+        text("price").alias("price"), get("rating", "double").alias("rating"), F.coalesce(F.size(F.filter(comments, lambda c: F.schema_of_variant(c).startswith("OBJECT"))), F.lit(0)).cast("long").alias("review_count"),
+        score.alias("risk_score"), reliability(score, positive).alias("reliability_score"), F.lit(source).alias("source"), F.to_json("raw").alias("raw_json"),
+        (iso_now() if now is None else now).alias("updated_at"),
+    )
+    return rows.withColumn("review_count", F.greatest("review_count", F.lit(0).cast("long"))).where("link != ''")
+
+
+def review_store_rows(products: DataFrame) -> DataFrame:
+    """Rows of the ``reviews`` table out of the same products, without their key; ``ordinal`` is their order over all."""
+    link = F.trim(F.coalesce(F.try_variant_get(F.col("raw"), "$.link", "string"), F.lit("")))
+    is_list = F.coalesce(F.schema_of_variant(F.try_variant_get(F.col("raw"), "$.comments", "variant")).startswith("ARRAY"), F.lit(False))
+    rows = products.select("ordinal", link.alias("product_link"), F.when(is_list, F.try_variant_get(F.col("raw"), "$.comments", "array<variant>")).alias("c")).where("product_link != ''")
+    rows = rows.select("ordinal", "product_link", F.posexplode("c").alias("pos", "r")).where(F.schema_of_variant("r").startswith("OBJECT"))
+    get = lambda path, kind="string": F.try_variant_get(F.col("r"), f"$.{path}", kind)
+    return rows.select(
+        F.struct("ordinal", "pos").alias("ordinal"), "product_link", get("author").alias("author"), get("rating", "int").alias("rating"), get("time").alias("reviewed_at"), get("content").alias("content"),
+        get("sentiment_analysis.label").alias("sentiment"), F.coalesce(get("sentiment_analysis.risk.detected", "boolean"), F.lit(False)).cast("int").alias("risk_detected"), F.to_json("r").alias("raw_json"),
+    )
+
+
 def with_review_key(reviews: DataFrame) -> DataFrame:
     return reviews.withColumn("review_key", review_key(F.col("product_link"), F.col("author"), F.col("reviewed_at"), F.col("content")))
 
@@ -111,6 +143,10 @@ class Store:
         self.replace("products", upsert_products(self.read("products"), products))
         self.replace("reviews", upsert_reviews(self.read("reviews"), with_review_key(reviews)))
 
+    def save_products(self, products: DataFrame, source: str = "") -> None:
+        """Analysed products (``ordinal`` and ``raw``) with their reviews, by link and by review key."""
+        self.save(product_store_rows(products, source), review_store_rows(products))
+
     def append(self, table: str, rows: DataFrame) -> None:
         self.replace(table, append_rows(self.read(table), rows))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,44 +19,44 @@ def risk_score(negative_ratio: Column, failure_rate: Column) -> Column:
     return 100 * (NEGATIVE_WEIGHT * negative_ratio + FAILURE_WEIGHT * failure_rate)
 
 
-def summarise(reviews: DataFrame, products: DataFrame | None = None, label: str = "label", compound: str = "compound", detected: str = "detected", rounded: bool = True) -> DataFrame:
+def summarise(reviews: DataFrame, products: DataFrame | None = None, label: str = "label", compound: str = "compound", detected: str = "detected", rounded: bool = True, keys: Sequence[str] = ("link",)) -> DataFrame:
     """Per product: counts and shares of labels, mean compound, risk counts and score.
 
     Duplicates and reviews with an empty fingerprint are left out; ``duplicate_review_count`` counts
-    the former.  With ``products`` those without reviews are kept, with zeros.
+    the former and ``all_reviews`` every row.  With ``products`` those without reviews are kept, with zeros.
     """
     counted = ~F.col("is_duplicate") & F.col("fingerprint").isNotNull()
-    n = F.count_if(counted)
     share = lambda c: F.when(F.col("review_count") > 0, F.col(c) / F.col("review_count")).otherwise(0.0)
-    out = reviews.groupBy("link").agg(
-        n.alias("review_count"),
+    out = reviews.groupBy(*keys).agg(
+        F.count_if(counted).alias("review_count"),
         *[F.count_if(counted & (F.col(label) == x)).alias(x) for x in ("positive", "neutral", "negative")],
         F.avg(F.when(counted, F.col(compound))).alias("average_compound"),
         F.count_if(counted & F.col(detected)).alias("risk_review_count"),
         F.count_if("is_duplicate").alias("duplicate_review_count"),
+        F.count("*").alias("all_reviews"),
     )
     if products is not None:
-        out = products.select("link").join(out, "link", "left").na.fill(0)
+        out = products.select(*keys).join(out, list(keys), "left").na.fill(0)
     out = out.withColumn("average_compound", F.coalesce("average_compound", F.lit(0.0)))
-    r = (lambda c, d: N.round_half_even(c, F.lit(d))) if rounded else (lambda c, d: c)
+    r = N.round_half_even if rounded else (lambda c, d: c)
     return out.select(
-        "link", "review_count", "positive", "neutral", "negative",
+        *keys, "review_count", "positive", "neutral", "negative",
         *[r(share(x), 4).alias(f"{x}_ratio") for x in ("positive", "neutral", "negative")],
         r(F.col("average_compound"), 4).alias("average_compound"), "risk_review_count",
         r(share("risk_review_count"), 4).alias("keyword_failure_rate"),
-        r(risk_score(share("negative"), share("risk_review_count")), 2).alias("risk_score"), "duplicate_review_count",
+        r(risk_score(share("negative"), share("risk_review_count")), 2).alias("risk_score"), "duplicate_review_count", "all_reviews",
     )
 
 
-def category_counts(reviews: DataFrame) -> DataFrame:
+def category_counts(reviews: DataFrame, keys: Sequence[str] = ("link",)) -> DataFrame:
     """(link, category, n): reviews with a risk of the category, each once."""
     counted = reviews.where(~F.col("is_duplicate") & F.col("fingerprint").isNotNull())
-    return counted.select("link", F.explode(F.array_distinct("categories")).alias("category")).groupBy("link", "category").agg(F.count("*").alias("n"))
+    return counted.select(*keys, F.explode(F.array_distinct("categories")).alias("category")).groupBy(*keys, "category").agg(F.count("*").alias("n"))
 
 
-def category_map(counts: DataFrame) -> DataFrame:
+def category_map(counts: DataFrame, keys: Sequence[str] = ("link",)) -> DataFrame:
     """The counts as one map per product, by name."""
-    return counts.groupBy("link").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("risk_categories"))
+    return counts.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("risk_categories"))
 
 
 def keyword_counts(reviews: DataFrame, most: int | None = None) -> DataFrame:
@@ -81,7 +83,7 @@ def level_distribution(products: DataFrame, score: Column) -> DataFrame:
 def landing_stats(products: DataFrame) -> DataFrame:
     """Totals over products with ``n_comments``, ``risk_score`` (null: not analysed) and ``positive_ratio``."""
     score = F.col("risk_score")
-    trust = F.when(score.isNull(), F.lit(100.0)).otherwise(N.reliability(score, F.col("positive_ratio")))
+    trust = N.reliability(score, F.col("positive_ratio"))
     return products.agg(
         F.count("*").alias("products"), F.coalesce(F.sum("n_comments"), F.lit(0)).cast("long").alias("comments"),
         F.count_if(N.risk_level(score) == "High").alias("high"), F.count_if(score.isNotNull()).alias("analysed"),

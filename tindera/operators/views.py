@@ -13,26 +13,35 @@ BANDS = ("all", "below 500", "500 to 1000", "1000 to 2500", "above 2500")
 
 
 def product_rows(products: DataFrame) -> DataFrame:
-    """The display columns of each product: ``comments`` array and ``risk_score``/``positive_ratio`` of its summary (null: none)."""
+    """The 13 display columns of each product: ``comments`` array and ``risk_score``/``positive_ratio`` of its summary (null: none)."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     score, positive = F.col("risk_score"), F.col("positive_ratio")
     platform = U.product_platform(F.col("platform"), F.col("link"))
     return products.select(
-        F.col("img").alias("image"), F.coalesce("name", F.lit("")).alias("product"), F.replace(F.coalesce("price", F.lit("")), F.lit(N.MISREAD_PESO), F.lit("₱")).alias("price"),
-        N.price_value(F.col("price")).alias("price_value"), N.rating_value(F.col("rating")).alias("rating"), F.coalesce(F.size("comments"), F.lit(0)).alias("reviews"),
-        F.coalesce(F.col("total_rating").try_cast("long"), F.lit(0)).alias("total_ratings"), "location", U.platform_name(platform).alias("platform"),
-        F.coalesce(score, F.lit(0.0)).alias("risk_score"), N.risk_level(score).alias("level"), F.when(score.isNull(), 100.0).otherwise(N.reliability(score, positive)).alias("reliability"), "link",
+        text("img").alias("image"), text("name").alias("product"), F.replace(text("price"), F.lit(N.MISREAD_PESO), F.lit("₱")).alias("price"),
+        N.price_value(F.col("price")).alias("price_value"), N.rating_value(F.col("rating")).alias("rating"), F.greatest(F.lit(0), F.coalesce(F.size("comments"), F.lit(0))).alias("reviews"),
+        F.coalesce(F.col("total_rating").try_cast("long"), F.lit(0)).alias("total_ratings"), text("location").alias("location"), U.platform_name(platform).alias("platform"),
+        score.alias("risk_score"), N.risk_level(score).alias("level"), N.reliability(score, positive).alias("reliability"), text("link").alias("link"),
     )
 
 
 def review_rows(reviews: DataFrame, product: str = "product") -> DataFrame:
-    """The display columns of analysed review rows."""
+    """The 12 display columns of analysed review rows; a review that wasn't analysed has no compound."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    whole = lambda c: F.coalesce(F.col(c).try_cast("double").cast("long"), F.lit(0))
     return reviews.select(
-        product, F.coalesce("author", F.lit("")).alias("author"), F.coalesce("rating", F.lit(0)).alias("rating"), F.coalesce("time", F.lit("")).alias("time"), "variation",
-        F.coalesce("content", F.lit("")).alias("review"), F.coalesce("label", F.lit("unanalyzed")).alias("sentiment"), F.coalesce("compound", F.lit(0.0)).alias("compound"),
-        F.coalesce("detected", F.lit(False)).alias("flagged"), F.coalesce(F.array_join("categories", ", "), F.lit("")).alias("categories"), F.coalesce("is_duplicate", F.lit(False)).alias("duplicate"), "link",
+        text(product).alias("product"), text("author").alias("author"), whole("rating").alias("stars"), text("time").alias("date"), text("content").alias("review"), whole("like_count").alias("likes"),
+        F.coalesce("label", F.lit("unanalyzed")).alias("sentiment"), "compound", F.coalesce("detected", F.lit(False)).alias("risk"),
+        F.coalesce(F.array_join("categories", ", "), F.lit("")).alias("risk_categories"), F.coalesce("is_duplicate", F.lit(False)).alias("duplicate"), text("link").alias("product_link"),
     )
 
 
+def selected(rows: DataFrame, link: str | None) -> DataFrame:
+    """The row of a link, else the first one in input order; no row of an empty table."""
+    order = [F.desc(F.coalesce(F.col("link") == F.lit(link), F.lit(False)).cast("int")), F.asc("ordinal")]
+    return rows.orderBy(*order).limit(1)
+
+
 def name_contains(name: Column, query: str) -> Column:
     return F.contains(F.lower(F.coalesce(name, F.lit(""))), F.lit(query.lower()))
 

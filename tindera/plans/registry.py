@@ -6,9 +6,7 @@ conversations are reviews, line items are ratings, labels are judgements, events
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -21,9 +19,7 @@ from ..operators import ranking, reviews, store, summary, views
 from ..operators.text_model import TextModel, severity_score
 from ..sources import pages as P
 from ..streaming import collect as C
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .base import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: Terms that do occur in the test tables.
 RISK = [RiskTerm("worthless", "quality", 3, "en"), RiskTerm("trash", "defect", 2, "en"), RiskTerm("that the", "performance", 1, "en"), RiskTerm("that", "safety", 1, "en"), RiskTerm("clown", "counterfeit", 3, "en")]
@@ -34,20 +30,6 @@ def model() -> TextModel:
     return TextModel(SENTIMENT, RISK, negators=())
 
 
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def parts(spark, sf_dir) -> DataFrame:
     """Products out of parts."""
     size = F.col("p_size")
@@ -67,7 +49,7 @@ parts AS (SELECT p_partkey AS ordinal, 'https://shopee.ph/product/1/' || p_partk
 norm AS (SELECT *, least(1.0, greatest(0.0, CASE WHEN coalesce(risk_score, 0) > 1 THEN coalesce(risk_score, 0) / 100 ELSE coalesce(risk_score, 0) END))::DOUBLE AS risk,
   CASE WHEN substr(price, 2)::DOUBLE > 0 THEN substr(price, 2)::DOUBLE ELSE 0 END AS price_value FROM parts),
 shown AS (SELECT *, CASE WHEN risk >= 0.61 THEN 'High' WHEN risk >= 0.31 THEN 'Moderate' ELSE 'Low' END AS level,
-  CASE WHEN risk_score IS NULL THEN 100.0 ELSE 100 * greatest(0.0, least(1.0, positive_ratio) - risk) END::DOUBLE AS reliability FROM norm)
+  round_even(100 * greatest(0.0, least(1.0, CASE WHEN positive_ratio > 1 THEN positive_ratio / 100 ELSE positive_ratio END) - risk), 1)::DOUBLE AS reliability FROM norm)
 """
 
 
@@ -78,10 +60,18 @@ def doc_reviews(spark, sf_dir) -> DataFrame:
 
 def analysed(spark, sf_dir) -> DataFrame:
     rows = summary.analyse_reviews(doc_reviews(spark, sf_dir), model())
-    return reviews.mark_duplicates(rows, T.native_fingerprint(F.col("content")))
+    return reviews.mark_duplicates(rows, T.fingerprint_key(F.col("content")))
+
 
+def _fp(text: str) -> str:
+    """The fingerprint of a text in compatibility form, up to spellings and case rules that keep texts apart or alike in the same way."""
+    plain = f"replace(regexp_replace(lower(coalesce({text}, '')), '[’`]', '''', 'g'), 'ß', 'ss')"
+    for old, new in T.SPELLINGS.items():
+        plain = f"regexp_replace({plain}, '(^|[^\\p{{L}}\\p{{N}}_]){old}($|[^\\p{{L}}\\p{{N}}_])', '\\1{new}\\2', 'g')"
+    return f"trim(regexp_replace(regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}_\\p{{S}}\\p{{M}}]', ' ', 'g'), ' +', ' ', 'g'))"
 
-_FP = "trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[’`]', '''', 'g'), '[^\\p{L}\\p{N}_\\p{S}\\p{M}]', ' ', 'g'), ' +', ' ', 'g'))"
+
+_FP = _fp("text")
 
 
 def _has(term: str) -> str:
@@ -105,16 +95,15 @@ marked AS (SELECT *, min(pos) OVER (PARTITION BY link, f) AS first, f <> '' AND
 )
 def review_risk_summary(spark, sf_dir):
     s = summary.summarise(analysed(spark, sf_dir), rounded=False)
-    totals = doc_reviews(spark, sf_dir).groupBy("link").agg(F.count("*").alias("comments"))
-    return s.join(totals, "link").select(
-        "link", "comments", F.col("review_count").alias("unique_reviews"), F.col("duplicate_review_count").alias("duplicates"), F.col("risk_review_count").alias("risky"),
+    return s.select(
+        "link", F.col("all_reviews").alias("comments"), F.col("review_count").alias("unique_reviews"), F.col("duplicate_review_count").alias("duplicates"), F.col("risk_review_count").alias("risky"),
         F.col("keyword_failure_rate").alias("failure_rate"), N.risk_level(F.col("keyword_failure_rate")).alias("level"),
     )
 
 
 @query(
-    f"""WITH {_PARTS} SELECT CAST(NULL AS VARCHAR) AS image, name AS product, price, price_value, CASE WHEN rating BETWEEN 0 AND 5 THEN rating END AS rating, n_comments AS reviews, total_rating AS total_ratings,
-    location, 'Shopee' AS platform, coalesce(risk_score, 0.0) AS risk_score, level, reliability, link FROM shown"""
+    f"""WITH {_PARTS} SELECT '' AS image, name AS product, price, price_value, CASE WHEN rating BETWEEN 0 AND 5 THEN rating END AS rating, n_comments AS reviews, total_rating AS total_ratings,
+    coalesce(location, '') AS location, 'Shopee PH' AS platform, risk_score, level, reliability, link FROM shown"""
 )
 def product_rows(spark, sf_dir):
     return views.product_rows(parts(spark, sf_dir))
@@ -154,7 +143,7 @@ def slug(spark, sf_dir):
 
 @query(
     """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'lazada' WHEN page_id % 3 = 1 THEN 'unsupported' ELSE 'shopee' END AS market,
-    CASE WHEN page_id % 3 = 0 THEN 'Lazada' ELSE 'Shopee' END AS shown FROM pages"""
+    CASE WHEN page_id % 3 = 0 THEN 'Lazada PH' ELSE 'Shopee PH' END AS shown FROM pages"""
 )
 def marketplace_detect(spark, sf_dir):
     k = F.pmod("page_id", F.lit(3))
@@ -180,25 +169,25 @@ def category_page_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", U.category_page_url(link, F.pmod("page_id", F.lit(7))).alias("page_url"), U.lazada_category_url(F.lit("/products/x.html")).alias("product"))
 
 
-@query(f"WITH {_PARTS} SELECT link, risk, level, CASE WHEN risk_score IS NULL THEN 100.0 ELSE 100 * (1 - risk) END::DOUBLE AS plain, reliability FROM shown")
+@query(f"WITH {_PARTS} SELECT link, risk, level, round_even(100 * (1 - risk), 1)::DOUBLE AS plain, reliability FROM shown")
 def risk_normalize(spark, sf_dir):
     score = F.col("risk_score")
     return parts(spark, sf_dir).select(
         "link", N.risk_fraction(score).alias("risk"), N.risk_level(score).alias("level"), N.reliability(score).alias("plain"),
-        F.when(score.isNull(), 100.0).otherwise(N.reliability(score, F.col("positive_ratio"))).alias("reliability"),
+        N.reliability(score, F.col("positive_ratio")).alias("reliability"),
     )
 
 
 @query(f"WITH {_MARKED} SELECT link, pos, dup AS is_duplicate, CASE WHEN dup THEN first END AS duplicate_of FROM marked")
 def fingerprint_dedupe(spark, sf_dir):
-    return reviews.mark_duplicates(doc_reviews(spark, sf_dir), T.native_fingerprint(F.col("content"))).select("link", "pos", "is_duplicate", "duplicate_of")
+    return reviews.mark_duplicates(doc_reviews(spark, sf_dir), T.fingerprint_key(F.col("content"))).select("link", "pos", "is_duplicate", "duplicate_of")
 
 
 @query(f"SELECT doc_id, f <> '' AND doc_id > first AS is_duplicate, CASE WHEN f <> '' AND doc_id > first THEN first END AS duplicate_of FROM (SELECT doc_id, {_FP} AS f, min(doc_id) OVER (PARTITION BY {_FP}) AS first FROM documents)")
 def csv_dedupe_global(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     text = reviews.review_text(docs.columns)
-    return reviews.mark_duplicates(docs, T.native_fingerprint(text), group=(), place="doc_id").select("doc_id", "is_duplicate", "duplicate_of")
+    return reviews.mark_duplicates(docs, T.fingerprint_key(text), group=(), place="doc_id").select("doc_id", "is_duplicate", "duplicate_of")
 
 
 @query("SELECT link, pos FROM (SELECT user_id AS link, event_id AS pos, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id) AS k FROM events) WHERE k = 1")
@@ -233,21 +222,40 @@ def keyword_counts(spark, sf_dir):
     return summary.keyword_counts(rows).select("link", "term", "n")
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT source AS link, doc_id AS pos, {_occurrences('worthless')} AS w, {_occurrences('trash')} AS t FROM documents),
+    n AS (SELECT link, 'worthless' AS term, sum(w)::BIGINT AS n, min(CASE WHEN w > 0 THEN pos * 10 END) AS first FROM c GROUP BY link
+      UNION ALL SELECT link, 'trash', sum(t)::BIGINT, min(CASE WHEN t > 0 THEN pos * 10 + (w > 0)::INT END) FROM c GROUP BY link)
+    SELECT link, term, n, row_number() OVER (PARTITION BY link ORDER BY n DESC, first, term)::INT AS rank FROM n WHERE n > 0"""
+)
 def keyword_counts_topk(spark, sf_dir):
-    return summary.keyword_counts(analysed(spark, sf_dir), most=8).select("link", "rank", "term", "n")
+    rows = summary.analyse_reviews(doc_reviews(spark, sf_dir), TextModel([], RISK[:2], negators=()))
+    return summary.keyword_counts(rows, most=8).select("link", "rank", "term", "n")
 
 
 @query()
 def text_analysis(spark, sf_dir):
     rows = doc_reviews(spark, sf_dir).withColumn("a", TextModel().analyse(F.col("content")))
-    return rows.select("link", "pos", "a.label", "a.scores.neg", "a.scores.neu", "a.scores.pos", "a.scores.compound", F.size("a.sentiment_evidence").alias("evidence"), "a.risk.detected")
+    a = lambda path: F.col(f"a.{path}")
+    return rows.select(
+        "link", "pos", a("label").alias("label"), a("scores.neg").alias("neg"), a("scores.neu").alias("neu"), a("scores.pos").alias("positive"), a("scores.compound").alias("compound"),
+        F.size("a.sentiment_evidence").alias("evidence"), a("risk.detected").alias("detected"), F.array_join(a("risk.categories"), ",").alias("categories"),
+    )
 
 
-@query()
+@query(
+    f"""WITH {_MARKED}, s AS (SELECT link, count(*) AS all_reviews, count(*) FILTER (f <> '' AND NOT dup) AS review_count, count(*) FILTER (dup) AS duplicate_review_count, count(*) FILTER (f <> '' AND NOT dup AND risky) AS risk_review_count FROM marked GROUP BY link),
+    cat AS (SELECT link, unnest(['quality', 'defect', 'performance', 'safety', 'counterfeit']) AS category, unnest([quality, defect, performance, safety, counterfeit]) AS has FROM marked WHERE f <> '' AND NOT dup),
+    maps AS (SELECT link, '{{' || string_agg('"' || category || '":' || n, ',' ORDER BY category) || '}}' AS risk_categories FROM (SELECT link, category, count(*) AS n FROM cat WHERE has GROUP BY ALL) GROUP BY link)
+    SELECT link, all_reviews, review_count, duplicate_review_count, risk_review_count, round_even(CASE WHEN review_count > 0 THEN risk_review_count / review_count ELSE 0 END, 4)::DOUBLE AS keyword_failure_rate,
+      round_even(CASE WHEN review_count > 0 THEN 100 * (0.3::DOUBLE * 0.0 + 0.7::DOUBLE * (risk_review_count / review_count)) ELSE 0 END, 2)::DOUBLE AS risk_score, risk_categories
+    FROM s LEFT JOIN maps USING (link)"""
+)
 def product_summary(spark, sf_dir):
-    rows = analysed(spark, sf_dir)
-    return summary.summarise(rows).join(summary.category_map(summary.category_counts(rows)).select("link", F.to_json("risk_categories").alias("risk_categories")), "link", "left")
+    rows = summary.analyse_reviews(doc_reviews(spark, sf_dir), TextModel([], RISK, negators=()))
+    rows = reviews.mark_duplicates(rows, T.fingerprint_key(F.col("content")))
+    maps = summary.category_map(summary.category_counts(rows)).select("link", F.to_json("risk_categories").alias("risk_categories"))
+    return summary.summarise(rows).join(maps, "link", "left").select("link", "all_reviews", "review_count", "duplicate_review_count", "risk_review_count", "keyword_failure_rate", "risk_score", "risk_categories")
 
 
 @query(
@@ -268,10 +276,10 @@ def level_distribution(spark, sf_dir):
     return summary.level_distribution(parts(spark, sf_dir), F.col("risk_score")).select("level", "n")
 
 
-@query(f"WITH {_PARTS} SELECT count(*) AS products, sum(n_comments)::BIGINT AS comments, count(*) FILTER (level = 'High') AS high, count(risk_score) AS analysed FROM shown")
+@query(f"WITH {_PARTS} SELECT count(*) AS products, sum(n_comments)::BIGINT AS comments, count(*) FILTER (level = 'High') AS high, count(risk_score) AS analysed, round(avg(reliability), 6)::DOUBLE AS mean_reliability FROM shown")
 def landing_stats(spark, sf_dir):
     rows = parts(spark, sf_dir).withColumn("n_comments", F.size("comments"))
-    return summary.landing_stats(rows).drop("mean_reliability")
+    return summary.landing_stats(rows).withColumn("mean_reliability", F.round("mean_reliability", 6))
 
 
 @query(
@@ -314,21 +322,25 @@ def page_slice(spark, sf_dir):
     return _grid(spark, sf_dir, "reliability", 3)
 
 
-@query(f"WITH {_PARTS} SELECT name AS product, 'Shopee' AS platform, risk_score, level FROM shown WHERE level = 'High'")
+@query(f"WITH {_PARTS} SELECT name AS product, 'Shopee PH' AS platform, risk_score, level FROM shown WHERE level = 'High'")
 def high_risk_flags(spark, sf_dir):
     return views.high_risk(views.product_rows(parts(spark, sf_dir)))
 
 
 @query(
-    """WITH s AS (SELECT s_suppkey AS ordinal, s_suppkey::VARCHAR AS link, (s_nationkey * 31 + s_suppkey % 3)::VARCHAR AS category, (s_suppkey % 97)::DOUBLE AS reliability, s_suppkey % 5 AS review_count, s_suppkey % 7 > 0 AS analysed FROM supplier)
+    """WITH s AS (SELECT s_suppkey AS ordinal, s_suppkey::VARCHAR AS link, CASE WHEN s_suppkey % 11 > 1 THEN (s_nationkey * 31 + s_suppkey % 3)::VARCHAR || 'kind' WHEN s_suppkey % 11 = 1 THEN '  ' END AS category,
+      (CASE WHEN s_suppkey % 13 = 0 THEN 100.0 ELSE round_even(100 * greatest(0.0, (s_suppkey % 31) / 31.0::DOUBLE - (s_suppkey % 17) / 100.0::DOUBLE), 1) END)::DOUBLE AS reliability, s_suppkey % 5 AS review_count, s_suppkey % 7 > 0 AS analysed FROM supplier)
     SELECT link, rank, alternative FROM (SELECT a.link, b.link AS alternative,
-      row_number() OVER (PARTITION BY a.link ORDER BY (a.category = b.category) DESC, b.reliability DESC, b.review_count DESC, b.ordinal) AS rank FROM s a JOIN s b ON a.link <> b.link AND b.analysed) WHERE rank <= 3"""
+      row_number() OVER (PARTITION BY a.link ORDER BY coalesce(trim(a.category) <> '' AND trim(a.category) = trim(b.category), false) DESC, b.reliability DESC, b.review_count DESC, b.ordinal) AS rank
+      FROM s a JOIN s b ON a.link <> b.link AND b.analysed) WHERE rank <= 3"""
 )
 def rank_alternatives(spark, sf_dir):
     k = F.col("s_suppkey")
+    name = F.concat((F.col("s_nationkey") * 31 + k % 3).cast("string"), F.when(k % 2 == 0, "KIND ").otherwise("kind"))
+    risk, positive = (k % 17).cast("double"), F.when(k % 13 > 0, k % 31 / F.lit(31.0))
     rows = table(spark, sf_dir, "supplier").select(
-        k.alias("ordinal"), k.cast("string").alias("link"), (F.col("s_nationkey") * 31 + k % 3).cast("string").alias("category"), (k % 97).cast("double").alias("reliability"),
-        (k % 5).alias("review_count"), (k % 7 > 0).alias("analysed"),
+        k.alias("ordinal"), k.cast("string").alias("link"), F.when(k % 11 > 1, F.concat(F.lit(" "), name)).when(k % 11 == 1, "  ").alias("category"),
+        N.reliability(F.when(k % 13 > 0, risk / 100), positive).alias("reliability"), (k % 5).alias("review_count"), (k % 7 > 0).alias("analysed"),
     )
     return ranking.rank_alternatives(rows, 3)
 
@@ -353,7 +365,12 @@ def label_metrics(spark, sf_dir):
     return E.label_metrics(_judged(spark, sf_dir)).select("label", "support", "precision", "recall")
 
 
-@query()
+@query(
+    f"""WITH {_PAIRS}, m AS (SELECT x, (SELECT coalesce(sum(n), 0) FROM p WHERE actual = x AND predicted = x) AS tp, (SELECT coalesce(sum(n), 0) FROM p WHERE actual = x) AS s, (SELECT coalesce(sum(n), 0) FROM p WHERE predicted = x) AS c FROM l),
+    q AS (SELECT CASE WHEN c > 0 THEN tp / c ELSE 0 END::DOUBLE AS pr, CASE WHEN s > 0 THEN tp / s ELSE 0 END::DOUBLE AS re FROM m)
+    SELECT (SELECT sum(n)::BIGINT FROM p) AS sample_count, round_even((SELECT sum(n) FILTER (actual = predicted) / sum(n) FROM p), 4)::DOUBLE AS accuracy, round_even(avg(pr), 4)::DOUBLE AS precision,
+      round_even(avg(re), 4)::DOUBLE AS recall, round_even(avg(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END), 4)::DOUBLE AS f1 FROM q"""
+)
 def macro_metrics(spark, sf_dir):
     return E.macro_metrics(_judged(spark, sf_dir))
 
@@ -440,8 +457,8 @@ def star_limits(spark, sf_dir):
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN p_size / 10.0 >= 2.5 AND p_partkey % 200 >= 100 THEN 'accepted' ELSE 'rejected' END AS status,
-    concat_ws(',', CASE WHEN p_size / 10.0 < 2.5 THEN 'rating_below_minimum' END, CASE WHEN p_partkey % 200 < 100 THEN 'reviews_below_minimum' END) AS reasons FROM part"""
+    """SELECT p_partkey, CASE WHEN p_size / 10.0 >= 2.5 AND p_partkey % 200 >= 100 THEN 'qualified' ELSE 'rejected' END AS status,
+    concat_ws(',', CASE WHEN p_size / 10.0 < 2.5 THEN 'rating_below_minimum' END, CASE WHEN p_partkey % 200 < 100 THEN 'review_count_below_minimum' END) AS reasons FROM part"""
 )
 def qualification(spark, sf_dir):
     q = Q.qualify(F.col("p_size") / 10, F.col("p_partkey") % 200, 2.5, 100)
@@ -449,15 +466,24 @@ def qualification(spark, sf_dir):
 
 
 @query(
-    """SELECT o_orderkey, s IN ('next_button_disabled', 'empty_review_page') AND c = 'all' OR s = 'no_reviews' OR c = '5' AS terminal, o_orderkey % 9 > 0 AND o_orderkey % 5 < o_orderkey % 9 AND NOT (s IN ('next_button_disabled', 'no_reviews') AND c = 'all') AS incomplete
-    FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'next_button_disabled' WHEN 1 THEN 'no_reviews' WHEN 2 THEN 'empty_review_page' ELSE 'page_transition_failed' END AS s, CASE WHEN o_orderkey % 3 = 0 THEN 'all' ELSE '5' END AS c FROM orders)"""
+    """WITH c AS (SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'next_button_disabled' WHEN 1 THEN 'no_reviews' WHEN 2 THEN 'empty_review_page' ELSE 'page_transition_failed' END AS s,
+      CASE o_orderkey % 3 WHEN 0 THEN 'all' WHEN 1 THEN '5' ELSE '4' END AS c, o_orderkey % 5 > 1 AS every, o_orderkey % 7 = 0 AS none FROM orders)
+    SELECT k AS o_orderkey, none OR s = 'no_reviews' OR (s IN ('next_button_disabled', 'empty_review_page') AND (c = 'all' OR (c = '5' AND every))) AS terminal,
+      s = 'no_reviews' OR (s IN ('next_button_disabled', 'empty_review_page') AND c IN ('all', '4')) AS terminal_four,
+      k % 9 > 0 AND k % 5 < k % 9 AND NOT (s IN ('next_button_disabled', 'no_reviews') AND c = 'all') AS shopee,
+      NOT (k % 9 > 0 AND (k % 5 >= k % 9 OR none OR s = 'no_reviews' OR (s IN ('next_button_disabled', 'empty_review_page') AND (c = 'all' OR (c = '5' AND every))))) OR k % 13 = 0 AS lazada,
+      NOT ((s IN ('next_button_disabled', 'no_reviews') AND c = 'all') OR (k % 9 > 0 AND k % 5 >= k % 9)) AS temu FROM c"""
 )
 def terminal_checkpoint(spark, sf_dir):
     k = F.col("o_orderkey")
     stop = F.when(k % 4 == 0, "next_button_disabled").when(k % 4 == 1, "no_reviews").when(k % 4 == 2, "empty_review_page").otherwise("page_transition_failed")
-    rows = table(spark, sf_dir, "orders").withColumn("cp", F.struct(stop.alias("stop_reason"), F.when(k % 3 == 0, "all").otherwise("5").alias("context")))
-    filters = F.array(*[F.lit(i) for i in range(1, 6)])
-    return rows.select("o_orderkey", Q.terminal(F.col("cp"), "all", filters).alias("terminal"), Q.incomplete(k % 9, k % 5, F.col("cp")).alias("incomplete"))
+    rows = table(spark, sf_dir, "orders").withColumn("cp", F.struct(stop.alias("stop_reason"), F.when(k % 3 == 0, "all").when(k % 3 == 1, "5").otherwise("4").alias("context")))
+    filters = F.when(k % 5 > 1, F.array(*[F.lit(i) for i in range(1, 6)])).when(k % 5 == 1, F.array(F.lit(5)))
+    ended = Q.terminal(F.col("cp"), filters, review_status=F.when(k % 7 == 0, "no_reviews"))
+    return rows.select(
+        "o_orderkey", ended.alias("terminal"), Q.terminal(F.col("cp"), filters, rating=4).alias("terminal_four"), Q.incomplete(k % 9, k % 5, F.col("cp")).alias("shopee"),
+        Q.incomplete(k % 9, k % 5, F.col("cp"), "lazada", ended, F.when(k % 13 == 0, "stars unconfirmed")).alias("lazada"), Q.incomplete(k % 9, k % 5, F.col("cp"), "temu").alias("temu"),
+    )
 
 
 @query(
@@ -553,16 +579,27 @@ def html_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", P.title(F.col("html")).alias("title"), P.link_count(F.col("html")).alias("links"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href="[^"]*"', 0)) AS tag, generate_subscripts(regexp_extract_all(html, '(?i)<a\\s[^>]*href="[^"]*"', 0), 1) - 1 AS place FROM pages)
+    SELECT page_id, place::INT AS place, replace(replace(regexp_extract(tag, '(?i)href="([^"]*)"', 1), '&amp;', '&'), '&quot;', '"') AS href FROM t"""
+)
 def html_links(spark, sf_dir):
-    return P.anchors(table(spark, sf_dir, "pages"), "page_id").select("page_id", "place", "href", "text")
+    return P.anchors(table(spark, sf_dir, "pages"), "page_id").select("page_id", "place", "href")
 
 
-@query()
+_ESCAPED = """replace(replace(replace(replace(replace(coalesce(nullif(text, ''), 'No written review'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')"""
+
+
+@query(f"SELECT doc_id, regexp_replace(CASE WHEN doc_id % 2 = 0 THEN regexp_replace({_ESCAPED}, '(worthless)', '<mark>\\1</mark>', 'gi') ELSE {_ESCAPED} END, '(worth)', '<mark>\\1</mark>', 'gi') AS html FROM documents")
 def highlight(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.highlight(["worthless", "trash"])(F.col("text")).alias("html"))
+    terms = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("worth"), F.lit("worthless"))).otherwise(F.array(F.lit("worth"), F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", T.highlight(F.col("text"), terms).alias("html"))
 
 
-@query()
+@query("SELECT p_partkey, '₱' || printf('%.1f', p_retailprice) || ' é' AS price FROM part")
 def mojibake_repair(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", T.repair(F.concat(F.lit("â‚±"), F.col("p_retailprice").cast("string"))).alias("price"))
+    shown = F.concat(F.lit("  â‚±"), F.format_string("%.1f", "p_retailprice"), F.lit("\n Ã©"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.repair(shown).alias("price"))
+
+
+from . import queries_files, queries_model, queries_more, queries_pages  # noqa: E402, F401  they register themselves

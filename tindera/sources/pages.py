@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -69,17 +70,12 @@ class Node:
             yield n
             stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
 
+    def elements(self) -> list[Node]:
+        return [c for c in self.children if isinstance(c, Node)]
+
     def matches(self, selector: str) -> bool:
-        """A selector of one element: ``tag.class[attribute*="part"]``, each part optional."""
-        m = re.fullmatch(r"([\w*-]*)((?:\.[\w-]+)*)(?:\[([\w-]+)(?:(\*?=)[\"']?([^\"'\]]*)[\"']?)?\])?", selector)
-        if m is None:
-            raise ValueError(f"unknown selector {selector!r}")
-        tag, classes, name, how, part = m.groups()
-        own = (self.attributes.get("class") or "").split()
-        if (tag and tag not in ("*", self.tag)) or any(c not in own for c in classes.split(".")[1:]):
-            return False
-        value = self.attributes.get(name) if name else ""
-        return value is not None and (not how or (part in value if how == "*=" else part == value))
+        """Does one of the selector's alternatives fit this element?"""
+        return any(_fits(self, chain, len(chain) - 1) for chain in _parsed(selector))
 
     def find(self, *selectors: str) -> list[Node]:
         """All below that match the first selector that matches any."""
@@ -89,8 +85,78 @@ class Node:
         return []
 
     def first(self, *selectors: str) -> str:
-        found = self.find(*selectors)
-        return found[0].text() if found else ""
+        """The text of the first element with one: selectors in turn, elements in order."""
+        for s in selectors:
+            for n in self.find(s):
+                if text := n.text():
+                    return text
+        return ""
+
+    def attribute(self, name: str, *selectors: str) -> str:
+        """The first value of an attribute that isn't empty: selectors in turn, elements in order."""
+        for s in selectors:
+            for n in self.find(s):
+                if value := (n.attributes.get(name) or "").strip():
+                    return value
+        return ""
+
+    def up(self) -> Iterable[Node]:
+        n = self.parent
+        while n is not None and n.tag:
+            yield n
+            n = n.parent
+
+
+_SIMPLE = re.compile(r"""(?P<tag>[\w*-]*)(?P<names>(?:[.#][\w-]+)*)(?P<tests>(?:\[[^\]]*\])*)(?P<first>:first-child)?""")
+_TEST = re.compile(r"""\[\s*([\w-]+)\s*(?:(\*?=)\s*(?:"([^"]*)"|'([^']*)'|([^\s\]"']+))\s*(i)?\s*)?\]""")
+
+
+@lru_cache(512)
+def _parsed(selector: str) -> list[list]:
+    """A selector as alternatives; each a chain of (is a direct child, tag, classes, id, attribute tests, is first)."""
+    out = []
+    for part in re.split(r",(?![^\[]*\])", selector):
+        chain, direct = [], False
+        for word in re.findall(r">|(?:\[[^\]]*\]|[^\s>\[])+", part.strip()):
+            if word == ">":
+                direct = True
+                continue
+            m = _SIMPLE.fullmatch(word)
+            if m is None:
+                raise ValueError(f"unknown selector {selector!r}")
+            names = re.findall(r"[.#][\w-]+", m["names"])
+            tests = [(n, how, a or b or c, bool(fold)) for n, how, a, b, c, fold in _TEST.findall(m["tests"])]
+            chain.append((direct, m["tag"], {n[1:] for n in names if n[0] == "."}, next((n[1:] for n in names if n[0] == "#"), None), tests, bool(m["first"])))
+            direct = False
+        if not chain:
+            raise ValueError(f"unknown selector {selector!r}")
+        out.append(chain)
+    return out
+
+
+def _fits(node: Node, chain: list, k: int) -> bool:
+    direct, tag, classes, own_id, tests, first = chain[k]
+    if (tag and tag not in ("*", node.tag)) or not node.tag or (own_id is not None and node.attributes.get("id") != own_id):
+        return False
+    if classes and not classes <= set((node.attributes.get("class") or "").split()):
+        return False
+    for name, how, part, fold in tests:
+        value = node.attributes.get(name)
+        if value is None:
+            return False
+        if fold:
+            value, part = value.lower(), part.lower()
+        if how and not (part in value if how == "*=" else part == value):
+            return False
+    if first and (node.parent is None or node.parent.elements()[0] is not node):
+        return False
+    if k == 0:
+        return True
+    above = node.up()
+    if direct:
+        parent = next(above, None)
+        return parent is not None and _fits(parent, chain, k - 1)
+    return any(_fits(n, chain, k - 1) for n in above)
 
 
 class _Builder(HTMLParser):
@@ -155,6 +221,22 @@ def extract(pages: DataFrame, key: str, records: Sequence[str], fields: Mapping[
     return out.withColumnRenamed("k", key)
 
 
+def records(pages: DataFrame, key: str, scan: Callable[[Node], list[dict]], columns: str, html: str = "html") -> DataFrame:
+    """One row per record that ``scan`` finds in a page's tree: ``key``, ``place`` and the ``columns`` (``name type, ...``)."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for k, text in zip(frame["k"], frame["html"]):
+                rows += [(k, i, *(r.get(n) for n in names)) for i, r in enumerate(scan(tree(text)))]
+            yield pd.DataFrame(rows, columns=["k", "place", *names])
+
+    kind = pages.schema[key].dataType.simpleString()
+    source = pages.select(F.col(key).alias("k"), F.col(html).alias("html"))
+    return source.mapInPandas(run, f"k {kind}, place int, {columns}").withColumnRenamed("k", key)
+
+
 def anchors(pages: DataFrame, key: str) -> DataFrame:
     """All links of a page, in order."""
     return extract(pages, key, ["a[href]"], {"href": ["@href"], "text": [":text"]})
@@ -162,7 +244,11 @@ def anchors(pages: DataFrame, key: str) -> DataFrame:
 
 def json_ld_product(html: str | None) -> str | None:
     """The first item of a page's JSON-LD whose type is a product, as JSON; depth first through lists and objects."""
-    for script in tree(html).find("script[type=application/ld+json]"):
+    return json_ld_of(tree(html))
+
+
+def json_ld_of(root: Node) -> str | None:
+    for script in root.find('script[type="application/ld+json"]'):
         try:
             stack = [json.loads("".join(c for c in script.children if isinstance(c, str)))]
         except ValueError:

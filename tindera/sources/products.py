@@ -13,24 +13,28 @@ from ..operators.schemas import PRODUCT
 ALIASES = {"actual": ("actual_label", "true_label", "label"), "predicted": ("predicted_label", "prediction"), "text": ("review_text", "text", "content")}
 
 
-def read_products(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Products of JSON files: a list, or an object with a ``products`` list; a byte order mark is allowed.
+def read_elements(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """All elements of the product lists of JSON files, objects or not: ``path``, ``ordinal`` (place in the list) and ``raw`` (variant).
 
-    Elements that aren't objects are dropped.  Output: ``path``, ``ordinal`` (place in the list) and ``raw``
-    (variant).  A file that isn't such a list is an error, or without ``strict`` has no products.
+    A file is a list, or an object with a ``products`` list (none at all is an empty one); a byte order mark is allowed.  Any other
+    file is an error, or without ``strict`` has no products.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    parsed = files.withColumn("v", F.try_parse_json("value"))
-    listed = F.when(F.schema_of_variant("v").startswith("OBJECT"), F.expr("try_variant_get(v, '$.products', 'variant')")).otherwise(F.col("v"))
-    rows = parsed.select("path", listed.alias("v"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    v = F.try_parse_json("value")
+    kind = F.schema_of_variant(v)
+    wrapped = F.coalesce(F.try_variant_get(v, "$.products", "variant"), F.parse_json(F.lit("[]")))
+    rows = files.select("path", F.when(kind.startswith("OBJECT"), wrapped).otherwise(v).alias("v"))
     good = F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False))
     if strict:
         rows = rows.withColumn("v", F.when(good, F.col("v")).otherwise(F.raise_error(F.concat(F.lit("no list of products in "), F.col("path"))).cast("variant")))
     else:
         rows = rows.where(good)
-    rows.createOrReplaceTempView("__product_files")
-    out = spark.sql("SELECT path, e.pos AS ordinal, e.value AS raw FROM __product_files, LATERAL variant_explode(v) e")
-    return out.where(F.schema_of_variant("raw").startswith("OBJECT"))
+    return rows.select("path", F.posexplode(F.col("v").cast("array<variant>")).alias("ordinal", "raw"))
+
+
+def read_products(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """The elements of ``read_elements`` that are objects."""
+    return read_elements(spark, path, strict).where(F.schema_of_variant("raw").startswith("OBJECT"))
 
 
 def field(name: str, kind: str = "string", raw: str = "raw") -> Column:
@@ -51,12 +55,12 @@ def resume_products(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_review_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV of reviews: header, all columns text, quoted line breaks; an empty file is an error."""
+    """A CSV of reviews: header, all columns text (empty ones too), quoted line breaks; an empty file is an error."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
-    rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
+    rows = rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
     if not rows.columns or rows.isEmpty():
         raise ValueError(f"no rows in {path}")
-    return rows
+    return rows.na.fill("")
 
 
 def read_evaluation_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -72,13 +76,16 @@ def evaluation_columns(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c).alias(k) for k, c in found.items() if c is not None])
 
 
-def result_files(spark: SparkSession, folder: str, globs: tuple[str, ...] = ("*.json",)) -> DataFrame:
-    """(path, modified, bytes) of result files, newest first, without analysed ones; no content is read."""
-    out = None
-    for g in globs:
-        part = spark.read.format("binaryFile").option("pathGlobFilter", g).option("recursiveFileLookup", True).load(folder).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
-        out = part if out is None else out.unionAll(part)
-    return out.distinct().where(~F.col("path").rlike(r"_analyzed\.[a-z]+$")).orderBy(F.desc("modified"), "path")
+# What result files are called.
+RESULTS = ("shopee_ph_*.json", "lazada_ph_*.json", "temu_ph_*.json")
+
+
+def result_files(spark: SparkSession, folder: str, globs: tuple[str, ...] = RESULTS) -> DataFrame:
+    """(path, modified, bytes) of result files in a folder, newest first, without analysed ones; no content is read."""
+    pattern = globs[0] if len(globs) == 1 else "{" + ",".join(globs) + "}"
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    found = found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    return found.where(~F.col("path").rlike(r"_analyzed\.[A-Za-z]+$")).orderBy(F.desc("modified"), "path")
 
 
 def first_usable(spark: SparkSession, folder: str, uploaded: str | None = None, **options) -> tuple[DataFrame | None, str | None]:

@@ -6,32 +6,43 @@ import csv
 import io
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.urls import MARKETPLACES
 
-def json_array(rows: DataFrame) -> Iterator[bytes]:
-    """One pretty UTF-8 JSON array, in pieces; partitions come to the driver one by one."""
-    yield b"["
+
+def json_array(rows: DataFrame, column: str | None = None, before: bytes = b"", after: bytes = b"") -> Iterator[bytes]:
+    """One pretty UTF-8 JSON array, in pieces; partitions come to the driver one by one.
+
+    Elements are the rows, or the JSON texts of ``column``.  ``before`` and ``after`` stand around the array.
+    """
+    yield before + b"["
     first = True
-    for row in rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+    element = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}) if column is None else F.col(column)
+    for row in rows.select(element.alias("j")).toLocalIterator():
         text = json.dumps(json.loads(row["j"]), ensure_ascii=False, indent=2)
         yield ((b"\n" if first else b",\n") + text.encode())
         first = False
-    yield b"]" if first else b"\n]"
+    yield (b"]" if first else b"\n]") + after
+
 
+def csv_export(rows: DataFrame, header: Sequence[str] | None = None) -> Iterator[bytes]:
+    """CSV with a byte order mark and a header, in pieces; nothing at all for an empty table.
 
-def csv_export(rows: DataFrame) -> Iterator[bytes]:
-    """CSV with a byte order mark and a header, in pieces; nothing at all for an empty table."""
+    ``header`` names the columns that are written, in order; others are left out, and missing ones are empty.
+    """
+    names = list(header or rows.columns)
+    picked = rows.select(*[F.col(f"`{n}`") if n in rows.columns else F.lit("").alias(n) for n in names])
     head = False
-    for row in rows.toLocalIterator():
+    for row in picked.toLocalIterator():
         out = io.StringIO()
         writer = csv.writer(out)
         if not head:
-            out.write("﻿")
-            writer.writerow(rows.columns)
+            out.write("\ufeff")
+            writer.writerow(names)
             head = True
         writer.writerow(["" if v is None else v for v in row])
         yield out.getvalue().encode()
@@ -44,29 +55,43 @@ def analysed_path(path: str, kind: str | None = None) -> str:
 
 
 def write_analysed(rows: DataFrame, source: str, target: str | None = None, kind: str = "json") -> str:
-    """Write a table beside its input; never over the input, nor over an earlier result."""
+    """Write a table as a folder beside its input; never over the input, nor over an earlier result."""
     target = target or analysed_path(source, kind)
-    if target.rstrip("/") == source.rstrip("/"):
-        raise ValueError("the output would replace the input")
+    refuse_same(source, target)
     writer = rows.write.mode("errorifexists")
     writer.json(target) if kind == "json" else writer.option("header", True).option("escape", '"').csv(target)
     return target
 
 
+def refuse_same(source: str, target: str) -> None:
+    if target.rstrip("/") == source.rstrip("/"):
+        raise ValueError("the output would replace the input")
+
+
+def backup_path(path: str) -> str:
+    """Where the original of a file is kept before labels are put into it."""
+    return path.replace(".json", "_backup.json")
+
+
 def snapshot(spark: SparkSession, pieces: Iterator[bytes], path: str) -> None:
     """Write a file whole or not at all: under a temporary name beside it, then renamed over it."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    staged = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    staged = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}.tmp")
     out = fs.create(staged, True)
-    for piece in pieces:
-        out.write(bytearray(piece))
-    out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(staged, target):
-        raise OSError(f"cannot rename to {path}")
+    try:
+        for piece in pieces:
+            out.write(bytearray(piece))
+        out.close()
+        # A rename that overwrites is one step: a crash leaves the old file or the new one.
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fs.makeQualified(staged), fs.makeQualified(target), options)
+    except BaseException:
+        fs.delete(staged, False)
+        raise
 
 
 def save_discovery_checkpoint(spark: SparkSession, path: str, source: dict, completed_pages: dict, products: int) -> None:
@@ -75,5 +100,5 @@ def save_discovery_checkpoint(spark: SparkSession, path: str, source: dict, comp
 
 
 def output_path(folder: str, market: str, words_slug: str) -> str:
-    """Where the result of a search goes."""
-    return f"{folder.rstrip('/')}/{market}_{words_slug or 'search'}.json"
+    """Where the result of a search goes; an unknown marketplace counts as shopee."""
+    return f"{folder.rstrip('/')}/{market if market in MARKETPLACES else 'shopee'}_ph_{words_slug or 'search'}.json"
