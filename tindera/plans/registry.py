@@ -19,7 +19,7 @@ from ..operators import ranking, reviews, store, summary, views
 from ..operators.text_model import TextModel, severity_score
 from ..sources import pages as P
 from ..streaming import collect as C
-from .base import ORACLES, QUERIES, query, table  # noqa: F401
+from .base import ORACLES, QUERIES, query, spread, table  # noqa: F401
 
 #: Terms that do occur in the test tables.
 RISK = [RiskTerm("worthless", "quality", 3, "en"), RiskTerm("trash", "defect", 2, "en"), RiskTerm("that the", "performance", 1, "en"), RiskTerm("that", "safety", 1, "en"), RiskTerm("clown", "counterfeit", 3, "en")]
@@ -55,7 +55,7 @@ shown AS (SELECT *, CASE WHEN risk >= 0.61 THEN 'High' WHEN risk >= 0.31 THEN 'M
 
 def doc_reviews(spark, sf_dir) -> DataFrame:
     """Reviews out of documents: the source is the product, the id the place."""
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("link"), F.col("doc_id").alias("pos"), F.col("text").alias("content"), "lang")
+    return spread(table(spark, sf_dir, "documents").select(F.col("source").alias("link"), F.col("doc_id").alias("pos"), F.col("text").alias("content"), "lang"))
 
 
 def analysed(spark, sf_dir) -> DataFrame:
@@ -185,7 +185,7 @@ def fingerprint_dedupe(spark, sf_dir):
 
 @query(f"SELECT doc_id, f <> '' AND doc_id > first AS is_duplicate, CASE WHEN f <> '' AND doc_id > first THEN first END AS duplicate_of FROM (SELECT doc_id, {_FP} AS f, min(doc_id) OVER (PARTITION BY {_FP}) AS first FROM documents)")
 def csv_dedupe_global(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = reviews.review_text(docs.columns)
     return reviews.mark_duplicates(docs, T.fingerprint_key(text), group=(), place="doc_id").select("doc_id", "is_duplicate", "duplicate_of")
 
