@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -25,11 +26,10 @@ Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
-_IP_LONG = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
+# A match never begins within a run of digits: what fails at its first digit fails at all others.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LONG_NUMBER = re.compile(r"[0-9]{200}")
 _DIGIT = re.compile(r"[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -71,8 +71,7 @@ def plain_spans(text: str) -> list[Span]:
     """The undisguised identifiers of a text, leftmost and without overlap within each kind."""
     found: list[Span] = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        pattern = _IP_LONG if _LONG_NUMBER.search(text) else _IP
-        found += [("ip", m.start(), m.end()) for m in pattern.finditer(text) if all(map(_small, m.group().split(".")))]
+        found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(map(_small, m.group().split(".")))]
         for m in _CARD.finditer(text):
             digits = _digits(m.group())
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -111,21 +110,37 @@ _VALUE = {w: str(k) for k, words in enumerate(SPELLED) for w in words}
 _WORD = "(?:" + "|".join(sorted(_VALUE, key=len, reverse=True)) + ")"
 _DOT_WORD = "(?:dot|punkt|point|punto)"
 _GAP = r"[\s().,_-]{1,3}"
+# Blanks are matched possessively (``++``), and only from the first of a run on, so that no text takes more than linear time.
+_AROUND_DOT = rf"\s*+[\[({{]?\s*+\b{_DOT_WORD}\b\s*+[\])}}]?\s*+"
 #: Digits, some of them words: at least two spelled ones beside each other, or one beside digits after a plus.
-_SPELLED_PAIR = re.compile(rf"\b{_WORD}{_GAP}(?:(?:double|triple)\s+)?{_WORD}\b|\b{_WORD}{_GAP}[0-9]|[0-9]{_GAP}{_WORD}\b|\b(?:plus\s+|\+\s*){_WORD}\b", re.I)
-_TOKEN = rf"(?:(?:(?:double|triple)\s+)?\b{_WORD}\b|[0-9]+)"
-_RUN = re.compile(rf"(?:(?:\bplus\b|\+)[\s(]*)?{_TOKEN}(?:(?:{_GAP}|\s*[\[({{]?\s*\b{_DOT_WORD}\b\s*[\])}}]?\s*|\s*\.\s*)?{_TOKEN}){{3,}}", re.I)
-_IN_RUN = re.compile(rf"(?P<plus>\bplus\b\s*)|(?P<twice>(?:double|triple)\s+)?\b(?P<word>{_WORD})\b|(?P<dot>\s*[\[({{]?\s*\b{_DOT_WORD}\b\s*[\])}}]?\s*)", re.I)
-_BETWEEN_WORDS = re.compile(rf"(?<=[a-zß-ÿ])[\s,_-]{{1,3}}(?=(?:(?:double|triple)\s+)?{_WORD}\b)", re.I)
-
-_AT_BRACKET = re.compile(r"\s*[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*|\s*(?:&#64;|&commat;|%40)\s*|(?<=[A-Za-z0-9])_(?:at)_(?=[A-Za-z0-9])", re.I)
-_DOT_BRACKET = re.compile(rf"\s*[\[({{<]\s*(?:{_DOT_WORD}|\.)\s*[\])}}>]\s*|&#46;|&period;|(?<=[A-Za-z0-9])_(?:dot)_(?=[A-Za-z0-9])", re.I)
-_AT_SPACED = re.compile(r"(?<=[A-Za-z0-9])\s+@\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\s*@\s+(?=[A-Za-z0-9])")
-_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s{{1,3}}{_DOT_WORD}\s{{1,3}}[A-Za-z0-9_%+-]+){{0,3}}(?P<at>\s{{1,3}}at\s{{1,3}}|@)[A-Za-z0-9-]+(?:(?:\s{{1,3}}{_DOT_WORD}\s{{1,3}}|\.)[A-Za-z0-9-]+)*\s{{1,3}}{_DOT_WORD}\s{{1,3}}[A-Za-z0-9-]+", re.I)
-_BARE_PARTS = re.compile(rf"\s{{1,3}}(?:(?P<at>at)|{_DOT_WORD})\s{{1,3}}", re.I)
-_DOT_NUMBER = re.compile(rf"(?<=[0-9])\s*[\[({{]?\s*\b{_DOT_WORD}\b\s*[\])}}]?\s*(?=[0-9])", re.I)
+_SPELLED_PAIR = re.compile(rf"\b{_WORD}{_GAP}(?:(?:double|triple)\s++)?{_WORD}\b|\b{_WORD}{_GAP}[0-9]|[0-9]{_GAP}{_WORD}\b|(?:\bplus\s++|\+\s*+){_WORD}\b", re.I)
+_TOKEN = rf"(?:(?:(?:double|triple)\s++)?\b{_WORD}\b|[0-9]++)"
+_RUN = re.compile(rf"(?:(?:\bplus\b|\+)[\s(]*+)?{_TOKEN}(?:(?:{_GAP}|{_AROUND_DOT}|\s*+\.\s*+)?{_TOKEN})++", re.I)
+#: Tokens in a run at least, and spelled or written digits.
+RUN_TOKENS = 4
+_TOKENS = re.compile(rf"\b{_WORD}\b|[0-9]", re.I)
+_IN_RUN = re.compile(rf"(?P<plus>\bplus\b\s*+)|(?P<twice>(?:double|triple)\s++)?\b(?P<word>{_WORD})\b|(?P<dot>(?<!\s){_AROUND_DOT})", re.I)
+_BETWEEN_WORDS = re.compile(rf"(?<=[a-zß-ÿ])[\s,_-]{{1,3}}(?=(?:(?:double|triple)\s++)?{_WORD}\b)", re.I)
+
+# What stands for an at sign or a full stop; the blanks around it go with it (see ``replace``).
+_AT_BRACKET = re.compile(r"[\[({<]\s*+(?:at|@|arroba|arobase|ät)\s*+[\])}>]|&#64;|&commat;|%40|(?<=[A-Za-z0-9])_(?:at)_(?=[A-Za-z0-9])", re.I)
+_DOT_BRACKET = re.compile(rf"[\[({{<]\s*+(?:{_DOT_WORD}|\.)\s*+[\])}}>]|&#46;|&period;|(?<=[A-Za-z0-9])_(?:dot)_(?=[A-Za-z0-9])", re.I)
+_AT_SPACED = re.compile(r"(?<=[A-Za-z0-9])\s++@\s*+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s++(?=[A-Za-z0-9])")
+# In each language, the words for an at sign and a full stop; words of two languages make no address.
+SPOKEN = (("at", "dot"), ("at", "punkt"), ("arobase", "point"), ("arroba", "punto"))
+
+
+def _spoken(at: str, dot: str) -> str:
+    """An address whose marks are words: after ``@`` any word for a full stop will do."""
+    between = rf"\s{{1,3}}{dot}\s{{1,3}}"
+    return rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:{between}[A-Za-z0-9_%+-]+){{0,3}}{at}[A-Za-z0-9-]+(?:(?:{between}|\.)[A-Za-z0-9-]+)*{between}[A-Za-z0-9-]+"
+
+
+_BARE = re.compile("|".join([_spoken(rf"\s{{1,3}}{a}\s{{1,3}}", d) for a, d in SPOKEN] + [_spoken("@", _DOT_WORD)]), re.I)
+_BARE_PARTS = re.compile(rf"\s{{1,3}}(?:(?P<at>at|arobase|arroba)|{_DOT_WORD})\s{{1,3}}", re.I)
+_DOT_NUMBER = re.compile(rf"(?<=[0-9]){_AROUND_DOT}(?=[0-9])", re.I)
 _DOT_SIGN = re.compile(rf"\b{_DOT_WORD}\b", re.I)
-_SIGNAL = re.compile(rf"[\[({{<]\s*(?:at|@|arroba|ät|\.|{_DOT_WORD})\s*[\])}}>]|_(?:at|dot)_|\s@|@\s|&#64;|&#46;|&commat;|&period;|%40", re.I)
+_SIGNAL = re.compile(rf"[\[({{<]\s*+(?:at|@|arroba|arobase|ät|\.|{_DOT_WORD})\s*+[\])}}>]|_(?:at|dot)_|\s@|@\s|&#64;|&#46;|&commat;|&period;|%40", re.I)
 
 
 @lru_cache(1)
@@ -177,13 +192,25 @@ class Rewriting:
         self.written = np.concatenate([*written, self.written[at:]])
 
     def replace(self, pattern: re.Pattern, put: str) -> None:
-        self.edit([(m.start(), m.end(), put) for m in pattern.finditer(self.text)])
+        """Matches and the blanks around them become ``put``."""
+        text, edits, done = self.text, [], 0
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            if a < done:  # the blanks before it went with the last one
+                continue
+            while a > done and text[a - 1].isspace():
+                a -= 1
+            while b < len(text) and text[b].isspace():
+                b += 1
+            edits.append((a, b, put))
+            done = b
+        self.edit(edits)
 
     def spelled(self) -> None:
         """Spelled digits in runs of at least four digits or words become digits; dots and a plus between them their marks."""
         edits = []
         for run in _RUN.finditer(self.text):
-            if not re.search(_WORD, run.group(), re.I):
+            if len(_TOKENS.findall(run.group())) < RUN_TOKENS or not re.search(_WORD, run.group(), re.I):
                 continue
             at = run.start()
             gaps = [(at + m.start(), at + m.end(), "") for m in _BETWEEN_WORDS.finditer(run.group())]
@@ -275,8 +302,15 @@ def disguised_spans(text: str, number: bool | None = None, dots: bool | None = N
 
 def all_spans(text: str, number: bool | None = None, dots: bool | None = None) -> tuple[list[Span], list[Span]]:
     """(plain spans, all spans).  A disguised one that lies within a plain one of its kind adds nothing."""
-    plain = plain_spans(text)
-    more = [s for s in disguised_spans(text, number, dots) if not any(p[0] == s[0] and p[1] <= s[1] and s[2] <= p[2] for p in plain)]
+    plain, more = plain_spans(text), disguised_spans(text, number, dots)
+    if more:
+        own = {kind: [(a, b) for k, a, b in plain if k == kind] for kind in KINDS}  # in order and disjoint
+
+        def within(kind: str, a: int, b: int) -> bool:
+            k = bisect_right(own[kind], (a, len(text) + 1)) - 1
+            return k >= 0 and b <= own[kind][k][1]
+
+        more = [s for s in more if not within(*s)]
     return plain, in_order(plain + more) if more else plain
 
 
@@ -305,7 +339,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     Input: ``doc_id`` and ``text``; other columns are ignored.  Output, one row per input row:
     ``doc_id``, ``n_email``, ``n_ip``, ``n_card``, ``n_phone`` (plain identifiers), ``base_sha256`` (digest of
     the plain spans) and ``spans`` (all spans, plain and disguised, as kind:start:end in code
-    points, end exclusive, by start, then kind).  A null text is empty and has none; a null
+    points, end exclusive, by start, then kind).  Whole texts of any length are read, in time that grows with
+    the length, whatever they hold.  A null text is empty and has none; a null
     doc_id stays null; repeated rows get equal results.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
