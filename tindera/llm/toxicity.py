@@ -26,12 +26,21 @@ L1 = 0.01
 L2, COUNTERFACTUAL, STEPS = 1e-6, 1.0, 400
 THRESHOLD = 0.7
 
-# Identity terms and what each is swapped for.
+# Identity terms and what each is swapped for, by language.
 IDENTITY_TERMS = (
-    ("women", "men"), ("woman", "man"), ("girl", "boy"), ("girls", "boys"), ("female", "male"), ("mother", "father"), ("wife", "husband"),
+    ("he", "she"), ("him", "her"), ("women", "men"), ("woman", "man"), ("girl", "boy"), ("girls", "boys"), ("female", "male"), ("mother", "father"), ("wife", "husband"),
     ("muslim", "christian"), ("muslims", "christians"), ("jewish", "catholic"), ("jews", "catholics"), ("hindu", "buddhist"), ("atheist", "believer"),
     ("black", "white"), ("african", "european"), ("asian", "american"), ("immigrant", "citizen"), ("immigrants", "citizens"), ("refugee", "resident"), ("foreigner", "local"),
     ("gay", "straight"), ("lesbian", "heterosexual"), ("transgender", "cisgender"), ("disabled", "abled"), ("blind", "sighted"), ("deaf", "hearing"), ("old", "young"), ("poor", "rich"),
+    # German
+    ("er", "sie"), ("frau", "mann"), ("frauen", "männer"), ("mädchen", "junge"), ("mutter", "vater"), ("muslime", "christen"), ("juden", "katholiken"), ("jüdisch", "katholisch"),
+    ("schwarze", "weiße"), ("ausländer", "inländer"), ("flüchtling", "einwohner"), ("flüchtlinge", "einwohner"), ("schwul", "hetero"), ("lesbisch", "heterosexuell"), ("behinderte", "gesunde"), ("türken", "deutsche"),
+    # French
+    ("il", "elle"), ("femme", "homme"), ("femmes", "hommes"), ("fille", "garçon"), ("mère", "père"), ("musulman", "chrétien"), ("musulmans", "chrétiens"), ("juif", "catholique"), ("juifs", "catholiques"),
+    ("noir", "blanc"), ("noirs", "blancs"), ("immigré", "citoyen"), ("immigrés", "citoyens"), ("réfugié", "habitant"), ("lesbienne", "hétérosexuelle"), ("handicapé", "valide"), ("arabes", "français"),
+    # Spanish
+    ("él", "ella"), ("mujer", "hombre"), ("mujeres", "hombres"), ("niña", "niño"), ("madre", "padre"), ("musulmán", "cristiano"), ("musulmanes", "cristianos"), ("judío", "católico"), ("judíos", "católicos"),
+    ("negro", "blanco"), ("negros", "blancos"), ("inmigrante", "ciudadano"), ("inmigrantes", "ciudadanos"), ("refugiado", "residente"), ("lesbiana", "heterosexual"), ("discapacitado", "capacitado"), ("gitanos", "payos"),
 )
 
 
@@ -160,7 +169,7 @@ def fit_weights(label, has, swapped, k: int, counterfactual: float = COUNTERFACT
     y = np.asarray(label, np.float64)
     n, ones = len(y), float(np.sum(label))
     if not 0 < ones < n:
-        return np.zeros(k), float(np.log((ones + 1) / (n - ones + 1)))
+        return np.zeros(k), 0.0
     weight = np.where(y > 0, 0.5 / ones, 0.5 / (n - ones))
     x = Rows(has)
     deltas = [(np.asarray(a), np.asarray(b)) for a, b in zip(has, swapped) if b is not None]
@@ -197,13 +206,14 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     """(text, label) of at most ``rows`` labelled documents: those whose doc_id has the least hash.
 
     Labels come from rows whose crc32(doc_id as text) mod 3 is not 1; of several labels of a
-    document, the largest counts.  Null ids and labels don't count.
+    document, the largest counts, and of several texts the least.  Null ids and labels don't count.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.join(F.broadcast(known), "doc_id").select("text", "label")
+    # One row for each id, however often it is repeated: the sample's bound is one of rows, too.
+    return docs.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
 
 def held_out(doc_id):
@@ -211,10 +221,10 @@ def held_out(doc_id):
 
 
 class Model:
-    """Sparse weights by feature hash (sorted), and a bias."""
+    """Sparse weights by feature hash (sorted), a bias, and how many examples had identity terms to swap."""
 
-    def __init__(self, names: np.ndarray, weights: np.ndarray, bias: float) -> None:
-        self.names, self.weights, self.bias = names, weights, bias
+    def __init__(self, names: np.ndarray, weights: np.ndarray, bias: float, n_swapped: int = 0) -> None:
+        self.names, self.weights, self.bias, self.n_swapped = names, weights, bias, n_swapped
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
@@ -233,13 +243,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, features: i
     each text's share of these, come to the driver.  Features of identity terms that the
     sample has always take part, so that the penalty holds them; those that it doesn't have weigh nothing,
     so that a term can't pass its weight on to a counterpart that no text speaks for.
+
+    With labels of one kind only, or none, there is nothing to learn: all texts score 0.5 and none is called toxic.
     """
     spark = docs.sparkSession
     labelled = sample(docs, labels, rows)
     sizes = {r["label"]: r["n"] for r in labelled.groupBy(F.when(F.col("label") > 0, 1).otherwise(0).alias("label")).agg(F.count("*").alias("n")).collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
     if not ones or not zeros:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((ones + 1) / (zeros + 1))))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
     labelled = labelled.select("text", F.when(F.col("label") > 0, 1).otherwise(0).alias("label"))
     counts = labelled.mapInArrow(tidied(_label_counts), "feature long, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     share = (F.col("ones") + F.col("zeros")) / F.lit(float(ones + zeros))
@@ -253,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, features: i
     swapped = [np.array(x) if x is not None else None for x in rows_["swapped"].to_pylist()]
     weights, bias = fit_weights(rows_["label"].to_numpy(), has, swapped, len(names), counterfactual, l1)
     used = np.flatnonzero(weights)
-    return Model(names[used], weights[used], bias)
+    return Model(names[used], weights[used], bias, sum(x is not None for x in swapped))
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -281,7 +293,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Input: ``doc_id`` and ``text``; other columns are ignored.  Output, one row per input row:
     ``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` (score >= 0.7).  A null or
-    wordless text gets the score of no features; a null doc_id stays null and is not held
+    wordless text gets the score of no features; texts of any length are read whole; a null doc_id stays null and is not held
     out; repeated rows get equal results.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
