@@ -103,10 +103,10 @@ _NODE = "CASE WHEN strpos({0}, '://') > 0 THEN (" + _HOST + ") || CASE WHEN rege
 OP2_SQL = f"""
 WITH RECURSIVE rules(h, p, v) AS (VALUES {_RULE_ROWS}),
 found AS (
-  SELECT url AS source, unnest([
-    regexp_extract(html, '<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'is'),
-    regexp_extract(html, '<link\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)["'']?[^>]*\\brel\\s*=\\s*["'']?canonical\\b', 1, 'is'),
-    regexp_extract(html, '<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*\\bcontent\\s*=\\s*["'']?[^"''>]*url\\s*=\\s*([^"''\\s>]+)', 1, 'is')]) AS target
+  SELECT url AS source, unnest(list_concat(
+    regexp_extract_all(html, '<link\\b[^<>]*\\brel\\s*=\\s*(?:"[^"<>]*\\bcanonical\\b|''[^''<>]*\\bcanonical\\b|canonical\\b)[^<>]*\\bhref\\s*=\\s*["'']?([^"''\\s<>]+)', 1, 'is'),
+    regexp_extract_all(html, '<link\\b[^<>]*\\bhref\\s*=\\s*["'']?([^"''\\s<>]+)["'']?[^<>]*\\brel\\s*=\\s*(?:"[^"<>]*\\bcanonical\\b|''[^''<>]*\\bcanonical\\b|canonical\\b)', 1, 'is'),
+    regexp_extract_all(html, '<meta\\b[^<>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^<>]*\\bcontent\\s*=\\s*["'']?[^"''<>]*url\\s*=\\s*([^"''\\s<>]+)', 1, 'is'))) AS target
   FROM pages WHERE url IS NOT NULL),
 links AS (SELECT source, target FROM found WHERE strpos(target, '://') > 0),
 urls AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION SELECT target FROM links) WHERE url IS NOT NULL),

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import ascii_lower
+from .shared import ascii_lower, settle
 
 #: (host, path, verdict): a host also stands for its subdomains, a path for all paths that begin with it.
 Rule = tuple[str, str, str]
 
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]+)"""
+# A tag ends at the latest where the next begins, so that a page of unclosed tags takes linear time.
+_CANONICAL = r"""(?is)<link\b(?=[^<>]*\brel\s*=\s*(?:"[^"<>]*\bcanonical\b|'[^'<>]*\bcanonical\b|canonical\b))[^<>]*?\bhref\s*=\s*["']?([^"'\s<>]+)"""
+_REFRESH = r"""(?is)<meta\b(?=[^<>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^<>]*?\bcontent\s*=\s*["']?[^"'<>]*?url\s*=\s*([^"'\s<>]+)"""
 
 
 def _rest(url: Column) -> Column:
@@ -66,12 +67,15 @@ def absolute(link: Column, base: Column) -> Column:
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """(source, target) URLs that name the same page.
 
-    From each page's canonical link and refresh, in the whole of its html, and from
+    From all canonical links and refreshes of each page, in the whole of its html however long it is, and from
     ``redirects`` (``source``, ``target``) if given.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    links = F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))
-    found = pages.where(F.col("url").isNotNull()).select("url", F.explode(F.filter(links, lambda x: x != "")).alias("link"))
+    links = F.array_union(F.regexp_extract_all(html, F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)))
+    # Most pages have neither word in a tag; a plain search for both spares them the patterns.
+    low = F.lower(html)
+    named = low.contains("canonical") | low.contains("refresh")
+    found = pages.where(F.col("url").isNotNull() & named).select("url", F.explode(links).alias("link"))
     edges = found.select(F.col("url").alias("source"), absolute(F.col("link"), F.col("url")).alias("target"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select("source", "target"))
@@ -96,7 +100,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None =
     judged = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
     judged = judged.withColumn("m", matching_rule(F.col("host"), F.col("path"), rules))
 
-    edges = alias_edges(pages, redirects)
+    edges = settle(alias_edges(pages, redirects).distinct(), "alias-edges")  # all html is read once
     ends = edges.select(F.explode(F.array("source", "target")).alias("url"))
     blocked = ends.where(matching_rule(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"] == "block")
     blocked = blocked.select(node_of(F.col("url")).alias("node")).distinct()
