@@ -55,7 +55,7 @@ def test_pretokens_equal_the_library():
     assert all(a.tolist() == pieces.library(t).tolist() for a, t in zip(pieces.encode(some), some))
 
 
-@pytest.mark.parametrize("limit", [token_counts.BROADCAST_PRETOKENS, 0])
+@pytest.mark.parametrize("limit", [token_counts.BLOCK_CHARS, 1, 20_000])
 def test_token_counts(docs, texts, limit):
     library = bpe.pieces_of(TOKENIZER).library
     want = Counter((i, len((t or "").encode()), len(library(t or ""))) for i, t in texts)

@@ -1,6 +1,12 @@
 """Token counts: pieces are counted once per distinct pre-token of the whole corpus,
 then joined to the pre-token frequencies of each document and summed.  No document's
 ids are materialised.
+
+Documents are taken in blocks of bounded size.  A block is a written row: its documents, its distinct
+pre-tokens, and every document's frequencies of them as packed arrays.  Each pre-token of a block is a
+row in one shuffle by pre-token; sorted there, equal ones follow each other, so that a
+stream counts each once and hands the count back to all blocks that asked.  A pre-token that every document has
+is one row per block.
 """
 
 from __future__ import annotations
@@ -12,129 +18,136 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .arrowtext import batch, tidied
+from .arrowtext import batch, pack_planes, tidied, unpack_planes
 from .shared import settle
 
-#: Pre-tokens whose counts are broadcast at most: 12 bytes each, so 48 MB.
-BROADCAST_PRETOKENS = 4_000_000
-
-
-def _distinct_pretokens(path: str):
-    schema = pa.schema([("hash", pa.int64()), ("pretoken", pa.string())])
-
-    def run(batches):
-        pieces = bpe.pieces_of(path)
-        seen = np.zeros(0, np.uint64)  # what this task has sent lately; a bounded filter, not needed for the result
-        for b in batches:
-            for _, _, texts in bpe.text_chunks(b.column(0)):
-                texts = [t for t in texts if not any(s in t for s in pieces.special)]
-                hashes, source, _, _ = pieces.pretokens(texts)
-                new = np.flatnonzero(~np.isin(hashes, seen, assume_unique=True))
-                if not len(new):
-                    continue
-                joined, s, e = source[0]
-                words = [joined[x:y] for x, y in zip(s[new].tolist(), e[new].tolist())]
-                seen = np.union1d(seen, hashes[new]) if len(seen) < bpe.MOST_KNOWN else hashes
-                yield batch({"hash": hashes[new].view(np.int64), "pretoken": words}, schema)
-
-    return run
-
-
-def _piece_counts(path: str):
-    schema = pa.schema([("hash", pa.int64()), ("n", pa.int32())])
-
+#: Characters in a block, about; a longer text is a block of its own.
+BLOCK_CHARS = 4_000_000
+
+_BLOCK = pa.schema([
+    ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("whole", pa.list_(pa.int64())),
+    ("hashes", pa.binary()), ("words", pa.list_(pa.string())), ("sizes", pa.binary()), ("steps", pa.binary()), ("freq", pa.binary()),
+])
+_BLOCK_SQL = "block long, ids array<long>, n_bytes array<long>, whole array<long>, hashes binary, words array<string>, sizes binary, steps binary, freq binary"
+_COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+
+
+class _Block:
+    """Documents under way to a row."""
+
+    def __init__(self) -> None:
+        self.chars = self.known = 0
+        self.ids, self.n_bytes, self.whole, self.words = [], [], [], []
+        self.hashes, self.sizes, self.at, self.freq = [], [], [], []
+
+    def add(self, pieces: bpe.Pieces, ids: list, texts: list[str]) -> None:
+        """``whole``: tokens of texts with added tokens, which the library counts as they are."""
+        own = [len(pieces.library(t)) if any(s in t for s in pieces.special) else -1 for t in texts]
+        distinct, source, index, first = pieces.pretokens(["" if n >= 0 else t for t, n in zip(texts, own)])
+        k = max(1, len(distinct))
+        pairs, freq = np.unique(np.repeat(np.arange(len(texts)), np.diff(first)) * k + index, return_counts=True)
+        self.sizes.append(np.bincount(pairs // k, minlength=len(texts)))
+        self.at.append(pairs % k + self.known)
+        self.freq.append(freq)
+        if len(distinct):
+            joined, s, e = source[0]
+            self.words += [joined[x:y] for x, y in zip(s.tolist(), e.tolist())]
+            self.hashes.append(distinct)
+            self.known += len(distinct)
+        self.ids += ids
+        self.n_bytes += [len(t.encode()) for t in texts]
+        self.whole += [max(0, n) for n in own]
+        self.chars += sum(map(len, texts))
+
+    def row(self, block: int) -> pa.RecordBatch:
+        distinct, first, new = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.hashes]), return_index=True, return_inverse=True)
+        at, sizes = np.concatenate([np.zeros(0, np.int64), *self.at]), np.concatenate(self.sizes)
+        at = new[at] if len(new) else at  # in order within each document, as hashes are
+        begin = np.cumsum(sizes) - sizes
+        steps = np.diff(at, prepend=0)
+        begin = begin[sizes > 0]
+        steps[begin] = at[begin]
+        planes = lambda x: pack_planes(x.astype(np.uint32))
+        out = {
+            "block": [block], "ids": [self.ids], "n_bytes": [self.n_bytes], "whole": [self.whole], "hashes": [distinct.tobytes()], "words": [[self.words[i] for i in first.tolist()]],
+            "sizes": [planes(sizes)], "steps": [planes(steps)], "freq": [planes(np.concatenate([np.zeros(0, np.int64), *self.freq]))],
+        }
+        return batch(out, _BLOCK)
+
+
+def _blocks(path: str, block_chars: int):
     def run(batches):
-        pieces = bpe.pieces_of(path)
+        pieces, name, own = bpe.pieces_of(path), TaskContext.get().partitionId() << 32, _Block()
         for b in batches:
-            if b.num_rows:
-                size, _ = pieces.pieces(b.column(1).to_pylist())
-                yield batch({"hash": b.column(0), "n": size.astype(np.int32)}, schema)
+            for lo, hi, texts in bpe.text_chunks(b.column(1)):
+                own.add(pieces, b.column(0)[lo:hi].to_pylist(), texts)
+                if own.chars >= block_chars:
+                    yield own.row(name)
+                    name, own = name + 1, _Block()
+        if own.ids:
+            yield own.row(name)
 
     return run
 
 
-def pretoken_table(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(hash, n): every distinct pre-token of the texts and its number of pieces."""
-    words = docs.select("text").mapInArrow(tidied(_distinct_pretokens(tokenizer_path)), "hash long, pretoken string")
-    words = words.groupBy("hash").agg(F.min("pretoken").alias("pretoken"))
-    return words.mapInArrow(tidied(_piece_counts(tokenizer_path)), "hash long, n int")
+def _requests(batches):
+    """A row for each distinct pre-token of a block, with its place there."""
+    schema = pa.schema([("hash", pa.int64()), ("block", pa.int64()), ("place", pa.int32()), ("word", pa.string())])
+    for b in batches:
+        for block, hashes, words in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            own = np.frombuffer(hashes.as_py(), np.int64)
+            yield batch({"hash": own, "block": np.full(len(own), block), "place": np.arange(len(own), dtype=np.int32), "word": words.values if len(own) else []}, schema)
 
 
-def _counts_by_broadcast(path: str, known):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+def _answers(path: str):
+    """Takes rows in order of the hash; counts the pieces of the first of equal ones for all of them."""
+    schema = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("n", pa.int32())])
 
     def run(batches):
-        pieces = bpe.pieces_of(path)
-        hashes, n = known.value
+        pieces, last, size = bpe.pieces_of(path), None, 0
         for b in batches:
-            for lo, hi, texts in bpe.text_chunks(b.column(1)):
-                whole = {i for i, t in enumerate(texts) if any(s in t for s in pieces.special)}
-                distinct, _, index, first = pieces.pretokens(["" if i in whole else t for i, t in enumerate(texts)])
-                each = n[np.searchsorted(hashes, distinct)][index] if len(index) else np.zeros(0, np.int64)
-                total = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])[first]
-                total = np.diff(total)
-                for i in whole:
-                    total[i] = len(pieces.library(texts[i]))
-                size = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
-                yield batch({"doc_id": b.column(0)[lo:hi], "n_bytes": size, "n_tokens": total}, schema)
+            if not b.num_rows:
+                continue
+            hashes = b.column(0).to_numpy()
+            new = np.ones(len(hashes), bool)
+            new[1:] = np.diff(hashes) != 0
+            new[0] = last is None or hashes[0] != last
+            found, _ = pieces.pieces(b.column(3).filter(pa.array(new)).to_pylist()) if new.any() else (np.zeros(0, np.int64), None)
+            n = np.concatenate([[size], found])[np.cumsum(new)]
+            last, size = hashes[-1], int(n[-1])
+            yield batch({"block": b.column(1), "place": b.column(2), "n": n.astype(np.int32)}, schema)
 
     return run
 
 
-def _frequencies(path: str):
-    """Rows (row, doc_id, n_bytes, whole, hash, freq): a document's pre-tokens; ``whole`` counts what the library took as it is."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("whole", pa.int64()), ("hash", pa.int64()), ("freq", pa.int32())])
-
-    def run(batches):
-        pieces = bpe.pieces_of(path)
-        row = TaskContext.get().partitionId() << 40
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            for lo, _, texts in bpe.text_chunks(b.column(1)):
-                for i, t in enumerate(texts):
-                    row += 1
-                    special = any(s in t for s in pieces.special)
-                    distinct, _, index, _ = pieces.pretokens(["" if special else t])
-                    k = max(1, len(distinct))
-                    yield batch(
-                        {
-                            "row": np.full(k, row), "doc_id": [ids[lo + i]] * k, "n_bytes": np.full(k, len(t.encode())),
-                            "whole": np.full(k, len(pieces.library(t)) if special else 0),
-                            "hash": distinct.view(np.int64) if len(distinct) else np.zeros(1, np.int64),
-                            "freq": np.bincount(index, minlength=k).astype(np.int32) if len(distinct) else np.zeros(1, np.int32),
-                        },
-                        schema,
-                    )
-
-    return run
+def _sums(block: pa.Table, answers: pa.Table) -> pa.Table:
+    """The documents of a block: frequencies times pieces, summed."""
+    n = np.zeros(max(1, answers.num_rows), np.int64)
+    n[answers.column("place").to_numpy()] = answers.column("n").to_numpy()
+    sizes, steps, freq = (unpack_planes(block.column(c)[0].as_py(), np.uint32).astype(np.int64) for c in ("sizes", "steps", "freq"))
+    ends = np.cumsum(sizes)
+    total = np.cumsum(steps)
+    start = (ends - sizes)[sizes > 0]
+    # Steps begin anew with each document: what was summed up before it comes off.
+    at = total - np.repeat(total[start] - steps[start], sizes[sizes > 0]) if len(steps) else steps
+    tokens = np.concatenate([[0], np.cumsum(freq * n[at])])
+    whole = np.array(block.column("whole")[0].as_py(), np.int64)
+    return pa.table({"doc_id": block.column("ids")[0].values, "n_bytes": block.column("n_bytes")[0].values, "n_tokens": whole + tokens[ends] - tokens[ends - sizes]}, _COUNTS)
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, broadcast_pretokens: int = BROADCAST_PRETOKENS) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Count the tokens of every whole text.
 
     Input: ``doc_id`` and ``text``; other columns are ignored.  Output, one row per
     input row: ``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens``.  A null text is empty and has
-    none of either; a null ``doc_id`` stays null; repeated rows are each counted; an empty
+    none of either; texts of any length are counted whole; a null ``doc_id`` stays null; repeated rows are each counted; an empty
     table gives an empty result.
 
-    The table of distinct pre-tokens is computed once.  If it has at most
-    ``broadcast_pretokens`` rows it goes to all executors; beyond, each document's
-    pre-token frequencies are dealt by pre-token, joined there (one row per document and
-    pre-token, so a frequent one is split as a skewed join), and summed by row.
+    Blocks are written once, so that what asks and what is answered is the same, whatever tasks are run again.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = settle(pretoken_table(docs, tokenizer_path), "pretokens")
-    if known.count() <= broadcast_pretokens:
-        rows = known.toArrow()
-        hashes = rows["hash"].to_numpy().view(np.uint64)
-        order = np.argsort(hashes)
-        sent = spark.sparkContext.broadcast((hashes[order], rows["n"].to_numpy().astype(np.int32)[order]))
-        return docs.mapInArrow(tidied(_counts_by_broadcast(tokenizer_path, sent)), "doc_id long, n_bytes long, n_tokens long")
-    parts = docs.mapInArrow(tidied(_frequencies(tokenizer_path)), "row long, doc_id long, n_bytes long, whole long, hash long, freq int")
-    joined = parts.join(known, "hash", "left")
-    return (
-        joined.groupBy("row", "doc_id", "n_bytes", "whole")
-        .agg(F.sum(F.col("freq") * F.coalesce("n", F.lit(0))).alias("n"))
-        .select("doc_id", "n_bytes", (F.col("whole") + F.col("n")).cast("long").alias("n_tokens"))
-    )
+    blocks = settle(docs.mapInArrow(tidied(_blocks(tokenizer_path, block_chars)), _BLOCK_SQL), "token-blocks")
+    asked = blocks.select("block", "hashes", "words").mapInArrow(tidied(_requests), "hash long, block long, place int, word string")
+    told = asked.repartition("hash").sortWithinPartitions("hash").mapInArrow(tidied(_answers(tokenizer_path)), "block long, place int, n int")
+    own = blocks.select("block", "ids", "n_bytes", "whole", "sizes", "steps", "freq")
+    return own.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
