@@ -55,11 +55,11 @@ def test_pretokens_equal_the_library():
     assert all(a.tolist() == pieces.library(t).tolist() for a, t in zip(pieces.encode(some), some))
 
 
-@pytest.mark.parametrize("limit", [token_counts.BLOCK_CHARS, 1, 20_000])
+@pytest.mark.parametrize("limit", [(token_counts.BLOCK_CHARS, token_counts.TABLE_CHARS), (1, 30_000), (20_000, 5_000)])
 def test_token_counts(docs, texts, limit):
     library = bpe.pieces_of(TOKENIZER).library
     want = Counter((i, len((t or "").encode()), len(library(t or ""))) for i, t in texts)
-    assert by_row(token_counts.count_tokens(docs, TOKENIZER, limit), "n_bytes", "n_tokens") == want
+    assert by_row(token_counts.count_tokens(docs, TOKENIZER, *limit), "n_bytes", "n_tokens") == want
 
 
 def test_packing(docs, texts):
