@@ -1,12 +1,14 @@
 """URL filter, nearest neighbours, WARC, components and the pipeline."""
 
 import glob
+import json
 import os
 import random
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tindera.llm.queries")
 from tindera.llm import ann, queries, url_filter, warc  # noqa: E402
@@ -94,7 +96,8 @@ def test_warc_round_trip(spark, tmp_path):
     pages = [(i, f"http://x/{i}", f"<p>{i % 7} é</p>" * 50) for i in range(60)] + [(100, None, None), (101, "http://x/\r\ny", ""), (59, "http://x/59", "<p>3 é</p>" * 50), (None, "http://n", "<p>1 é</p>" * 50), (102, "http://big", "z" * 400_000)]
     frame = spark.createDataFrame([(*p, "s") for p in pages], "page_id long, url string, html string, shard string").repartition(4)
     folders = [f"file://{tmp_path}/{k}" for k in "ab"]
-    manifests = [warc.write_warc(f, d, shard_bytes=20_000, roll_bytes=3_000) for f, d in zip((frame, frame.repartition(2)), folders)]
+    manifests = [warc.write_warc(f, d, shard_bytes=20_000, roll_bytes=3_000).orderBy("name").collect() for f, d in zip((frame, frame.repartition(2)), folders)]
+    assert [json.loads(x) for x in open(tmp_path / "a" / "manifest.jsonl")] == [m.asDict() for m in manifests[0]]
     assert manifests[0] == manifests[1] and len(manifests[0]) > 3
     assert sum(m["records"] for m in manifests[0]) == len(pages)
     assert sorted(os.listdir(tmp_path / "a")) == sorted([m["name"] for m in manifests[0]] + [f".{m['name']}.crc" for m in manifests[0] if os.path.exists(tmp_path / "a" / f".{m['name']}.crc")] + ["manifest.jsonl"] + [x for x in os.listdir(tmp_path / "a") if x.endswith("jsonl.crc") or x.endswith("tmp.crc")])
@@ -112,12 +115,28 @@ def test_warc_round_trip(spark, tmp_path):
         assert (r.payload is None) == revisit and (revisit or r.payload.decode() == html)
     with pytest.raises(FileExistsError):
         warc.write_warc(frame, folders[0])
-    assert warc.write_warc(frame.limit(0), f"file://{tmp_path}/c") == []
+    assert warc.write_warc(frame.limit(0), f"file://{tmp_path}/c").collect() == []
     assert warc.read_warc(spark, f"file://{tmp_path}/c").collect() == []
     with pytest.raises(ValueError):
         list(warc.records(warc.page_record(1, "u", b"abc", None)[:-9]))
 
 
+def test_warc_ranges(spark):
+    """Ids far apart, dense ones, one that a third of all rows have, and none at all: all ranges are bounded."""
+    far = [(-(1 << 62), 1), ((1 << 62) + 5, 2)]
+    rows = far + [(i, i) for i in range(3000)] + [(77, 10_000 + i) for i in range(2000)] + [(None, 20_000 + i) for i in range(1500)] + [(5000, 3)] * 300
+    frame = spark.createDataFrame(rows, "page_id long, k long").selectExpr("page_id", "sha1(cast(cast(k as string) as binary)) sha", "10L size")
+    ranges = warc.shard_ranges(frame, 1000)
+    sizes = {r.s: (r.n, r.low, r.high) for r in frame.withColumn("s", ranges.column(spark)).groupBy("s").agg(F.sum("size").alias("n"), F.min("page_id").alias("low"), F.max("page_id").alias("high")).collect()}
+    assert sorted(n for n, *_ in sizes.values())[-1] == 3000 and sorted(n for n, *_ in sizes.values())[-2] <= 1000  # equal payloads of one page stay together
+    assert len(sizes) < 150
+    order = [x[1:] for _, x in sorted(sizes.items()) if x[1] is not None]
+    assert all(a[1] <= b[0] for a, b in zip(order, order[1:]))
+    again = warc.shard_ranges(frame.repartition(3), 1000)
+    assert again.begins == ranges.begins
+    assert warc.shard_ranges(frame.limit(0), 1000).begins == [(warc.LEAST, 0)]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):

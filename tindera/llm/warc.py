@@ -1,8 +1,8 @@
 """A deterministic, sharded WARC writer, and a reader.
 
-Records are sorted by page_id within shards, which are ranges of page_id with about equal
+Records are sorted by page_id within shards, which are ranges of (page_id, payload digest) with about equal
 bytes.  A shard is written to files that roll by compressed size, under temporary names; the
-driver then renames the files of the tasks that succeeded and writes a manifest.  The same
+files of the tasks that succeeded are then renamed and named in a manifest.  The same
 rows give the same bytes, whatever the cluster.
 """
 
@@ -13,18 +13,25 @@ import hashlib
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtext import batch, tidied
+from .shared import settle
 
 #: Payload bytes in a shard, about, and compressed bytes after which a file rolls.
 SHARD_BYTES = 32_000_000
 ROLL_BYTES = 16_000_000
+#: Ranges at first, and into which a range with too many bytes is split at most at once.
 CELLS = 4096
+#: Partitions of the shuffle at most; beyond, one writes several shards.
+MOST_PARTITIONS = 10_000
 #: The date in all headers: a parameter, so that files don't depend on the clock.
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6f1c3a52-7c0e-4b7e-9d55-9d9f7a1f2b10")
@@ -136,7 +143,7 @@ def _write(folder: str, roll_bytes: int, date: str):
             for shard, page_id, kind, sha, leader, url, html in zip(*(b.column(i) for i in range(7))):
                 shard, page_id = shard.as_py(), page_id.as_py()
                 if (shard, page_id) != at:
-                    at, revisits, seen = (shard, page_id), {}, {}
+                    at, revisits, seen = (shard, page_id), {}, {}  # equal payloads of a page are in one shard
                 if kind.as_py() == 0:
                     revisits[sha.as_py()] = leader.as_py()
                     continue
@@ -152,13 +159,108 @@ def _write(folder: str, roll_bytes: int, date: str):
     return run
 
 
-def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: str = DATE) -> list[dict]:
-    """Write one record per row of ``page_id``, ``url`` and ``html`` to ``folder`` and return the manifest.
+class Ranges:
+    """Consecutive ranges of (page_id, digest), by where each begins; digests split only pages that are too large for one."""
 
-    The payload is the html in UTF-8 (null: empty).  Of pages with equal payloads the one with
+    _TOP = 1 << 60  # digests count with their first 60 bits
+
+    def __init__(self, begins: list[tuple[int, int]]) -> None:
+        self.begins = sorted(set(begins))
+
+    @staticmethod
+    def evenly(low: int, high: int, parts: int) -> list[int]:
+        """``parts`` places from ``low`` on that divide ``low`` to ``high``, end exclusive, or all there are."""
+        size = high - low
+        return sorted({low + size * k // parts for k in range(min(parts, size))})
+
+    def at(self, pages: np.ndarray, digests: np.ndarray) -> np.ndarray:
+        """The range of each row."""
+        names, firsts = (np.array(x, np.int64) for x in zip(*self.begins))
+        spot = np.searchsorted(names, pages, "right") - 1
+        within = spot > np.searchsorted(names, pages, "left")  # of a page that is split
+        spot -= (spot >= 0) & (names[spot] == pages) & (firsts[spot] > digests)  # a range that begins in the page, after the row
+        for k in np.flatnonzero(within):
+            spot[k] = bisect_right(self.begins, (int(pages[k]), int(digests[k]))) - 1
+        return np.maximum(spot, 0)
+
+    def column(self, spark: SparkSession):
+        sent = spark.sparkContext.broadcast(self)  # 16 bytes a range; ranges are four times the shards at most, and CELLS
+
+        def run(pages: pd.Series, digests: pd.Series) -> pd.Series:
+            return pd.Series(sent.value.at(pages.fillna(LEAST).to_numpy(np.int64), digests.to_numpy(np.int64)).astype(np.int32))
+
+        return F.pandas_udf(run, "int")(F.coalesce("page_id", F.lit(LEAST)), F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
+
+
+LEAST = -(1 << 63)
+
+
+def shard_ranges(slim: DataFrame, shard_bytes: int) -> Ranges:
+    """Ranges of about ``shard_bytes`` each, from ``page_id``, ``sha`` and ``size`` of all pages.
+
+    Ranges of equal width are counted; those with too many bytes are split and counted again, until none can be; then
+    neighbours are put together.  No sample and no order of tasks plays a part.
+    """
+    spark = slim.sparkSession
+    low, high = slim.agg(F.min("page_id"), F.max("page_id")).first()
+    low, high = (0 if low is None else low), (0 if high is None else high)
+    ranges, done = Ranges([(LEAST, 0), *((p, 0) for p in Ranges.evenly(low, high + 1, CELLS))]), set()
+    while True:
+        counts = slim.groupBy(ranges.column(spark).alias("at")).agg(F.sum("size").alias("n")).toArrow()
+        sizes = dict(zip(counts["at"].to_pylist(), counts["n"].to_pylist()))
+        more: list[tuple[int, int]] = []
+        for k, n in sizes.items():
+            page, digest = ranges.begins[k]
+            after = ranges.begins[k + 1] if k + 1 < len(ranges.begins) else (high + 1, 0)
+            if n <= shard_bytes or (page, digest, after) in done:
+                continue
+            done.add((page, digest, after))
+            parts = min(CELLS, 4 * -(-n // shard_bytes))
+            end = after[0] + (after[1] > 0)
+            if end - page > 1 and (page != LEAST or low == LEAST):
+                more += [(p, 0) for p in Ranges.evenly(page, end, parts) if p > page]
+            else:
+                top = after[1] if after[0] == page else Ranges._TOP
+                more += [(page, d) for d in Ranges.evenly(digest, top, parts) if d > digest]
+        if not more:
+            break
+        ranges = Ranges(ranges.begins + more)
+    begins, size = [(LEAST, 0)], 0
+    for k in range(len(ranges.begins)):
+        n = sizes.get(k, 0)
+        if size and size + n > shard_bytes:
+            begins.append(ranges.begins[k])
+            size = 0
+        size += n
+    return Ranges(begins)
+
+
+def _rename(folder: str):
+    """Moves written files to their names; a file that was moved before a task was lost stays."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for temporary, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if system.get_file_info(f"{root}/{temporary}").type != fs.FileType.NotFound:
+                    system.move(f"{root}/{temporary}", f"{root}/{name}")
+                elif system.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
+                    raise FileNotFoundError(f"{temporary} in {folder}")
+            yield pa.RecordBatch.from_arrays([b.column(1)], ["name"])
+
+    return run
+
+
+def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
+    """Write one record per row of ``page_id``, ``url`` and ``html`` to ``folder``; returns the manifest (``name``, ``records``, ``bytes``, ``sha256``).
+
+    The payload is the html in UTF-8 (null: empty; of any length).  Of pages with equal payloads the one with
     the largest page_id is a response and the others revisit it; repeated rows of that page are
     responses too, and so is a page without a page_id.  A null URL gets a URN.  Other columns are
-    ignored.  An empty table gives a manifest without files.
+    ignored.  An empty table gives a manifest without files.  Page ids may be as far apart, or as often repeated, as they
+    like; only rows that share a page_id and a payload stay in one shard.
 
     ``folder`` is a URI that all executors share and that pyarrow can open.  A folder that
     has a manifest already is an error.  Files left by lost tasks never get their names.
@@ -174,35 +276,30 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
 
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     payload = F.coalesce(F.col("html"), F.lit(""))
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // CELLS))
-    cell = F.coalesce(F.floor((F.col("page_id") - F.lit(low or 0)) / F.lit(width)), F.lit(0)).cast("int")
-    sizes = pages.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length(payload)).alias("n")).collect()  # CELLS rows at most
-    shard_of, shard, size = [], 0, 0
-    for row in sorted(sizes):
-        if size and size + row["n"] > shard_bytes:
-            shard, size = shard + 1, 0
-        size += row["n"]
-        shard_of.append((row["cell"], shard))
-    shards = spark.createDataFrame(shard_of or [(0, 0)], "cell int, shard int")
-
-    slim = pages.select("page_id", F.sha1(payload.cast("binary")).alias("sha"))
+    sha = F.sha1(payload.cast("binary"))
+    slim = settle(pages.select("page_id", sha.alias("sha"), F.octet_length(payload).cast("long").alias("size")), "warc-pages")
+    ranges = shard_ranges(slim, shard_bytes)
+    shard = ranges.column(spark)
+
     leaders = slim.groupBy("sha").agg(F.max("page_id").alias("leader"))
-    revisits = slim.join(leaders, "sha").where("page_id != leader").select("page_id", F.lit(0).alias("kind"), "sha", "leader", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
-    full = pages.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("leader"), "url", "html")
-    rows = full.unionByName(revisits).withColumn("cell", cell).join(F.broadcast(shards), "cell")
-    dealt = rows.repartitionById(shard + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "url", "html")
+    none = F.lit(None).cast("string")
+    revisits = slim.join(leaders, "sha").where("page_id != leader").select("page_id", F.lit(0).alias("kind"), "sha", "leader", none.alias("url"), none.alias("html"))
+    full = pages.select("page_id", F.lit(1).alias("kind"), sha.alias("sha"), F.lit(None).cast("long").alias("leader"), "url", "html")
+    rows = full.unionByName(revisits).withColumn("shard", shard)
+    partitions = min(len(ranges.begins), MOST_PARTITIONS)
+    dealt = rows.repartitionById(partitions, F.pmod("shard", F.lit(partitions))).sortWithinPartitions("shard", "page_id", "kind", "url", "html")
     dealt = dealt.select("shard", "page_id", "kind", "sha", "leader", "url", "html")
-    written = dealt.mapInArrow(tidied(_write(folder, roll_bytes, date)), "temporary string, name string, records long, bytes long, sha256 string").collect()
-    manifest = [{k: r[k] for k in ("name", "records", "bytes", "sha256")} for r in sorted(written, key=lambda r: r["name"])]
-    for r in written:
-        if not fs.rename(at(r["temporary"]), at(r["name"])):
-            raise OSError(f"cannot rename {r['temporary']} in {folder}")
-    fs.delete(at("_temporary"), True)
-    out = fs.create(at("manifest.jsonl.tmp"), True)
-    out.write(bytearray("".join(json.dumps(x) + "\n" for x in manifest).encode()))
+    # The table of written files holds those of tasks that succeeded, once each.
+    written = settle(dealt.mapInArrow(tidied(_write(folder, roll_bytes, date)), "temporary string, name string, records long, bytes long, sha256 string"), "warc-files")
+    written.select("temporary", "name").mapInArrow(_rename(folder), "name string").write.format("noop").mode("overwrite").save()
+    manifest = written.select("name", "records", "bytes", "sha256")
+    out = fs.create(at("_temporary/manifest.jsonl"), True)
+    for row in manifest.orderBy("name").toLocalIterator():
+        out.write(bytearray((json.dumps(row.asDict()) + "\n").encode()))
     out.close()
-    fs.rename(at("manifest.jsonl.tmp"), at("manifest.jsonl"))
+    if not fs.rename(at("_temporary/manifest.jsonl"), at("manifest.jsonl")):
+        raise OSError(f"cannot commit the manifest of {folder}")
+    fs.delete(at("_temporary"), True)
     return manifest
 
 
