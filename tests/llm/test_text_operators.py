@@ -3,12 +3,14 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tindera.llm.queries")
 from tindera.llm import bpe, decontaminate, minhash, ngram_lm, packing, pii, token_counts, toxicity  # noqa: E402
@@ -129,7 +131,8 @@ def test_near_duplicates(docs, texts):
     assert left[0].asDict().keys() == dict.fromkeys(docs.columns).keys()
 
 
-def test_open_buckets_lose_no_link(spark):
+@pytest.mark.parametrize("bounds", [(minhash.BLOCK_ROWS, minhash.MOST_BLOCKS), (20, minhash.MOST_BLOCKS), (20, 2)])
+def test_open_buckets_lose_no_link(spark, bounds):
     """A family of copies, some within reach of each other only over others."""
     rnd = random.Random(8)
     base = [f"b{i}" for i in range(120)]
@@ -150,7 +153,7 @@ def test_open_buckets_lose_no_link(spark):
                     if parent[y] is None and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
                         parent[y] = i
                         todo.append(y)
-    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), minhash.THRESHOLD, *bounds).collect()
     assert len(set(parent.values())) > 5
     assert {r.doc_id: r.component_id for r in found} == parent
 
@@ -257,6 +260,38 @@ def test_pii_rows(docs, texts, spark):
     assert [r.text for r in named.orderBy("doc_id").collect()] == ["<EMAIL> and <IP>", None, ""]
 
 
+@pytest.mark.parametrize("text", ["x @ y" + " " * 10**6, "1" * 10**6, "( " * 500_000, "dot " * 250_000, "one " * 250_000, "1 dot " * 160_000, "a@" * 500_000, "one" + " " * 10**6 + "( dot", "x at y dot " * 90_000, "(at) " * 200_000, "double " * 140_000])
+def test_pii_takes_linear_time(text):
+    started = time.perf_counter()
+    pii.all_spans(text)
+    assert time.perf_counter() - started < 30
+
+
+def test_disguised_addresses_map_back():
+    """Addresses disguised by rules, anywhere in a text: each is found at its own place."""
+    rnd = random.Random(6)
+    alike = dict(zip("aeopc", "аеорс"))
+    numbers = [sorted(w, key=len)[0] for w in (("zero",), ("one",), ("two",), ("three",), ("four",), ("five",), ("six",), ("seven",), ("eight",), ("nine",))]
+    for _ in range(300):
+        name, host = "".join(rnd.choices("abcdefghkmnp", k=5)), "".join(rnd.choices("bcdfghkm", k=6))
+        kind = rnd.randrange(6)
+        if kind == 0:
+            said = f"{name}{rnd.choice([' (at) ', '[at]', ' { at } ', '&#64;'])}{host}{rnd.choice([' (dot) ', '[dot]', '.', ' [.] '])}net"
+        elif kind == 1:
+            said = f"{name} at {host} dot net"
+        elif kind == 2:
+            said = "".join(alike.get(c, c) for c in f"{name}@{host}.com")
+        elif kind == 3:
+            said = f"{name}\u200b@{host}.\u00adnet"
+        elif kind == 4:
+            said = "plus " + " ".join(numbers[d] for d in rnd.choices(range(10), k=11))
+        else:
+            said = " dot ".join(" ".join(numbers[int(d)] for d in str(rnd.randint(10, 255))) for _ in range(4))
+        before, after = "Grüße, " + "w " * rnd.randint(0, 9), rnd.choice(["", " thanks", "\nand more"])
+        wanted = ("phone" if kind == 4 else "ip" if kind == 5 else "email", len(before), len(before) + len(said))
+        assert wanted in pii.all_spans(before + said + after)[1], (before + said + after)
+
+
 def test_toxicity(spark):
     rnd = random.Random(4)
     plain_words = [f"word{i}" for i in range(300)]
@@ -272,7 +307,8 @@ def test_toxicity(spark):
         labels.append((i, int(toxic), "y"))
     docs = spark.createDataFrame(rows + [(None, None, "x"), (5000, "", "x")], "doc_id long, text string, score string")
     truth = spark.createDataFrame(labels + [(None, 1, "y"), (7, None, "y"), (0, labels[0][1], "y")], "doc_id long, toxic int, text string")
-    fair = toxicity.fit(docs, truth, counterfactual=50.0)
+    fair = toxicity.fit(docs, truth)  # at the strength that the query has
+    assert fair.n_swapped > 20
     plain_model = toxicity.fit(docs, truth, counterfactual=0.0)
     texts = ["word1 muslim word2", "word1 christian word2", "word1 scumbag word2"]
     a, b = fair.score_texts(texts), plain_model.score_texts(texts)
@@ -283,6 +319,15 @@ def test_toxicity(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in found if r.doc_id is not None)
     assert sum(r.predicted == dict((x, y) for x, y, _ in labels)[r.doc_id] for r in held) >= 0.98 * len(held)
     assert len(found) == 902 and all(0 <= r.score <= 1 for r in found)
+    for label in (0, 1):
+        one_kind = toxicity.fit(docs, truth.withColumn("toxic", F.lit(label)))
+        assert {r.score for r in toxicity.score(docs, one_kind).collect()} == {0.5} and toxicity.drop_toxic(docs, one_kind).count() == 902
+    often = docs.unionAll(spark.createDataFrame([(1, f"word{i}", "x") for i in range(500)], docs.schema))
+    assert toxicity.sample(often, truth).count() == toxicity.sample(docs, truth).count() <= 900
+    german = [(i, ("frau dumm" if i % 3 else "mann gut") + f" w{i % 7}") for i in range(300)]
+    taught = toxicity.fit(spark.createDataFrame(german, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, toxic int"))
+    x, y = taught.score_texts(["eine frau", "eine mann"])
+    assert taught.n_swapped > 100 and abs(x - y) < 0.1
     alone = toxicity.fit(docs, truth.limit(0))
     assert len(alone.weights) == 0 and toxicity.score(docs, alone).count() == 902
     assert docs.count() - toxicity.drop_toxic(docs, fair).count() == sum(r.predicted for r in found)

@@ -32,6 +32,9 @@ FINE_HASHES = 2048
 FINE_SLACK = 0.066
 #: Rows of a bucket that are compared in memory at once, and rows of small buckets dealt together.
 BLOCK_ROWS, GROUP_ROWS = 2048, 20_000
+#: Blocks of an open bucket at most: a row goes to each of them once.  Larger buckets are dealt anew by
+#: narrower bands: as many, of eight hashes each, which a pair at the threshold all misses with a probability of 1.4e-6.
+MOST_BLOCKS, NARROW = 128, 8
 
 
 def _functions(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +82,14 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return key
 
 
+def narrow_keys(low: np.ndarray) -> np.ndarray:
+    """Keys of the narrower bands, from the first minima of the fine functions."""
+    key = mix(np.arange(MOST_BLOCKS, dtype=np.uint64) + np.uint64(1 << 20))
+    for part in low[: MOST_BLOCKS * NARROW].reshape(MOST_BLOCKS, NARROW).T:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ part)
+    return key
+
+
 def _signatures(batches):
     for b in batches:
         data, offsets = utf8(b.column(2))
@@ -99,16 +110,30 @@ def _signatures(batches):
             yield batch({"key": rows[lo:hi], "doc_id": ids[lo:hi]} | out, _SIGNED)
 
 
-def _fine(batches):
+def _fine(narrow: bool):
     """Per text: set size, one-bit signature, and the low half of each band key."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("tags", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            data, offsets = utf8(b.column(1))
+            for lo, hi in slices(offsets):
+                sets = list(shingle_sets(Words(data, offsets[lo : hi + 1], NOT_SPACE), SHINGLE))
+                low = [minima(s, _FINE) for s in sets]
+                bits = [np.packbits((x & np.uint64(1)).astype(np.uint8)).tobytes() for x in low]
+                tags = [(narrow_keys(x) if narrow else band_keys(minima(s))).astype(np.uint32).tobytes() for x, s in zip(low, sets)]
+                yield batch({"id": b.column(0)[lo:hi], "n": [len(s) for s in sets], "bits": bits, "tags": tags}, schema)
+
+    return run
+
+
+def _narrow(batches):
+    schema = pa.schema([("id", pa.int64()), ("keys", pa.list_(pa.int64()))])
     for b in batches:
         data, offsets = utf8(b.column(1))
         for lo, hi in slices(offsets):
-            sets = list(shingle_sets(Words(data, offsets[lo : hi + 1], NOT_SPACE), SHINGLE))
-            bits = [np.packbits((minima(s, _FINE) & np.uint64(1)).astype(np.uint8)).tobytes() for s in sets]
-            tags = [band_keys(minima(s)).astype(np.uint32).tobytes() for s in sets]
-            yield batch({"id": b.column(0)[lo:hi], "n": [len(s) for s in sets], "bits": bits, "tags": tags}, schema)
+            sets = shingle_sets(Words(data, offsets[lo : hi + 1], NOT_SPACE), SHINGLE)
+            yield batch({"id": b.column(0)[lo:hi], "keys": [narrow_keys(minima(s, _FINE)).view(np.int64) for s in sets]}, schema)
 
 
 def _close(threshold: int):
@@ -193,17 +218,35 @@ def _named(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(ids, "doc_id", "left_semi")
 
 
-def open_pairs(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+def open_pairs(members: DataFrame, texts: DataFrame, threshold: int, block_rows: int = BLOCK_ROWS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """Promising pairs (a, b) of different components within buckets (key, id, component).
 
     Buckets are compared in blocks of bounded size on finer signatures; only pairs that these
-    call similar come out, and each once.
+    call similar come out.  A row is sent to each block of its bucket, so a bucket has ``most_blocks`` at most:
+    the members of a larger one are dealt anew by narrower bands, which few dissimilar texts share.  (A bucket of
+    these that is too large again holds texts that are all but linked; it is compared in all its blocks.)
     """
     rows = settle(members, "minhash-open")
-    fine = _named(texts, rows.select(F.col("id").alias("doc_id")).distinct()).mapInArrow(tidied(_fine), "id long, n long, bits binary, tags binary").dropDuplicates(["id"])
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    sizes = settle(sizes, "minhash-open-sizes")
+    wide = sizes.where(F.col("blocks") > most_blocks)
+    found = _compared(rows.join(sizes.where(F.col("blocks") <= most_blocks), "key"), texts, threshold, False)
+    if not wide.isEmpty():
+        ids = rows.join(wide.select("key"), "key", "left_semi").select("id", "component").distinct()
+        ids = settle(ids, "minhash-wide")
+        keys = _named(texts, ids.select(F.col("id").alias("doc_id")).distinct()).mapInArrow(tidied(_narrow), "id long, keys array<long>").dropDuplicates(["id"])
+        dealt = settle(keys.select("id", F.explode("keys").alias("key")).join(ids, "id"), "minhash-narrow")
+        mixed = dealt.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("x != y")
+        found = found.unionByName(_compared(dealt.join(mixed.select("key", "blocks"), "key"), texts, threshold, True))
+    return found
+
+
+def _compared(rows: DataFrame, texts: DataFrame, threshold: int, narrow: bool) -> DataFrame:
+    """Pairs of rows (key, id, component, blocks of the key) that fine signatures call similar."""
+    rows = settle(rows, "minhash-compared")
+    fine = _named(texts, rows.select(F.col("id").alias("doc_id")).distinct()).mapInArrow(tidied(_fine(narrow)), "id long, n long, bits binary, tags binary").dropDuplicates(["id"])
     groups = max(1, -(-rows.count() // GROUP_ROWS))
-    dealt = rows.join(sizes, "key").join(settle(fine, "minhash-fine"), "id")
+    dealt = rows.join(settle(fine, "minhash-fine"), "id")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     small = F.col("blocks") == 1
@@ -222,7 +265,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return found.select("a", "b", "text_a", "text_b").mapInArrow(tidied(_confirm(threshold)), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, block_rows: int = BLOCK_ROWS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """Classes of documents linked by similar sets of word shingles.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased; a document's
@@ -231,7 +274,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     Input: ``doc_id`` and ``text``; other columns are ignored.  Output, one row per input row:
     ``doc_id``, ``n_shingles``, ``component_id`` (the smallest doc_id reachable), ``kept``.
-    A text that is null or has no words is linked with nothing.  A row with a null doc_id is
+    A text that is null or has no words is linked with nothing; texts of any length are compared whole.  A row with a null doc_id is
     linked with nothing, has a null component and is kept.  Equal rows get equal results.
     Rows that share a doc_id but not a text each have the class of their own text; of those that
     share both, one text is kept.
@@ -241,11 +284,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     representatives are compared.  In every band bucket, first all members are checked
     against the smallest one; most buckets are then one component and are done.  In the
     others, members of different components are compared on finer signatures, in blocks, and
-    those that agree enough are checked.  (Only this comparison of 256 bytes grows with the
-    square of such a bucket; its rows do not.)  At 32 bands of 4 hashes a pair at the threshold shares no
+    those that agree enough are checked.  A bucket of more than 128 blocks is dealt anew by narrower bands
+    (see ``open_pairs``), so that a row is sent to 128 places at most.  At 32 bands of 4 hashes a pair at the threshold shares no
     bucket with a probability of 5e-6.
     """
-    return _classes(_keyed(docs), threshold).drop("key")
+    return _classes(_keyed(docs), threshold, block_rows, most_blocks).drop("key")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -253,7 +296,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
 
 
-def _classes(docs: DataFrame, threshold: int) -> DataFrame:
+def _classes(docs: DataFrame, threshold: int, block_rows: int = BLOCK_ROWS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """As ``near_duplicates``, with the key of each row."""
     raw = settle(docs.mapInArrow(tidied(_signatures), "key long, doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sig array<long>"), "minhash")
     texts = docs.where("doc_id is not null").select(F.col("key").alias("doc_id"), "text")
@@ -288,7 +331,7 @@ def _classes(docs: DataFrame, threshold: int) -> DataFrame:
 
     placed = members.join(named.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    rest = open_pairs(placed.join(mixed, "key", "left_semi"), texts, threshold).distinct().join(first, ["a", "b"], "left_anti")
+    rest = open_pairs(placed.join(mixed, "key", "left_semi"), texts, threshold, block_rows, most_blocks).distinct().join(first, ["a", "b"], "left_anti")
     rest = settle(rest, "minhash-rest")
     more = settle(confirmed(rest, texts, threshold), "minhash-links")
     if not more.isEmpty():
