@@ -92,6 +92,34 @@ def test_nearest_neighbours(spark):
     assert ann.search(vectors.where("vec_id >= 3000 and vec_id < 3200"), vectors).collect() == []
 
 
+def test_nearest_neighbours_in_lists(spark):
+    """Production depth, several lists that share blocks or are split, huge and tiny components, and two vectors under one queried id."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 32)) + 2 * rng.normal(size=(12, 32))[rng.integers(0, 12, 6000)]
+    x[7] *= 1e200
+    x[8] *= 1e-200
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(50, (-x[50]).tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found = ann.search(vectors, vectors.where("vec_id % 50 = 0")).toPandas()
+    y = x / np.abs(x).max(axis=1, keepdims=True)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    asked = min(x[50].tolist(), (-x[50]).tolist())
+    hits = total = 0
+    for q in range(0, 6000, 50):
+        own = np.array(asked) / np.linalg.norm(asked) if q == 50 else y[q]
+        score = y @ own
+        score[q] = -9
+        best = set(np.argsort(-score)[:5].tolist())
+        mine = found[found.query_id == q]
+        assert len(mine) == 5 and np.allclose(mine.score, score[mine.vec_id], atol=1e-12)
+        hits, total = hits + len(best & set(mine.vec_id)), total + 5
+    assert hits >= 0.95 * total
+    lists = ann.Lists.fit(x[:3000], 6000)
+    assert len(lists.centres) == 5 and 1 <= lists.probes <= 5
+    places, blocks = ann.layout({0: 10, 1: 250, 2: 40, 3: 60}, 5, 100)
+    assert places == [(0, 1), (1, 3), (4, 1), (4, 1), (4, 1)] and blocks == 5
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(i, f"http://x/{i}", f"<p>{i % 7} é</p>" * 50) for i in range(60)] + [(100, None, None), (101, "http://x/\r\ny", ""), (59, "http://x/59", "<p>3 é</p>" * 50), (None, "http://n", "<p>1 é</p>" * 50), (102, "http://big", "z" * 400_000)]
     frame = spark.createDataFrame([(*p, "s") for p in pages], "page_id long, url string, html string, shard string").repartition(4)
