@@ -180,8 +180,11 @@ def test_decontamination(spark, docs, texts):
         want[(i, len(w), len(hit), len(named), len(hit) > 0 and 20 * len(hit) >= len(w))] += 1
     columns = ("n_words", "n_hit", "n_items", "contaminated")
     assert by_row(decontaminate.contamination(docs, benchmark), *columns) == want
-    blocks = decontaminate.digest(decontaminate.find_windows(docs, benchmark, block_chars=150))
-    assert by_row(blocks, *columns) == want
+    for bits in (decontaminate.FILTER_BITS, 64):  # a filter that lets nearly everything through changes nothing
+        joined = decontaminate.digest(decontaminate.find_windows(docs, benchmark, broadcast_chars=0, filter_bits=bits))
+        assert by_row(joined, *columns) == want
+    one, two = (decontaminate.find_windows(docs, benchmark, broadcast_chars=n).selectExpr("doc_id", "n_words", "cast(spans as string) s", "cast(items as string) i") for n in (0, 10**6))
+    assert Counter(map(tuple, one.collect())) == Counter(map(tuple, two.collect()))
     assert decontaminate.contamination(docs, benchmark.limit(0)).where("n_hit > 0").count() == 0
 
 
