@@ -28,7 +28,7 @@ def test_trigrams_count(spark, tmp_path):
             ratio = left[tries[hit]] / left[tries[hit][:-1]] if hit < len(tries) else max(left[(w[k],)], 0.5) / (total - len(w))
             score += math.log(ratio) + hit * math.log(0.4)
         want[i] = (len(w), backed, score)
-    found = queries.QUERIES["op1_lm_scoring_order3"](spark, str(tmp_path)).collect()
+    found = queries.QUERIES["op1_lm_scoring"](spark, str(tmp_path)).collect()
     assert {r.doc_id: (r.n_words, r.n_backoff) for r in found} == {i: v[:2] for i, v in want.items()}
     assert all(abs(r.log_score - want[r.doc_id][2]) < 1e-3 for r in found)
 

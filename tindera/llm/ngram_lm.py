@@ -1,10 +1,10 @@
 """Stupid-backoff language model scores from n-gram count tables of the corpus itself.
 
-Documents are dealt to buckets of bounded size.  A bucket holds a table of its distinct
-n-grams with counts; its rows are exchanged, in compact sorted blocks, with count tables
-partitioned by ranges of the n-gram's hash, which add them up over all buckets and answer
-each block with the corpus counts of its rows.  The bucket joins them to the n-grams of its
-documents and sums scores per document.  So an n-gram crosses the network once per bucket
+Documents are taken in blocks of bounded size.  A block holds a table of its distinct
+n-grams with counts; its rows are exchanged, in compact sorted runs, with count tables
+partitioned by ranges of the n-gram's hash, which add them up over all blocks and answer
+each run with the corpus counts of its rows.  The block joins them to the n-grams of its
+documents and sums scores per document.  So an n-gram crosses the network once per block
 and not once per document, and one that every document has is no hot spot.
 """
 
@@ -12,22 +12,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import NOT_SPACE, Words, batch, ngrams, pack_planes, slices, unpack_planes, utf8
+from .arrowtext import NOT_SPACE, Words, batch, ngrams, pack_planes, slices, tidied, unpack_planes, utf8
+from .shared import settle
 
-ORDER = 2
-#: The order of the query that takes longer contexts as well.
-LONG_ORDER = 3
+ORDER = 3
 ALPHA = 0.4
 #: What counts for a word that no other document has.
 UNSEEN = 0.5
-#: Characters of text in a bucket, about, and behind a partition of the count tables.
-BUCKET_CHARS = 8_000_000
+#: Bytes of text in a block, about, and characters behind a partition of the count tables.
+BLOCK_BYTES, TABLE_CHARS = 8_000_000, 12_000_000
 
-_REQUEST = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("size", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
-_ANSWER = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("size", pa.int32()), ("totals", pa.binary()), ("sum", pa.int64())])
+_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("texts", pa.binary())])
+_REQUEST = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("size", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+_ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("totals", pa.binary())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_backoff", pa.int64()), ("log_score", pa.float64())])
 
 
@@ -39,9 +40,37 @@ def _grams(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return every[at], counts
 
 
-def _hashed(table: pa.Table, column: str, order: int):
-    """Per order, the hashes of all n-grams of a bucket's rows in order, and how many each row has."""
-    data, offsets = utf8(table.column(column))
+def _blocks(block_bytes: int):
+    """Documents in the order they come, compressed."""
+
+    def run(batches):
+        name, ids, sizes, texts, n = TaskContext.get().partitionId() << 32, [], [], [], 0
+
+        def row():
+            flat = np.concatenate(sizes)
+            return batch({"block": [name], "ids": [ids], "sizes": [pack_planes(flat.astype(np.uint64))], "texts": [pa.compress(b"".join(texts), "zstd", asbytes=True)]}, _BLOCK)
+
+        for b in batches:
+            data, offsets = utf8(b.column(1))
+            for lo, hi in slices(offsets):
+                ids += b.column(0)[lo:hi].to_pylist()
+                sizes.append(np.diff(offsets[lo : hi + 1]))
+                texts.append(data[offsets[lo] : offsets[hi]].tobytes())
+                n += len(texts[-1])
+                if n >= block_bytes:
+                    yield row()
+                    name, ids, sizes, texts, n = name + 1, [], [], [], 0
+        if ids:
+            yield row()
+
+    return run
+
+
+def _hashed(sizes: bytes, texts: bytes, order: int):
+    """Per order, the hashes of all n-grams of a block's documents in order, and how many each document has."""
+    sizes = unpack_planes(sizes, np.uint64).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.frombuffer(pa.decompress(texts, int(offsets[-1]), "zstd", asbytes=True), np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
     parts = [[] for _ in range(order)]
     for lo, hi in slices(offsets):
         words = Words(data, offsets[lo : hi + 1], NOT_SPACE)
@@ -51,21 +80,23 @@ def _hashed(table: pa.Table, column: str, order: int):
 
 
 def _requests(order: int, parts: int):
+    """A block's distinct n-grams with counts, in a row for each table that has any of them."""
     limits = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
 
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        out = {k: [] for k in _REQUEST.names}
-        for size, (hashes, _) in enumerate(_hashed(table, "text", order), 1):
-            distinct, counts = np.unique(hashes, return_counts=True)
-            bound = np.concatenate([[0], np.searchsorted(distinct, limits), [len(distinct)]])
-            for part in range(parts):
-                own = distinct[bound[part] : bound[part + 1]]
-                steps = np.diff(own, prepend=np.uint64(0)) if len(own) else own
-                row = (part, bucket, size, pack_planes(steps), pack_planes(counts[bound[part] : bound[part + 1]].astype(np.uint32)))
-                for k, v in zip(_REQUEST.names, row):
-                    out[k].append(v)
-        return pa.table(out, _REQUEST)
+    def run(batches):
+        for b in batches:
+            for block, sizes, texts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                for size, (hashes, _) in enumerate(_hashed(sizes.as_py(), texts.as_py(), order), 1):
+                    distinct, counts = np.unique(hashes, return_counts=True)
+                    bound = np.concatenate([[0], np.searchsorted(distinct, limits), [len(distinct)]])
+                    out = {k: [] for k in _REQUEST.names}
+                    for part in range(parts):
+                        own = distinct[bound[part] : bound[part + 1]]
+                        if len(own):
+                            row = (part, block, size, pack_planes(np.diff(own, prepend=np.uint64(0))), pack_planes(counts[bound[part] : bound[part + 1]].astype(np.uint32)))
+                            for k, v in zip(_REQUEST.names, row):
+                                out[k].append(v)
+                    yield batch(out, _REQUEST)
 
     return run
 
@@ -83,7 +114,7 @@ def _totals(table: pa.Table) -> pa.Table:
         answer = total[inverse]
         ends = np.cumsum([len(g) for g in grams])
         for i, lo, hi in zip(rows, ends - [len(g) for g in grams], ends):
-            row = (table.column("bucket")[i].as_py(), table.column("part")[i].as_py(), size, pack_planes(answer[lo:hi]), int(total.sum()))
+            row = (table.column("block")[i].as_py(), table.column("part")[i].as_py(), size, pack_planes(answer[lo:hi]))
             for k, v in zip(_ANSWER.names, row):
                 out[k].append(v)
     return pa.table(out, _ANSWER)
@@ -101,22 +132,22 @@ def _own(index: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scores(order: int, alpha: float, leave_one_out: bool):
+def _scores(order: int, alpha: float, leave_one_out: bool, total_words: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = _hashed(table, "text", order)
+        grams = _hashed(table.column("sizes")[0].as_py(), table.column("texts")[0].as_py(), order)
         answers = answers.sort_by([("size", "ascending"), ("part", "ascending")])
-        sizes = np.array(answers.column("size").to_pylist())
-        left, totals = [], 0.0
+        sizes = np.array(answers.column("size").to_pylist(), np.int64)
+        left = []
         for size, (hashes, counts) in enumerate(grams, 1):
             rows = np.flatnonzero(sizes == size)
-            corpus = np.concatenate([unpack_planes(answers.column("totals")[int(i)].as_py(), np.uint64) for i in rows]).astype(np.int64)
-            if size == 1:
-                totals = sum(answers.column("sum")[int(i)].as_py() for i in rows)
-            _, index = np.unique(hashes, return_inverse=True)
-            left.append(corpus[index] - (_own(index, counts) if leave_one_out else 0))
+            corpus = np.concatenate([np.zeros(0, np.uint64), *[unpack_planes(answers.column("totals")[int(i)].as_py(), np.uint64) for i in rows]]).astype(np.int64)
+            distinct, index = np.unique(hashes, return_inverse=True)
+            if len(distinct) != len(corpus):
+                raise RuntimeError("the documents changed between two readings: score(..., stable=False) writes them first")
+            left.append((corpus[index] if len(index) else corpus) - (_own(index, counts) if leave_one_out else 0))
         words = grams[0][1]
         n = int(words.sum())
-        rest = np.maximum(totals - words * leave_one_out, 1)
+        rest = np.maximum(total_words - words * leave_one_out, 1)
         # From the shortest n-gram up: a longer one that other documents have replaces the backed-off score.
         single = np.maximum(left[0].astype(np.float64), UNSEEN) / np.repeat(rest, words)
         score, backoff = np.log(single), np.zeros(n, np.int64)
@@ -134,7 +165,7 @@ def _scores(order: int, alpha: float, leave_one_out: bool):
         row = np.repeat(np.arange(len(words)), words)
         return pa.table(
             {
-                "doc_id": table.column("doc_id").cast(pa.int64()),
+                "doc_id": table.column("ids")[0].values,
                 "n_words": words,
                 "n_backoff": np.bincount(row, weights=backoff > 0, minlength=len(words)).astype(np.int64),
                 "log_score": np.bincount(row, weights=score, minlength=len(words)),
@@ -145,7 +176,15 @@ def _scores(order: int, alpha: float, leave_one_out: bool):
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_one_out: bool = True, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+def _word_total(batches):
+    schema = pa.schema([("chars", pa.int64()), ("words", pa.int64())])
+    for b in batches:
+        data, offsets = utf8(b.column(0))
+        n = sum(len(Words(data, offsets[lo : hi + 1], NOT_SPACE).hashes) for lo, hi in slices(offsets))
+        yield batch({"chars": [len(data)], "words": [n]}, schema)
+
+
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_one_out: bool = True, stable: bool = False, block_bytes: int = BLOCK_BYTES, table_chars: int = TABLE_CHARS) -> DataFrame:
     """Stupid-backoff log scores of documents under the counts of all documents.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased.  A word's score is
@@ -156,16 +195,21 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_one_o
 
     Input: ``doc_id`` and ``text``; other columns are ignored.  Output, one row per input row:
     ``doc_id``, ``n_words``, ``n_backoff`` (words not scored by the full order) and ``log_score``
-    (natural logarithm, summed).  A text that is null or has no words scores 0 over 0 words;
+    (natural logarithm, summed).  A text that is null or has no words scores 0 over 0 words; texts of any length are scored whole;
     repeated rows are each other's corpus; an empty table gives an empty result.
+
+    Documents are read twice, and both times must come in the same blocks.  ``stable`` says that they do: files that are
+    read do, whatever tasks are run again.  Otherwise the blocks are written first.  A table gets a row from each block that has an n-gram
+    of its range, and a block sends one for each n-gram at most.
     """
     if order < 1:
         raise ValueError("order must be at least 1")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-chars // bucket_chars))
-    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
-    requests = dealt.groupBy("bucket").applyInArrow(_requests(order, parts), "part int, bucket int, size int, grams binary, counts binary")
-    answers = requests.groupBy("part").applyInArrow(_totals, "bucket int, part int, size int, totals binary, sum long")
-    scored = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_scores(order, alpha, leave_one_out), "doc_id long, n_words long, n_backoff long, log_score double")
-    return scored
+    sums = docs.select("text").mapInArrow(tidied(_word_total), "chars long, words long").agg(F.sum("chars").alias("chars"), F.sum("words").alias("words")).first()
+    parts = max(1, -(-(sums["chars"] or 0) // table_chars))
+    blocks = docs.mapInArrow(tidied(_blocks(block_bytes)), "block long, ids array<long>, sizes binary, texts binary")
+    if not stable:
+        blocks = settle(blocks, "lm-blocks")
+    requests = blocks.select("block", "sizes", "texts").mapInArrow(tidied(_requests(order, parts)), "part int, block long, size int, grams binary, counts binary")
+    answers = requests.groupBy("part").applyInArrow(_totals, "block long, part int, size int, totals binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(order, alpha, leave_one_out, sums["words"] or 0), "doc_id long, n_words long, n_backoff long, log_score double")

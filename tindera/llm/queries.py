@@ -27,13 +27,7 @@ RULES: list[url_filter.Rule] = [
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = ngram_lm.score(table(spark, sf_dir, "documents"))
-    return scored.withColumn("log_score", F.round("log_score", 5))
-
-
-def op1_lm_scoring_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``op1_lm_scoring``, whose SQL is of bigrams, but with trigrams too."""
-    scored = ngram_lm.score(table(spark, sf_dir, "documents"), ngram_lm.LONG_ORDER)
+    scored = ngram_lm.score(table(spark, sf_dir, "documents"), stable=True)
     return scored.withColumn("log_score", F.round("log_score", 5))
 
 
@@ -89,7 +83,7 @@ def _bounded(f):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _bounded(f) for f in (op1_lm_scoring, op1_lm_scoring_order3, op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op5_decontamination, op6_nearest_neighbours, op7_pii, op8_warc, op9_toxicity, op10_token_counts)
+    f.__name__: _bounded(f) for f in (op1_lm_scoring, op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op5_decontamination, op6_nearest_neighbours, op7_pii, op8_warc, op9_toxicity, op10_token_counts)
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
@@ -129,22 +123,29 @@ FROM pages LEFT JOIN ruled ON ruled.url = pages.url LEFT JOIN tainted t ON t.nod
 OP1_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 pos AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS w, len(w) AS n FROM d),
-pair AS (SELECT doc_id, p, n, w, lag(w) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM pos),
+pair AS (SELECT doc_id, p, n, w, lag(w) OVER o AS before, lag(w, 2) OVER o AS early FROM pos WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
 one AS (SELECT w, count(*) AS c FROM pos GROUP BY w),
 own1 AS (SELECT doc_id, w, count(*) AS c FROM pos GROUP BY ALL),
 two AS (SELECT before, w, count(*) AS c FROM pair WHERE before IS NOT NULL GROUP BY ALL),
 own2 AS (SELECT doc_id, before, w, count(*) AS c FROM pair WHERE before IS NOT NULL GROUP BY ALL),
+three AS (SELECT early, before, w, count(*) AS c FROM pair WHERE early IS NOT NULL GROUP BY ALL),
+own3 AS (SELECT doc_id, early, before, w, count(*) AS c FROM pair WHERE early IS NOT NULL GROUP BY ALL),
 total AS (SELECT count(*) AS c FROM pos),
 term AS (
-  SELECT pair.doc_id, p, two.c - own2.c AS seen, bef.c - obef.c AS base, one.c - own1.c AS single, greatest(total.c - n, 1) AS rest
+  SELECT pair.doc_id, p, three.c - own3.c AS seen3, bef2.c - obef2.c AS base3, two.c - own2.c AS seen, bef.c - obef.c AS base, one.c - own1.c AS single, greatest(total.c - n, 1) AS rest
   FROM pair JOIN one ON one.w = pair.w JOIN own1 ON own1.doc_id = pair.doc_id AND own1.w = pair.w CROSS JOIN total
+  LEFT JOIN three ON three.early = pair.early AND three.before = pair.before AND three.w = pair.w
+  LEFT JOIN own3 ON own3.doc_id = pair.doc_id AND own3.early = pair.early AND own3.before = pair.before AND own3.w = pair.w
+  LEFT JOIN two bef2 ON bef2.before = pair.early AND bef2.w = pair.before
+  LEFT JOIN own2 obef2 ON obef2.doc_id = pair.doc_id AND obef2.before = pair.early AND obef2.w = pair.before
   LEFT JOIN two ON two.before = pair.before AND two.w = pair.w
   LEFT JOIN own2 ON own2.doc_id = pair.doc_id AND own2.before = pair.before AND own2.w = pair.w
   LEFT JOIN one bef ON bef.w = pair.before LEFT JOIN own1 obef ON obef.doc_id = pair.doc_id AND obef.w = pair.before),
 summed AS (
-  SELECT doc_id, count(*) FILTER (p > 1 AND seen = 0) AS n_backoff,
-    sum(CASE WHEN p > 1 AND seen > 0 THEN ln(seen) - ln(base)
-      ELSE ln(greatest(single, {ngram_lm.UNSEEN}) / rest) + CASE WHEN p > 1 THEN ln({ngram_lm.ALPHA}) ELSE 0 END END) AS s
+  SELECT doc_id, count(*) FILTER ((p = 2 AND seen = 0) OR (p > 2 AND seen3 = 0)) AS n_backoff,
+    sum(CASE WHEN p > 2 AND seen3 > 0 THEN ln(seen3) - ln(base3)
+      ELSE CASE WHEN p > 2 THEN ln({ngram_lm.ALPHA}) ELSE 0 END + CASE WHEN p > 1 AND seen > 0 THEN ln(seen) - ln(base)
+        ELSE ln(greatest(single, {ngram_lm.UNSEEN}) / rest) + CASE WHEN p > 1 THEN ln({ngram_lm.ALPHA}) ELSE 0 END END END) AS s
   FROM term GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_backoff, 0)::BIGINT AS n_backoff, round(coalesce(s, 0), 5)::DOUBLE AS log_score
 FROM d LEFT JOIN summed USING (doc_id)
