@@ -83,6 +83,10 @@ def test_packing(docs, texts):
             at += length
         assert at <= 1024
     assert len(places) <= math.ceil(1.1 * sum(r.length for r in rows) / 1024) + 1
+    odd = pieces.withColumns({"__part": F.lit("x"), "__rank": F.lit(1.5), "sequence_id": F.lit("old")})
+    dealt = packing.pack(odd, broadcast_counts=0).collect()
+    assert Counter((r.doc_id, r.piece, tuple(r.ids), r["__part"], r["__rank"]) for r in dealt) == Counter((r.doc_id, r.piece, tuple(r.ids), "x", 1.5) for r in rows)
+    assert len({(r.sequence_id, r.offset) for r in dealt}) == len(dealt)
     crc = packing.tokenize_pieces(docs, TOKENIZER, payload="ids_crc32").collect()
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in crc) == Counter((r.doc_id, r.piece, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in rows)
 

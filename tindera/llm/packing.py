@@ -15,13 +15,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from . import bpe
-from .arrowtext import batch, tidied
+from .arrowtext import batch, pack_planes, tidied, unpack_planes
 from .shared import settle
 
 CAPACITY = 1024
 END_ID = 2
+#: Counts by length and partition that are broadcast at most (16 bytes each).
+BROADCAST_COUNTS = 2_000_000
+_COLUMN = {"packed_ids": "ids"}
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -32,8 +36,9 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(path: str, capacity: int, end_id: int, payload: str):
-    kind = pa.list_(pa.int32()) if payload == "ids" else pa.int64()
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), (payload, kind)])
+    kind = {"ids": pa.list_(pa.int32()), "packed_ids": pa.binary(), "ids_crc32": pa.int64()}[payload]
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), (_COLUMN.get(payload, payload), kind)])
+    made = {"ids": lambda x: x.astype(np.int32), "packed_ids": lambda x: pack_planes(x.astype(np.uint32)), "ids_crc32": lambda x: zlib.crc32(x.tobytes())}[payload]
 
     def run(batches):
         tokenizer = bpe.pieces_of(path)
@@ -45,7 +50,7 @@ def _pieces(path: str, capacity: int, end_id: int, payload: str):
                     tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
                     for k, (s, n) in enumerate(cut_points(len(tokens), capacity)):
                         part = tokens[s : s + n]
-                        values = (doc_id, k, s, n, part.astype(np.int32) if payload == "ids" else zlib.crc32(part.tobytes()))
+                        values = (doc_id, k, s, n, made(part))
                         for name, v in zip(schema.names, values):
                             out[name].append(v)
                 yield batch(out, schema)
@@ -56,35 +61,49 @@ def _pieces(path: str, capacity: int, end_id: int, payload: str):
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: str = "ids") -> DataFrame:
     """Cut every document's ids, with ``end_id`` at their end, into pieces of at most ``capacity``.
 
-    Output: ``doc_id``, ``piece`` (from 0), ``start``, ``length`` and either ``ids`` or, with
+    Output: ``doc_id``, ``piece`` (from 0), ``start``, ``length`` and ``ids``: an array, or with
+    ``payload="packed_ids"`` bytes, which go along at less cost and which ``unpacked`` opens; or, with
     ``payload="ids_crc32"``, their checksum as little-endian unsigned 32-bit numbers.
-    A null or empty text is the piece of ``end_id`` alone.
+    A null or empty text is the piece of ``end_id`` alone; texts of any length are cut whole.
     """
-    if payload not in ("ids", "ids_crc32"):
+    kinds = {"ids": "array<int>", "packed_ids": "binary", "ids_crc32": "long"}
+    if payload not in kinds:
         raise ValueError(f"unknown payload {payload!r}")
-    kind = "array<int>" if payload == "ids" else "long"
+    kind = kinds[payload]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(tidied(_pieces(tokenizer_path, capacity, end_id, payload)), f"doc_id long, piece int, start long, length long, {payload} {kind}")
+    return docs.mapInArrow(tidied(_pieces(tokenizer_path, capacity, end_id, payload)), f"doc_id long, piece int, start long, length long, {_COLUMN.get(payload, payload)} {kind}")
 
 
-def _checksums(names: list[str], schema: pa.Schema):
+def _opened(names: list[str], schema: pa.Schema, column: str):
     def run(batches):
         for b in batches:
-            ids = b.column(b.schema.get_field_index("ids"))
-            first, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            crc = [zlib.crc32(values[lo:hi].tobytes()) for lo, hi in zip(first[:-1], first[1:])]
-            yield batch({n: pa.array(crc, pa.int64()) if n == "ids_crc32" else b.column(b.schema.get_field_index(n)) for n in names}, schema)
+            own = [unpack_planes(x.as_py(), np.uint32) for x in b.column(b.schema.get_field_index("ids"))]
+            if column == "ids_crc32":
+                made = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64())
+            else:
+                first = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+                made = pa.ListArray.from_arrays(pa.array(first), pa.array(np.concatenate([np.zeros(0, np.uint32), *own]).astype(np.int32)))
+            yield batch({n: made if n == column else b.column(b.schema.get_field_index(n)) for n in names}, schema)
 
     return run
 
 
-def checksums(packed: DataFrame) -> DataFrame:
-    """Rows with ``ids`` (never null), these replaced by ``ids_crc32``, their checksum as little-endian unsigned 32-bit numbers."""
+def _open(packed: DataFrame, column: str, kind) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import LongType, StructField, StructType
+    from pyspark.sql.types import StructField, StructType
+
+    out = StructType([StructField(column, kind) if f.name == "ids" else f for f in packed.schema])
+    return packed.mapInArrow(tidied(_opened(out.names, to_arrow_schema(out), column)), out)
+
+
+def checksums(packed: DataFrame) -> DataFrame:
+    """Rows with packed ``ids`` (never null), these replaced by ``ids_crc32``, their checksum as little-endian unsigned 32-bit numbers."""
+    return _open(packed, "ids_crc32", LongType())
+
 
-    out = StructType([StructField("ids_crc32", LongType()) if f.name == "ids" else f for f in packed.schema])
-    return packed.mapInArrow(tidied(_checksums(out.names, to_arrow_schema(out))), out)
+def unpacked(packed: DataFrame) -> DataFrame:
+    """Rows with packed ``ids`` (never null), these as arrays."""
+    return _open(packed, "ids", ArrayType(IntegerType()))
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -132,7 +151,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 6)
 
 
-def _slots(segments, names: list[str], schema: pa.Schema):
+def _slots(segments, names: list[str], schema: pa.Schema, ranks: str):
     def run(batches):
         seg = segments.value
         key = (seg[:, 0] << 44) + seg[:, 1]
@@ -142,7 +161,7 @@ def _slots(segments, names: list[str], schema: pa.Schema):
             if not b.num_rows:
                 continue
             length = b.column(b.schema.get_field_index("length")).to_numpy()
-            rank = b.column(b.schema.get_field_index("__rank")).to_numpy()
+            rank = b.column(b.schema.get_field_index(ranks)).to_numpy()
             s = seg_sorted[np.searchsorted(key, (length << 44) + rank, "right") - 1]
             r = rank - s[:, 1]
             cols = {n: b.column(b.schema.get_field_index(n)) for n in names}
@@ -151,7 +170,7 @@ def _slots(segments, names: list[str], schema: pa.Schema):
     return run
 
 
-def _numbered(names: list[str], schema: pa.Schema):
+def _numbered(names: list[str], schema: pa.Schema, parts: str, ranks: str):
     """Adds the partition and the rank within its partition and length."""
 
     def run(batches):
@@ -165,37 +184,47 @@ def _numbered(names: list[str], schema: pa.Schema):
                 seen = counts.get(value, 0)
                 rank[at] = seen + np.arange(len(at))
                 counts[value] = seen + len(at)
-            yield batch({n: b.column(b.schema.get_field_index(n)) for n in names} | {"__part": np.full(len(length), part, np.int32), "__rank": rank}, schema)
+            yield batch({n: b.column(b.schema.get_field_index(n)) for n in names} | {parts: np.full(len(length), part, np.int32), ranks: rank}, schema)
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, broadcast_counts: int = BROADCAST_COUNTS) -> DataFrame:
     """Give every piece a place in as few sequences as best fit can.
 
     Input: rows with a ``length`` of 1 to ``capacity`` (another one, or null, is an error);
-    other columns go along.  Output: the same rows with ``sequence_id`` and ``offset``;
+    other columns go along, whatever their names.  Output: the same rows with ``sequence_id`` and ``offset``;
     within a sequence the offsets are gapless from 0.  Equal lengths are interchangeable, so
     which of them takes which slot is arbitrary, but no slot is given twice.  An empty table
     gives an empty result.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import IntegerType, LongType, StructType
 
     spark = pieces.sparkSession
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    part, rank, base = (_free(x, names) for x in ("__part", "__rank", "__base"))
     pieces = pieces.select(*[F.col(c).cast("long").alias(c) if c == "length" else F.col(c) for c in names])
     kept = StructType(list(pieces.schema))
-    numbered = StructType(list(kept)).add("__part", IntegerType()).add("__rank", LongType())
-    # A written table is read in the same partitions and order every time, so ranks can be made again.
-    ranked = settle(pieces, "pieces").mapInArrow(tidied(_numbered(names, to_arrow_schema(numbered))), numbered)
-    counts = ranked.groupBy("length", "__part").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).limit(capacity + 2).collect()}
+    # A written table is read in the same partitions and order every time, so places within a partition can be made again.
+    written = settle(pieces, "pieces")
+    counts = settle(written.groupBy("length", F.spark_partition_id().alias(part)).agg(F.count("*").alias("n")), "piece-counts")
+    before = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("length", part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).limit(capacity + 2).collect()}
     if None in histogram:
         raise ValueError("a piece has no length")
     segments = spark.sparkContext.broadcast(plan(histogram, capacity))
-    placed = ranked.join(bases, ["length", "__part"]).withColumn("__rank", F.col("__rank") + F.col("__base")).select(*names, "__rank")
+    numbered = StructType(list(kept)).add(part, IntegerType()).add(rank, LongType())
+    ranked = written.mapInArrow(tidied(_numbered(names, to_arrow_schema(numbered), part, rank)), numbered)
+    # A count for each length and partition: few enough to be sent to all, or dealt with the pieces.
+    placed = ranked.join(F.broadcast(bases) if counts.count() <= broadcast_counts else bases, ["length", part])
+    placed = placed.withColumn(rank, F.col(rank) + F.col(base)).select(*names, rank)
     done = StructType(list(kept)).add("sequence_id", LongType()).add("offset", LongType())
-    return placed.mapInArrow(tidied(_slots(segments, names, to_arrow_schema(done))), done)
+    return placed.mapInArrow(tidied(_slots(segments, names, to_arrow_schema(done), rank)), done)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """A column's name that is not taken."""
+    while name in taken:
+        name += "_"
+    return name
