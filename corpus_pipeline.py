@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  Every
 stage's rows are written as Parquet and read again, so a lost executor costs one stage's
 tasks at most.  All but the last return the columns of ``documents``.
+
+All stages alike: a null text counts as an empty one and stays null; empty texts and null doc_ids are kept; an empty table gives an
+empty result; texts of any length are read whole; further columns go along, but through packing, which returns pieces.
+Of rows equal in doc_id and text near-duplicates keeps one.  Which of equally long pieces takes which slot is open.
 """
 
 from __future__ import annotations
@@ -29,11 +33,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with five per cent of their words in benchmark windows go."""
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    found = decontaminate.contamination(keyed.select(F.col("__key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    bad = settle(found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
-    return without(keyed, bad, "__key").select(*docs.columns)
+    """Documents with five per cent of their words in benchmark windows go; a row without words stays, equal rows go or stay together."""
+    key = "__key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = decontaminate.contamination(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = settle(found.where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return without(keyed, bad, key).select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +50,8 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens with their ids, each with its sequence and its place there."""
-    pieces = packing.tokenize_pieces(docs, public_tokenizers.path(TOKENIZER))
-    return packing.pack(pieces)
+    pieces = packing.tokenize_pieces(docs, public_tokenizers.path(TOKENIZER), payload="packed_ids")
+    return packing.unpacked(packing.pack(pieces))
 
 
 STAGES = [
