@@ -24,14 +24,22 @@ ALPHA = 0.4
 #: What counts for a word that no other document has.
 UNSEEN = 0.5
 #: Bytes of text in a block, about, and characters behind a partition of the count tables.
-BLOCK_BYTES, TABLE_CHARS = 8_000_000, 12_000_000
+BLOCK_BYTES, TABLE_CHARS = 6_000_000, 8_000_000
 
 _BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("texts", pa.binary())])
-_REQUEST = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("size", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
-_ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("totals", pa.binary())])
+_REQUEST = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("size", pa.int32()), ("n", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+_ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("n", pa.int32()), ("totals", pa.binary())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_backoff", pa.int64()), ("log_score", pa.float64())])
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    return pa.compress(pack_planes(values), "zstd", asbytes=True)
+
+
+def _opened(data: bytes, n: int, dtype) -> np.ndarray:
+    return unpack_planes(pa.decompress(data, n * np.dtype(dtype).itemsize, "zstd", asbytes=True), dtype)
+
+
 def _grams(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """n-gram hashes within rows, and how many each row has."""
     counts = np.maximum(np.diff(words.first) - (size - 1), 0)
@@ -48,7 +56,7 @@ def _blocks(block_bytes: int):
 
         def row():
             flat = np.concatenate(sizes)
-            return batch({"block": [name], "ids": [ids], "sizes": [pack_planes(flat.astype(np.uint64))], "texts": [pa.compress(b"".join(texts), "zstd", asbytes=True)]}, _BLOCK)
+            return batch({"block": [name], "ids": [ids], "sizes": [pack_planes(flat.astype(np.uint64))], "texts": [pa.Codec("zstd", compression_level=6).compress(b"".join(texts), asbytes=True)]}, _BLOCK)
 
         for b in batches:
             data, offsets = utf8(b.column(1))
@@ -93,7 +101,7 @@ def _requests(order: int, parts: int):
                     for part in range(parts):
                         own = distinct[bound[part] : bound[part + 1]]
                         if len(own):
-                            row = (part, block, size, pack_planes(np.diff(own, prepend=np.uint64(0))), pack_planes(counts[bound[part] : bound[part + 1]].astype(np.uint32)))
+                            row = (part, block, size, len(own), _squeezed(np.diff(own, prepend=np.uint64(0))), _squeezed(counts[bound[part] : bound[part + 1]].astype(np.uint32)))
                             for k, v in zip(_REQUEST.names, row):
                                 out[k].append(v)
                     yield batch(out, _REQUEST)
@@ -107,14 +115,15 @@ def _totals(table: pa.Table) -> pa.Table:
     sizes = table.column("size").to_pylist()
     for size in sorted(set(sizes)):
         rows = [i for i, s in enumerate(sizes) if s == size]
-        grams = [np.cumsum(unpack_planes(table.column("grams")[i].as_py(), np.uint64), dtype=np.uint64) for i in rows]
-        counts = [unpack_planes(table.column("counts")[i].as_py(), np.uint32) for i in rows]
+        n = {i: table.column("n")[i].as_py() for i in rows}
+        grams = [np.cumsum(_opened(table.column("grams")[i].as_py(), n[i], np.uint64), dtype=np.uint64) for i in rows]
+        counts = [_opened(table.column("counts")[i].as_py(), n[i], np.uint32) for i in rows]
         distinct, inverse = np.unique(np.concatenate(grams), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.uint64)
         answer = total[inverse]
         ends = np.cumsum([len(g) for g in grams])
         for i, lo, hi in zip(rows, ends - [len(g) for g in grams], ends):
-            row = (table.column("block")[i].as_py(), table.column("part")[i].as_py(), size, pack_planes(answer[lo:hi]))
+            row = (table.column("block")[i].as_py(), table.column("part")[i].as_py(), size, n[i], _squeezed(answer[lo:hi]))
             for k, v in zip(_ANSWER.names, row):
                 out[k].append(v)
     return pa.table(out, _ANSWER)
@@ -140,7 +149,7 @@ def _scores(order: int, alpha: float, leave_one_out: bool, total_words: int):
         left = []
         for size, (hashes, counts) in enumerate(grams, 1):
             rows = np.flatnonzero(sizes == size)
-            corpus = np.concatenate([np.zeros(0, np.uint64), *[unpack_planes(answers.column("totals")[int(i)].as_py(), np.uint64) for i in rows]]).astype(np.int64)
+            corpus = np.concatenate([np.zeros(0, np.uint64), *[_opened(answers.column("totals")[int(i)].as_py(), answers.column("n")[int(i)].as_py(), np.uint64) for i in rows]]).astype(np.int64)
             distinct, index = np.unique(hashes, return_inverse=True)
             if len(distinct) != len(corpus):
                 raise RuntimeError("the documents changed between two readings: score(..., stable=False) writes them first")
@@ -210,6 +219,6 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_one_o
     blocks = docs.mapInArrow(tidied(_blocks(block_bytes)), "block long, ids array<long>, sizes binary, texts binary")
     if not stable:
         blocks = settle(blocks, "lm-blocks")
-    requests = blocks.select("block", "sizes", "texts").mapInArrow(tidied(_requests(order, parts)), "part int, block long, size int, grams binary, counts binary")
-    answers = requests.groupBy("part").applyInArrow(_totals, "block long, part int, size int, totals binary")
+    requests = blocks.select("block", "sizes", "texts").mapInArrow(tidied(_requests(order, parts)), "part int, block long, size int, n int, grams binary, counts binary")
+    answers = requests.groupBy("part").applyInArrow(_totals, "block long, part int, size int, n int, totals binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(order, alpha, leave_one_out, sums["words"] or 0), "doc_id long, n_words long, n_backoff long, log_score double")
