@@ -47,7 +47,7 @@ def test_token_ids_pass_through_packing(spark, tmp_path, monkeypatch):
     rows = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect()
     assert len(rows) == len(want) and {(r.doc_id, r.piece): list(r.ids) for r in rows} == want
     seen, pack = [], packing.pack
-    monkeypatch.setattr(packing, "pack", lambda p, *a: seen.append(p.columns) or pack(p, *a))
+    monkeypatch.setattr(packing, "pack", lambda p, *a, **k: seen.append(p.columns) or pack(p, *a, **k))
     rows = queries.QUERIES["op3_best_fit_packing"](spark, str(tmp_path))
     assert "ids" in seen[0] and rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert {(r.doc_id, r.piece): r.ids_crc32 for r in rows.collect()} == {k: zlib.crc32(np.array(v, "<u4").tobytes()) for k, v in want.items()}

@@ -118,11 +118,13 @@ def _fine(narrow: bool):
         for b in batches:
             data, offsets = utf8(b.column(1))
             for lo, hi in slices(offsets):
-                sets = list(shingle_sets(Words(data, offsets[lo : hi + 1], NOT_SPACE), SHINGLE))
-                low = [minima(s, _FINE) for s in sets]
-                bits = [np.packbits((x & np.uint64(1)).astype(np.uint8)).tobytes() for x in low]
-                tags = [(narrow_keys(x) if narrow else band_keys(minima(s))).astype(np.uint32).tobytes() for x, s in zip(low, sets)]
-                yield batch({"id": b.column(0)[lo:hi], "n": [len(s) for s in sets], "bits": bits, "tags": tags}, schema)
+                out = {"n": [], "bits": [], "tags": []}
+                for s in shingle_sets(Words(data, offsets[lo : hi + 1], NOT_SPACE), SHINGLE):
+                    low = minima(s, _FINE)
+                    out["n"].append(len(s))
+                    out["bits"].append(np.packbits((low & np.uint64(1)).astype(np.uint8)).tobytes())
+                    out["tags"].append((narrow_keys(low) if narrow else band_keys(minima(s))).astype(np.uint32).tobytes())
+                yield batch({"id": b.column(0)[lo:hi]} | out, schema)
 
     return run
 

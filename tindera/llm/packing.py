@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from . import bpe
 from .arrowtext import batch, pack_planes, tidied, unpack_planes
@@ -62,7 +62,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     """Cut every document's ids, with ``end_id`` at their end, into pieces of at most ``capacity``.
 
     Output: ``doc_id``, ``piece`` (from 0), ``start``, ``length`` and ``ids``: an array, or with
-    ``payload="packed_ids"`` bytes, which go along at less cost and which ``unpacked`` opens; or, with
+    ``payload="packed_ids"`` bytes, which go along at less cost and which ``pack`` opens; or, with
     ``payload="ids_crc32"``, their checksum as little-endian unsigned 32-bit numbers.
     A null or empty text is the piece of ``end_id`` alone; texts of any length are cut whole.
     """
@@ -88,22 +88,11 @@ def _opened(names: list[str], schema: pa.Schema, column: str):
     return run
 
 
-def _open(packed: DataFrame, column: str, kind) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructField, StructType
-
-    out = StructType([StructField(column, kind) if f.name == "ids" else f for f in packed.schema])
-    return packed.mapInArrow(tidied(_opened(out.names, to_arrow_schema(out), column)), out)
-
+_KINDS = {"ids_crc32": LongType(), "ids": ArrayType(IntegerType())}
 
-def checksums(packed: DataFrame) -> DataFrame:
-    """Rows with packed ``ids`` (never null), these replaced by ``ids_crc32``, their checksum as little-endian unsigned 32-bit numbers."""
-    return _open(packed, "ids_crc32", LongType())
 
-
-def unpacked(packed: DataFrame) -> DataFrame:
-    """Rows with packed ``ids`` (never null), these as arrays."""
-    return _open(packed, "ids", ArrayType(IntegerType()))
+def _opened_schema(schema: StructType, column: str) -> StructType:
+    return StructType([StructField(column, _KINDS[column]) if f.name == "ids" else f for f in schema])
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -170,12 +159,16 @@ def _slots(segments, names: list[str], schema: pa.Schema, ranks: str):
     return run
 
 
-def _numbered(names: list[str], schema: pa.Schema, parts: str, ranks: str):
-    """Adds the partition and the rank within its partition and length."""
+def _numbered(names: list[str], schema: pa.Schema, parts: str, ranks: str, sent=None):
+    """Adds the partition and the rank within its partition and length, or, with the bases of all, within its length."""
 
     def run(batches):
         counts: dict[int, int] = {}
         part = TaskContext.get().partitionId()
+        if sent is not None:
+            own, lengths, bases = sent.value
+            lo, hi = np.searchsorted(own, [part, part + 1])
+            counts = dict(zip(lengths[lo:hi].tolist(), bases[lo:hi].tolist()))
         for b in batches:
             length = b.column(b.schema.get_field_index("length")).to_numpy()
             rank = np.empty(len(length), np.int64)
@@ -189,14 +182,15 @@ def _numbered(names: list[str], schema: pa.Schema, parts: str, ranks: str):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, broadcast_counts: int = BROADCAST_COUNTS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, open_as: str | None = None, broadcast_counts: int = BROADCAST_COUNTS) -> DataFrame:
     """Give every piece a place in as few sequences as best fit can.
 
     Input: rows with a ``length`` of 1 to ``capacity`` (another one, or null, is an error);
     other columns go along, whatever their names.  Output: the same rows with ``sequence_id`` and ``offset``;
     within a sequence the offsets are gapless from 0.  Equal lengths are interchangeable, so
     which of them takes which slot is arbitrary, but no slot is given twice.  An empty table
-    gives an empty result.
+    gives an empty result.  With ``open_as`` packed ``ids`` come out as arrays (``ids``) or as their checksum (``ids_crc32``), as
+    little-endian unsigned 32-bit numbers.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -215,12 +209,32 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, broadcast_counts: int = BR
         raise ValueError("a piece has no length")
     segments = spark.sparkContext.broadcast(plan(histogram, capacity))
     numbered = StructType(list(kept)).add(part, IntegerType()).add(rank, LongType())
-    ranked = written.mapInArrow(tidied(_numbered(names, to_arrow_schema(numbered), part, rank)), numbered)
-    # A count for each length and partition: few enough to be sent to all, or dealt with the pieces.
-    placed = ranked.join(F.broadcast(bases) if counts.count() <= broadcast_counts else bases, ["length", part])
-    placed = placed.withColumn(rank, F.col(rank) + F.col(base)).select(*names, rank)
     done = StructType(list(kept)).add("sequence_id", LongType()).add("offset", LongType())
-    return placed.mapInArrow(tidied(_slots(segments, names, to_arrow_schema(done), rank)), done)
+    number = lambda sent=None: _numbered(names, to_arrow_schema(numbered), part, rank, sent)
+    steps = [_slots(segments, names, to_arrow_schema(done), rank)]
+    if open_as is not None:
+        done = _opened_schema(done, open_as)
+        steps.append(_opened(done.names, to_arrow_schema(done), open_as))
+    # A count for each length and partition: few enough to be sent to all, or dealt with the pieces.
+    if counts.count() <= broadcast_counts:
+        found = bases.toArrow()
+        columns = [found[c].to_numpy() for c in (part, "length", base)]
+        order = np.lexsort((columns[1], columns[0]))
+        sent = spark.sparkContext.broadcast([c[order] for c in columns])
+        return written.mapInArrow(tidied(_chained(number(sent), *steps)), done)
+    placed = written.mapInArrow(tidied(number()), numbered).join(bases, ["length", part])
+    return placed.withColumn(rank, F.col(rank) + F.col(base)).select(*names, rank).mapInArrow(tidied(_chained(*steps)), done)
+
+
+def _chained(*kernels):
+    """Kernels one after the other in one Python worker."""
+
+    def run(batches):
+        for kernel in kernels:
+            batches = kernel(batches)
+        yield from batches
+
+    return run
 
 
 def _free(name: str, taken: list[str]) -> str:
