@@ -51,7 +51,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens with their ids, each with its sequence and its place there."""
     pieces = packing.tokenize_pieces(docs, public_tokenizers.path(TOKENIZER), payload="packed_ids")
-    return packing.unpacked(packing.pack(pieces))
+    return packing.pack(pieces, open_as="ids")
 
 
 STAGES = [
