@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,7 @@ def scratch_root(spark: SparkSession) -> str:
     made = getattr(spark.sparkContext, "_tindera_scratch", None)
     if made is None:
         made = spark.sparkContext._tindera_scratch = tempfile.mkdtemp(prefix="tindera-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
     return f"file://{made}"
 
 
