@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -40,5 +42,7 @@ def fixture_folder(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='tindera-')}"
+        made = tempfile.mkdtemp(prefix="tindera-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        root = f"file://{made}"
     return f"{root.rstrip('/')}/tindera-files/{uuid.uuid4().hex}"
