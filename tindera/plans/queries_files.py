@@ -202,7 +202,7 @@ def csv_export_header(spark, sf_dir):
 
 @query(
     """SELECT 'https://temu.com/' || s_suppkey AS link, CASE WHEN s_suppkey % 3 = 0 THEN 'Unnamed product' ELSE s_name END AS name, 'Temu PH' AS platform, '' AS category, 'second' AS source, s_suppkey::DOUBLE AS rating, 2::BIGINT AS review_count,
-      CASE WHEN s_suppkey % 2 = 0 THEN 61.0 END AS risk_score, CASE WHEN s_suppkey % 2 = 0 THEN 29.0 ELSE 100.0 END AS reliability_score, 2::BIGINT AS reviews, 5 AS first_rating, CASE WHEN s_suppkey % 2 = 0 THEN 'negative' END AS sentiment, 2::BIGINT AS risky FROM supplier"""
+      CASE WHEN s_suppkey % 2 = 0 THEN 61.0 END::DOUBLE AS risk_score, CASE WHEN s_suppkey % 2 = 0 THEN 29.0 ELSE 100.0 END::DOUBLE AS reliability_score, 2::BIGINT AS reviews, 5 AS first_rating, CASE WHEN s_suppkey % 2 = 0 THEN 'negative' END AS sentiment, 2::BIGINT AS risky FROM supplier"""
 )
 def store_save_twice(spark, sf_dir):
     """Products saved twice under one link: rows are replaced, reviews keep their first rating and take the new analysis."""

@@ -18,8 +18,8 @@ def _page(spark, sf_dir, *parts, name: str = "supplier", key: str = "s_suppkey")
 
 
 @query(
-    """SELECT s_suppkey AS page_id, 'https://shopee.ph/lamp-i.1.' || s_suppkey AS link, s_name AS name, '₱1,299-₱1,599' AS price, 4.5 AS rating, 2500::BIGINT AS sold_count, 'Free shipping' AS shipping, 'Manila' AS location, 'https://c.example/a.png' AS img FROM supplier
-    UNION ALL SELECT s_suppkey, 'https://shopee.ph/product/3/4', 'By title', '₱5', 4.9, 0, '', '', '' FROM supplier"""
+    """SELECT s_suppkey AS page_id, 'https://shopee.ph/lamp-i.1.' || s_suppkey AS link, s_name AS name, '₱1,299-₱1,599' AS price, 4.5::DOUBLE AS rating, 2500::BIGINT AS sold_count, 'Free shipping' AS shipping, 'Manila' AS location, 'https://c.example/a.png' AS img FROM supplier
+    UNION ALL SELECT s_suppkey, 'https://shopee.ph/product/3/4', 'By title', '₱5', 4.9::DOUBLE, 0, '', '', '' FROM supplier"""
 )
 def shopee_cards(spark, sf_dir):
     k = F.col("s_suppkey").cast("string")
@@ -33,7 +33,7 @@ def shopee_cards(spark, sf_dir):
     return markets.product_cards(rows, "shopee").select("page_id", "link", "name", "price", "rating", "sold_count", "shipping", "location", "img")
 
 
-@query("SELECT s_suppkey AS page_id, 'https://www.lazada.com.ph/products/p' || s_suppkey || '.html' AS link, s_name || ' ₱' AS name, '₱44.00' AS price, 4.8 AS rating, 1200::BIGINT AS sold_count, 'Cebu' AS location FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'https://www.lazada.com.ph/products/p' || s_suppkey || '.html', 'loose', '', 0.0, 0, '' FROM supplier WHERE s_suppkey % 2 = 1")
+@query("SELECT s_suppkey AS page_id, 'https://www.lazada.com.ph/products/p' || s_suppkey || '.html' AS link, s_name || ' ₱' AS name, '₱44.00' AS price, 4.8::DOUBLE AS rating, 1200::BIGINT AS sold_count, 'Cebu' AS location FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'https://www.lazada.com.ph/products/p' || s_suppkey || '.html', 'loose', '', 0.0::DOUBLE, 0, '' FROM supplier WHERE s_suppkey % 2 = 1")
 def lazada_cards(spark, sf_dir):
     """Odd pages have lost their wrappers: cards are found by their links."""
     k = F.col("s_suppkey")
@@ -44,7 +44,7 @@ def lazada_cards(spark, sf_dir):
     return found.select("page_id", "link", T.repair(F.col("name")).alias("name"), T.repair(F.col("price")).alias("price"), "rating", "sold_count", "location")
 
 
-@query("SELECT s_suppkey AS page_id, 'https://www.temu.com/goods.html?goods_id=' || (6010000 + s_suppkey) AS link, (6010000 + s_suppkey)::VARCHAR AS goods_id, 'Label ' || s_name AS name, 'PHP 1,299.50' AS price, 4.7 AS rating, 2500::BIGINT AS sold_count, 1200::BIGINT AS total_rating FROM supplier")
+@query("SELECT s_suppkey AS page_id, 'https://www.temu.com/goods.html?goods_id=' || (6010000 + s_suppkey) AS link, (6010000 + s_suppkey)::VARCHAR AS goods_id, 'Label ' || s_name AS name, 'PHP 1,299.50' AS price, 4.7::DOUBLE AS rating, 2500::BIGINT AS sold_count, 1200::BIGINT AS total_rating FROM supplier")
 def temu_cards(spark, sf_dir):
     k = (F.col("s_suppkey") + 6010000).cast("string")
     rows = _page(spark, sf_dir, '<div data-product-id="1"><a href="https://www.temu.com/ph-en/x-g-', k, '.html?a=b" aria-label="Label ', F.col("s_name"), '">x</a><p>PHP 1,299.50</p><i aria-label="4.7 out of 5 stars"></i><p>2.5K+ sold</p><p>1,2k reviews</p></div><a href="/about.html">x</a>')
@@ -88,7 +88,7 @@ def lazada_reviews(spark, sf_dir):
 
 
 @query(
-    """SELECT s_suppkey AS page_id, CASE WHEN s_suppkey % 2 = 0 THEN 'r1' ELSE '' END AS comment_id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END AS author, CASE WHEN s_suppkey % 2 = 0 THEN 4.5 ELSE 3.0 END AS rating,
+    """SELECT s_suppkey AS page_id, CASE WHEN s_suppkey % 2 = 0 THEN 'r1' ELSE '' END AS comment_id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END AS author, CASE WHEN s_suppkey % 2 = 0 THEN 4.5 ELSE 3.0 END::DOUBLE AS rating,
       CASE WHEN s_suppkey % 2 = 0 THEN '2026-01-02' ELSE 'Jan 5, 2026' END AS time, CASE WHEN s_suppkey % 2 = 0 THEN 'body text' ELSE 'a rather long line of praise' END AS content, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'Color: red' END AS variation FROM supplier"""
 )
 def temu_reviews(spark, sf_dir):
@@ -111,8 +111,8 @@ def rating_overview_scan(spark, sf_dir):
 
 
 @query(
-    """SELECT s_suppkey AS page_id, s_name AS name, '₱' || s_suppkey || '.00' AS price, 'PHP' AS currency, 4.7 AS rating, 1200::BIGINT AS total_rating, 'https://i.example/1' AS img, 'B' AS brand, 'old' AS description FROM supplier WHERE s_suppkey % 3 > 0
-    UNION ALL SELECT s_suppkey, 'was', 'was', NULL, 1.0, 2, 'was', NULL, 'old' FROM supplier WHERE s_suppkey % 3 = 0"""
+    """SELECT s_suppkey AS page_id, s_name AS name, '₱' || s_suppkey || '.00' AS price, 'PHP' AS currency, 4.7::DOUBLE AS rating, 1200::BIGINT AS total_rating, 'https://i.example/1' AS img, 'B' AS brand, 'old' AS description FROM supplier WHERE s_suppkey % 3 > 0
+    UNION ALL SELECT s_suppkey, 'was', 'was', NULL, 1.0::DOUBLE, 2, 'was', NULL, 'old' FROM supplier WHERE s_suppkey % 3 = 0"""
 )
 def json_ld_scan(spark, sf_dir):
     """The first product of a page's JSON-LD over what was known before; a broken script is passed over."""
