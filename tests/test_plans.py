@@ -71,7 +71,7 @@ def test_market_pages(spark):
 def test_counts_and_json_ld(spark):
     kind = "link string, total_rating int, reported_review_count int, price string, rating double, comments array<struct<comment_id:string,author:string,time:string,content:string,rating:int>>, json_ld string"
     ld = json.dumps({"@type": "Product", "offers": {"price": "5", "priceCurrency": "PHP"}})
-    frame = spark.createDataFrame([("a", 0, 353, "x", 4.0, [("1", "a", "t", "c", 5), ("1", "b", "u", "d", 4), (None, "a", "t", "c", 5)], ld)], kind)
+    frame = spark.createDataFrame([("a", 0, 412, "x", 4.0, [("1", "a", "t", "c", 5), ("1", "b", "u", "d", 4), (None, "a", "t", "c", 5)], ld)], kind)
     r = markets.review_counts(frame).first()
     assert (r.written_reviews_collected, r.reported) == (2, 0)
     r = markets.apply_json_ld(frame).first()

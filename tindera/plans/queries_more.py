@@ -84,7 +84,7 @@ def card_texts(spark, sf_dir):
 def label_lines(spark, sf_dir):
     said = F.element_at(F.array(*[F.lit(x) for x in (": pos and neg", ": <NEG>", ": neutral", ": ?", " 1:2:POS")]), (F.col("p_size") % 5 + 1).cast("int"))
     line = T.label_line(F.concat(F.lit("Comment "), F.col("k").cast("string"), said))
-    dated = F.element_at(F.array(F.lit("2026-06-19 09:14"), F.lit("13 Aug 2026"), F.lit("Silver 2026")), (F.col("p_size") % 3 + 1).cast("int"))
+    dated = F.element_at(F.array(F.lit("2025-03-04 17:20"), F.lit("8 May 2025"), F.lit("Green 2025")), (F.col("p_size") % 3 + 1).cast("int"))
     return _part(spark, sf_dir).select("p_partkey", line["index"].alias("index"), line["label"].alias("label"), T.looks_like_date(dated).alias("dated"))
 
 
@@ -256,13 +256,13 @@ def sort_by_reviews(spark, sf_dir):
     return one.unionAll(views.page(rows, views.sort_columns("summarised"), 0).select("link", F.lit("summarised").alias("how")))
 
 
-@query("SELECT s_suppkey::VARCHAR AS link, (2 + (s_suppkey % 2))::INT AS written_reviews_collected, CASE WHEN s_suppkey % 3 = 0 THEN 0 WHEN s_suppkey % 3 = 1 THEN 12 ELSE 353 END::BIGINT AS reported FROM supplier")
+@query("SELECT s_suppkey::VARCHAR AS link, (2 + (s_suppkey % 2))::INT AS written_reviews_collected, CASE WHEN s_suppkey % 3 = 0 THEN 0 WHEN s_suppkey % 3 = 1 THEN 12 ELSE 412 END::BIGINT AS reported FROM supplier")
 def review_counts(spark, sf_dir):
     """Distinct written reviews; the stated total, even 0, before the reported count."""
     k = F.col("s_suppkey")
     review = lambda i, c: F.struct(F.lit(i).alias("comment_id"), F.lit("a").alias("author"), F.lit("t").alias("time"), c.alias("content"), F.lit(5).alias("rating"))
     comments = F.array(review("1", F.lit("x")), review("1", F.lit("y")), review("", F.lit("c")), review("", F.when(k % 2 == 1, "d").otherwise("c")))
-    rows = table(spark, sf_dir, "supplier").select(k.cast("string").alias("link"), comments.alias("comments"), F.when(k % 3 == 0, 0).when(k % 3 == 1, 12).alias("total_rating"), F.lit(353).alias("reported_review_count"))
+    rows = table(spark, sf_dir, "supplier").select(k.cast("string").alias("link"), comments.alias("comments"), F.when(k % 3 == 0, 0).when(k % 3 == 1, 12).alias("total_rating"), F.lit(412).alias("reported_review_count"))
     return markets.review_counts(rows).select("link", "written_reviews_collected", "reported")
 
 

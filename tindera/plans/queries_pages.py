@@ -18,7 +18,7 @@ def _page(spark, sf_dir, *parts, name: str = "supplier", key: str = "s_suppkey")
 
 
 @query(
-    """SELECT s_suppkey AS page_id, 'https://shopee.ph/lamp-i.1.' || s_suppkey AS link, s_name AS name, '₱1,299-₱1,599' AS price, 4.5::DOUBLE AS rating, 2500::BIGINT AS sold_count, 'Free shipping' AS shipping, 'Manila' AS location, 'https://c.example/a.png' AS img FROM supplier
+    """SELECT s_suppkey AS page_id, 'https://shopee.ph/lamp-i.1.' || s_suppkey AS link, s_name AS name, '₱870-₱2,040' AS price, 4.5::DOUBLE AS rating, 2500::BIGINT AS sold_count, 'Free shipping' AS shipping, 'Manila' AS location, 'https://c.example/a.png' AS img FROM supplier
     UNION ALL SELECT s_suppkey, 'https://shopee.ph/product/3/4', 'By title', '₱5', 4.9::DOUBLE, 0, '', '', '' FROM supplier"""
 )
 def shopee_cards(spark, sf_dir):
@@ -26,7 +26,7 @@ def shopee_cards(spark, sf_dir):
     rows = _page(
         spark, sf_dir,
         '<ul><li data-sqe="item"><a data-sqe="link" href="/lamp-i.1.', k, '?sp=1"><img src="data:image/x" data-src="//c.example/a.png"><div data-sqe="name">', F.col("s_name"),
-        '</div></a><div class="b items-baseline">₱ 1,299 - ₱ 1,599</div><span class="x rating-y">4.5</span><p>2.5K+ sold</p><p>Free shipping</p><p class="the-location">Manila</p></li>',
+        '</div></a><div class="b items-baseline">₱ 870 - ₱ 2,040</div><span class="x rating-y">4.5</span><p>2.5K+ sold</p><p>Free shipping</p><p class="the-location">Manila</p></li>',
         '<li data-sqe="item"><a href="/about">none</a></li><li data-sqe="item"><a class="contents" title="By title" href="/product/3/4">x<p>₱ 5</p><p>4.9</p></a></li>',
         '<li data-sqe="item"><a class="contents" href="/product/3/4">again</a></li></ul>',
     )
@@ -52,7 +52,7 @@ def temu_cards(spark, sf_dir):
 
 
 @query(
-    """SELECT s_suppkey AS page_id, 0 AS place, 'c' || s_suppkey AS comment_id, s_name AS author, (s_suppkey % 6)::INT AS rating, '2026-06-19 09:14 | Variation: Silver' AS time, 'Works  as told' AS content, 'Seller response: thanks' AS seller_respond, 1200::BIGINT AS like_count FROM supplier
+    """SELECT s_suppkey AS page_id, 0 AS place, 'c' || s_suppkey AS comment_id, s_name AS author, (s_suppkey % 6)::INT AS rating, '2025-03-04 17:20 | Variation: Green' AS time, 'Works  as told' AS content, 'Seller response: thanks' AS seller_respond, 1200::BIGINT AS like_count FROM supplier
     UNION ALL SELECT s_suppkey, 1, 'd', '', 0, '', '', '', 0 FROM supplier"""
 )
 def shopee_reviews(spark, sf_dir):
@@ -61,7 +61,7 @@ def shopee_reviews(spark, sf_dir):
     stars = F.repeat(F.lit('<svg class="icon-rating-solid"></svg>'), (k % 6).cast("int"))
     rows = _page(
         spark, sf_dir, '<div class="product-ratings__list"><div data-cmtid="c', k.cast("string"), '"><div><a href="/shop/buyer/1"><img></a><a href="/shop/buyer/1">', F.col("s_name"), "</a></div><div><div>", stars,
-        "<p><i>2026-06-19 09:14 | Variation: Silver</i> sure</p></div><div>Works\n as told</div><div><p>Seller response: thanks</p> more</div></div>",
+        "<p><i>2025-03-04 17:20 | Variation: Green</i> sure</p></div><div>Works\n as told</div><div><p>Seller response: thanks</p> more</div></div>",
         '<span class="shopee-product-rating__like-count">1,2k</span></div><div data-cmtid="d"></div></div>',
     )
     found = markets.normalise_reviews(R.review_records(rows, "shopee"), "shopee")
@@ -69,7 +69,7 @@ def shopee_reviews(spark, sf_dir):
 
 
 @query(
-    """SELECT s_suppkey AS page_id, s_suppkey::VARCHAR AS comment_id, s_name AS author, CASE WHEN s_suppkey % 3 = 0 THEN 4 ELSE round_even(s_suppkey % 5 + 0.4, 0)::INT END AS rating, '13 Aug 2026' AS time, '₱5 well spent' AS content, 'Red' AS variation, 'thanks' AS seller_respond, 7::BIGINT AS like_count FROM supplier"""
+    """SELECT s_suppkey AS page_id, s_suppkey::VARCHAR AS comment_id, s_name AS author, CASE WHEN s_suppkey % 3 = 0 THEN 4 ELSE round_even(s_suppkey % 5 + 0.4, 0)::INT END AS rating, '8 May 2025' AS time, '₱5 well spent' AS content, 'Red' AS variation, 'thanks' AS seller_respond, 7::BIGINT AS like_count FROM supplier"""
 )
 def lazada_reviews(spark, sf_dir):
     """Lit stars by the colour and mask of their paths, unless a label says the rating; reviews without text are left out."""
@@ -80,7 +80,7 @@ def lazada_reviews(spark, sf_dir):
     stars = F.concat(F.repeat(F.lit(svg(grey + yellow)), (k % 5).cast("int")), F.lit(svg(grey + half)), F.lit(svg(grey)))
     label = F.when(k % 3 == 0, F.lit('<i aria-label="Rated 4 stars"></i>')).otherwise(F.lit(""))
     rows = _page(
-        spark, sf_dir, '<div class="mod-reviews"><div class="item" data-review-id="', k.cast("string"), '">', label, stars, '<p class="reviewer"> ', F.col("s_name"), '</p><p class="title right">13 Aug 2026</p>',
+        spark, sf_dir, '<div class="mod-reviews"><div class="item" data-review-id="', k.cast("string"), '">', label, stars, '<p class="reviewer"> ', F.col("s_name"), '</p><p class="title right">8 May 2025</p>',
         '<div class="item-content"><div class="content">â‚±5 well\n spent</div></div><p class="skuInfo">Red</p><p class="seller-reply">thanks</p><p class="helpful">7</p></div><div class="item"></div></div>',
     )
     found = markets.normalise_reviews(R.review_records(rows, "lazada"), "lazada", include_empty=False)
