@@ -135,12 +135,15 @@ def round_half_even(value: Column, digits: int) -> Column:
     a tie in the product is told from a value just beside one.  Exact for up to seven digits.
     """
     power = float(10**digits)
-    x = value.cast("double")
-    x = F.when(~F.isnan(x), x)
-    product, wide = x * power, x * float(2**27 + 1)
-    high = wide - (wide - x)
-    error = (high * power - product) + (x - high) * power
-    floor = F.floor(product).cast("double")
-    part = product - floor
-    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (floor % 2 != 0))))
-    return (floor + F.when(up, 1.0).otherwise(0.0)) / power
+
+    def rounded(x: Column) -> Column:
+        product, wide = x * power, x * float(2**27 + 1)
+        high = wide - (wide - x)
+        error = (high * power - product) + (x - high) * power
+        floor = F.floor(product).cast("double")
+        part = product - floor
+        up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (floor % 2 != 0))))
+        return F.when(~F.isnan(x), (floor + F.when(up, 1.0).otherwise(0.0)) / power)
+
+    # Bound to a name, so that the value's own expression stands in the plan once, however often it is used.
+    return F.element_at(F.transform(F.array(value.cast("double")), lambda x: rounded(x)), 1)
