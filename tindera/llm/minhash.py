@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import NOT_SPACE, Words, batch, mix, shingle_sets, slices, tidied, utf8
 from .components import connected_components
-from .shared import settle, without
+from .shared import free, settle, without
 
 SHINGLE = 5
 HASHES = 128
@@ -304,14 +304,16 @@ def _classes(docs: DataFrame, threshold: int, block_rows: int = BLOCK_ROWS, most
     texts = docs.where("doc_id is not null").select(F.col("key").alias("doc_id"), "text")
     real = F.col("doc_id").isNotNull() & F.col("f1").isNotNull()
     keys = ["f1", "f2", "n_shingles"]
-    classes = raw.where(real).groupBy(*keys).agg(F.min(F.struct("doc_id", "key")).alias("first"))
-    classes = classes.select(*keys, F.col("first.doc_id").alias("least"), F.col("first.key").alias("rep"))
-    is_rep = F.col("doc_id").isNotNull() & (F.col("key") == F.col("rep"))
-    rows = raw.join(classes, keys, "left").select(
-        "key", "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "key")).alias("rep"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("least"),
+    # Only sets that occur twice are joined back; their table is written first, so that AQE can split a set that a third of all rows have.
+    classes = raw.where(real).groupBy(*keys).agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count("*").alias("m")).where("m > 1")
+    classes = settle(classes.select(*keys, F.col("first.doc_id").alias("least"), F.col("first.key").alias("rep")), "minhash-sets")
+    is_rep = F.col("key") == F.coalesce("rep", "key")
+    rows = raw.where(real).join(classes, keys, "left").select(
+        "key", "doc_id", "n_shingles", F.coalesce("rep", "key").alias("rep"), F.coalesce("least", "doc_id").alias("least"),
         F.when(is_rep, F.col("keys")).alias("keys"), F.when(is_rep, F.col("sig")).alias("sig"),
     )
+    # Rows that link with nothing stay out of every join.
+    alone = raw.where(~real).select("key", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     rows = settle(rows, "minhash-classes")
     reps = rows.where("keys is not null").select(F.col("key").alias("id"), F.col("n_shingles").alias("n"), "least", "keys", "sig")
 
@@ -342,9 +344,10 @@ def _classes(docs: DataFrame, threshold: int, block_rows: int = BLOCK_ROWS, most
     linked = rows.where("keys is not null").select(F.col("key").alias("node"), "least").join(named, "node")
     heads = linked.groupBy("component").agg(F.min(F.struct("least", "node")).alias("head"))
     heads = named.join(heads, "component").select(F.col("node").alias("rep"), F.col("head.least").alias("head_id"), F.col("head.node").alias("head"))
-    done = rows.select("key", "doc_id", "n_shingles", "rep", "least").join(heads, "rep", "left")
-    kept = F.col("doc_id").isNull() | (F.col("key") == F.coalesce("head", "rep"))
-    return done.select("key", "doc_id", "n_shingles", F.coalesce("head_id", "least").alias("component_id"), kept.alias("kept"))
+    # Again the small side is written, so that a class of any size can be split.
+    done = rows.select("key", "doc_id", "n_shingles", "rep", "least").join(settle(heads, "minhash-heads"), "rep", "left")
+    kept = F.col("key") == F.coalesce("head", "rep")
+    return done.select("key", "doc_id", "n_shingles", F.coalesce("head_id", "least").alias("component_id"), kept.alias("kept")).unionByName(alone)
 
 
 def drop_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -355,12 +358,13 @@ def drop_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     text one stays.  Rows without words or without a doc_id all stay.
     """
     found = settle(_classes(_keyed(docs), threshold), "minhash-result")
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    left = without(keyed, found.where("not kept").select(F.col("key").alias("__key")).distinct(), "__key")
-    twice = found.where("kept and doc_id is not null and n_shingles > 0").groupBy(F.col("key").alias("__key")).count().where("count > 1").select("__key")
+    key = free("__key", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    left = without(keyed, found.where("not kept").select(F.col("key").alias(key)).distinct(), key)
+    twice = found.where("kept and doc_id is not null and n_shingles > 0").groupBy(F.col("key").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key)
     twice = settle(twice, "minhash-repeated")
     if not twice.isEmpty():
-        left = without(left, twice, "__key").unionByName(left.join(twice, "__key", "left_semi").dropDuplicates(["__key"]))
+        left = without(left, twice, key).unionByName(left.join(twice, key, "left_semi").dropDuplicates([key]))
     return left.select(*docs.columns)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from . import bpe
 from .arrowtext import batch, pack_planes, tidied, unpack_planes
-from .shared import settle
+from .shared import free, settle
 
 CAPACITY = 1024
 END_ID = 2
@@ -58,20 +58,28 @@ def _pieces(path: str, capacity: int, end_id: int, payload: str):
     return run
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: str = "ids") -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: str = "ids", numbered: bool = False) -> DataFrame:
     """Cut every document's ids, with ``end_id`` at their end, into pieces of at most ``capacity``.
 
     Output: ``doc_id``, ``piece`` (from 0), ``start``, ``length`` and ``ids``: an array, or with
     ``payload="packed_ids"`` bytes, which go along at less cost and which ``pack`` opens; or, with
     ``payload="ids_crc32"``, their checksum as little-endian unsigned 32-bit numbers.
     A null or empty text is the piece of ``end_id`` alone; texts of any length are cut whole.
+    With ``numbered`` each piece has the number of its ``task`` and its ``place`` among the task's pieces of its length, for ``pack``:
+    the kernel that cuts texts numbers pieces too, in one Python worker a task.
     """
     kinds = {"ids": "array<int>", "packed_ids": "binary", "ids_crc32": "long"}
     if payload not in kinds:
         raise ValueError(f"unknown payload {payload!r}")
-    kind = kinds[payload]
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(tidied(_pieces(tokenizer_path, capacity, end_id, payload)), f"doc_id long, piece int, start long, length long, {_COLUMN.get(payload, payload)} {kind}")
+    schema = StructType.fromDDL(f"doc_id long, piece int, start long, length long, {_COLUMN.get(payload, payload)} {kinds[payload]}")
+    kernels, names = [_pieces(tokenizer_path, capacity, end_id, payload)], schema.names
+    if numbered:
+        schema = schema.add("task", IntegerType()).add("place", LongType())
+        kernels.append(_numbered(names, to_arrow_schema(schema), "task", "place"))
+    return docs.mapInArrow(tidied(_chained(*kernels)), schema)
 
 
 def _opened(names: list[str], schema: pa.Schema, column: str):
@@ -159,18 +167,21 @@ def _slots(segments, names: list[str], schema: pa.Schema, ranks: str):
     return run
 
 
-def _numbered(names: list[str], schema: pa.Schema, parts: str, ranks: str, sent=None):
-    """Adds the partition and the rank within its partition and length, or, with the bases of all, within its length."""
+def _numbered(names: list[str], schema: pa.Schema, parts: str, ranks: str):
+    """Adds the number of the task and the rank within task and length.
+
+    The kernel that makes a piece numbers it, and both numbers are written with the piece, so
+    a later reader finds them however its tasks are cut.  A task that runs again has the same number and writes its rows anew as a whole.
+    """
 
     def run(batches):
         counts: dict[int, int] = {}
         part = TaskContext.get().partitionId()
-        if sent is not None:
-            own, lengths, bases = sent.value
-            lo, hi = np.searchsorted(own, [part, part + 1])
-            counts = dict(zip(lengths[lo:hi].tolist(), bases[lo:hi].tolist()))
         for b in batches:
-            length = b.column(b.schema.get_field_index("length")).to_numpy()
+            lengths = b.column(b.schema.get_field_index("length"))
+            if lengths.null_count:
+                raise ValueError("a piece has no length")
+            length = lengths.to_numpy()
             rank = np.empty(len(length), np.int64)
             for value in np.unique(length).tolist():
                 at = np.flatnonzero(length == value)
@@ -182,7 +193,22 @@ def _numbered(names: list[str], schema: pa.Schema, parts: str, ranks: str, sent=
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, open_as: str | None = None, broadcast_counts: int = BROADCAST_COUNTS) -> DataFrame:
+def _based(names: list[str], schema: pa.Schema, parts: str, ranks: str, sent):
+    """Turns ranks within task and length into ranks within length, by the bases of all tasks."""
+
+    def run(batches):
+        key, bases = sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part, length, rank = (b.column(b.schema.get_field_index(n)).to_numpy() for n in (parts, "length", ranks))
+            at = np.searchsorted(key, (part.astype(np.int64) << 32) + length)
+            yield batch({n: b.column(b.schema.get_field_index(n)) for n in names} | {ranks: rank + bases[at]}, schema)
+
+    return run
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, open_as: str | None = None, broadcast_counts: int = BROADCAST_COUNTS, numbered: tuple[str, str] | None = None) -> DataFrame:
     """Give every piece a place in as few sequences as best fit can.
 
     Input: rows with a ``length`` of 1 to ``capacity`` (another one, or null, is an error);
@@ -191,38 +217,41 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_as: str | None = None
     which of them takes which slot is arbitrary, but no slot is given twice.  An empty table
     gives an empty result.  With ``open_as`` packed ``ids`` come out as arrays (``ids``) or as their checksum (``ids_crc32``), as
     little-endian unsigned 32-bit numbers.
+
+    ``numbered`` names two columns in which the rows are numbered already, as ``tokenize_pieces(numbered=True)`` does; they don't
+    come out.  Rows are numbered where they are made and written with their numbers, so it doesn't matter in which tasks they are read.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = pieces.sparkSession
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    part, rank, base = (_free(x, names) for x in ("__part", "__rank", "__base"))
-    pieces = pieces.select(*[F.col(c).cast("long").alias(c) if c == "length" else F.col(c) for c in names])
-    kept = StructType(list(pieces.schema))
-    # A written table is read in the same partitions and order every time, so places within a partition can be made again.
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset", *(numbered or ()))]
+    part, rank = numbered or (free("__part", names), free("__rank", names))
+    base = free("__base", [*names, part, rank])
+    pieces = pieces.select(*[F.col(c).cast("long").alias(c) if c == "length" else F.col(c) for c in [*names, *(numbered or ())]])
+    kept = StructType([f for f in pieces.schema if f.name in names])
+    ranked = StructType(list(kept)).add(rank, LongType())
+    done = StructType(list(kept)).add("sequence_id", LongType()).add("offset", LongType())
+    if numbered is None:
+        schema = StructType(list(kept)).add(part, IntegerType()).add(rank, LongType())
+        pieces = pieces.mapInArrow(tidied(_numbered(names, to_arrow_schema(schema), part, rank)), schema)
     written = settle(pieces, "pieces")
-    counts = settle(written.groupBy("length", F.spark_partition_id().alias(part)).agg(F.count("*").alias("n")), "piece-counts")
+    counts = settle(written.groupBy("length", part).agg(F.count("*").alias("n")), "piece-counts")
     before = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).limit(capacity + 2).collect()}
-    if None in histogram:
-        raise ValueError("a piece has no length")
     segments = spark.sparkContext.broadcast(plan(histogram, capacity))
-    numbered = StructType(list(kept)).add(part, IntegerType()).add(rank, LongType())
-    done = StructType(list(kept)).add("sequence_id", LongType()).add("offset", LongType())
-    number = lambda sent=None: _numbered(names, to_arrow_schema(numbered), part, rank, sent)
     steps = [_slots(segments, names, to_arrow_schema(done), rank)]
     if open_as is not None:
         done = _opened_schema(done, open_as)
         steps.append(_opened(done.names, to_arrow_schema(done), open_as))
-    # A count for each length and partition: few enough to be sent to all, or dealt with the pieces.
+    # A count for each length and task: few enough to be sent to all, or dealt with the pieces.
     if counts.count() <= broadcast_counts:
         found = bases.toArrow()
-        columns = [found[c].to_numpy() for c in (part, "length", base)]
-        order = np.lexsort((columns[1], columns[0]))
-        sent = spark.sparkContext.broadcast([c[order] for c in columns])
-        return written.mapInArrow(tidied(_chained(number(sent), *steps)), done)
-    placed = written.mapInArrow(tidied(number()), numbered).join(bases, ["length", part])
+        key = (found[part].to_numpy().astype(np.int64) << 32) + found["length"].to_numpy()
+        order = np.argsort(key)
+        sent = spark.sparkContext.broadcast((key[order], found[base].to_numpy()[order]))
+        return written.mapInArrow(tidied(_chained(_based(names, to_arrow_schema(ranked), part, rank, sent), *steps)), done)
+    placed = written.join(bases, ["length", part])
     return placed.withColumn(rank, F.col(rank) + F.col(base)).select(*names, rank).mapInArrow(tidied(_chained(*steps)), done)
 
 
@@ -236,9 +265,3 @@ def _chained(*kernels):
 
     return run
 
-
-def _free(name: str, taken: list[str]) -> str:
-    """A column's name that is not taken."""
-    while name in taken:
-        name += "_"
-    return name

@@ -36,8 +36,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.tokenize_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), payload="packed_ids")
-    return packing.pack(pieces, open_as="ids_crc32")
+    pieces = packing.tokenize_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), payload="packed_ids", numbered=True)
+    return packing.pack(pieces, open_as="ids_crc32", numbered=("task", "place"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
