@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tindera.llm import decontaminate, minhash, packing, pii, toxicity
-from tindera.llm.shared import bound_batches, settle, table, without
+from tindera.llm.shared import bound_batches, free, settle, table, without
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -34,9 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with five per cent of their words in benchmark windows go; a row without words stays, equal rows go or stay together."""
-    key = "__key"
-    while key in docs.columns:
-        key += "_"
+    key = free("__key", docs.columns)
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     found = decontaminate.contamination(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     bad = settle(found.where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
@@ -50,8 +48,8 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens with their ids, each with its sequence and its place there."""
-    pieces = packing.tokenize_pieces(docs, public_tokenizers.path(TOKENIZER), payload="packed_ids")
-    return packing.pack(pieces, open_as="ids")
+    pieces = packing.tokenize_pieces(docs, public_tokenizers.path(TOKENIZER), payload="packed_ids", numbered=True)
+    return packing.pack(pieces, open_as="ids", numbered=("task", "place"))
 
 
 STAGES = [
