@@ -9,13 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, minhash, ngram_lm, packing, pii, token_counts, toxicity, url_filter, warc
+from . import ann, decontaminate, fim, minhash, ngram_lm, packing, pii, sharding, token_counts, toxicity, url_filter, warc
 from .shared import bound_batches, scratch_path, table
 
 #: Where the tokenizer's file is; a parameter, never copied into the repository.
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
 
+#: The tree of 8 shards.
+SHARDS = sharding.layout(regions=2, racks=2, shards=2)
+
 #: Rules of the URL filter.
 RULES: list[url_filter.Rule] = [
     ("org", "/", "allow"),
@@ -73,6 +76,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARDS)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.rearrange(table(spark, sf_dir, "documents"))
+    output, form = F.col("output"), F.col("form")
+    digests = {"output_sha256": F.sha2(output.cast("binary"), 256), "restored_sha256": F.sha2(fim.restored(output, form).cast("binary"), 256)}
+    return made.withColumns(digests).drop("output")
+
+
 def _bounded(f):
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +97,7 @@ def _bounded(f):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _bounded(f) for f in (op1_lm_scoring, op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op5_decontamination, op6_nearest_neighbours, op7_pii, op8_warc, op9_toxicity, op10_token_counts)
+    f.__name__: _bounded(f) for f in (op1_lm_scoring, op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op5_decontamination, op6_nearest_neighbours, op7_pii, op8_warc, op9_toxicity, op10_token_counts, op11_sharding, op12_fill_in_middle)
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
@@ -182,4 +196,52 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, d AS payload_digest,
 FROM p JOIN lead USING (h) JOIN code USING (page_id)
 """
 
-ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL}
+#: CRC-32 of a text's UTF-8 bytes, given its table as ``tab`` of the relation ``crc``.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, v: xor(c >> 8, tab[(xor(c, v) & 255) + 1])), 4294967295)"
+
+
+def _tree_rows(tree: list[sharding.Leaf], name: str) -> list[str]:
+    rows = [(name, level, parent, child, weight) for level, of in enumerate(sharding._children(tree)) for parent, children in of.items() for child, weight in children.items()]
+    return [f"('{n}', {k}, '{p}', '{c}', {w}::DOUBLE)" for n, k, p, c, w in rows]
+
+
+_DRAWN = "(SELECT child FROM tree WHERE tree = '{tree}' AND level = {level} AND parent = {parent} ORDER BY -ln((('0x' || substr(md5(key || ':' || child), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / weight, child LIMIT 1)"
+
+
+def _shard_sql(tree: str) -> list[str]:
+    """Columns of the three levels that a key descends, each by a lookup among the children of the one before."""
+    at, out = "''", []
+    for level in range(3):
+        out.append(_DRAWN.format(tree=tree, level=level, parent=at) + f" AS {tree}{level}")
+        at = f"{tree}{level}"
+    return out
+
+
+_OLD, _NEW = _shard_sql("old"), _shard_sql("new")
+OP11_SQL = f"""
+WITH {_CRC_TABLE},
+tree(tree, level, parent, child, weight) AS (VALUES {", ".join(_tree_rows(SHARDS, "old") + _tree_rows(sharding.grown(SHARDS), "new"))}),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, strlen(coalesce(text, '')) + 1 AS size, {_CRC.format("coalesce(text, '')")} AS text_crc32 FROM documents, crc),
+l0 AS (SELECT *, {_OLD[0]}, {_NEW[0]} FROM d),
+l1 AS (SELECT *, {_OLD[1]}, {_NEW[1]} FROM l0),
+l2 AS (SELECT *, {_OLD[2]}, {_NEW[2]} FROM l1)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, old2::INT AS shard,
+  row_number() OVER (PARTITION BY old2 ORDER BY md5(key || '/' || size || '/' || text_crc32), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, new2::INT AS grown_shard
+FROM l2
+"""
+
+_UNITS = "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+"
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_UNITS}') AS u, sha256('{fim.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+e AS (SELECT *, len(u) AS n, [('0x' || substr(h, 8 * k + 1, 8))::BIGINT FOR k IN range(4)] AS r FROM d),
+c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= {fim.RATE} THEN 'plain' WHEN r[4] % 100 < {fim.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM e),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:n], ''), '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(pre || mid || suf) AS restored_sha256
+FROM p
+"""
+
+ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL, "op11_sharding": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
