@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, fim, minhash, ngram_lm, packing, pii, sharding, token_counts, toxicity, url_filter, warc
+from . import ann, decontaminate, fim, minhash, ngram_lm, packing, pii, prefix_trie, sharding, token_counts, toxicity, url_filter, warc
 from .shared import bound_batches, scratch_path, table
 
 #: Where the tokenizer's file is; a parameter, never copied into the repository.
@@ -87,6 +87,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumns(digests).drop("output")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def _bounded(f):
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +101,7 @@ def _bounded(f):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _bounded(f) for f in (op1_lm_scoring, op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op5_decontamination, op6_nearest_neighbours, op7_pii, op8_warc, op9_toxicity, op10_token_counts, op11_sharding, op12_fill_in_middle)
+    f.__name__: _bounded(f) for f in (op1_lm_scoring, op2_url_filter, op3_best_fit_packing, op4_minhash_near_dedup, op5_decontamination, op6_nearest_neighbours, op7_pii, op8_warc, op9_toxicity, op10_token_counts, op11_sharding, op12_fill_in_middle, op13_prefix_trie)
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
@@ -244,4 +248,22 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre)
 FROM p
 """
 
-ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL, "op11_sharding": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
+#: Turns are named by exact rank; a node's key is the list of its turns.
+OP13_SQL = f"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+kinds AS (SELECT role, text, row_number() OVER (ORDER BY role, text) AS k, strlen(text) AS bytes FROM (SELECT DISTINCT role, text FROM t)),
+own AS (SELECT conv_id, list(k ORDER BY turn NULLS FIRST, md5(role || chr(31) || text)) AS w FROM t JOIN kinds USING (role, text) GROUP BY conv_id),
+cut AS (SELECT own.*, {_CRC.format("conv_id::VARCHAR")} % {prefix_trie.DEPTHS} AS h FROM own, crc),
+full_ AS (SELECT cut.conv_id, list_concat(coalesce(b.w[1:h], []), coalesce(cut.w[h + 1:], [])) AS w FROM cut LEFT JOIN own b ON b.conv_id = cut.conv_id - cut.conv_id % {prefix_trie.GROUP}),
+path AS (SELECT conv_id, d, len(w) AS n, array_to_string(w[1:d], ',') AS k, array_to_string(w[1:d - 1], ',') AS pk, w[d] AS last FROM (SELECT conv_id, w, unnest(range(len(w) + 1)) AS d FROM full_)),
+node AS (SELECT d, path.k AS k, any_value(pk) AS pk, min(path.conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(bytes), 0) AS bytes, count(*) FILTER (n = d) AS n_ends,
+    sha256(coalesce(string_agg(path.conv_id::VARCHAR, ',' ORDER BY path.conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM path LEFT JOIN kinds ON kinds.k = path.last GROUP BY d, path.k),
+kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+below AS (SELECT path.d, path.k, count(*) FILTER (n_convs = n_ends) AS n_leaves, sum((n_convs - 1) * bytes) AS saved FROM node JOIN path ON path.conv_id = node.conv_id AND path.d <= node.d GROUP BY ALL)
+SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved::BIGINT AS saved_tokens, node.ends_sha256
+FROM node JOIN below ON below.d = node.d AND below.k = node.k LEFT JOIN kids ON kids.d = node.d AND kids.k = node.k LEFT JOIN node up ON up.d = node.d - 1 AND up.k = node.pk
+"""
+
+ORACLES: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL, "op11_sharding": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_prefix_trie": OP13_SQL}
