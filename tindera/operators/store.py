@@ -1,8 +1,6 @@
-"""Four keyed tables on Parquet, with upserts.
+"""Four tables on Parquet under one log of commits, with upserts, appends and transactions over several tables.
 
-A table is a folder of versions and a file that names the current one.  A write makes a
-whole new version beside the old and then swaps the name, so readers see one or the
-other, and a failed write leaves nothing that is read.
+A write makes new files beside the old and then one entry of the log, so readers see all of it or nothing, in all tables alike.
 """
 
 from __future__ import annotations
@@ -16,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions.numbers import reliability
 from ..functions.text import iso_now, review_key
+from . import bloom
+from .commits import ALL, CommitLog, TableState, overlap
 
 SCHEMAS = {
     "products": "link string, name string, platform string, category string, price string, rating double, review_count long, risk_score double, reliability_score double, source string, raw_json string, updated_at string",
@@ -24,6 +24,8 @@ SCHEMAS = {
     "evaluation_runs": "id long, run_at string, source_name string, sample_count long, accuracy double, precision double, recall double, f1 double, labels_json string, matrix_json string",
 }
 UPDATED = ("sentiment", "risk_detected", "raw_json")
+#: Files of a bucket at most before it is written anew whole, and rows in a file.
+MOST_FILES, FILE_ROWS = 8, 2_000_000
 
 
 def upsert_products(existing: DataFrame, incoming: DataFrame, place: str = "ordinal") -> DataFrame:
@@ -85,13 +87,18 @@ def upsert_reviews(existing: DataFrame, incoming: DataFrame, place: str = "ordin
     return joined.select(*picks)
 
 
-def append_rows(existing: DataFrame, incoming: DataFrame, place: str = "ordinal") -> DataFrame:
-    """Incoming rows with ids that go on from the largest.  Appends are single forms or runs, so they are few."""
+def numbered_rows(incoming: DataFrame, place: str = "ordinal") -> DataFrame:
+    """Incoming rows with an ``id`` from 0 in order of ``place``.  Appends are single forms or runs, so they are few."""
     from .reviews import running_index
 
+    columns = [c for c in incoming.columns if c != "id"]
+    return running_index(incoming.select(*columns).withColumn("__one", F.lit(0)), place, "__one", "id").drop("__one")
+
+
+def append_rows(existing: DataFrame, incoming: DataFrame, place: str = "ordinal") -> DataFrame:
+    """Existing rows and the incoming ones, with ids that go on from the largest."""
     last = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    numbered = running_index(incoming.withColumn("__one", F.lit(0)), place, "__one", "__n").withColumn("id", F.col("__n") + F.lit(last + 1))
-    return existing.unionByName(numbered.select(*existing.columns))
+    return existing.unionByName(numbered_rows(incoming, place).withColumn("id", F.col("id") + F.lit(last + 1)).select(*existing.columns))
 
 
 def orphans(reviews: DataFrame, products: DataFrame) -> DataFrame:
@@ -104,56 +111,204 @@ def cascade(reviews: DataFrame, products: DataFrame) -> DataFrame:
     return reviews.join(products.select(F.col("link").alias("product_link")).distinct(), "product_link", "left_semi")
 
 
+class WriteConflict(RuntimeError):
+    """Others committed to the same buckets each time that a transaction was tried."""
+
+
+class Transaction:
+    """Changes of several tables that are committed as one entry of the log, or not at all.
+
+    Incoming rows are written once.  Each step then reads the files of its table that may hold one of their keys, and writes these
+    files' rows anew with the incoming ones; all other files stay as they are.  What a failed transaction wrote is never read and is deleted.
+    """
+
+    def __init__(self, store: Store) -> None:
+        self.store, self.steps, self.name, self.written = store, [], f"t{time.time_ns():020d}{uuid.uuid4().hex[:8]}", []
+
+    def _folder(self, name: str) -> str:
+        self.written.append(name)
+        return f"{self.store.folder}/{name}"
+
+    def upsert(self, table: str, incoming: DataFrame) -> None:
+        """Products by link or reviews by review key."""
+        key, merge = KEYS[table]
+        spark, parts = self.store.spark, self.store.buckets
+        bucket = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+        staged = self._folder(f"{table}/_in/{self.name}-{len(self.steps)}")
+
+        def stage() -> None:
+            incoming.withColumn("__bucket", bucket).write.parquet(staged)
+
+        def apply(state: TableState, attempt: str) -> dict:
+            rows = spark.read.parquet(staged)
+            touched = sorted(r[0] for r in rows.select("__bucket").distinct().collect())
+            old = self.store._candidates(table, state, rows, key, touched)
+            merged = merge(self.store._files(table, old), rows.drop("__bucket")).withColumn("__bucket", bucket)
+            added = self._write(table, merged, key, attempt, max(1, len(touched)))
+            return {"add": added, "remove": old, "buckets": touched}
+
+        self.steps.append((table, stage, apply))
+
+    def append(self, table: str, rows: DataFrame, place: str = "ordinal") -> None:
+        """Rows with ids that go on from the table's last; only they are written."""
+        staged = self._folder(f"{table}/_in/{self.name}-{len(self.steps)}")
+
+        def stage() -> None:
+            numbered_rows(rows, place).write.parquet(staged)
+
+        def apply(state: TableState, attempt: str) -> dict:
+            found = self.store.spark.read.parquet(staged).withColumn("id", F.col("id") + state.next_id)
+            added = self._write(table, found.withColumn("__bucket", F.lit(-1)), None, attempt, 1)
+            return {"add": added, "remove": [], "buckets": [-1], "next_id": state.next_id + sum(n for *_, n in added)}
+
+        self.steps.append((table, stage, apply))
+
+    def replace(self, table: str, rows: DataFrame) -> None:
+        """All rows of a table."""
+        key = KEYS[table][0] if table in KEYS else None
+        bucket = F.pmod(F.xxhash64(key), F.lit(self.store.buckets)).cast("int") if key else F.lit(-1)
+
+        def apply(state: TableState, attempt: str) -> dict:
+            added = self._write(table, rows.withColumn("__bucket", bucket), key, attempt, self.store.buckets)
+            return {"add": added, "remove": sorted(state.files), "buckets": [ALL]}
+
+        self.steps.append((table, lambda: None, apply))
+
+    def _write(self, table: str, rows: DataFrame, key: str | None, attempt: str, parts: int) -> list[tuple[str, int, int]]:
+        """Rows by bucket; what is known of each file is written beside it.  Returns files with bucket and rows."""
+        spark, data = self.store.spark, self._folder(f"{table}/{attempt}")
+        columns = [c.split()[0] for c in SCHEMAS[table].split(", ")]
+        rows.select(*columns, "__bucket").repartition(parts, "__bucket").write.partitionBy("__bucket").option("maxRecordsPerFile", FILE_ROWS).parquet(data)
+        file = F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+/[^/]+)$", 1)
+        schema = f"{SCHEMAS[table]}, __bucket int"
+        found = spark.read.schema(schema).parquet(data).select(*([F.col(key).alias("key")] if key else []), file.alias("file"), F.col("__bucket").alias("bucket"))
+        if key is None:
+            return [(r.file, r.bucket, r.n) for r in found.groupBy("file", "bucket").agg(F.count("*").alias("n")).collect()]
+        known = found.groupBy("file", "bucket").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        files = [(r.file, r.bucket, r.n) for r in known.select("file", "bucket", "n").collect()]
+        filters = bloom.build(found, "key", bloom.words_for(max([n for *_, n in files], default=1)), ["file"])
+        known.join(filters, "file").write.partitionBy("bucket").parquet(self._folder(f"{table}/_known/txn={attempt}"))
+        return files
+
+    def commit(self, tries: int = 20) -> int:
+        """The number of the entry that holds all changes."""
+        log = self.store.log
+        try:
+            for _, stage, _ in self.steps:
+                stage()
+            for attempt in range(tries):
+                number, tables = log.state()
+                made: dict[str, dict] = {}
+                kept = len(self.written)
+                for k, (table, _, apply) in enumerate(self.steps):
+                    change = apply(tables.setdefault(table, TableState()), f"{self.name}-{attempt}-{k}")
+                    tables[table].apply(change)
+                    made[table] = _joined(made[table], change) if table in made else change
+                while not log.publish(number + 1, made):
+                    entries = log.since(number)
+                    if overlap(made, entries):
+                        break
+                    number += len(entries)
+                else:
+                    self.written = [n for n in self.written if "/_in/" in n]
+                    return number + 1
+                self._delete(kept)
+            raise WriteConflict(f"gave up after {tries} tries")
+        finally:
+            self._delete(0)
+
+    def _delete(self, first: int) -> None:
+        for name in self.written[first:]:
+            self.store.log.delete(name)
+        del self.written[first:]
+
+
+def _joined(first: dict, then: dict) -> dict:
+    """Two changes of a table as one: files that the second takes out of the first never come in."""
+    gone = set(then["remove"])
+    return {
+        "add": [x for x in first["add"] if x[0] not in gone] + then["add"],
+        "remove": first["remove"] + sorted(gone - {x[0] for x in first["add"]}),
+        "buckets": sorted({*first["buckets"], *then["buckets"]}, key=str),
+        "next_id": max(first.get("next_id", 1), then.get("next_id", 1)),
+    }
+
+
 class Store:
-    """The tables under one folder, of any file system that Spark can write to."""
-
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
-
-    def _versions(self, table: str) -> list[str]:
-        root = self._path(table)
-        if not self._fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return sorted(n for n in names if n.startswith("v-"))
-
-    def read(self, table: str) -> DataFrame:
-        """The newest whole version; an absent table is empty."""
-        versions = self._versions(table)
-        if not versions:
+    """The tables under one folder, of any file system that Spark can write to.
+
+    Keyed tables lie in hash buckets, so that an upsert reads and writes only files of the buckets that it touches, and of these only
+    files whose least and greatest key and Bloom filter allow one of its keys.  A bucket of more than ``most_files`` files is written anew whole.
+    Choose ``buckets`` so that a bucket is a task's work; it is fixed with the first commit.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16, most_files: int = MOST_FILES) -> None:
+        self.spark, self.folder, self.buckets, self.most_files = spark, folder.rstrip("/"), buckets, most_files
+        self.log = CommitLog(spark, folder)
+
+    def transaction(self) -> Transaction:
+        return Transaction(self)
+
+    def _files(self, table: str, files: list[str]) -> DataFrame:
+        if not files:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.folder}/{table}/{versions[-1]}")
-
-    def replace(self, table: str, rows: DataFrame, keep: int = 2) -> None:
-        """Write a version under a temporary name, rename it, and remove all but the last ``keep``."""
-        name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        staged = f"{table}/_{name}"
-        rows.select(*self.spark.createDataFrame([], SCHEMAS[table]).columns).write.parquet(f"{self.folder}/{staged}")
-        if not self._fs.rename(self._path(staged), self._path(f"{table}/v-{name}")):
-            raise OSError(f"cannot commit {table}")
-        for old in self._versions(table)[:-keep]:
-            self._fs.delete(self._path(f"{table}/{old}"), True)
-
-    def save(self, products: DataFrame, reviews: DataFrame) -> None:
-        self.replace("products", upsert_products(self.read("products"), products))
-        self.replace("reviews", upsert_reviews(self.read("reviews"), with_review_key(reviews)))
-
-    def save_products(self, products: DataFrame, source: str = "") -> None:
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*[f"{self.folder}/{table}/{f}" for f in sorted(files)])
+
+    def _candidates(self, table: str, state: TableState, rows: DataFrame, key: str, touched: list[int]) -> list[str]:
+        """Live files that may hold a key of ``rows``, and all of buckets with too many."""
+        per: dict[int, list[str]] = {}
+        for file, (bucket, _) in state.files.items():
+            per.setdefault(bucket, []).append(file)
+        live = {b: per[b] for b in touched if b in per}
+        full = [f for fs in live.values() if len(fs) > self.most_files for f in fs]
+        asked = [f for fs in live.values() if len(fs) <= self.most_files for f in fs]
+        if not asked:
+            return sorted(full)
+        schema = "file string, n long, lo string, hi string, filter array<long>, txn string, bucket int"
+        base, folders = f"{self.folder}/{table}/_known", sorted({f.split("/")[0] for f in asked})
+        known = self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/txn={t}" for t in folders])
+        known = known.where(F.col("bucket").isin(sorted(live))).join(self.spark.createDataFrame([(f,) for f in asked], "file string"), "file", "left_semi")
+        keys = rows.select(F.col(key).alias("key"), F.col("__bucket").alias("bucket")).distinct()
+        hit = keys.join(known, "bucket").where((F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi")) & bloom.might_contain(F.col("filter"), F.col("key")))
+        return sorted({r[0] for r in hit.select("file").distinct().collect()} | set(full))
+
+    def read(self, table: str, at: int | None = None) -> DataFrame:
+        """A table as of the last commit, or of an earlier one; an absent table is empty."""
+        return self._files(table, list(self.log.state(at)[1].get(table, TableState()).files))
+
+    def replace(self, table: str, rows: DataFrame) -> None:
+        tx = self.transaction()
+        tx.replace(table, rows)
+        tx.commit()
+
+    def save(self, products: DataFrame, reviews: DataFrame) -> int:
+        """Products and their reviews in one commit."""
+        tx = self.transaction()
+        tx.upsert("products", products.withColumn("link", F.trim(F.coalesce("link", F.lit("")))).where("link != ''"))
+        tx.upsert("reviews", with_review_key(reviews))
+        return tx.commit()
+
+    def save_products(self, products: DataFrame, source: str = "") -> int:
         """Analysed products (``ordinal`` and ``raw``) with their reviews, by link and by review key."""
-        self.save(product_store_rows(products, source), review_store_rows(products))
+        return self.save(product_store_rows(products, source), review_store_rows(products))
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        self.replace(table, append_rows(self.read(table), rows))
+    def append(self, table: str, rows: DataFrame) -> int:
+        tx = self.transaction()
+        tx.append(table, rows)
+        return tx.commit()
 
     def counts(self) -> DataFrame:
-        """(table, n) of all four."""
-        parts = [self.read(t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "n") for t in SCHEMAS]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionAll(p)
-        return out
+        """(table, n) of all tables, from the log alone."""
+        tables = self.log.state()[1]
+        return self.spark.createDataFrame([(t, sum(n for _, n in tables.get(t, TableState()).files.values())) for t in SCHEMAS], "table string, n long")
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete files that the last ``keep`` commits have no use for; readers of older states lose theirs."""
+        last, _ = self.log.state()
+        for number in range(1, last - keep + 2):
+            for table, change in self.log.entry(number)["tables"].items():
+                for file in change["remove"]:
+                    self.log.delete(f"{table}/{file}")
+
+
+KEYS = {"products": ("link", upsert_products), "reviews": ("review_key", upsert_reviews)}
