@@ -42,6 +42,11 @@ def normalised(text: str | None, spellings: Mapping[str, str] = SPELLINGS) -> st
     return value
 
 
+def folded(text: Column) -> Column:
+    """Case-folded by built-in functions: full upper case first, so that ß and ss are alike, and one small sigma."""
+    return F.translate(F.lower(F.upper(text)), "ς", "σ")
+
+
 class _Kept(dict):
     """What ``marks`` makes of each code point: itself or a blank; filled as code points are met."""
 

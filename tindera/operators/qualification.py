@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import iso_now
+
 # Reasons for which a product's collection ends.
 STOP_REASONS = (
     "target_reached", "empty_review_page", "review_container_missing", "missing_page_signature", "next_button_disabled", "next_button_not_found",
@@ -13,20 +15,39 @@ STOP_REASONS = (
 )
 
 
-def qualify(rating: Column, reviews: Column, min_rating: float, min_reviews: int) -> Column:
-    """(status, reasons): both minima are inclusive."""
-    r, n = F.coalesce(rating.try_cast("double"), F.lit(0.0)), F.coalesce(reviews.try_cast("long"), F.lit(0))
+def qualify(rating: Column, reviews: Column, min_rating: float, min_reviews: int, checked_at: Column | None = None) -> Column:
+    """The record of a decision: ``status``, ``reasons``, the two values and the minima that it was made by, and when; both minima are inclusive."""
+    r, n = F.coalesce(rating.try_cast("double"), F.lit(0.0)), F.coalesce(reviews.try_cast("long"), F.lit(0).cast("long"))
     reasons = F.array_compact(F.array(F.when(r < min_rating, "rating_below_minimum"), F.when(n < min_reviews, "review_count_below_minimum")))
-    return F.struct(F.when(F.size(reasons) == 0, "qualified").otherwise("rejected").alias("status"), reasons.alias("reasons"))
+    return F.struct(
+        F.when(F.size(reasons) == 0, "qualified").otherwise("rejected").alias("status"), r.alias("rating"), n.alias("reported_review_count"), F.lit(float(min_rating)).alias("min_rating"),
+        F.lit(int(min_reviews)).cast("long").alias("min_reviews"), reasons.alias("reasons"), (iso_now() if checked_at is None else checked_at).alias("checked_at"),
+    )
+
+
+CHECKPOINT = "struct<context:string,completed_pages:bigint,collected_reviews:bigint,stop_reason:string,updated_at:string>"
 
 
-def apply_qualification(products: DataFrame, min_rating: float, min_reviews: int, keep_rejected: bool = True) -> DataFrame:
-    """Adds ``qualification``; rejected products lose their reviews, or go altogether."""
-    out = products.withColumn("qualification", qualify(F.col("rating"), F.col("reported_review_count"), min_rating, min_reviews))
+def apply_qualification(products: DataFrame, min_rating: float, min_reviews: int, keep_rejected: bool = True, checked_at: Column | None = None) -> DataFrame:
+    """Adds ``qualification``, by the product's rating and its reported count (``total_rating``, or else ``reported_review_count``).
+
+    A rejected product goes, or keeps its row without reviews, with the status ``not_qualified`` and a checkpoint that says so; the
+    other products' status and checkpoint stay as they were.
+    """
+    taken = products.columns
+    count = F.col("total_rating" if "total_rating" in taken else "reported_review_count")
+    out = products.withColumn("qualification", qualify(F.col("rating"), count, min_rating, min_reviews, checked_at)).withColumn("reported_review_count", F.col("qualification.reported_review_count"))
     if not keep_rejected:
         return out.where("qualification.status = 'qualified'")
     rejected = F.col("qualification.status") == "rejected"
-    return out.withColumn("comments", F.when(rejected, F.slice("comments", 1, 0)).otherwise(F.col("comments")))
+    old = lambda c, kind: F.col(c) if c in taken else F.lit(None).cast(kind)
+    note = F.struct(
+        F.lit("qualification").alias("context"), F.lit(0).cast("long").alias("completed_pages"), F.lit(0).cast("long").alias("collected_reviews"), F.lit("not_qualified").alias("stop_reason"), F.col("qualification.checked_at").alias("updated_at"),
+    )
+    return out.withColumns({
+        "comments": F.when(rejected, F.slice("comments", 1, 0)).otherwise(F.col("comments")), "review_status": F.when(rejected, "not_qualified").otherwise(old("review_status", "string")),
+        "review_checkpoint": F.when(rejected, note).otherwise(old("review_checkpoint", CHECKPOINT)),
+    })
 
 
 def rejected_before(qualification: Column, min_rating: float, min_reviews: int) -> Column:
@@ -35,6 +56,24 @@ def rejected_before(qualification: Column, min_rating: float, min_reviews: int)
     return F.coalesce((qualification["status"] == "rejected") & same, F.lit(False))
 
 
+def decisions(products: DataFrame) -> DataFrame:
+    """The decisions that products hold, as rows of a history: ``link`` and the record's fields."""
+    return products.where("qualification is not null").select("link", "qualification.*")
+
+
+def to_check(products: DataFrame, history: DataFrame, min_rating: float, min_reviews: int, at: Column | None = None) -> DataFrame:
+    """Products without ``known``: what must be checked again under these minima, and ``known``: the decision that still holds.
+
+    As of ``at`` (a time as text; by default all) the latest decision of each product counts, and only a rejection under the very same minima
+    saves a check: qualified products are looked at again, and so are all when the minima change.  The history of a product is one row after a
+    partial aggregate, so long histories are not shuffled.
+    """
+    seen = history if at is None else history.where(F.col("checked_at") <= at)
+    record = F.struct(*[c for c in seen.columns if c != "link"])
+    latest = seen.groupBy("link").agg(F.max_by(record, "checked_at").alias("known"))
+    return products.join(latest, "link", "left").withColumn("skip", rejected_before(F.col("known"), min_rating, min_reviews))
+
+
 def terminal(checkpoint: Column, filters: Column, rating: int | None = None, review_status: Column | None = None) -> Column:
     """Does a checkpoint say that nothing more will come?
 

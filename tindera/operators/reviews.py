@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.numbers import star_number
+from ..scratch import free
 
 TEXT_FIELDS = ("content", "comment", "review", "text")
 
@@ -33,19 +34,20 @@ def review_text(columns: Sequence[str], preferred: str | None = None) -> Column:
     return F.lit("")
 
 
-def mark_duplicates(reviews: DataFrame, key: Column, group: Sequence[str] = ("link",), place: str = "pos") -> DataFrame:
-    """Adds ``fingerprint`` (the key), ``is_duplicate`` and ``duplicate_of`` (the first place of an equal key in the group).
+def mark_duplicates(reviews: DataFrame, key: Column, group: Sequence[str] = ("link",), place: str = "pos", name: str = "fingerprint") -> DataFrame:
+    """Adds the key as ``name``, ``is_duplicate`` and ``duplicate_of`` (the first place of an equal key in the group).
 
     ``key`` is null where there is no text (``text.fingerprint_key``): that never is a duplicate.  Without ``group`` the
     whole table is one.  Only keys that occur at two places are joined back, so the other
     side of the join is the duplicates' first places alone.
     """
-    keys = [*group, "fingerprint"]
-    rows = reviews.withColumn("fingerprint", key)
-    places = rows.select(*keys, place).where("fingerprint is not null").groupBy(*keys).agg(F.min(place).alias("__first"), F.max(place).alias("__last"))
-    joined = rows.join(places.where("__last > __first").drop("__last"), keys, "left")
-    late = F.col(place) > F.col("__first")
-    return joined.withColumn("is_duplicate", F.coalesce(late, F.lit(False))).withColumn("duplicate_of", F.when(late, F.col("__first"))).drop("__first")
+    first, last = free("first_place", reviews.columns, [name]), free("last_place", reviews.columns, [name])
+    keys = [*group, name]
+    rows = reviews.withColumn(name, key)
+    places = rows.select(*keys, place).where(F.col(name).isNotNull()).groupBy(*keys).agg(F.min(place).alias(first), F.max(place).alias(last))
+    joined = rows.join(places.where(F.col(last) > F.col(first)).drop(last), keys, "left")
+    late = F.col(place) > F.col(first)
+    return joined.withColumn("is_duplicate", F.coalesce(late, F.lit(False))).withColumn("duplicate_of", F.when(late, F.col(first))).drop(first)
 
 
 def identity(comment_id: Column, author: Column, time: Column, content: Column, rating: Column) -> Column:
@@ -126,14 +128,17 @@ def flatten_unlabelled(products: DataFrame, label: str = "label", text: str = "c
 
 def running_index(rows: DataFrame, outer: str, inner: str, name: str = "global_index") -> DataFrame:
     """A number from 0 over (outer, inner): the rows before the outer group, and the rank within it."""
-    sizes = rows.groupBy(outer).agg(F.count("*").alias("__n"))
-    bands = sizes.withColumn("__band", F.floor(F.col(outer) / 65536))
-    totals = bands.groupBy("__band").agg(F.sum("__n").alias("__t"))
-    before_band = totals.withColumn("__before", F.coalesce(F.sum("__t").over(Window.orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__band", "__before")
-    within = Window.partitionBy("__band").orderBy(outer).rowsBetween(Window.unboundedPreceding, -1)
-    bases = bands.join(before_band, "__band").withColumn("__base", F.col("__before") + F.coalesce(F.sum("__n").over(within), F.lit(0))).select(outer, "__base")
-    rank = F.row_number().over(Window.partitionBy(outer).orderBy(inner)) - 1
-    return rows.withColumn("__r", rank).join(bases, outer).withColumn(name, F.col("__base") + F.col("__r")).drop("__base", "__r")
+    base, rank = free("base", rows.columns, [name]), free("rank", rows.columns, [name])
+    sizes = rows.groupBy(F.col(outer).alias("outer")).agg(F.count("*").alias("n"))
+    bands = sizes.withColumn("band", F.floor(F.col("outer") / 65536))
+    totals = bands.groupBy("band").agg(F.sum("n").alias("t"))
+    before = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    before_band = totals.withColumn("before", F.coalesce(F.sum("t").over(before), F.lit(0))).select("band", "before")
+    within = Window.partitionBy("band").orderBy("outer").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    bases = bands.join(before_band, "band").select(F.col("outer").alias(outer), first.alias(base))
+    place = F.row_number().over(Window.partitionBy(outer).orderBy(inner)) - 1
+    return rows.withColumn(rank, place).join(bases, outer).withColumn(name, F.col(base) + F.col(rank)).drop(base, rank)
 
 
 def missing_places(wanted: Column, given: Column) -> Column:

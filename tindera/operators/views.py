@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..functions import text as T
 from ..functions import urls as U
 
 PAGE = 6
@@ -43,7 +44,7 @@ def selected(rows: DataFrame, link: str | None) -> DataFrame:
 
 
 def name_contains(name: Column, query: str) -> Column:
-    return F.contains(F.lower(F.coalesce(name, F.lit(""))), F.lit(query.lower()))
+    return F.contains(T.folded(F.coalesce(name, F.lit(""))), T.folded(F.lit(query)))
 
 
 def in_band(price: Column, band: str) -> Column:
@@ -83,6 +84,16 @@ def head_per_product(reviews: DataFrame, k: int, where: Column | None = None) ->
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("link").orderBy("pos"))).where(F.col("rank") <= k)
 
 
+def evidence_view(reviews: DataFrame, evidence: str, k: int = 30, where: Column | None = None) -> DataFrame:
+    """A product's reviews as they are shown: of those that aren't duplicates and fit the choice the first k, as ``html`` with their own active terms marked.
+
+    Only what is shown is marked up.
+    """
+    shown = head_per_product(reviews, k, where)
+    terms = F.transform(F.filter(evidence, lambda e: ~e["negated"] & (e["term"] != "")), lambda e: e["term"])
+    return shown.withColumn("html", T.highlight(F.col("content"), terms))
+
+
 def high_risk(rows: DataFrame) -> DataFrame:
     """Products at the high level, in four columns, in input order."""
     return rows.where("level = 'High'").select("product", "platform", "risk_score", "level")

@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 from ..functions.text import fingerprint_key
 from ..operators import reviews, summary
 from ..operators.text_model import TextModel
+from ..scratch import free, written
 from ..sources import products as sources
 from ..sources import sinks
 
@@ -98,9 +99,10 @@ ADDED = (
 def analyse_csv(rows: DataFrame, model: TextModel, text_column: str | None = None, place: str = "row_no") -> DataFrame:
     """The rows of a review file (with ``place``, their number from 0) and 13 columns more; duplicates are those of the whole file."""
     text = reviews.review_text(rows.columns, text_column)
-    scored = rows.withColumn("__text", text).withColumn("__a", model.analyse(F.col("__text")))
-    marked = reviews.mark_duplicates(scored, fingerprint_key(F.col("__text")), group=(), place=place)
-    a = lambda path: F.col(f"__a.{path}")
+    own, found, key = (free(x, rows.columns) for x in ("text", "analysis", "fingerprint"))
+    scored = rows.withColumn(own, text).withColumn(found, model.analyse(F.col(own)))
+    marked = reviews.mark_duplicates(scored, fingerprint_key(F.col(own)), group=(), place=place, name=key)
+    a = lambda path: F.col(f"{found}.{path}")
     made = (
         a("label"), a("scores.pos"), a("scores.neu"), a("scores.neg"), a("scores.compound"), a("risk.detected"), a("risk.score"), F.array_join(a("risk.categories"), ","),
         _json_text(a("sentiment_evidence")), _json_text(a("risk.evidence")), F.col("is_duplicate"), F.coalesce(F.col("duplicate_of").cast("string"), F.lit("")), a("model_version"),
@@ -109,10 +111,14 @@ def analyse_csv(rows: DataFrame, model: TextModel, text_column: str | None = Non
 
 
 def numbered(rows: DataFrame, place: str = "row_no") -> DataFrame:
-    """Rows with their number from 0 in the order of the file: a count per partition, and the rows before it."""
-    marked = rows.withColumn("__at", F.monotonically_increasing_id())
-    parted = marked.withColumn("__part", F.shiftright("__at", 33))
-    return reviews.running_index(parted, "__part", "__at", place).drop("__part", "__at")
+    """Rows with their number from 0 in the order of the file: a count per partition, and the rows before it.
+
+    Rows are written with their partition and their place in it, so that both are the same however the table is read later.
+    """
+    at, part = free("at", rows.columns, [place]), free("part", rows.columns, [place])
+    marked = rows.withColumn(at, F.monotonically_increasing_id())
+    parted = written(marked.withColumn(part, F.shiftright(at, 33)))
+    return reviews.running_index(parted, part, at, place).drop(part, at)
 
 
 def _wrapper(spark: SparkSession, path: str) -> dict | None:
@@ -135,24 +141,31 @@ def analyse_file(spark: SparkSession, path: str, model: TextModel, target: str |
     target = target or sinks.analysed_path(path)
     sinks.refuse_same(path, target)
     if kind == "csv":
-        rows = analyse_csv(numbered(sources.read_review_csv(spark, path)), model, text_column)
+        given = sources.read_review_csv(spark, path)
+        place = free("row_no", given.columns, list(ADDED))
+        rows = analyse_csv(numbered(given, place), model, text_column, place)
         if not one_file:
-            return sinks.write_analysed(rows.drop("row_no"), path, target, "csv")
-        ordered = rows.orderBy("row_no").drop("row_no")
+            return sinks.write_analysed(rows.drop(place), path, target, "csv")
+        ordered = rows.orderBy(place).drop(place)
         flags = [n for n, t in ordered.dtypes if t == "boolean"]
         sinks.snapshot(spark, sinks.csv_export(ordered.withColumns({n: F.initcap(F.col(n).cast("string")) for n in flags})), target)
         return target
     found = analyse_products(sources.read_elements(spark, path), model)
     if not one_file:
         return sinks.write_analysed(found.select(F.parse_json("json").alias("product")), path, target, "json")
-    around, before, after = _wrapper(spark, path), b"", b""
-    if around is not None:
-        rest = json.dumps(around, ensure_ascii=False, indent=2)[:-1].rstrip() if around else "{"
-        before, after = (rest + ("," if around else "") + '\n"products": ').encode(), b"\n}"
-    sinks.snapshot(spark, sinks.json_array(found.orderBy("ordinal"), "json", before, after), target)
+    sinks.snapshot(spark, sinks.json_array(found.orderBy("ordinal"), "json", *_around(spark, path)), target)
     return target
 
 
+def _around(spark: SparkSession, path: str) -> tuple[bytes, bytes]:
+    """What stands before and after the list of products in a file's own form: an object keeps its other fields."""
+    fields = _wrapper(spark, path)
+    if fields is None:
+        return b"", b""
+    rest = json.dumps(fields, ensure_ascii=False, indent=2)[:-1].rstrip() if fields else "{"
+    return (rest + ("," if fields else "") + '\n"products": ').encode(), b"\n}"
+
+
 def typed(found: DataFrame) -> DataFrame:
     """The products of ``analyse_products`` with their known fields typed, and ``raw``."""
     rows = found.select("ordinal", F.parse_json("json").alias("raw"))
@@ -181,9 +194,9 @@ class AnalysisCache:
 
 
 def save_back(spark: SparkSession, path: str, model: TextModel) -> None:
-    """Put the analysis of a result file in the file's own place; the old content stays until the new is whole."""
+    """Put the analysis of a result file in the file's own place and form; the old content stays until the new is whole."""
     found = analyse_products(sources.read_elements(spark, path), model)
-    sinks.snapshot(spark, sinks.json_array(found.orderBy("ordinal"), "json"), path)
+    sinks.snapshot(spark, sinks.json_array(found.orderBy("ordinal"), "json", *_around(spark, path)), path)
 
 
 def put_labels(spark: SparkSession, path: str, labels: DataFrame, field: str = "sentiment") -> str:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import scratch_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -36,13 +34,5 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def fixture_folder(spark: SparkSession) -> str:
-    """A new folder for files that a query writes and reads again: below ``spark.checkpoint.dir``, or a temporary one in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        made = tempfile.mkdtemp(prefix="tindera-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        root = f"file://{made}"
-    return f"{root.rstrip('/')}/tindera-files/{uuid.uuid4().hex}"
+#: A new folder for files that a query writes and reads again.
+fixture_folder = scratch_folder

@@ -292,10 +292,10 @@ def price_band_filter(spark, sf_dir):
     return counts.select(F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("n")) for b in views.BANDS]))).alias("band", "n"))
 
 
-@query(f"WITH {_PARTS} SELECT link, name FROM shown WHERE contains(lower(name), 'part') AND level IN ('High', 'Moderate')")
+@query(f"WITH {_PARTS} SELECT link, name FROM shown WHERE contains(lower(name), 'ring') AND level IN ('High', 'Moderate')")
 def name_and_level_filter(spark, sf_dir):
     rows = parts(spark, sf_dir)
-    return rows.where(views.name_contains(F.col("name"), "Part") & N.risk_level(F.col("risk_score")).isin("High", "Moderate")).select("link", "name")
+    return rows.where(views.name_contains(F.col("name"), "RiNg") & N.risk_level(F.col("risk_score")).isin("High", "Moderate")).select("link", "name")
 
 
 def _page(order: str, number: int) -> str:
@@ -602,4 +602,4 @@ def mojibake_repair(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.repair(shown).alias("price"))
 
 
-from . import queries_files, queries_model, queries_more, queries_pages  # noqa: E402, F401  they register themselves
+from . import queries_collect, queries_files, queries_model, queries_more, queries_pages, queries_scale  # noqa: E402, F401  they register themselves

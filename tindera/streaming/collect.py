@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import bloom
 from ..operators.reviews import first_of
 
 STATE = "page long, collected long, stop_reason string, seen array<string>"
@@ -69,9 +70,14 @@ def resume(stored: DataFrame, is_incomplete: Column) -> tuple[DataFrame, DataFra
     return stored.where(flag), stored.where(~flag)
 
 
-def new_only(found: DataFrame, stored: DataFrame, key: str = "link") -> DataFrame:
-    """Products that aren't stored yet, each once, in order of discovery."""
-    return first_of(found, [key], "ordinal").join(stored.select(key).distinct(), key, "left_anti")
+def new_only(found: DataFrame, stored: DataFrame, key: str = "link", keys: int | None = None) -> DataFrame:
+    """Products that aren't stored yet, each once, in order of discovery.
+
+    A Bloom filter of the found keys thins the store before its shuffle; the join that follows is exact.  ``keys`` bounds the number of found
+    keys, if it is known.
+    """
+    once = first_of(found, [key], "ordinal")
+    return once.join(bloom.within(stored.select(key), key, found, keys).distinct(), key, "left_anti")
 
 
 def collect_stream(pages: DataFrame, target: int, remembered: int = 100_000) -> DataFrame:
