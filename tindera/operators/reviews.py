@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.numbers import star_number
 from ..scratch import free
+from . import scan
 
 TEXT_FIELDS = ("content", "comment", "review", "text")
 
@@ -127,18 +128,8 @@ def flatten_unlabelled(products: DataFrame, label: str = "label", text: str = "c
 
 
 def running_index(rows: DataFrame, outer: str, inner: str, name: str = "global_index") -> DataFrame:
-    """A number from 0 over (outer, inner): the rows before the outer group, and the rank within it."""
-    base, rank = free("base", rows.columns, [name]), free("rank", rows.columns, [name])
-    sizes = rows.groupBy(F.col(outer).alias("outer")).agg(F.count("*").alias("n"))
-    bands = sizes.withColumn("band", F.floor(F.col("outer") / 65536))
-    totals = bands.groupBy("band").agg(F.sum("n").alias("t"))
-    before = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    before_band = totals.withColumn("before", F.coalesce(F.sum("t").over(before), F.lit(0))).select("band", "before")
-    within = Window.partitionBy("band").orderBy("outer").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0))
-    bases = bands.join(before_band, "band").select(F.col("outer").alias(outer), first.alias(base))
-    place = F.row_number().over(Window.partitionBy(outer).orderBy(inner)) - 1
-    return rows.withColumn(rank, place).join(bases, outer).withColumn(name, F.col(base) + F.col(rank)).drop(base, rank)
+    """A number from 0 over (outer, inner); rows are dealt by ranges of both, so an outer group of any size lies in many tasks."""
+    return scan.Ordered(rows, [], [outer, inner]).running(sums={name: F.lit(1)}).result().withColumn(name, F.col(name) - 1)
 
 
 def missing_places(wanted: Column, given: Column) -> Column:

@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import bloom
+from ..operators import bloom, scan
 from ..operators.reviews import first_of
+from ..scratch import free
 
 STATE = "page long, collected long, stop_reason string, seen array<string>"
 UPDATES = "product string, page long, new_reviews long, collected long, stop_reason string"
@@ -37,20 +38,19 @@ def signature(ids: Column, first: int | None = 2, last: int | None = None) -> Co
 
 
 def page_changes(pages: DataFrame, sign: Column) -> DataFrame:
-    """Adds ``changed``: does a page's signature differ from the one before (null on the first)?"""
-    own = Window.partitionBy("product").orderBy("page")
-    return pages.withColumn("signature", sign).withColumn("changed", F.col("signature") != F.lag("signature").over(own))
+    """Adds ``signature`` and ``changed``: does it differ from that of the page before (null on the first, and beside a missing one)?"""
+    before = free("before", pages.columns, ["signature"])
+    ordered = scan.Ordered(pages.withColumn("signature", sign), ["product"], ["page"]).running(lags={before: F.col("signature")})
+    return ordered.result().withColumn("changed", F.col("signature") != F.col(before)).drop(before)
 
 
 def stop_after_unchanged(counts: DataFrame, rounds: int) -> DataFrame:
     """The first round at which a product's count hasn't changed for ``rounds`` rounds; null if it never happens.
 
-    ``counts``: ``product``, ``round``, ``n``.
+    ``counts``: ``product``, ``round``, ``n``.  A product of any number of rounds lies in many tasks.
     """
-    own = Window.partitionBy("product").orderBy("round")
-    runs = counts.withColumn("__new", F.coalesce((F.col("n") != F.lag("n").over(own)).cast("int"), F.lit(1))).withColumn("__run", F.sum("__new").over(own))
-    length = F.row_number().over(Window.partitionBy("product", "__run").orderBy("round"))
-    return runs.withColumn("__len", length).groupBy("product").agg(F.min(F.when(F.col("__len") > rounds, F.col("round"))).alias("stop_round"))
+    runs = scan.changes(counts.select("product", "round", "n"), ["product"], ["round"], F.col("n"))
+    return runs.groupBy("product").agg(F.min(F.when(F.col("unchanged_for") >= rounds, F.col("round"))).alias("stop_round"))
 
 
 def checkpoints(pages: DataFrame, every: int) -> DataFrame:
