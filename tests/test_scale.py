@@ -182,3 +182,24 @@ def test_new_links_thin_the_store(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     anti = plan[plan.index("LeftAnti") :]
     assert "getbit" in anti and anti.rindex("Exchange hashpartitioning(link", 0, anti.index("getbit")) < anti.index("getbit")
+
+
+def test_mapped_words(spark):
+    """A shipped dictionary is a mapping like another one, and a model scores alike with it."""
+    import pickle
+
+    from tindera.functions.word_file import ship
+    from tindera.operators.text_model import TextModel
+
+    rnd = random.Random(6)
+    given = {"".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 6))): rnd.randint(-4, 4) / 2 for _ in range(800)} | {"": 1.0, "lovely": 2.8, "awful": -2.0}
+    shipped = ship(spark.createDataFrame([*given.items(), (None, 1.0)], "token string, valence double").repartition(3))
+    assert dict(shipped) == given and len(shipped) == len(given) and "missing" not in shipped and shipped.get("missing") is None
+    assert len(pickle.dumps(shipped)) < 300
+    texts = [" ".join(rnd.choice([*given, "not", "very", "missing"]) for _ in range(12)) for _ in range(60)] + ["lovely but awful", None, "sira lovely"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").repartition(2)
+    scored = [[r.a for r in frame.select("k", TextModel(dictionary=d).analyse(F.col("text")).alias("a")).orderBy("k").collect()] for d in (given, shipped)]
+    assert scored[0] == scored[1] and any(e.category == "vader" for a in scored[1] for e in a.sentiment_evidence)
+    assert len(ship(spark.createDataFrame([], "token string, valence double"))) == 0
+    with pytest.raises(ValueError):
+        ship(spark.createDataFrame([("a", 1.0), ("b", 1.0)], "token string, valence double"), most=1)

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .word_file import WordFile, ship
+
 
 class SentimentTerm(NamedTuple):
     term: str
@@ -39,7 +41,7 @@ RISK: list[RiskTerm] = _shipped("risk", RiskTerm)
 def read_valences(spark: SparkSession, path: str, most: int = 100_000) -> dict[str, float]:
     """A public dictionary of word valences (token, mean, and columns that aren't used, separated by tabs), for ``TextModel``.
 
-    It is configuration like a lexicon, so it comes to the driver; more than ``most`` words are an error.
+    It is configuration like a lexicon, so it comes to the driver; more than ``most`` words are an error: ``ship_valences`` takes such a dictionary.
     """
     rows = spark.read.option("sep", "\t").option("quote", "").schema("token string, valence double").csv(path).where("token is not null and valence is not null").limit(most + 1).collect()
     if len(rows) > most:
@@ -47,6 +49,11 @@ def read_valences(spark: SparkSession, path: str, most: int = 100_000) -> dict[s
     return {r["token"]: r["valence"] for r in rows}
 
 
+def ship_valences(spark: SparkSession, path: str) -> WordFile:
+    """The same dictionary, of any size, as a file that workers map into memory."""
+    return ship(spark.read.option("sep", "\t").option("quote", "").schema("token string, valence double").csv(path))
+
+
 def lexicon_rows(spark: SparkSession, kind: str) -> DataFrame:
     """A shipped list as a table for display, with its columns' names."""
     rows, made = (SENTIMENT, SentimentTerm) if kind == "sentiment" else (RISK, RiskTerm)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import string
+from collections import ChainMap
 from collections.abc import Mapping
 
 # Words that negate what follows.
@@ -38,7 +39,7 @@ class Polarity:
     """Scores texts with a dictionary of valences and sets of negators and boosters."""
 
     def __init__(self, valences: Mapping[str, float], negators=NEGATORS, boosters: Mapping[str, float] = BOOSTERS) -> None:
-        self.valences, self.negators, self.boosters = dict(valences), frozenset(negators), dict(boosters)
+        self.valences, self.negators, self.boosters = valences if isinstance(valences, ChainMap) else dict(valences), frozenset(negators), dict(boosters)
 
     def tokens(self, text: str) -> list[str]:
         """White-space tokens of two characters or more.

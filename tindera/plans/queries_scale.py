@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.word_file import ship, word_sums
 from ..operators import deep_pages, scan, states
 from ..operators import qualification as Q
 from ..operators.analyses import Analyses
@@ -210,3 +211,21 @@ def search_urls_of_all(spark, sf_dir):
     """Search URLs of Shopee, whose words are trimmed and whose pages begin at 0, and of Temu, whose first page is not named."""
     words, page = F.concat(F.lit("a & "), F.col("p_partkey").cast("string")), F.col("p_size") % 4 - 1
     return table(spark, sf_dir, "part").select("p_partkey", U.shopee_search_url(F.concat(F.lit("  "), words), page).alias("shopee"), U.temu_search_url(words, page).alias("temu"))
+
+
+#: Words of the generated dictionary, beside those of the documents.
+FILLERS = 1_000_000
+
+
+@query(
+    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS t FROM documents),
+    own AS (SELECT t, (length(t) % 5 - 2)::DOUBLE AS v FROM (SELECT DISTINCT t FROM w) WHERE length(t) % 3 > 0)
+    SELECT d.doc_id, count(own.t) AS known, coalesce(sum(own.v), 0)::DOUBLE AS total FROM documents d LEFT JOIN w USING (doc_id) LEFT JOIN own ON own.t = w.t GROUP BY d.doc_id"""
+)
+def large_dictionary(spark, sf_dir):
+    """Words of a dictionary of more than a million, in all documents: the documents' own words, and others that occur in none."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    size = F.length("token")
+    own = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("token")).distinct().where(size % 3 > 0)
+    words = own.select("token", (size % 5 - 2).cast("double").alias("valence")).unionByName(spark.range(FILLERS).select(F.concat(F.lit("word "), "id").alias("token"), F.lit(1.0).alias("valence")))
+    return docs.select("doc_id", word_sums(F.col("text"), ship(words)).alias("r")).select("doc_id", "r.*")
