@@ -109,7 +109,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None =
     bad = named.join(blocked, "node", "left_semi").select("component").distinct()
     tainted = named.join(bad, "component", "left_semi").select("node", F.lit(True).alias("tainted"))
 
-    joined = judged.join(tainted, "node", "left")
+    # The small side is written, so that AQE can split a URL of very many pages; rows without a node get keys that differ and meet none.
+    tainted = settle(tainted, "tainted-nodes")
+    spread = F.coalesce("node", F.concat(F.lit("\x00"), F.xxhash64("page_id", "url").cast("string")))
+    joined = judged.withColumn("node", spread).join(tainted, "node", "left")
     by = F.when(F.col("m").isNotNull(), "rule").when(F.col("tainted"), "alias").otherwise("default")
     verdict = F.when(by == "rule", F.col("m.verdict")).when(by == "alias", "block").otherwise(default)
     return joined.select("page_id", "host", "path", F.col("m.rule").alias("rule"), verdict.alias("verdict"), by.alias("by"))

@@ -13,7 +13,6 @@ import hashlib
 import json
 import uuid
 import zlib
-from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -166,6 +165,16 @@ class Ranges:
 
     def __init__(self, begins: list[tuple[int, int]]) -> None:
         self.begins = sorted(set(begins))
+        self._arrays: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        """Ranges travel as two arrays, and are not made into them again for every batch."""
+        return {"begins": None, "_arrays": self.arrays()}
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._arrays is None:
+            self._arrays = tuple(np.array(x, np.int64) for x in zip(*self.begins))
+        return self._arrays
 
     @staticmethod
     def evenly(low: int, high: int, parts: int) -> list[int]:
@@ -175,12 +184,13 @@ class Ranges:
 
     def at(self, pages: np.ndarray, digests: np.ndarray) -> np.ndarray:
         """The range of each row."""
-        names, firsts = (np.array(x, np.int64) for x in zip(*self.begins))
+        names, firsts = self.arrays()
         spot = np.searchsorted(names, pages, "right") - 1
         within = spot > np.searchsorted(names, pages, "left")  # of a page that is split
         spot -= (spot >= 0) & (names[spot] == pages) & (firsts[spot] > digests)  # a range that begins in the page, after the row
         for k in np.flatnonzero(within):
-            spot[k] = bisect_right(self.begins, (int(pages[k]), int(digests[k]))) - 1
+            first, end = np.searchsorted(names, pages[k], "left"), np.searchsorted(names, pages[k], "right")
+            spot[k] = first + np.searchsorted(firsts[first:end], digests[k], "right") - 1
         return np.maximum(spot, 0)
 
     def column(self, spark: SparkSession):
@@ -281,7 +291,9 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
     ranges = shard_ranges(slim, shard_bytes)
     shard = ranges.column(spark)
 
-    leaders = slim.groupBy("sha").agg(F.max("page_id").alias("leader"))
+    # Only payloads that occur twice are joined back; their table is written first, so that AQE can split one that very many pages share.
+    leaders = slim.groupBy("sha").agg(F.max("page_id").alias("leader"), F.count("*").alias("m")).where("m > 1 and leader is not null")
+    leaders = settle(leaders.select("sha", "leader"), "warc-leaders")
     none = F.lit(None).cast("string")
     revisits = slim.join(leaders, "sha").where("page_id != leader").select("page_id", F.lit(0).alias("kind"), "sha", "leader", none.alias("url"), none.alias("html"))
     full = pages.select("page_id", F.lit(1).alias("kind"), sha.alias("sha"), F.lit(None).cast("long").alias("leader"), "url", "html")
