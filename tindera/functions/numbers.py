@@ -12,8 +12,7 @@ MISREAD_PESO = "â‚±"  # a peso sign whose bytes were read in another encodin
 
 def risk_fraction(score: Column) -> Column:
     """A risk score as 0..1: what isn't a number is 0, above 1 it is a percentage, and it is clamped."""
-    x = F.coalesce(score.try_cast("double"), F.lit(0.0))
-    x = F.when(F.isnan(x), 0.0).otherwise(x)
+    x = F.nanvl(F.coalesce(score.try_cast("double"), F.lit(0.0)), F.lit(0.0))
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(x > 1, x / 100).otherwise(x)))
 
 

@@ -17,23 +17,28 @@ def url_host(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":[0-9]*$", "")), F.lit(""))
 
 
-def _market(host: Column) -> Column:
-    found = F.lit(None).cast("string")
-    for name, (site, _) in MARKETPLACES.items():
-        found = F.when((host == site) | host.endswith(f".{site}"), name).otherwise(found)
-    return found
+#: A URL of one of the sites or of a host below it, whatever its user and port.
+_SITE = r"(?i)^https?://(?:[^/?#]*@)?(?:[^/?#@]*\.)?(" + "|".join(site.replace(".", r"\.") for site, _ in MARKETPLACES.values()) + r")(?::[0-9]*)?(?:[/?#]|\z)"
+
+
+def _market(url: Column) -> Column:
+    """The marketplace whose site a URL is of, else null; one pattern for all, so that the URL is read once."""
+    names = F.create_map(*[F.lit(x) for name, (site, _) in MARKETPLACES.items() for x in (site, name)])
+    return F.try_element_at(names, F.lower(F.regexp_extract(F.trim(url), _SITE, 1)))
 
 
 def marketplace(text: Column, default: str = "shopee") -> Column:
     """The marketplace of a URL or search text: plain text has the default; another site's URL is an error."""
     host = url_host(text)
-    return F.when(host.isNull(), default).otherwise(F.coalesce(_market(host), F.raise_error(F.concat(F.lit("unsupported marketplace: "), host)).cast("string")))
+    other = F.when(host.isNull(), default).otherwise(F.raise_error(F.concat(F.lit("unsupported marketplace: "), host)).cast("string"))
+    return F.coalesce(_market(text), other)
 
 
 def marketplace_or(text: Column, default: str = "shopee", other: str | None = None) -> Column:
     """The same without an error: another site's URL gives ``other``."""
-    host = url_host(text)
-    return F.when(host.isNull(), default).otherwise(F.coalesce(_market(host), F.lit(other)))
+    if other == default:
+        return F.coalesce(_market(text), F.lit(other))
+    return F.coalesce(_market(text), F.when(url_host(text).isNull(), default).otherwise(F.lit(other)))
 
 
 def product_platform(platform: Column, link: Column) -> Column:
@@ -43,10 +48,8 @@ def product_platform(platform: Column, link: Column) -> Column:
 
 
 def platform_name(platform: Column) -> Column:
-    name = F.initcap(platform)
-    for key, (_, shown) in MARKETPLACES.items():
-        name = F.when(platform == key, shown).otherwise(name)
-    return name
+    shown = F.create_map(*[F.lit(x) for key, (_, name) in MARKETPLACES.items() for x in (key, name)])
+    return F.coalesce(F.try_element_at(shown, platform), F.initcap(platform))
 
 
 def _absolute(link: Column, site: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..scratch import written
 
 
 def rank_alternatives(products: DataFrame, k: int = 3) -> DataFrame:
@@ -25,11 +26,13 @@ def rank_alternatives(products: DataFrame, k: int = 3) -> DataFrame:
         F.col("link").alias("alternative"), category.alias("category"), N.round_half_even(F.col("reliability"), 1).alias("reliability"),
         F.coalesce(F.col("review_count").try_cast("long"), F.lit(0)).alias("review_count"), "ordinal",
     )
-    own = pool.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy(*best))).where(F.col("r") <= k + 1).drop("r")
+    own = pool.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy(*best))).where(F.col("r") <= k + 1)
+    own = written(own)  # the heads of all categories, which every branch below reads
     # The best of all: k + 1 of them may be of a product's own category or itself, which leaves k others.
-    overall = own.orderBy(*best).limit(2 * k + 2)
+    overall = own.drop("r").orderBy(*best).limit(2 * k + 2)
     asked = products.select("link", category.alias("category"))
-    enough = own.where("category != ''").groupBy("category").agg(F.count("*").alias("n")).where(F.col("n") > k).select("category")
+    enough = own.where(f"category != '' and r = {k + 1}").select("category")
+    own = own.drop("r")
     same = asked.join(own.where("category != ''").withColumn("match", F.lit(1)), "category").where("link != alternative")
     needing = asked.join(enough, "category", "left_anti").withColumnRenamed("category", "own")
     other = needing.join(F.broadcast(overall), (F.col("own") != F.col("category")) | (F.col("own") == "")).where("link != alternative")

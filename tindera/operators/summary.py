@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..scratch import free
 from .text_model import TextModel, active_evidence
 
 NEGATIVE_WEIGHT, FAILURE_WEIGHT = 0.3, 0.7
@@ -98,6 +99,13 @@ def analyse_reviews(reviews: DataFrame, model: TextModel, text: str = "content")
     return out.withColumns({k: F.col(f"analysis.{v}") for k, v in picks.items()})
 
 
+def judge_reviews(reviews: DataFrame, model: TextModel, text: str = "content") -> DataFrame:
+    """Adds label, compound, detected and categories alone: all that summaries and category counts ask for."""
+    made = free("verdict", reviews.columns)
+    names = ("label", "compound", "detected", "categories")
+    return reviews.withColumn(made, model.judge(F.col(text))).withColumns({n: F.col(f"{made}.{n}") for n in names}).drop(made)
+
+
 def needs_analysis(products: DataFrame, summary: str = "sentiment_summary") -> bool:
     """Is there a product without a summary?  Then all are analysed again."""
     return not products.where(F.col(summary).isNull()).isEmpty()
