@@ -207,8 +207,9 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_one_o
     (natural logarithm, summed).  A text that is null or has no words scores 0 over 0 words; texts of any length are scored whole;
     repeated rows are each other's corpus; an empty table gives an empty result.
 
-    Documents are read twice, and both times must come in the same blocks.  ``stable`` says that they do: files that are
-    read do, whatever tasks are run again.  Otherwise the blocks are written first.  A table gets a row from each block that has an n-gram
+    Documents are read twice, and both times must come in the same blocks.  ``stable`` says that they do: the two
+    readings are of one job, which cuts its files into tasks once, and a task that runs again reads what it read before.  A scan that is cut in two ways ends in an
+    error, never in wrong scores.  Otherwise the blocks are written first.  A table gets a row from each block that has an n-gram
     of its range, and a block sends one for each n-gram at most.
     """
     if order < 1:
