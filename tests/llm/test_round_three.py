@@ -6,12 +6,13 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 queries = pytest.importorskip("tindera.llm.queries")
 from pyspark.sql import functions as F  # noqa: E402
 
-from tindera.llm import fim, prefix_trie, scan, sharding  # noqa: E402
+from tindera.llm import fim, prefix_trie, scan, sharding, toxicity  # noqa: E402
 
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 
@@ -155,3 +156,33 @@ def test_scans_run_through_tasks(spark):
         n, total, roll = state.get(key, (0, 0, 0))
         state[key] = want[(key, at)] = (n + 1, (total + x) % 2**64, (roll * prefix_trie.BASE + x) % 2**64)
     assert len(found) == len(rows) and all((r.place, r.total % 2**64, r.roll % 2**64) == want[(r.key, r.at)] for r in found)
+
+
+def test_weights_against_dense_descent():
+    """The sparse accelerated fit against plain proximal descent on a dense matrix, without acceleration and with a fixed small step."""
+    rng = np.random.default_rng(3)
+    n, k = 60, 12
+    dense = rng.random((n, k)) < 0.3
+    label = (dense[:, 0] & ~dense[:, 1] | (rng.random(n) < 0.1)).astype(int)
+    has = [np.flatnonzero(r) for r in dense]
+    other = dense.copy()
+    other[:, [4, 5]] = dense[:, [5, 4]]  # features 4 and 5 are each other's counterpart
+    swapped = [np.flatnonzero(b) if (a != b).any() else None for a, b in zip(dense, other)]
+    found, bias = toxicity.fit_weights(label, has, swapped, k, steps=4000)
+    d = np.array([a.astype(float) - b for a, b in zip(dense, other) if (a != b).any()])
+    share = np.where(label > 0, 0.5 / label.sum(), 0.5 / (n - label.sum()))
+    l1 = toxicity.L1 / np.sqrt(n)
+
+    def objective(w, b):
+        z = dense @ w + b
+        return share @ np.logaddexp(0, np.where(label > 0, -z, z)) + toxicity.COUNTERFACTUAL * np.mean((d @ w) ** 2) + toxicity.L2 / 2 * w @ w + l1 * np.abs(w).sum()
+
+    w, b = np.zeros(k), 0.0
+    for _ in range(150_000):
+        r = share * (1 / (1 + np.exp(-(dense @ w + b))) - label)
+        g = dense.T @ r + 2 * toxicity.COUNTERFACTUAL * d.T @ (d @ w) / len(d) + toxicity.L2 * w
+        w = w - 0.3 * g
+        w = np.sign(w) * np.maximum(np.abs(w) - 0.3 * l1, 0)
+        b -= 0.3 * r.sum()
+    assert abs(objective(found, bias) - objective(w, b)) < 1e-6
+    assert np.abs(found - w).max() < 0.02 and found[0] > 0.5 and abs(found[4] - found[5]) < abs(found[0]) / 5

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import ALNUM, Words, batch, mix, slices, tidied, utf8, word_hashes
+from .shared import settle
 
 #: Labelled rows that the model is fitted on at most: those with the least hash of their doc_id.
 SAMPLE_ROWS = 20_000
@@ -247,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, features: i
     With labels of one kind only, or none, there is nothing to learn: all texts score 0.5 and none is called toxic.
     """
     spark = docs.sparkSession
-    labelled = sample(docs, labels, rows)
+    labelled = settle(sample(docs, labels, rows), "toxicity-sample")  # bounded, and read three times
     sizes = {r["label"]: r["n"] for r in labelled.groupBy(F.when(F.col("label") > 0, 1).otherwise(0).alias("label")).agg(F.count("*").alias("n")).collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
     if not ones or not zeros:
