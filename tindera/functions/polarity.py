@@ -11,19 +11,26 @@ from collections import ChainMap
 from collections.abc import Mapping
 
 # Words that negate what follows.
-NEGATORS = frozenset(
-    "aint arent cannot cant couldnt darent didnt doesnt dont hadnt hasnt havent isnt mightnt mustnt neednt neither never none nope nor not nothing "
-    "nowhere oughtnt shant shouldnt uhuh wasnt werent without wont wouldnt rarely seldom despite ain't aren't can't couldn't daren't didn't doesn't "
-    "don't hadn't hasn't haven't isn't mightn't mustn't needn't oughtn't shan't shouldn't uh-uh wasn't weren't won't wouldn't".split()
-)
+NEGATORS = frozenset((
+    "aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt", "dont", "hadnt", "hasnt", "havent", "isnt", "mightnt", "mustnt",
+    "neednt", "neither", "never", "none", "nope", "nor", "not", "nothing", "nowhere", "oughtnt", "shant", "shouldnt", "uhuh", "wasnt", "werent",
+    "without", "wont", "wouldnt", "rarely", "seldom", "despite", "ain't", "aren't", "can't", "couldn't", "daren't", "didn't", "doesn't", "don't",
+    "hadn't", "hasn't", "haven't", "isn't", "mightn't", "mustn't", "needn't", "oughtn't", "shan't", "shouldn't", "uh-uh", "wasn't", "weren't",
+    "won't", "wouldn't",
+))
 # Words that strengthen or weaken what follows, and by how much.
 STRONGER, WEAKER = 0.293, -0.293
-BOOSTERS = dict.fromkeys(
-    "absolutely amazingly awfully completely considerably decidedly deeply effing enormously entirely especially exceptionally extremely fabulously flipping flippin "
-    "fricking frickin frigging friggin fully fucking greatly hella highly hugely incredibly intensely majorly more most particularly purely quite really remarkably so "
-    "substantially thoroughly totally tremendously uber unbelievably unusually utterly very".split(),
-    STRONGER,
-) | dict.fromkeys([*"almost barely hardly kinda kindof kind-of less little marginally occasionally partly scarcely slightly somewhat sorta sortof sort-of".split(), "just enough", "kind of", "sort of"], WEAKER)
+_STRONGER_WORDS = (
+    "absolutely", "amazingly", "awfully", "completely", "considerably", "decidedly", "deeply", "effing", "enormously", "entirely", "especially",
+    "exceptionally", "extremely", "fabulously", "flipping", "flippin", "fricking", "frickin", "frigging", "friggin", "fully", "fucking", "greatly",
+    "hella", "highly", "hugely", "incredibly", "intensely", "majorly", "more", "most", "particularly", "purely", "quite", "really", "remarkably",
+    "so", "substantially", "thoroughly", "totally", "tremendously", "uber", "unbelievably", "unusually", "utterly", "very",
+)
+_WEAKER_WORDS = (
+    "almost", "barely", "hardly", "kinda", "kindof", "kind-of", "less", "little", "marginally", "occasionally", "partly", "scarcely", "slightly",
+    "somewhat", "sorta", "sortof", "sort-of", "just enough", "kind of", "sort of",
+)
+BOOSTERS = dict.fromkeys(_STRONGER_WORDS, STRONGER) | dict.fromkeys(_WEAKER_WORDS, WEAKER)
 # Phrases with a valence of their own.
 IDIOMS = {"the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "yeah right": -2.0, "cut the mustard": 2.0, "kiss of death": -1.5, "hand to mouth": -2.0}
 # Marks of which one is taken off a word, at one end.

@@ -25,6 +25,7 @@ SHOPEE = {
     "reply": (".shopee-product-rating__response", '[class*="seller-response"]', ".TQTPT9 .qiTixQ"),
     "likes": (".shopee-product-rating__like-count",),
 }
+# How a day and a seller's reply begin on a Shopee page.
 _DAY = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
 _REPLY = re.compile(r"seller.{0,3}response", re.I)
 
@@ -66,9 +67,10 @@ LAZADA = {
     "seller_respond": (".seller-reply", ".seller-response", '[class*="reply"]'),
     "helpful": (".item-content-like", ".like", ".helpful", '[class*="helpful"]'),
 }
-#: How far a colour's channels are apart at most in a grey.
+# How far a colour's channels are apart at most in a grey, what an unlit star's class says, and what a half star's mask does.
 GREY = 25
 _UNLIT = re.compile("empty|inactive|off", re.I)
+_HALF = re.compile(r"half_([0-9.]+)%")
 
 
 def _channels(path: Node) -> list[float]:
@@ -93,7 +95,7 @@ def star_share(star: Node) -> float:
     coloured = next((p for p in paths if (c := _channels(p)) and max(c) - min(c) > GREY), None)
     if coloured is None:
         return 0.0
-    cut = re.search(r"half_([0-9.]+)%", coloured.attributes.get("mask") or "")
+    cut = _HALF.search(coloured.attributes.get("mask") or "")
     return float(cut[1]) / 100 if cut else 1.0
 
 
@@ -122,8 +124,9 @@ TEMU = {
     "date": ('[data-testid*="date" i]', '[data-uniqid*="date" i]'),
     "helpful": ('[data-testid*="helpful" i]', '[data-uniqid*="helpful" i]', 'button[aria-label*="helpful" i]'),
 }
-#: Around a star: how many elements up a review may be, and how long its text.
+# How many elements above a star a review may be, and how short and long its text.
 LEVELS, SHORT, LONG = 7, 20, 2500
+# Lines of a Temu review that are not its text, dates, and variations.
 _RATING_LINE = re.compile(r"[0-9](?:\.[0-9])?\s*(?:out of 5|stars?)?", re.I)
 _NOTE_LINE = re.compile(r"(?:helpful|report|verified purchase|size:|color:|style:)", re.I)
 _DATE_LINE = re.compile(r"[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}")
