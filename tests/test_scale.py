@@ -203,3 +203,12 @@ def test_mapped_words(spark):
     assert len(ship(spark.createDataFrame([], "token string, valence double"))) == 0
     with pytest.raises(ValueError):
         ship(spark.createDataFrame([("a", 1.0), ("b", 1.0)], "token string, valence double"), most=1)
+
+
+def test_free_texts_are_no_labels(spark):
+    from tindera.operators import evaluation
+
+    pairs = evaluation.pair_counts(spark.range(30).select(F.concat(F.lit("t"), "id").alias("a"), F.lit("x").alias("b")), F.col("a"), F.col("b"))
+    assert evaluation.confusion_matrix(pairs, 31).count() == 31 * 31
+    with pytest.raises(Exception, match="more than 30 labels"):
+        evaluation.confusion_matrix(pairs, 30).collect()

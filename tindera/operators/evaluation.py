@@ -17,10 +17,16 @@ def pair_counts(rows: DataFrame, actual: Column, predicted: Column) -> DataFrame
     return rows.groupBy(clean_label(actual).alias("actual"), clean_label(predicted).alias("predicted")).agg(F.count("*").alias("n"))
 
 
-def confusion_matrix(pairs: DataFrame) -> DataFrame:
-    """Counts for every pair of labels that occur on either side, zeros included."""
-    labels = pairs.select(F.col("actual").alias("x")).union(pairs.select("predicted")).distinct()
-    every = labels.agg(F.array_sort(F.collect_set("x")).alias("a")).select(F.explode("a").alias("actual"), F.col("a").alias("b")).select("actual", F.explode("b").alias("predicted"))
+#: Labels of a matrix at most: it has a cell for each pair.
+MOST_LABELS = 1000
+
+
+def confusion_matrix(pairs: DataFrame, most: int = MOST_LABELS) -> DataFrame:
+    """Counts for every pair of labels that occur on either side, zeros included; more than ``most`` labels are an error, as free texts are no labels."""
+    labels = pairs.select(F.col("actual").alias("x")).union(pairs.select("predicted")).distinct().limit(most + 1)
+    found = labels.agg(F.array_sort(F.collect_set("x")).alias("a"))
+    few = F.when(F.size("a") <= most, F.col("a")).otherwise(F.raise_error(F.lit(f"more than {most} labels")).cast("array<string>"))
+    every = found.select(few.alias("a")).select(F.explode("a").alias("actual"), F.col("a").alias("b")).select("actual", F.explode("b").alias("predicted"))
     return every.join(pairs, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 
