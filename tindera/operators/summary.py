@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..scratch import free
+from ..functions.text import fingerprint_key
+from ..scratch import free, written
 from .text_model import TextModel, active_evidence
 
 NEGATIVE_WEIGHT, FAILURE_WEIGHT = 0.3, 0.7
@@ -106,6 +107,15 @@ def judge_reviews(reviews: DataFrame, model: TextModel, text: str = "content") -
     return reviews.withColumn(made, model.judge(F.col(text))).withColumns({n: F.col(f"{made}.{n}") for n in names}).drop(made)
 
 
+def verdicts(reviews: DataFrame, model: TextModel, keep: Sequence[str] = ("link", "pos"), text: str = "content") -> DataFrame:
+    """A written table of what is known of each review: ``keep``, label, compound, detected, categories and ``fingerprint``.
+
+    Texts are read and scored once, however many summaries follow, and take part in no shuffle.
+    """
+    made = judge_reviews(reviews, model, text).withColumn("fingerprint", fingerprint_key(F.col(text)))
+    return written(made.select(*keep, "label", "compound", "detected", "categories", "fingerprint"))
+
+
 def needs_analysis(products: DataFrame, summary: str = "sentiment_summary") -> bool:
     """Is there a product without a summary?  Then all are analysed again."""
     return not products.where(F.col(summary).isNull()).isEmpty()

@@ -64,8 +64,11 @@ def analyse_products(products: DataFrame, model: TextModel) -> DataFrame:
     back to a product's row is its own reviews' analyses, which stand in that row anyway.
     """
     found = product_reviews(products).withColumn("a", model.analyse(F.col("content")))
-    found = found.select(*KEYS, "pos", "content", "a", F.col("a.label").alias("label"), F.col("a.scores.compound").alias("compound"), F.col("a.risk.detected").alias("detected"), F.col("a.risk.categories").alias("categories"))
-    marked = reviews.mark_duplicates(found, fingerprint_key(F.col("content")), KEYS)
+    found = found.select(
+        *KEYS, "pos", "a", F.col("a.label").alias("label"), F.col("a.scores.compound").alias("compound"), F.col("a.risk.detected").alias("detected"), F.col("a.risk.categories").alias("categories"), fingerprint_key(F.col("content")).alias("fingerprint"),
+    )
+    # Written once: the marks, the summary, its categories and the products' own rows all read it, and no text is scored again.
+    marked = reviews.mark_duplicates(written(found), F.col("fingerprint"), KEYS)
     summed = summary.summarise(marked, keys=KEYS).join(summary.category_map(summary.category_counts(marked, KEYS), KEYS), list(KEYS), "left")
     entry = F.struct("pos", F.to_json("a", {"ignoreNullFields": "false"}).alias("analysis"), "is_duplicate", "duplicate_of")
     arrays = marked.groupBy(*KEYS).agg(F.collect_list(entry).alias("rows"))

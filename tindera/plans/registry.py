@@ -59,8 +59,7 @@ def doc_reviews(spark, sf_dir) -> DataFrame:
 
 
 def analysed(spark, sf_dir) -> DataFrame:
-    rows = summary.judge_reviews(doc_reviews(spark, sf_dir), model())
-    return reviews.mark_duplicates(rows, T.fingerprint_key(F.col("content")))
+    return reviews.mark_duplicates(summary.verdicts(doc_reviews(spark, sf_dir), model()), F.col("fingerprint"))
 
 
 def _fp(text: str) -> str:
@@ -252,8 +251,7 @@ def text_analysis(spark, sf_dir):
     FROM s LEFT JOIN maps USING (link)"""
 )
 def product_summary(spark, sf_dir):
-    rows = summary.judge_reviews(doc_reviews(spark, sf_dir), TextModel([], RISK, negators=()))
-    rows = reviews.mark_duplicates(rows, T.fingerprint_key(F.col("content")))
+    rows = reviews.mark_duplicates(summary.verdicts(doc_reviews(spark, sf_dir), TextModel([], RISK, negators=())), F.col("fingerprint"))
     maps = summary.category_map(summary.category_counts(rows)).select("link", F.to_json("risk_categories").alias("risk_categories"))
     return summary.summarise(rows).join(maps, "link", "left").select("link", "all_reviews", "review_count", "duplicate_review_count", "risk_review_count", "keyword_failure_rate", "risk_score", "risk_categories")
 
