@@ -43,6 +43,18 @@ def test_upserts_touch_their_buckets_only(spark, tmp_path):
     assert s.read("products").count() == 201
 
 
+def test_products_go_with_their_reviews(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s", buckets=4)
+    s.delete_products(spark.createDataFrame([("l1",)], "link string"))  # nothing there yet
+    s.save(_products(spark, range(40)), _reviews(spark, range(40)))
+    before = _files(s), _files(s, "reviews")
+    s.delete_products(spark.createDataFrame([(" l1",), ("l2",), ("absent",), (None,)], "link string"))
+    assert {r.link for r in s.read("products").collect()} == {r.product_link for r in s.read("reviews").collect()} == {f"l{k}" for k in range(40) if k not in (1, 2)}
+    assert all(len(x.keys() - y.keys()) <= 2 for x, y in zip(before, (_files(s), _files(s, "reviews"))))
+    s.delete_products(s.read("products").select("link"))
+    assert s.read("products").count() == s.read("reviews").count() == 0 and store.orphans(s.read("reviews"), s.read("products")).count() == 0
+
+
 def test_a_failing_table_leaves_both_as_they_were(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}/s")
     s.save(_products(spark, [1, 2]), _reviews(spark, [1]))

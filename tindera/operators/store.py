@@ -111,6 +111,11 @@ def cascade(reviews: DataFrame, products: DataFrame) -> DataFrame:
     return reviews.join(products.select(F.col("link").alias("product_link")).distinct(), "product_link", "left_semi")
 
 
+def _file_column() -> Column:
+    """A file's name within its table's folder: the write's folder, the bucket's, and its own."""
+    return F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+/[^/]+)$", 1)
+
+
 class WriteConflict(RuntimeError):
     """Others committed to the same buckets each time that a transaction was tried."""
 
@@ -149,6 +154,40 @@ class Transaction:
 
         self.steps.append((table, stage, apply))
 
+    def delete_products(self, links: DataFrame) -> None:
+        """Products by ``link``, and all their reviews with them.
+
+        Files that hold none of either stay as they are; which review files do is found by a scan of their link column.
+        """
+        spark, key = self.store.spark, "link"
+        staged = self._folder(f"products/_in/{self.name}-{len(self.steps)}")
+
+        def stage() -> None:
+            bucket = F.pmod(F.xxhash64(key), F.lit(self.store.buckets)).cast("int")
+            links.select(F.trim(key).alias(key)).where("link is not null").distinct().withColumn("__bucket", bucket).write.parquet(staged)
+
+        def products(state: TableState, attempt: str) -> dict:
+            gone = spark.read.parquet(staged)
+            touched = sorted(r[0] for r in gone.select("__bucket").distinct().collect())
+            old = self.store._candidates("products", state, gone, key, touched)
+            return self._without("products", old, gone.select(key), key, touched, attempt)
+
+        def reviews(state: TableState, attempt: str) -> dict:
+            gone = spark.read.parquet(staged).select(F.col(key).alias("product_link"))
+            live = self.store._files("reviews", list(state.files))
+            held = live.select(_file_column().alias("file"), "product_link") if state.files else live.select(F.lit("").alias("file"), "product_link")
+            old = sorted(r[0] for r in held.join(gone, "product_link", "left_semi").select("file").distinct().collect())
+            return self._without("reviews", old, gone, "product_link", sorted({state.files[f][0] for f in old}), attempt)
+
+        self.steps += [("products", stage, products), ("reviews", lambda: None, reviews)]
+
+    def _without(self, table: str, old: list[str], gone: DataFrame, column: str, buckets: list[int], attempt: str) -> dict:
+        """Files written anew without the rows whose column is among ``gone``."""
+        key = KEYS[table][0]
+        bucket = F.pmod(F.xxhash64(key), F.lit(self.store.buckets)).cast("int")
+        left = self.store._files(table, old).join(gone, column, "left_anti").withColumn("__bucket", bucket)
+        return {"add": self._write(table, left, key, attempt, max(1, len(buckets))) if old else [], "remove": old, "buckets": buckets}
+
     def append(self, table: str, rows: DataFrame, place: str = "ordinal") -> None:
         """Rows with ids that go on from the table's last; only they are written."""
         staged = self._folder(f"{table}/_in/{self.name}-{len(self.steps)}")
@@ -179,9 +218,8 @@ class Transaction:
         spark, data = self.store.spark, self._folder(f"{table}/{attempt}")
         columns = [c.split()[0] for c in SCHEMAS[table].split(", ")]
         rows.select(*columns, "__bucket").repartition(parts, "__bucket").write.partitionBy("__bucket").option("maxRecordsPerFile", FILE_ROWS).parquet(data)
-        file = F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+/[^/]+)$", 1)
         schema = f"{SCHEMAS[table]}, __bucket int"
-        found = spark.read.schema(schema).parquet(data).select(*([F.col(key).alias("key")] if key else []), file.alias("file"), F.col("__bucket").alias("bucket"))
+        found = spark.read.schema(schema).parquet(data).select(*([F.col(key).alias("key")] if key else []), _file_column().alias("file"), F.col("__bucket").alias("bucket"))
         if key is None:
             return [(r.file, r.bucket, r.n) for r in found.groupBy("file", "bucket").agg(F.count("*").alias("n")).collect()]
         known = found.groupBy("file", "bucket").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
@@ -292,6 +330,12 @@ class Store:
         """Analysed products (``ordinal`` and ``raw``) with their reviews, by link and by review key."""
         return self.save(product_store_rows(products, source), review_store_rows(products))
 
+    def delete_products(self, links: DataFrame) -> int:
+        """Products by ``link`` with their reviews, in one commit."""
+        tx = self.transaction()
+        tx.delete_products(links)
+        return tx.commit()
+
     def append(self, table: str, rows: DataFrame) -> int:
         tx = self.transaction()
         tx.append(table, rows)

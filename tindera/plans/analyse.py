@@ -190,8 +190,7 @@ class AnalysisCache:
             for old in [k for k in self._known if k[0] == path]:
                 self._known.pop(old).unpersist()
             products = sources.read_products(spark, path)
-            without = products.where(F.try_variant_get(F.col("raw"), "$.sentiment_summary", "variant").isNull())
-            done = without.isEmpty()
+            done = not summary.needs_analysis(products.select(F.try_variant_get(F.col("raw"), "$.sentiment_summary", "variant").alias("sentiment_summary")))
             self._known[key] = (products.select(*KEYS, F.to_json("raw").alias("json")) if done else analyse_products(products, self.model)).cache()
         return self._known[key]
 

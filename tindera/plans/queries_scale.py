@@ -66,6 +66,20 @@ def store_bucket_upsert(spark, sf_dir):
     return store.read("products").select("link", "price", "name")
 
 
+@query(
+    """SELECT p_partkey::VARCHAR AS link, count(l_orderkey) AS reviews FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_orderkey, l_linenumber FROM lineitem) ON l_partkey = p_partkey
+    WHERE p_brand NOT IN ('Brand#3', 'Brand#17') GROUP BY 1"""
+)
+def store_cascade(spark, sf_dir):
+    """Parts of two brands are deleted, and their line items with them: what is left of both tables, and nothing without its product."""
+    store = Store(spark, fixture_folder(spark))
+    store.save(_products(spark, sf_dir, F.lit("x")), _ratings(spark, sf_dir, F.col("l_linenumber").cast("string")))
+    store.delete_products(table(spark, sf_dir, "part").where(F.col("p_brand").isin("Brand#3", "Brand#17")).select(F.col("p_partkey").cast("string").alias("link")))
+    left = store.read("reviews").groupBy("product_link").agg(F.count("*").alias("n"))
+    joined = store.read("products").join(left, F.col("link") == F.col("product_link"), "full_outer")
+    return joined.select(F.coalesce("link", F.concat(F.lit("lost "), "product_link")).alias("link"), F.coalesce("n", F.lit(0).cast("long")).alias("reviews"))
+
+
 @query("SELECT 'evaluation_runs' AS name, 0::BIGINT AS n, NULL::BIGINT AS last_id UNION ALL SELECT 'products', count(*), NULL FROM part UNION ALL SELECT 'reviews', 0, NULL UNION ALL SELECT 'survey_responses', 2 * count(*), 2 * count(*) FROM customer")
 def store_counts(spark, sf_dir):
     """Rows of all four tables, from the log alone; answers out of customers are appended twice and numbered on."""
