@@ -67,10 +67,14 @@ def test_deep_pages(spark):
     key = lambda r: (r[1] is None, -(r[1] or 0), r[2] is None, r[2] or "", r[0])
     want = [r[0] for r in sorted(rows, key=key)]
     by = [deep_pages.By("price", descending=True), deep_pages.By("name"), deep_pages.By("id")]
-    for number in (0, 7, 19, 39, 99):
-        got = deep_pages.deep_page(frame, by, number, 10, most=20, ranges=16).collect()
+    for number, ranges in ((0, 16), (7, 2), (19, 16), (21, 3), (39, 2), (99, 4)):
+        got = deep_pages.deep_page(frame, by, number, 10, most=20, ranges=ranges).collect()
         at = min(number, 39)
         assert [r.id for r in got] == want[10 * at : 10 * at + 10] and {(r.page, r.pages) for r in got} == {(at, 40)}
+    texts = [deep_pages.By("name"), deep_pages.By("id", descending=True)]
+    want = [r[0] for r in sorted(rows, key=lambda r: (r[2] is None, r[2] or "", -r[0]))]
+    for number, ranges in ((0, 8), (5, 2), (17, 8), (30, 3)):
+        assert [r.id for r in deep_pages.deep_page(frame, texts, number, 9, most=5, ranges=ranges).collect()] == want[9 * number : 9 * number + 9]
     assert deep_pages.deep_page(frame.limit(0), by, 3, 10).collect() == []
     plan = deep_pages.deep_page(frame, by, 20, 10, most=20, ranges=16)._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "Filter" in plan

@@ -48,6 +48,26 @@ def _range_of(by: By, edges: list) -> Column:
     return F.when(c.isNull(), 2 * len(edges) + 1).otherwise(2 * passed + F.array_contains(listed, c).cast("int")).cast("int") if edges else F.when(c.isNull(), 1).otherwise(0)
 
 
+def _stretch(rows: DataFrame, order: list[By], left: list[By], skip: int, take: int, n: int, most: int, ranges: int) -> list[DataFrame]:
+    """Rows ``skip`` to ``skip + take`` of ``n`` sorted ones, of which all columns of ``order`` but ``left`` are equal, in parts.
+
+    A range of one value goes on with the next column, one of several values with the same column in finer ranges.
+    """
+    if n > most and left:
+        edges = _edges(rows, left[0], ranges)
+        spot = _range_of(left[0], edges)
+        counts = {r.k: r.n for r in rows.groupBy(spot.alias("k")).agg(F.count("*").alias("n")).collect()}
+        if len(counts) > 1 or next(iter(counts)) % 2:
+            parts, before = [], 0
+            for k in sorted(counts):
+                first, end = max(skip - before, 0), min(skip + take - before, counts[k])
+                if first < end:
+                    parts += _stretch(rows.where(spot == k), order, left[1:] if k % 2 else left, first, end - first, counts[k], most, ranges)
+                before += counts[k]
+            return parts
+    return [rows.orderBy(*[b.order() for b in order]).offset(skip).limit(take)]
+
+
 def deep_page(rows: DataFrame, order: list[By], number: int, size: int, most: int = SORTED, ranges: int = RANGES) -> DataFrame:
     """Page ``number`` (from 0, clamped to those there are), with ``page`` and ``pages``.
 
@@ -56,19 +76,10 @@ def deep_page(rows: DataFrame, order: list[By], number: int, size: int, most: in
     n = rows.count()
     pages = max(1, -(-n // size))
     number = min(max(number, 0), pages - 1)
-    here, skip, left = rows, number * size, n
-    for by in order:
-        if left <= most:
-            break
-        edges = _edges(here, by, ranges)
-        spot = _range_of(by, edges)
-        counts = {r.k: r.n for r in here.groupBy(spot.alias("k")).agg(F.count("*").alias("n")).collect()}
-        before, kept = 0, []
-        for k in sorted(counts):
-            if before < skip + size and before + counts[k] > skip:
-                kept.append(k)
-            before += counts[k]
-        passed = sum(counts[k] for k in counts if kept and k < kept[0])
-        here, skip, left = here.where(spot.isin(*kept)), skip - passed, sum(counts[k] for k in kept)
-    found = here.orderBy(*[b.order() for b in order]).offset(skip).limit(size)
+    parts = _stretch(rows, order, order, number * size, min(size, n - number * size), n, most, ranges)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    if len(parts) > 1:
+        found = found.orderBy(*[b.order() for b in order]).limit(size)
     return found.withColumns({"page": F.lit(number), "pages": F.lit(pages)})
