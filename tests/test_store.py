@@ -1,6 +1,7 @@
 """The store's log, buckets and transactions."""
 
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,25 @@ def test_bloom_filters(spark):
     by = bloom.build(keys, "key", bloom.words_for(170), ["g"])
     hits = keys.select("key", F.col("g").alias("own")).join(F.broadcast(by)).where(bloom.might_contain(F.col("filter"), F.col("key"))).groupBy("own", "g").count().collect()
     assert all(r["count"] >= 166 if r.own == r.g else r["count"] < 30 for r in hits) and {(r.own, r.g) for r in hits if r.own == r.g} == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_names_of_files_cost_little_for_each_row(spark, tmp_path):
+    """A million rows of one file: a pattern that tries all places of a path takes minutes in that one task."""
+    where = f"file://{tmp_path}/{'long name' * 10}/attempt/__bucket=3"
+    spark.range(1_000_000).coalesce(1).write.parquet(where)
+    started = time.perf_counter()
+    names = spark.read.parquet(where).select(store._file_column().alias("file")).distinct().collect()
+    assert time.perf_counter() - started < 15 and [r.file.split("/")[:2] for r in names] == [["attempt", "__bucket=3"]]
+
+
+def test_many_keys_ask_no_filter(spark, tmp_path, monkeypatch):
+    """Filters are long arrays: they are asked for few keys, once a file, and otherwise the file is read."""
+    s = store.Store(spark, f"file://{tmp_path}/s", buckets=2)
+    s.save(_products(spark, range(3000)), _reviews(spark, []))
+    asked = []
+    real = bloom.might_contain
+    monkeypatch.setattr(bloom, "might_contain", lambda *x: asked.append(x) or real(*x))
+    s.save(_products(spark, range(2900, 5900), "2"), _reviews(spark, []))
+    assert not asked and {r.price: r.n for r in s.read("products").groupBy("price").agg(F.count("*").alias("n")).collect()} == {"1": 2900, "2": 3000}
+    s.save(_products(spark, [5, 3000], "3"), _reviews(spark, []))
+    assert asked and s.read("products").where("price = '3'").count() == 2 and s.read("products").count() == 5900
