@@ -1,6 +1,7 @@
 """What holds at any size, on small tables, against plain loops."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,18 @@ def test_deep_pages(spark):
     assert "rangepartitioning" not in plan and "Filter" in plan
 
 
+def test_ranges_of_a_deep_page_cost_little_for_each_row(spark):
+    """Rows are dealt to 511 ranges; comparing each with every edge takes a second for some ten thousand rows.  The condition of a range says the same."""
+    rows = spark.range(1_500_000, numPartitions=4).select("id", F.when(F.col("id") % 7 > 0, F.pmod(F.xxhash64("id"), F.lit(5000)) / 8).alias("price"))
+    for by in (deep_pages.By("price"), deep_pages.By("price", descending=True)):
+        edges = deep_pages._edges(rows, by, 256)
+        started = time.perf_counter()
+        counts = {r.k: r["count"] for r in rows.groupBy(deep_pages._range_of(by, edges).alias("k")).count().collect()}
+        assert time.perf_counter() - started < 10 and sum(counts.values()) == 1_500_000
+        for k in (0, 1, 100, 101, 2 * len(edges), 2 * len(edges) + 1):
+            assert rows.where(deep_pages._in_range(by, edges, k)).count() == counts.get(k, 0)
+
+
 def test_decisions_come_back(spark):
     rows = [("a", "4.0", 100), ("b", "3.9", 99), ("c", None, None)]
     products = spark.createDataFrame([(*r, ["x"], "complete") for r in rows], "link string, rating string, total_rating int, comments array<string>, review_status string")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +43,38 @@ def _edges(rows: DataFrame, by: By, ranges: int) -> list:
 
 
 def _range_of(by: By, edges: list) -> Column:
-    """A row's range: how many edges come before its value; each edge is a range of its own (odd), null is the last."""
+    """A row's range: how many edges come before its value; each edge is a range of its own (odd), null is the last.
+
+    Edges are looked up by halves, a batch of rows at a time, so that a row costs little however many they are.
+    """
+    c, last = F.col(by.column), 2 * len(edges) + 1
+    if not edges:
+        return F.when(c.isNull(), 1).otherwise(0)
+    rising = sorted(edges)
+    listed = np.array(rising, dtype=object if isinstance(rising[0], str) else None)
+
+    def places(values: pd.Series) -> pd.Series:
+        given = values.to_numpy(dtype=listed.dtype if listed.dtype == object else None)
+        spot = np.searchsorted(listed, given, "left") + np.searchsorted(listed, given, "right")
+        return pd.Series((last - 1 - spot if by.descending else spot).astype("int32"))
+
+    return F.when(c.isNull(), last).otherwise(F.pandas_udf(places, "int")(F.coalesce(c, F.lit(rising[0]))))
+
+
+def _in_range(by: By, edges: list, k: int) -> Column:
+    """The same as ``_range_of`` being ``k``, as a plain condition that a scan can use to leave files out."""
     c = F.col(by.column)
-    listed = F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<string>")
-    passed = F.size(F.filter(listed, lambda e: (e > c) if by.descending else (e < c)))
-    return F.when(c.isNull(), 2 * len(edges) + 1).otherwise(2 * passed + F.array_contains(listed, c).cast("int")).cast("int") if edges else F.when(c.isNull(), 1).otherwise(0)
+    if k == 2 * len(edges) + 1 or not edges:
+        return c.isNull() if k else c.isNotNull()
+    if k % 2:
+        return c == F.lit(edges[k // 2])
+    after, before = edges[k // 2 - 1] if k else None, edges[k // 2] if k // 2 < len(edges) else None
+    found = c.isNotNull()
+    if after is not None:
+        found &= (c < F.lit(after)) if by.descending else (c > F.lit(after))
+    if before is not None:
+        found &= (c > F.lit(before)) if by.descending else (c < F.lit(before))
+    return found
 
 
 def _stretch(rows: DataFrame, order: list[By], left: list[By], skip: int, take: int, n: int, most: int, ranges: int) -> list[DataFrame]:
@@ -62,7 +91,7 @@ def _stretch(rows: DataFrame, order: list[By], left: list[By], skip: int, take:
             for k in sorted(counts):
                 first, end = max(skip - before, 0), min(skip + take - before, counts[k])
                 if first < end:
-                    parts += _stretch(rows.where(spot == k), order, left[1:] if k % 2 else left, first, end - first, counts[k], most, ranges)
+                    parts += _stretch(rows.where(_in_range(left[0], edges, k)), order, left[1:] if k % 2 else left, first, end - first, counts[k], most, ranges)
                 before += counts[k]
             return parts
     return [rows.orderBy(*[b.order() for b in order]).offset(skip).limit(take)]
