@@ -6,7 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tindera.operators import deep_pages, qualification, reviews, scan, states
+from tindera.functions import word_file
+from tindera.operators import deep_pages, qualification, reviews, scan, states, summary
 from tindera.operators.analyses import Analyses
 from tindera.plans import analyse
 from tindera.plans.registry import model
@@ -229,3 +230,14 @@ def test_free_texts_are_no_labels(spark):
     assert evaluation.confusion_matrix(pairs, 31).count() == 31 * 31
     with pytest.raises(Exception, match="more than 30 labels"):
         evaluation.confusion_matrix(pairs, 30).collect()
+
+
+def test_workers_hold_small_batches(spark):
+    """Texts of a large task come to the text model, and to a dictionary's lookups, in bounded batches."""
+    sizes = F.pandas_udf(lambda x: x * 0 + len(x), "long")
+    for use in (lambda: summary.judge_reviews(rows, model()), lambda: summary.analyse_reviews(rows, model()), lambda: word_file.ship(spark.createDataFrame([("a", 1.0)], "token string, valence double"))):
+        for key in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+            spark.conf.unset(key)
+        rows = spark.range(20_000, numPartitions=1).withColumn("content", F.lit("x"))
+        use()
+        assert rows.agg(F.max(sizes("id"))).first()[0] <= 4000
