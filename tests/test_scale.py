@@ -241,3 +241,19 @@ def test_workers_hold_small_batches(spark):
         rows = spark.range(20_000, numPartitions=1).withColumn("content", F.lit("x"))
         use()
         assert rows.agg(F.max(sizes("id"))).first()[0] <= 4000
+
+
+def test_collect_stream_by_buckets(spark, tmp_path):
+    """Python and state are by bucket: three batches of 300 products, of which every third ends at the target, keep a state row a bucket."""
+    kind = "product string, identity string, page long, pos long"
+    for step in range(3):
+        spark.createDataFrame([(f"p{k}", f"i{step}" if k % 3 == 0 else "same", step, 0) for k in range(300)] * 2, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{step}")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    made = collect.collect_stream(stream, 2, buckets=4)
+    running = made.writeStream.format("memory").queryName("by_buckets").outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").start()
+    running.processAllAvailable()
+    kept = max(p["stateOperators"][0]["numRowsTotal"] for p in running.recentProgress if p["stateOperators"])
+    running.stop()
+    found = {(r["product"], r.new_reviews, r.collected, r.stop_reason) for r in spark.sql("select * from by_buckets").collect()}
+    ends = [{(1, 1, None), (1, 2, "target_reached"), (0, 2, "target_reached")}, {(1, 1, None), (0, 1, None)}, {(1, 1, None), (0, 1, None)}]
+    assert kept <= 4 and found == {(f"p{k}", *end) for k in range(300) for end in ends[k % 3]}

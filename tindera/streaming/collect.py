@@ -6,6 +6,7 @@ product's target; every page updates the product's checkpoint.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ from ..operators import bloom, scan
 from ..operators.reviews import first_of
 from ..scratch import free
 
-STATE = "page long, collected long, stop_reason string, seen array<string>"
+STATE = "collections string"
 UPDATES = "product string, page long, new_reviews long, collected long, stop_reason string"
 
 
@@ -80,29 +81,36 @@ def new_only(found: DataFrame, stored: DataFrame, key: str = "link", keys: int |
     return once.join(bloom.within(stored.select(key), key, found, keys).distinct(), key, "left_anti")
 
 
-def collect_stream(pages: DataFrame, target: int, remembered: int = 100_000) -> DataFrame:
+def collect_stream(pages: DataFrame, target: int, remembered: int = 100_000, buckets: int = 1024) -> DataFrame:
     """The same fold on a stream of review rows (``product``, ``page``, ``identity``): a row per product and batch.
 
-    State per product is its identities, ``remembered`` at most: beyond, the product is an error rather than wrong.
+    Products share their state by ``buckets`` of a hash, so that a batch calls Python once a bucket and not once a product; a checkpoint stays with its
+    number of buckets.  State per product is its identities until it ends, ``remembered`` at most: beyond, the product is an error rather than wrong.
     """
+    bucket = free("bucket", pages.columns)
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        page, collected, stop, seen = state.get if state.exists else (0, 0, None, [])
-        known, new = set(seen), 0
+        found = {name: (page, collected, stop, set(seen)) for name, page, collected, stop, seen in (json.loads(state.get[0]) if state.exists else ())}
+        begun: dict[str, int] = {}
         for frame in frames:
-            for row in frame.sort_values(["page", "pos"]).itertuples():
-                if stop is None and row.identity not in known:
-                    known.add(row.identity)
-                    new += 1
+            rows = frame.sort_values(["page", "pos"])
+            for product, identity, at in zip(rows["product"].tolist(), rows["identity"].tolist(), rows["page"].tolist()):
+                page, collected, stop, known = found.get(product) or (0, 0, None, set())
+                begun.setdefault(product, collected)
+                if stop is None and identity not in known:
+                    known.add(identity)
+                    if len(known) > remembered:
+                        raise ValueError(f"{product} has more than {remembered} reviews to remember")
                     collected += 1
                     stop = "target_reached" if collected >= target else None
-                page = max(page, int(row.page))
-        if len(known) > remembered:
-            raise ValueError(f"{key[0]} has more than {remembered} reviews to remember")
-        state.update((page, collected, stop, sorted(known)))
-        yield pd.DataFrame([(key[0], page, new, collected, stop)], columns=["product", "page", "new_reviews", "collected", "stop_reason"])
-
-    return pages.groupBy("product").applyInPandasWithState(fold, UPDATES, STATE, "update", "NoTimeout")
+                found[product] = (max(page, int(at)), collected, stop, known)
+        # What has ended looks at no identity any more.
+        state.update((json.dumps([(name, page, collected, stop, sorted(known, key=str) if stop is None else []) for name, (page, collected, stop, known) in found.items()]),))
+        updates = [(product, found[product][0], found[product][1] - before, *found[product][1:3]) for product, before in begun.items()]
+        yield pd.DataFrame(updates, columns=["product", "page", "new_reviews", "collected", "stop_reason"])
+
+    keyed = pages.withColumn(bucket, F.pmod(F.xxhash64("product"), F.lit(buckets)))
+    return keyed.groupBy(bucket).applyInPandasWithState(fold, UPDATES, STATE, "update", "NoTimeout")
 
 
 def dedupe_stream(reviews: DataFrame, late: str = "1 day") -> DataFrame:
