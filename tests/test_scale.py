@@ -257,3 +257,34 @@ def test_collect_stream_by_buckets(spark, tmp_path):
     found = {(r["product"], r.new_reviews, r.collected, r.stop_reason) for r in spark.sql("select * from by_buckets").collect()}
     ends = [{(1, 1, None), (1, 2, "target_reached"), (0, 2, "target_reached")}, {(1, 1, None), (0, 1, None)}, {(1, 1, None), (0, 1, None)}]
     assert kept <= 4 and found == {(f"p{k}", *end) for k in range(300) for end in ends[k % 3]}
+
+
+def test_pages_stream_by_buckets(spark, tmp_path):
+    """Collections share a bucket's Python call; each has its own state, and a stream that stops and goes on again does as the batch fold does."""
+    keys, rows = "product string, context string", []
+    shown = lambda k, page: [f"{k}-{page}-{i}" for i in range(2)] if k % 4 else [f"{k}-same-{i}" for i in range(2)]
+    for k in range(60):
+        rows += [(f"p{k}", "all", page, k % 7 > 0 or page > 1, "same" if k % 5 == 0 else f"s{page}", None, [(i, x) for i, x in enumerate(shown(k, page))]) for page in range(1, 7)]
+    pages = spark.createDataFrame(rows, f"{keys}, page long, found boolean, signature string, outcome string, reviews array<struct<pos: bigint, identity: string>>")
+    reviews_ = pages.select("product", "context", "page", F.inline("reviews"))
+    stored = spark.createDataFrame([(f"p{k}", "all", x) for k in range(0, 60, 3) for x in shown(k, 1)], f"{keys}, identity string")
+    plan = spark.createDataFrame([(f"p{k}", "all", 2 if k % 9 == 0 else 7, k % 2, 0) for k in range(60)], f"{keys}, limit long, reported long, done_pages long")
+    known = stored.groupBy("product", "context").agg(F.collect_set("identity").alias("identities"))
+    begun = plan.join(known, ["product", "context"], "left").withColumn("identities", F.coalesce("identities", F.array().cast("array<string>")))
+    found = {}
+
+    def save(batch, number):
+        found.update({r["product"]: (r.completed_pages, r.collected_reviews, r.stop_reason) for r in batch.collect()})
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for step in range(3):
+            pages.where(F.col("page").isin(2 * step + 1, 2 * step + 2)).repartition(3).write.parquet(f"{tmp_path}/in/{step}")
+            stream = spark.readStream.schema(pages.schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+            made = paging.pages_stream(stream, begun, 6, buckets=5).writeStream.foreachBatch(save).outputMode("update")
+            made.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(provider)
+    want = {r["product"]: (r.completed_pages, r.collected_reviews, r.stop_reason) for r in paging.fold_pages(pages.drop("reviews"), reviews_, stored, plan, 6).collect()}
+    assert found == want and len({w[2] for w in want.values()}) >= 4

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from ..streaming import paging
 from .base import fixture_folder, query, table
 
@@ -71,9 +72,7 @@ def collect_pages_stream(spark, sf_dir):
     known = stored.groupBy("product", "context").agg(F.collect_set("identity").alias("identities"))
     plan = plan.join(known, ["product", "context"], "left").withColumn("identities", F.coalesce("identities", F.array().cast("array<string>")))
     folder = fixture_folder(spark)
-    for step in range(3):
-        pages.where((F.col("page") > 4 * step) & (F.col("page") <= 4 * step + 4)).coalesce(1).write.mode("append").parquet(f"{folder}/in/{step}")
-    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+    once = written(pages)
 
     def save(batch, number):
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
@@ -82,8 +81,12 @@ def collect_pages_stream(spark, sf_dir):
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        made = paging.pages_stream(stream, plan, MOST)
-        made.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        # A step is a batch of any number of files; the stream goes on from its checkpoint.
+        for step in range(3):
+            once.where((F.col("page") > 4 * step) & (F.col("page") <= 4 * step + 4)).write.parquet(f"{folder}/in/{step}")
+            stream = spark.readStream.schema(pages.schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+            made = paging.pages_stream(stream, plan, MOST)
+            made.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(provider, before) if before else spark.conf.unset(provider)
     last = F.max_by(F.struct("completed_pages", "collected_reviews", "stop_reason"), "batch").alias("r")

@@ -1,11 +1,12 @@
 """What a collection comes to, page by page: how many reviews, how many pages, and why it ended.
 
 The same rules hold for a table of pages that were seen, as joins and windows of bounded size, and for a stream of pages, with
-a product's state machine and the identities that it knows as map state, so that a batch writes only what is new.
+a product's state machine and the identities that it knows as map state, so that a batch writes only what its pages change.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.qualification import STOP_REASONS, completed_pages, missing_reviews_reason
+from ..scratch import free
 
 KEYS = ["product", "context"]
 CHECKPOINT = "product string, context string, completed_pages long, collected_reviews long, stop_reason string"
@@ -94,33 +96,45 @@ def kept_reviews(pages: DataFrame, reviews: DataFrame, stored: DataFrame, plan:
     return firsts.join(open_pages, [*KEYS, "page"]).withColumn("rank", F.col("before") + place).where("rank <= limit").select(*KEYS, "identity", "page", "pos", "rank")
 
 
-class _Collection(StatefulProcessor):
-    """One product and scope: where it stands, and the identities that it knows."""
+class _Collections(StatefulProcessor):
+    """The collections of a bucket: where each stands, and the identities that it knows while it goes on."""
 
     def __init__(self, most: int, reasons: Reasons) -> None:
         self.most, self.reasons = most, reasons
 
     def init(self, handle) -> None:
-        self.at = handle.getValueState("at", "page long, collected long, reason string, signature string, target long, reported long, done_pages long")
-        self.seen = handle.getMapState("seen", "identity string", "there boolean")
+        value = "page long, collected long, reason string, signature string, target long, reported long, done_pages long, seen string"
+        self.at = handle.getMapState("at", "product string, context string", value)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
         for row in initialState.itertuples():
-            have = 0
-            for identity in row.identities:
-                if not self.seen.containsKey((identity,)):
-                    self.seen.updateValue((identity,), (True,))
-                    have += 1
-            reason = self.reasons.target if have >= row.limit else None
-            self.at.update((0, have, reason, None, int(row.limit), int(row.reported), int(row.done_pages)))
+            known = set(row.identities)
+            reason = self.reasons.target if len(known) >= row.limit else None
+            self._keep((row.product, row.context), 0, len(known), reason, None, int(row.limit), int(row.reported), int(row.done_pages), known)
+
+    def _keep(self, key: tuple, page, collected, reason, signature, target, reported, done, known: set) -> None:
+        """What has ended looks at no identity any more."""
+        seen = json.dumps(sorted(known, key=str)) if reason is None else "[]"
+        self.at.updateValue(key, (page, collected, reason, signature, target, reported, done, seen))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = self.at.get()
+        frame = pd.concat(list(rows)).sort_values("page")
+        pages: dict[tuple, list] = {}
+        for row in frame.itertuples():
+            pages.setdefault((row.product, row.context), []).append(row)
+        out = [(*name, *found) for name, looked in pages.items() if (found := self._fold(name, looked))]
+        yield pd.DataFrame(out, columns=["product", "context", "completed_pages", "collected_reviews", "stop_reason"])
+
+    def _fold(self, name: tuple, looked: list) -> tuple | None:
+        """The checkpoint of a collection after some pages; null if it has no plan."""
+        state = self.at.getValue(name)
         if state is None:
-            return
-        page, collected, reason, signature, target, reported, done = state
-        looked = pd.concat(list(rows)).sort_values("page")
-        for row in looked.itertuples():
+            return None
+        page, collected, reason, signature, target, reported, done, seen = state
+        if reason is not None:
+            return max(page, done), collected, reason
+        known = set(json.loads(seen))
+        for row in looked:
             if reason is not None or row.page > self.most:
                 break
             if page and row.found and row.signature and row.signature == signature:
@@ -131,12 +145,12 @@ class _Collection(StatefulProcessor):
                 break
             page, signature = int(row.page), row.signature or ""
             for review in sorted(row.reviews, key=lambda r: r["pos"]) if row.found else ():
-                if collected < target and not self.seen.containsKey((review["identity"],)):
-                    self.seen.updateValue((review["identity"],), (True,))
+                if collected < target and review["identity"] not in known:
+                    known.add(review["identity"])
                     collected += 1
             reason = self._reason(row, page, collected, target, signature)
-        self.at.update((page, collected, reason, signature, target, reported, done))
-        yield pd.DataFrame([(*key, max(page, done), collected, reason)], columns=["product", "context", "completed_pages", "collected_reviews", "stop_reason"])
+        self._keep(name, page, collected, reason, signature, target, reported, done, known)
+        return max(page, done), collected, reason
 
     def _reason(self, row, page: int, collected: int, target: int, signature: str) -> str | None:
         checks = (
@@ -149,14 +163,17 @@ class _Collection(StatefulProcessor):
         pass
 
 
-def pages_stream(pages: DataFrame, plan: DataFrame, most: int, reasons: Reasons = PAGES) -> DataFrame:
+def pages_stream(pages: DataFrame, plan: DataFrame, most: int, reasons: Reasons = PAGES, buckets: int = 1024) -> DataFrame:
     """The same on a stream: a checkpoint for each product and scope that a batch has pages of.
 
     ``pages`` has each page's ``reviews`` (``pos``, ``identity``) as an array, and comes in page order over batches; ``plan`` has the stored ``identities`` as one.
-    State needs the RocksDB provider.  It is kept by identity, so a batch reads and writes the identities of its own pages only.
+    State needs the RocksDB provider.  Python is called once for each of ``buckets`` (a checkpoint stays with their number), and state is kept by product and
+    scope, so a batch reads and writes the collections of its own pages only; one that has ended is not written again.
     A page with the signature of the one before shows that the page before could not be left, so that reason comes with the next page.
     """
-    return pages.groupBy(*KEYS).transformWithStateInPandas(_Collection(most, reasons), outputStructType=CHECKPOINT, outputMode="Update", timeMode="None", initialState=plan.groupBy(*KEYS))
+    bucket = free("bucket", pages.columns, plan.columns)
+    keyed = lambda rows: rows.withColumn(bucket, F.pmod(F.xxhash64(*KEYS), F.lit(buckets))).groupBy(bucket)
+    return keyed(pages).transformWithStateInPandas(_Collections(most, reasons), outputStructType=CHECKPOINT, outputMode="Update", timeMode="None", initialState=keyed(plan))
 
 
 def signature_of(reviews: Column, first: int = 2) -> Column:
