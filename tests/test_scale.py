@@ -288,3 +288,19 @@ def test_pages_stream_by_buckets(spark, tmp_path):
         spark.conf.unset(provider)
     want = {r["product"]: (r.completed_pages, r.collected_reviews, r.stop_reason) for r in paging.fold_pages(pages.drop("reviews"), reviews_, stored, plan, 6).collect()}
     assert found == want and len({w[2] for w in want.values()}) >= 4
+
+
+def test_only_words_with_a_value_are_weighed(monkeypatch):
+    """A long text is scored by its words with a value; marks, repeats and ``but`` count as in a plain loop over all words."""
+    from tindera.functions import polarity
+
+    rules, weighed, plain = polarity.Polarity({"good": 1.9, "bad": -2.5, "meh": 0.0}), [], polarity.Polarity._valence
+    monkeypatch.setattr(polarity.Polarity, "_valence", lambda self, words, i: weighed.append(words[i]) or plain(self, words, i))
+    text = " ".join([f"word{k}" for k in range(1000)] + ["very", "good,", "but", "(bad)", "bad,", "good", "meh"])
+    found = rules.scores(text)
+    assert sorted(weighed) == ["bad", "good", "meh"]
+    words = rules.tokens(text)
+    first = {w: plain(rules, words, words.index(w)) if w in rules.valences else 0.0 for w in words}
+    values = [first[w] * (0.5 if i < words.index("but") else 1.5 if i > words.index("but") else 1) for i, w in enumerate(words)]
+    assert words[-6:] == ["good", "but", "(bad)", "bad", "good", "meh"] and found[3] == round(sum(values) / (sum(values) ** 2 + 15) ** 0.5, 4)
+    assert model().negated("a text of any length")(7) is False
