@@ -304,3 +304,26 @@ def test_only_words_with_a_value_are_weighed(monkeypatch):
     values = [first[w] * (0.5 if i < words.index("but") else 1.5 if i > words.index("but") else 1) for i, w in enumerate(words)]
     assert words[-6:] == ["good", "but", "(bad)", "bad", "good", "meh"] and found[3] == round(sum(values) / (sum(values) ** 2 + 15) ** 0.5, 4)
     assert model().negated("a text of any length")(7) is False
+
+
+def test_one_file_by_tasks(spark, tmp_path):
+    """Files of one form are written by tasks, byte for byte as through the driver, also over an older file; nothing of them is collected."""
+    from tindera.sources import sinks
+
+    rows = spark.range(500).repartition(7).select("id", F.concat(F.lit('₱ "x",\n'), "id").alias("b"), F.lit(None).cast("double").alias("c"), (F.col("id") / 3).alias("d"), (F.col("id") % 2 == 0).alias("e")).orderBy("id")
+    folder = f"file://{tmp_path}/a b"
+    for frame in (rows, rows.limit(0)):
+        want_json, want_csv = b"".join(sinks.json_array(frame, before=b"{", after=b"}")), b"".join(sinks.csv_export(frame, ["b", "id", "none", "d", "e"]))
+        for name in ("o.json", "o.csv"):
+            sinks.snapshot(spark, iter([b"older"]), f"{folder}/{name}")
+        sinks.write_json_array(frame, f"{folder}/o.json", before=b"{", after=b"}")
+        sinks.write_csv(frame, f"{folder}/o.csv", ["b", "id", "none", "d", "e"])
+        for name, want in (("o.json", want_json), ("o.csv", want_csv)):
+            assert (tmp_path / "a b" / name).read_bytes() == want
+            assert spark.read.text(f"{folder}/{name}", wholetext=True).count() == (1 if want else 0) or not want
+        assert not [p for p in (tmp_path / "a b").iterdir() if p.name.endswith(".tmp")]
+    plan = [(f"{tmp_path}/p{k}", 2, 0, b"<" if k == 0 else b"", b">" if k else b"") for k in range(2)]
+    for part, *_ in plan:
+        open(part, "wb").write(b"abc")
+    sinks._appended(f"{folder.replace(' ', '%20')}/joined")(plan)
+    assert (tmp_path / "a b" / "joined").read_bytes() == b"<abab>"

@@ -32,9 +32,11 @@ def _values(v: str, kind: str = "string", raw: str = "raw"):
 def json_product_scan(spark, sf_dir):
     """A list with a byte order mark and an element that is no object."""
     parts = table(spark, sf_dir, "part").select(F.concat(F.lit("https://shopee.ph/product/1/"), "p_partkey").alias("link"), F.col("p_name").alias("name"), F.col("p_size").alias("rating"), (F.col("p_size") * 3).alias("total_rating"), F.expr("array(named_struct('content', 'a'), named_struct('content', 'b'))").alias("comments"), "p_partkey")
-    rows = parts.orderBy("p_partkey").drop("p_partkey")
-    pieces = list(sinks.json_array(rows))
-    path = _put(spark, "shopee_ph_parts.json", [BOM, *pieces[:6], b",\n7", *pieces[6:]])
+    shown = F.to_json(F.struct(*[c for c in parts.columns if c != "p_partkey"]), {"ignoreNullFields": "false"})
+    odd = spark.range(1).select(F.lit(4.5).alias("place"), F.lit("7").alias("j"))
+    rows = parts.select(F.col("p_partkey").cast("double").alias("place"), shown.alias("j")).unionByName(odd)
+    path = f"{fixture_folder(spark)}/shopee_ph_parts.json"
+    sinks.write_json_array(rows.orderBy("place"), path, "j", before=BOM)
     found = S.typed_products(S.read_products(spark, path))
     return found.select("ordinal", "link", "name", "rating", "total_rating", F.size("comments").alias("comments"))
 
@@ -52,7 +54,9 @@ def json_wrapped_scan(spark, sf_dir):
 @query("SELECT conv_id::VARCHAR AS conv, turn::VARCHAR AS turn, role, coalesce(text, '') AS text FROM conversations")
 def csv_review_scan(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), "turn", "role", "text")
-    return S.read_review_csv(spark, _put(spark, "talks.csv", sinks.csv_export(rows)))
+    path = f"{fixture_folder(spark)}/talks.csv"
+    sinks.write_csv(rows, path)
+    return S.read_review_csv(spark, path)
 
 
 @query("SELECT 'q' || quality AS actual, 'q' || toxic AS predicted, count(*) AS n FROM labels GROUP BY ALL")
@@ -144,9 +148,10 @@ s AS (SELECT conv_id, count(*) + 2 AS elements, count(*) FILTER (k < 3 AND NOT d
 )
 def analysed_products(spark, sf_dir):
     """A whole analysis of a product file, which loses no product, no field and no review, whatever field its text is under."""
-    rows = _talks(spark, sf_dir).orderBy("conv_id")
-    extra = [b',\n{"name": "no comments"}, {"name": "no list", "comments": "x"}, 5]']
-    path = _put(spark, "shopee_ph_talks.json", [*list(sinks.json_array(rows, "j"))[:-1], *extra])
+    extra = spark.createDataFrame([(1, '{"name": "no comments"}'), (2, '{"name": "no list", "comments": "x"}'), (3, "5")], "conv_id long, j string")
+    rows = _talks(spark, sf_dir).withColumn("part", F.lit(0)).unionByName(extra.withColumn("part", F.lit(1))).orderBy("part", "conv_id")
+    path = f"{fixture_folder(spark)}/shopee_ph_talks.json"
+    sinks.write_json_array(rows, path, "j")
     out = analyse.analyse_file(spark, path, TextModel())
     found = S.read_products(spark, out)
     v = _values
