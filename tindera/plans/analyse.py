@@ -135,7 +135,7 @@ def _wrapper(spark: SparkSession, path: str) -> dict | None:
 def analyse_file(spark: SparkSession, path: str, model: TextModel, target: str | None = None, text_column: str | None = None, one_file: bool = True) -> str:
     """Analyse a JSON file of products or a CSV of reviews and write the result beside it; returns its path.
 
-    The result is one file of the input's form, streamed through the driver a partition at a time and written whole or not
+    The result is one file of the input's form, written by tasks and whole or not
     at all; without ``one_file`` a folder, written by all tasks.
     """
     kind = path.rpartition(".")[2].lower()
@@ -151,12 +151,12 @@ def analyse_file(spark: SparkSession, path: str, model: TextModel, target: str |
             return sinks.write_analysed(rows.drop(place), path, target, "csv")
         ordered = rows.orderBy(place).drop(place)
         flags = [n for n, t in ordered.dtypes if t == "boolean"]
-        sinks.snapshot(spark, sinks.csv_export(ordered.withColumns({n: F.initcap(F.col(n).cast("string")) for n in flags})), target)
+        sinks.write_csv(ordered.withColumns({n: F.initcap(F.col(n).cast("string")) for n in flags}), target)
         return target
     found = analyse_products(sources.read_elements(spark, path), model)
     if not one_file:
         return sinks.write_analysed(found.select(F.parse_json("json").alias("product")), path, target, "json")
-    sinks.snapshot(spark, sinks.json_array(found.orderBy("ordinal"), "json", *_around(spark, path)), target)
+    sinks.write_json_array(found.orderBy("ordinal"), target, "json", *_around(spark, path))
     return target
 
 
@@ -198,7 +198,7 @@ class AnalysisCache:
 def save_back(spark: SparkSession, path: str, model: TextModel) -> None:
     """Put the analysis of a result file in the file's own place and form; the old content stays until the new is whole."""
     found = analyse_products(sources.read_elements(spark, path), model)
-    sinks.snapshot(spark, sinks.json_array(found.orderBy("ordinal"), "json", *_around(spark, path)), path)
+    sinks.write_json_array(found.orderBy("ordinal"), path, "json", *_around(spark, path))
 
 
 def put_labels(spark: SparkSession, path: str, labels: DataFrame, field: str = "sentiment") -> str:
@@ -206,7 +206,7 @@ def put_labels(spark: SparkSession, path: str, labels: DataFrame, field: str = "
     products = sources.read_elements(spark, path)
     kept = sinks.backup_path(path)
     sinks.refuse_same(path, kept)
-    sinks.snapshot(spark, sinks.json_array(products.orderBy("ordinal").select(F.to_json("raw").alias("json")), "json"), kept)
+    sinks.write_json_array(products.orderBy("ordinal").select(F.to_json("raw").alias("json")), kept, "json")
     by_product = labels.groupBy(F.col("outer_idx").alias("ordinal")).agg(F.collect_list(F.struct("comment_idx", "label")).alias("given"))
 
     def put(raw: pd.Series, given: pd.Series) -> pd.Series:
@@ -219,7 +219,7 @@ def put_labels(spark: SparkSession, path: str, labels: DataFrame, field: str = "
         return pd.Series(out, dtype=object)
 
     labelled = sources.read_elements(spark, kept).join(by_product, "ordinal", "left").select("ordinal", F.pandas_udf(put, StringType())(F.to_json("raw"), F.col("given")).alias("json"))
-    sinks.snapshot(spark, sinks.json_array(labelled.orderBy("ordinal"), "json"), path)
+    sinks.write_json_array(labelled.orderBy("ordinal"), path, "json")
     return kept
 
 
