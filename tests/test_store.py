@@ -138,3 +138,29 @@ def test_many_keys_ask_no_filter(spark, tmp_path, monkeypatch):
     assert not asked and {r.price: r.n for r in s.read("products").groupBy("price").agg(F.count("*").alias("n")).collect()} == {"1": 2900, "2": 3000}
     s.save(_products(spark, [5, 3000], "3"), _reviews(spark, []))
     assert asked and s.read("products").where("price = '3'").count() == 2 and s.read("products").count() == 5900
+
+
+def test_long_buckets_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """A bucket of more rows than a file holds is several tasks' work; links too many to be broadcast are shuffled."""
+    ids = lambda s, t="reviews", c="product_link": sorted(int(r[0][1:]) for r in s.read(t).select(c).collect())
+    s = store.Store(spark, f"file://{tmp_path}/s", buckets=2)
+    monkeypatch.setattr(store, "FILE_ROWS", 100)
+    s.save(_products(spark, range(1000)), _reviews(spark, range(1000)))
+    assert ids(s) == list(range(1000)) and len(_files(s, "reviews")) >= 10
+    s.save(_products(spark, range(900, 1100), "2"), _reviews(spark, range(900, 1100)).withColumn("sentiment", F.lit("new")).withColumn("rating", F.lit(3)))
+    assert ids(s) == ids(s, "products", "link") == list(range(1100)) and s.read("products").where("price = '2'").count() == 200
+    assert {(r.sentiment, r.rating): r.n for r in s.read("reviews").groupBy("sentiment", "rating").agg(F.count("*").alias("n")).collect()} == {(None, None): 900, ("new", None): 100, ("new", 3): 100}
+    for most, gone in ((1_000_000, range(0, 50)), (0, range(50, 120))):
+        monkeypatch.setattr(store, "MOST_BROADCAST", most)
+        s.delete_products(spark.createDataFrame([(f"l{k}",) for k in gone], "link string"))
+        assert ids(s) == ids(s, "products", "link") == list(range(gone[-1] + 1, 1100))
+
+
+def test_a_delete_shuffles_no_reviews(spark, tmp_path, monkeypatch):
+    s = store.Store(spark, f"file://{tmp_path}/s", buckets=2)
+    s.save(_products(spark, range(50)), _reviews(spark, range(50)))
+    dealt, kind = [], type(spark.range(0))
+    real = kind.repartitionById
+    monkeypatch.setattr(kind, "repartitionById", lambda *x: dealt.append(x) or real(*x))
+    s.delete_products(spark.createDataFrame([("l1",)], "link string"))
+    assert not dealt and s.read("reviews").count() == s.read("products").count() == 49 and len(_files(s, "reviews")) <= 2
