@@ -164,3 +164,23 @@ def test_a_delete_shuffles_no_reviews(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(kind, "repartitionById", lambda *x: dealt.append(x) or real(*x))
     s.delete_products(spark.createDataFrame([("l1",)], "link string"))
     assert not dealt and s.read("reviews").count() == s.read("products").count() == 49 and len(_files(s, "reviews")) <= 2
+
+
+def test_a_save_stages_no_keys_and_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
+    """Keys follow from other fields and are longer; shuffle files would stay until the driver collects its garbage."""
+    staged, real = [], commits.CommitLog.delete
+    monkeypatch.setattr(commits.CommitLog, "delete", lambda self, name: (staged.append(spark.read.parquet(f"{self.folder}/{name}").columns) if "reviews/_in/" in name else None, real(self, name)))
+    files = lambda: sum(b.isShuffle() for b in _blocks(spark))
+    set_before, before = spark.conf.get(store.FREED), files()
+    s = store.Store(spark, f"file://{tmp_path}/s", buckets=2)
+    s.save(_products(spark, range(300)), _reviews(spark, range(300)))
+    until = time.monotonic() + 20
+    while files() > before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert s.read("reviews").count() == 300 and staged and "review_key" not in staged[0]
+    assert files() <= before and spark.conf.get(store.FREED) == set_before
+
+
+def _blocks(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return [found.apply(k) for k in range(found.size())]
