@@ -1,5 +1,6 @@
 """What holds at any size, on small tables, against plain loops."""
 
+import json
 import random
 import time
 
@@ -11,6 +12,7 @@ from tindera.operators import deep_pages, qualification, reviews, scan, states,
 from tindera.operators.analyses import Analyses
 from tindera.plans import analyse
 from tindera.plans.registry import model
+from tindera.sources import json_lists, products
 from tindera.streaming import collect, paging
 
 
@@ -327,3 +329,31 @@ def test_one_file_by_tasks(spark, tmp_path):
         open(part, "wb").write(b"abc")
     sinks._appended(f"{folder.replace(' ', '%20')}/joined")(plan)
     assert (tmp_path / "a b" / "joined").read_bytes() == b"<abab>"
+
+
+def test_long_product_files_are_read_in_splits(spark, tmp_path, monkeypatch):
+    """Whatever stands in texts and wherever splits end, elements, fields and errors are those of a file that is read whole."""
+    odd = ['a, b "c" \\ ]}[{', "é₱,\\", "\\\"", ",", "", "products"]
+    rows = [None, 7, "x, y", [1, [2, 3]], True, {}] + [{"n": k, odd[k % 6]: [odd[(k + 1) % 6], {"d": odd[k % 6] * 3, "e": [k, k]}]} for k in range(60)]
+    dump = lambda x, indent=None: json.dumps(x, ensure_ascii=False, indent=indent)
+    files = {"list": "\ufeff" + dump(rows), "last": dump({"a": [1, {"products": [2]}], "b,": odd, "products": rows}, 1) + "\n ", "first": dump({"products": rows, "z": 1}), "only": dump({"products": rows}), "none": dump({"a": 1, "b": 2}), "empty": " [ ] ", "blank": dump({"x": 1, "products": [], "y": 2})}
+    bad = {"open": dump(rows)[:-1], "two": '{"products": [1], "products": [2]}', "kind": '{"products": 5, "a": 1}', "gap": "[1,, 2]", "pair": '[{"a": 1} {"b": 2}, 3]', "tail": '{"products": [1], "a": }'}
+    for name, text in (files | bad).items():
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+    shown = lambda: sorted((r.name, r.ordinal, r.j) for r in products.read_elements(spark, str(tmp_path), strict=False).select(F.element_at(F.split("path", "/"), -1).alias("name"), "ordinal", F.to_json("raw").alias("j")).collect())
+    whole = shown()
+    fields = {n: products.outer_fields(spark, f"{tmp_path}/{n}.json") for n in files}
+    monkeypatch.setattr(products, "WHOLE_BYTES", 1)
+    monkeypatch.setattr(json_lists, "CHUNK_BYTES", 100)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert shown() == whole and len({n for n, *_ in whole}) == 4 and len(whole) == 4 * len(rows)
+        assert {n: products.outer_fields(spark, f"{tmp_path}/{n}.json") for n in files} == fields
+        for name in bad:
+            with pytest.raises(Exception, match="no list of products"):
+                products.read_elements(spark, f"{tmp_path}/{name}.json").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 from ..functions.text import fingerprint_key
 from ..operators import reviews, summary
 from ..operators.text_model import TextModel
-from ..scratch import free, written
+from ..scratch import bound_batches, free, written
 from ..sources import products as sources
 from ..sources import sinks
 
@@ -63,6 +63,7 @@ def analyse_products(products: DataFrame, model: TextModel) -> DataFrame:
     as they are, those without ``comments`` get a summary of zeros.  Scoring comes before any shuffle; what goes
     back to a product's row is its own reviews' analyses, which stand in that row anyway.
     """
+    bound_batches(products.sparkSession)
     found = product_reviews(products).withColumn("a", model.analyse(F.col("content")))
     found = found.select(
         *KEYS, "pos", "a", F.col("a.label").alias("label"), F.col("a.scores.compound").alias("compound"), F.col("a.risk.detected").alias("detected"), F.col("a.risk.categories").alias("categories"), fingerprint_key(F.col("content")).alias("fingerprint"),
@@ -124,14 +125,6 @@ def numbered(rows: DataFrame, place: str = "row_no") -> DataFrame:
     return reviews.running_index(parted, part, at, place).drop(part, at)
 
 
-def _wrapper(spark: SparkSession, path: str) -> dict | None:
-    """The fields beside ``products`` of a file that is an object; null if it is a list."""
-    value = F.regexp_replace("value", "^﻿", "")
-    fields = F.map_filter(F.from_json(value, "map<string,variant>"), lambda k, v: k != "products")
-    rows = spark.read.text(path, wholetext=True).select(F.when(F.schema_of_variant(F.try_parse_json(value)).startswith("OBJECT"), F.to_json(F.transform_values(fields, lambda k, v: F.to_json(v)))).alias("w")).limit(1).collect()
-    return None if not rows or rows[0]["w"] is None else {k: json.loads(v) for k, v in json.loads(rows[0]["w"]).items()}
-
-
 def analyse_file(spark: SparkSession, path: str, model: TextModel, target: str | None = None, text_column: str | None = None, one_file: bool = True) -> str:
     """Analyse a JSON file of products or a CSV of reviews and write the result beside it; returns its path.
 
@@ -162,7 +155,7 @@ def analyse_file(spark: SparkSession, path: str, model: TextModel, target: str |
 
 def _around(spark: SparkSession, path: str) -> tuple[bytes, bytes]:
     """What stands before and after the list of products in a file's own form: an object keeps its other fields."""
-    fields = _wrapper(spark, path)
+    fields = sources.outer_fields(spark, path)
     if fields is None:
         return b"", b""
     rest = json.dumps(fields, ensure_ascii=False, indent=2)[:-1].rstrip() if fields else "{"

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators.reviews import last_of
 from ..operators.schemas import PRODUCT
+from . import json_lists
 
+#: Bytes of a JSON file that one task reads whole at most; longer ones are read element by element, by many tasks.
+WHOLE_BYTES = 16 << 20
 ALIASES = {"actual": ("actual_label", "true_label", "label"), "predicted": ("predicted_label", "prediction"), "text": ("review_text", "text", "content")}
 
 
@@ -19,14 +22,51 @@ def read_elements(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     A file is a list, or an object with a ``products`` list (none at all is an empty one); a byte order mark is allowed.  Any other
     file is an error, or without ``strict`` has no products.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    names = json_lists.long_files(spark, path, WHOLE_BYTES)
+    texts = spark.read.text(path, wholetext=True)
+    rows = _whole_elements(texts.where(F.col("_metadata.file_size") <= WHOLE_BYTES) if names else texts, strict)
+    return rows.unionByName(_long_elements(spark, names, strict)) if names else rows
+
+
+def _no_list(path: Column) -> Column:
+    return F.raise_error(F.concat(F.lit("no list of products in "), path)).cast("variant")
+
+
+def _long_elements(spark: SparkSession, names: dict[int, tuple[str, str]], strict: bool) -> DataFrame:
+    found, bad = json_lists.listings(spark, names)
+    if bad and strict:
+        raise ValueError(f"no list of products in {bad[0]}")
+    if not found:
+        return spark.createDataFrame([], "path string, ordinal int, raw variant")
+    rows = json_lists.elements(spark, found)
+    if strict:
+        return rows.withColumn("raw", F.when(F.col("raw").isNotNull(), F.col("raw")).otherwise(_no_list(F.col("path"))))
+    return rows.join(rows.where(F.col("raw").isNull()).select("path").distinct(), "path", "left_anti")
+
+
+def outer_fields(spark: SparkSession, path: str) -> dict | None:
+    """The fields beside ``products`` of a file that is an object; null if it is a list."""
+    names = json_lists.long_files(spark, path, WHOLE_BYTES)
+    if names:
+        found, bad = json_lists.listings(spark, names)
+        if bad:
+            raise ValueError(f"no list of products in {bad[0]}")
+        return json_lists.outer_fields(spark, found)
+    value = F.regexp_replace("value", "^\ufeff", "")
+    fields = F.map_filter(F.from_json(value, "map<string,variant>"), lambda k, v: k != "products")
+    rows = spark.read.text(path, wholetext=True).select(F.when(F.schema_of_variant(F.try_parse_json(value)).startswith("OBJECT"), F.to_json(F.transform_values(fields, lambda k, v: F.to_json(v)))).alias("w")).limit(1).collect()
+    return None if not rows or rows[0]["w"] is None else {k: json.loads(v) for k, v in json.loads(rows[0]["w"]).items()}
+
+
+def _whole_elements(texts: DataFrame, strict: bool) -> DataFrame:
+    files = texts.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
     v = F.try_parse_json("value")
     kind = F.schema_of_variant(v)
     wrapped = F.coalesce(F.try_variant_get(v, "$.products", "variant"), F.parse_json(F.lit("[]")))
     rows = files.select("path", F.when(kind.startswith("OBJECT"), wrapped).otherwise(v).alias("v"))
     good = F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False))
     if strict:
-        rows = rows.withColumn("v", F.when(good, F.col("v")).otherwise(F.raise_error(F.concat(F.lit("no list of products in "), F.col("path"))).cast("variant")))
+        rows = rows.withColumn("v", F.when(good, F.col("v")).otherwise(_no_list(F.col("path"))))
     else:
         rows = rows.where(good)
     return rows.select("path", F.posexplode(F.col("v").cast("array<variant>")).alias("ordinal", "raw"))
